@@ -31,3 +31,12 @@ def stage(df: DataFrame) -> DataFrame:
 def fresh_dir(spark: SparkSession, label: str) -> str:
     """A new folder beside the checkpoints."""
     return f"{_checkpoint_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """Spread a table scan with fewer partitions than cores over all cores, before costly row work.
+
+    A table with at least one partition for each core is read where it lies.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import frequent, grid, kcenter, outliers, report, reservoir, sticky, words
-from .plans import fresh_dir, with_position
+from .plans import fresh_dir, spread, with_position
 from .sources import items_from, lines_from, points_from
 from .streaming import distinct as sizes
 from .streaming import frequent as streams
@@ -31,7 +31,8 @@ SALTS = 16
 
 
 def _lines(spark: SparkSession, sf: str) -> DataFrame:
-    return lines_from(spark.read.parquet(f"{sf}/documents.parquet"), "text")
+    documents = spark.read.parquet(f"{sf}/documents.parquet").select("text")
+    return lines_from(spread(documents), "text")
 
 
 def _points(spark: SparkSession, sf: str) -> DataFrame:

@@ -5,16 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Line breaks of a text file.
-LINE_BREAK = r"\r\n|\n|\r"
-
-
 def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """``(line)`` for each line of the text files."""
     return spark.read.text(path).select(F.col("value").alias("line"))
 
 
 def lines_from(df: DataFrame, text: str) -> DataFrame:
-    """``(line)`` for each line of a text column; a final line break opens no further line."""
-    body = F.regexp_replace(F.col(text), f"({LINE_BREAK})\\z", "")
-    return df.where(F.col(text) != "").select(F.explode(F.split(body, LINE_BREAK)).alias("line"))
+    """``(line)`` for each line of a text column.
+
+    Lines end with LF, CRLF or CR as in a text file; a final line break opens no
+    further line. Regular expressions run only on texts with a CR.
+    """
+    body = F.col(text)
+    body = F.when(F.contains(body, F.lit("\r")), F.regexp_replace(body, "\\r\\n?", "\n")).otherwise(body)
+    lines = df.where(F.col(text) != "").select(body.alias("body"))
+    whole = F.when(
+        F.endswith("body", F.lit("\n")), F.substring("body", F.lit(1), F.length("body") - 1)
+    ).otherwise(F.col("body"))
+    return lines.select(F.explode(F.split(whole, "\n")).alias("line"))

@@ -14,7 +14,8 @@ def cell_side(distance: float) -> float:
 
 
 def cell_index(coordinate: Column, side: float) -> Column:
-    return F.floor(coordinate / F.lit(side)).cast("bigint")
+    """Row or column of the grid; the default is not reached and declares the result non-null."""
+    return F.coalesce(F.floor(coordinate / F.lit(side)).cast("bigint"), F.lit(0).cast("bigint"))
 
 
 def squared_distance(ax: Column, ay: Column, bx: Column, by: Column) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import check_at_least, squared_distance
@@ -124,26 +124,24 @@ def kcenter_centers(points: DataFrame, k: int, parts: int, part_rows: int = PART
     return _traverse(one_part, k, k * parts, 1, part_rows).drop("part")
 
 
-def _nearest(centers: list[Row] | DataFrame) -> Column:
-    """Struct ``(d2, ord)`` of the nearest center, ties by order."""
-    measure = lambda cx, cy, ord_: F.struct(
-        squared_distance(F.col("x"), F.col("y"), cx, cy).alias("d2"), ord_.alias("ord")
-    )
-    if isinstance(centers, list):
-        return F.array_min(
-            F.array(*[measure(F.lit(c["x"]), F.lit(c["y"]), F.lit(c["ord"])) for c in centers])
-        )
-    every = centers.agg(F.collect_list(F.struct("x", "y", "ord"))).scalar()
-    return F.array_min(F.transform(every, lambda c: measure(c["x"], c["y"], c["ord"])))
+def _measure(cx: Column, cy: Column, ord_: Column) -> Column:
+    d2 = squared_distance(F.col("x"), F.col("y"), cx, cy)
+    return F.struct(d2.alias("d2"), ord_.alias("ord"))
 
 
 def _to_centers(points: DataFrame, centers: DataFrame, k: int) -> DataFrame:
-    """``points`` with ``near``; the centers reach the tasks as constants, so no point moves."""
+    """``points`` with ``near``, the struct ``(d2, ord)`` of the nearest center, ties by order.
+
+    The centers reach the tasks as constants, so no point moves: written into
+    the expression while they are few, else as the array of a scalar subquery.
+    """
     if k <= INLINE_CENTERS:
-        near = _nearest(centers.orderBy("ord").collect())
-    else:
-        near = _nearest(stage(centers))
-    return points.withColumn("near", near)
+        chosen = centers.orderBy("ord").collect()
+        each = F.array(*[_measure(F.lit(c["x"]), F.lit(c["y"]), F.lit(c["ord"])) for c in chosen])
+        return points.withColumn("near", F.array_min(each))
+    every = stage(centers).agg(F.collect_list(F.struct("x", "y", "ord"))).scalar()
+    each = F.transform("centers", lambda c: _measure(c["x"], c["y"], c["ord"]))
+    return points.withColumn("centers", every).withColumn("near", F.array_min(each)).drop("centers")
 
 
 def kcenter_assignment(points: DataFrame, centers: DataFrame, k: int) -> DataFrame:

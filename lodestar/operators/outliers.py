@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import cell_side, check_at_least, check_positive, squared_distance
-from ..plans.skew import HOT_FLOOR, hot_limit, in_keys, join_sized
+from ..plans.skew import BROADCAST_ROWS, HOT_FLOOR, in_keys, join_sized
 from ..plans.stage import stage
 from .grid import adjacent, cell_sizes, neighbourhood, with_cell
 
@@ -34,15 +34,19 @@ def _compare_points(points: DataFrame, pairs: DataFrame, distance: float) -> Dat
     ``points`` are ``(ci, cj, x, y, w)`` with distinct coordinates, ``pairs`` are
     ``(i, j, ci, cj)``.
     """
-    mine = points.select(F.col("ci").alias("i"), F.col("cj").alias("j"), "x", "y")
+    # Both sides keep the weight, so that they can read the same exchange.
+    mine = points.select(
+        F.col("ci").alias("i"), F.col("cj").alias("j"), "x", "y", F.col("w").alias("own_w")
+    )
     theirs = points.select("ci", "cj", F.col("x").alias("ox"), F.col("y").alias("oy"), "w")
     return (
         pairs.select("i", "j", "ci", "cj")
         .join(mine, ["i", "j"])
         .join(theirs, ["ci", "cj"])
         .where(_within(distance))
-        .groupBy("x", "y")
+        .groupBy("x", "y", "own_w")
         .agg(F.sum("w").alias("part"))
+        .select("x", "y", "part")
     )
 
 
@@ -120,6 +124,12 @@ def _refined_parts(
         open_pairs = open_pairs.where(~F.col("inside"))
 
 
+def _in_cells(
+    rows: DataFrame, wanted: DataFrame, n: int, cells: DataFrame, total: int, floor: int
+) -> DataFrame:
+    return in_keys(rows, wanted, ["i", "j"], "size", n, cells, total, floor)
+
+
 def _balls(
     points: DataFrame,
     distance: float,
@@ -142,30 +152,32 @@ def _balls(
         F.count_if(is_wanted),
     ).first()
 
-    others = cells.select(F.col("i").alias("ci"), F.col("j").alias("cj"))
+    others = cells.select(
+        F.col("i").alias("ci"), F.col("j").alias("cj"), F.col("size").alias("other_size")
+    )
+    apart = (F.abs(F.col("ci") - F.col("i")) > 1) | (F.abs(F.col("cj") - F.col("j")) > 1)
     pairs = (
         adjacent(wanted.select("i", "j"), others)
-        .where(
-            (F.abs(F.col("ci") - F.col("i")) > 1) | (F.abs(F.col("cj") - F.col("j")) > 1)
-        )
-        .select("i", "j", "ci", "cj")
+        .where(apart)
+        .select("i", "j", "ci", "cj", "other_size")
     )
     celled = with_cell(points, distance)
     candidates = celled
     if m is not None:
         pairs = stage(pairs)
-        # A wanted cell holds at most m points, so no hot cell is lost here.
-        hot = cells.where(F.col("size") > max(m, hot_limit(total, floor)))
-        candidates = in_keys(celled, wanted, ["i", "j"], n_wanted, hot)
         involved = (
-            pairs.select(F.col("ci").alias("i"), F.col("cj").alias("j"))
-            .union(wanted.select("i", "j"))
+            pairs.select(F.col("ci").alias("i"), F.col("cj").alias("j"), F.col("other_size").alias("size"))
+            .union(wanted.select("i", "j", "size"))
             .distinct()
         )
-        celled = in_keys(celled, involved, ["i", "j"], min(49 * n_wanted, total))
+        n_involved = pairs.count() + n_wanted
+        if n_involved > BROADCAST_ROWS:
+            involved = stage(involved)
+            n_involved = involved.count()
+        celled = _in_cells(celled, involved, n_involved, cells, total, floor)
+        candidates = _in_cells(celled, wanted, n_wanted, cells, total, floor)
     # Copies of a point become one weighted point; the partial aggregate merges them before the shuffle.
-    merge = lambda df: df.groupBy("i", "j", "x", "y").agg(F.count("*").alias("w"))
-    weighted = merge(celled)
+    weighted = celled.groupBy("i", "j", "x", "y").agg(F.count("*").alias("w"))
 
     if fullest * fullest <= budget:
         compared = weighted.withColumnsRenamed({"i": "ci", "j": "cj"})
@@ -176,9 +188,12 @@ def _balls(
     further = reduce(DataFrame.unionByName, parts)
     if len(parts) > 1:
         further = further.groupBy("x", "y").agg(F.sum("part").alias("part"))
+    asked = weighted
+    if m is not None:
+        asked = _in_cells(weighted, wanted, n_wanted, cells, total, floor)
     certain = wanted.select("i", "j", "n3", "size")
     balls = (
-        join_sized(merge(candidates), certain, ["i", "j"], "size", total, floor)
+        join_sized(asked, certain, ["i", "j"], "size", total, floor)
         .join(further, ["x", "y"], "left")
         .select("x", "y", "w", (F.col("n3") + F.coalesce("part", F.lit(0))).alias("ball"))
     )

@@ -26,7 +26,7 @@ from ..functions import (
     stream_bin,
 )
 from ..plans.skew import BROADCAST_ROWS, HOT_FLOOR, join_sized
-from ..plans.stage import stage
+from ..plans.stage import empty, stage
 from .frequent import first_n, mark, processed, true_frequent
 
 EMPTY_STATE = "item bigint, est bigint"
@@ -67,7 +67,8 @@ def advance(
         _by_bin(wins, F.col("first_win"), "first_wins").join(state, "item", "full_outer")
     )
     firsts = tracked.select("item", "first_wins")
-    if tracked.count() <= broadcast_rows:
+    # No more items are tracked than have been seen.
+    if n_before + n_items <= broadcast_rows or tracked.count() <= broadcast_rows:
         followed = binned.join(F.broadcast(firsts), "item")
     else:
         sizes = binned.groupBy("item").agg(F.count("*").alias("size"))
@@ -108,9 +109,9 @@ def sticky_table(
     """``(item, est)`` after the first ``n`` items."""
     check_frequent_params(phi, epsilon, delta)
     rate = sticky_rate(phi, epsilon, delta)
-    empty = items.sparkSession.createDataFrame([], EMPTY_STATE)
+    start = empty(items.sparkSession, EMPTY_STATE)
     used = first_n(items, n)
-    return advance(used, empty, 0, 0, processed(items, n), rate, seed, **limits)[0]
+    return advance(used, start, 0, 0, processed(items, n), rate, seed, **limits)[0]
 
 
 def sticky_frequent(table: DataFrame, phi: float, epsilon: float, n_processed: int) -> DataFrame:

@@ -1,5 +1,5 @@
 from .position import with_position
 from .skew import in_keys, join_sized
-from .stage import fresh_dir, spread, stage
+from .stage import empty, fresh_dir, spread, stage
 
-__all__ = ["fresh_dir", "in_keys", "join_sized", "spread", "stage", "with_position"]
+__all__ = ["empty", "fresh_dir", "in_keys", "join_sized", "spread", "stage", "with_position"]

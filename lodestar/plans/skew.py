@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 MAX_HOT_KEYS = 10_000
 # Below this many rows no key is worth treating as hot.
 HOT_FLOOR = 1_000_000
-# Keyed tables of at most this many rows (a few bytes to a few hundred each) are broadcast.
-BROADCAST_ROWS = 100_000
+# Keyed tables of at most this many rows (of some tens or hundreds of bytes) are broadcast.
+BROADCAST_ROWS = 200_000
 
 
 def hot_limit(total_rows: int, floor: int = HOT_FLOOR) -> int:
@@ -47,18 +47,26 @@ def in_keys(
     rows: DataFrame,
     keys: DataFrame,
     on: Sequence[str],
+    size: str,
     n_keys: int,
-    hot_others: DataFrame | None = None,
+    all_keys: DataFrame,
+    total_rows: int,
+    floor: int = HOT_FLOOR,
 ) -> DataFrame:
-    """Rows whose key is in ``keys`` (distinct).
+    """Rows whose key is among ``keys``, a part of ``all_keys`` (both one row per key, with ``size``).
 
-    ``n_keys`` is an upper bound on its rows: within ``BROADCAST_ROWS`` no row is
-    shuffled. Beyond, rows of ``hot_others`` (at most ``MAX_HOT_KEYS`` hot keys
-    known to be outside ``keys``) are dropped before the shuffle.
+    ``n_keys`` bounds the rows of ``keys``: within ``BROADCAST_ROWS`` no row is
+    moved. Beyond, rows are shuffled by key, but those of hot keys, wanted or
+    not, never are.
     """
     on = list(on)
+    wanted = keys.select(*on)
     if n_keys <= BROADCAST_ROWS:
-        return rows.join(F.broadcast(keys.select(*on)), on, "left_semi")
-    if hot_others is not None:
-        rows = rows.join(F.broadcast(hot_others.select(*on)), on, "left_anti")
-    return rows.join(keys.select(*on), on, "left_semi")
+        return rows.join(F.broadcast(wanted), on, "left_semi")
+    limit = hot_limit(total_rows, floor)
+    if total_rows <= limit:
+        return rows.join(wanted, on, "left_semi")
+    hot = F.broadcast(keys.where(F.col(size) > limit).select(*on))
+    any_hot = F.broadcast(all_keys.where(F.col(size) > limit).select(*on))
+    rest = rows.join(any_hot, on, "left_anti").join(wanted, on, "left_semi")
+    return rows.join(hot, on, "left_semi").unionByName(rest)

@@ -1,4 +1,7 @@
-"""Durable intermediate results in the shared folder of the cluster."""
+"""Intermediate tables in the shared folder of the cluster.
+
+They stay there, like checkpoints, until the folder of the application is dropped.
+"""
 
 from __future__ import annotations
 
@@ -6,6 +9,8 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def _checkpoint_dir(spark: SparkSession) -> str:
@@ -23,9 +28,14 @@ def _checkpoint_dir(spark: SparkSession) -> str:
 
 
 def stage(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once and cut its lineage; survives the loss of executors."""
-    _checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    """Compute ``df`` once into a table of the shared folder and read it from there.
+
+    This cuts the lineage and survives the loss of executors; being columnar, the
+    table is read by the columns a plan needs, and its size is known to the planner.
+    """
+    path = fresh_dir(df.sparkSession, "stage")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def fresh_dir(spark: SparkSession, label: str) -> str:
@@ -40,3 +50,9 @@ def spread(scan: DataFrame) -> DataFrame:
     """
     cores = scan.sparkSession.sparkContext.defaultParallelism
     return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
+
+
+def empty(spark: SparkSession, schema: str) -> DataFrame:
+    """No rows of the schema, known to be empty when the plan is made."""
+    fields = StructType.fromDDL(schema).fields
+    return spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in fields])

@@ -51,7 +51,7 @@ class SizedStream:
             try:
                 n = batch.count()
                 if n > 0:
-                    size = spark.range(1).select(
+                    size = spark.range(0, 1, 1, 1).select(
                         F.lit(n).cast("bigint").alias("n"), F.current_timestamp().alias("at")
                     )
                     self.items.save(batch.distinct(), batch_id)

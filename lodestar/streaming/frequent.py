@@ -20,6 +20,7 @@ from ..operators.report import frequent_report
 from ..operators.reservoir import smallest_ranks
 from ..operators.sticky import EMPTY_STATE, advance, sticky_frequent
 from ..plans.position import with_position
+from ..plans.stage import empty
 from .runner import start
 from .store import BatchTable, Progress, SlotTable
 
@@ -100,7 +101,7 @@ class FrequentStream:
         total, last_bin = before["total"], before["last_bin"]
         ended = self.n is not None and total >= self.n
         if ended:
-            items = spark.createDataFrame([], "t bigint, item bigint")
+            items = empty(spark, "t bigint, item bigint")
         else:
             items = first_n(self._positioned(batch, total), self.n)
         items = items.persist()

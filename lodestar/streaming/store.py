@@ -10,6 +10,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.stage import empty
+
 
 class BatchTable:
     """Rows added by each batch, in one folder for each batch id."""
@@ -29,7 +31,7 @@ class BatchTable:
         except AnalysisException as error:
             if error.getCondition() != "PATH_NOT_FOUND":
                 raise
-            return spark.createDataFrame([], schema)
+            return empty(spark, schema)
 
 
 class SlotTable:
@@ -53,7 +55,7 @@ class SlotTable:
     def after(self, spark: SparkSession, batch_id: int) -> DataFrame:
         """State after ``batch_id``; empty before the first batch."""
         if batch_id < 0:
-            return spark.createDataFrame([], self.schema)
+            return empty(spark, self.schema)
         return spark.read.schema(self.schema).parquet(self._folder(batch_id))
 
 
@@ -69,8 +71,11 @@ class Progress:
         self.table = SlotTable(path, ", ".join(f"{name} bigint" for name in self.columns))
 
     def save(self, spark: SparkSession, batch_id: int, **values: int) -> None:
-        row = [(batch_id, *[values[name] for name in self.start])]
-        self.table.save(spark.createDataFrame(row, self.table.schema).coalesce(1), batch_id)
+        values = {"batch_id": batch_id, **values}
+        row = spark.range(0, 1, 1, 1).select(
+            *[F.lit(values[name]).cast("bigint").alias(name) for name in self.columns]
+        )
+        self.table.save(row, batch_id)
 
     def after(self, spark: SparkSession, batch_id: int) -> Row:
         if batch_id < 0:

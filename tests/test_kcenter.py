@@ -19,12 +19,12 @@ from lodestar.operators import grid, kcenter, outliers
         (N15, 4, [(0.4, 0.9), (4.32, 4.3), (1.11, 5.1), (1.51, 3.2)], 1.171367),
     ],
 )
-@pytest.mark.parametrize("part_rows", [2_000_000, 1])
-def test_golden(spark, points, k, centers, radius, part_rows):
+def test_golden(spark, points, k, centers, radius):
     df = points_frame(spark, points)
-    got = kcenter.kcenter_centers(df, k, 1, part_rows).orderBy("ord").collect()
+    chosen = kcenter.kcenter_centers(df, k, 1)
+    got = chosen.orderBy("ord").collect()
     assert [(r["x"], r["y"]) for r in got] == [pytest.approx(c, abs=1e-6) for c in centers]
-    assert kcenter.kcenter_radius(df, k, 1, part_rows).first()[0] == pytest.approx(radius, abs=1e-5)
+    assert kcenter.cluster_radius(df, chosen, k).first()[0] == pytest.approx(radius, abs=1e-5)
 
 
 def sequential(points, k):
@@ -61,8 +61,8 @@ def test_few_distinct_points(spark):
     df = points_frame(spark, [(0, 0), (0, 0), (5, 0), (0, 0), (5, 0), (5, 0)])
     for part_rows in (2_000_000, 1):
         assert kcenter.kcenter_coreset(df, 6, 1, part_rows).count() == 2
-        assert kcenter.kcenter_coreset(df, 6, 8, part_rows).count() == 6
-        assert kcenter.kcenter_radius(df, 2, 1, part_rows).first()[0] == 0
+    assert kcenter.kcenter_coreset(df, 6, 8).count() == 6
+    assert kcenter.kcenter_radius(df, 2, 1).first()[0] == 0
 
 
 @pytest.mark.parametrize("inline", [64, 0])

@@ -7,8 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import cell_side, check_at_least, check_positive, squared_distance
-from ..plans.skew import BROADCAST_ROWS, HOT_FLOOR, in_keys, join_sized
+from ..functions import cell_index, cell_side, check_at_least, check_positive, squared_distance
+from ..plans.skew import BROADCAST_ROWS, HOT_FLOOR, drop_hot, in_keys, join_sized
 from ..plans.stage import stage
 from .grid import adjacent, cell_sizes, neighbourhood, with_cell
 
@@ -50,6 +50,46 @@ def _compare_points(points: DataFrame, pairs: DataFrame, distance: float) -> Dat
     )
 
 
+def _located(points: DataFrame, distance: float, level: int) -> DataFrame:
+    """``points`` with their cell ``(ci, cj)`` after ``level`` halvings of the side."""
+    side = cell_side(distance) / 2**level
+    return points.select(
+        cell_index(F.col("x"), side).alias("ci"), cell_index(F.col("y"), side).alias("cj"), "x", "y", "w"
+    )
+
+
+def _contents(located: DataFrame) -> DataFrame:
+    return located.groupBy("ci", "cj").agg(F.count("*").alias("n"), F.sum("w").alias("w"))
+
+
+def _as_own(cells: DataFrame) -> DataFrame:
+    return cells.select(
+        F.col("ci").alias("i"), F.col("cj").alias("j"), F.col("n").alias("own_n")
+    )
+
+
+def _split(crowded: DataFrame, cells: DataFrame, level: int) -> DataFrame:
+    """The pairs of quarter cells (``cells``, of ``level``) of the ``crowded`` pairs, but for those
+    wholly beyond the distance; ``inside`` tells the pairs wholly within it.
+    """
+    parent = lambda name: F.shiftright(F.col(name), 1)
+    own = _as_own(cells).withColumns({"pi": parent("i"), "pj": parent("j")})
+    other = cells.withColumns({"pci": parent("ci"), "pcj": parent("cj")})
+    pairs = (
+        crowded.select("i", "j", "ci", "cj")
+        .toDF("pi", "pj", "pci", "pcj")
+        .join(own, ["pi", "pj"])
+        .join(other, ["pci", "pcj"])
+        .select("i", "j", "own_n", "ci", "cj", "n", "w")
+    )
+    di, dj = F.abs(F.col("ci") - F.col("i")), F.abs(F.col("cj") - F.col("j"))
+    gap_i, gap_j = F.greatest(di - 1, F.lit(0)), F.greatest(dj - 1, F.lit(0))
+    reach = F.lit(8 * 4**level).cast("bigint")  # squared distance in units of the side
+    return pairs.where(gap_i * gap_i + gap_j * gap_j <= reach).withColumn(
+        "inside", (di + 1) * (di + 1) + (dj + 1) * (dj + 1) < reach
+    )
+
+
 def _refined_parts(
     points: DataFrame, pairs: DataFrame, distance: float, budget: int, total: int, floor: int
 ) -> list[DataFrame]:
@@ -58,70 +98,50 @@ def _refined_parts(
     Pairs of cells over the budget are replaced by the pairs of their quarter
     cells. A pair of quarters wholly within the distance adds the other cell's
     weight, a pair wholly beyond it is dropped, and the rest go to the next
-    level. A cell meets only the cells on the rim of its ball, and identical
-    points never split, being one weighted point. No step lists the pairs of a
-    full cell.
+    level with the points of their cells. A cell meets only the cells on the rim
+    of its ball, and identical points never split, being one weighted point. No
+    step lists the pairs of a full cell.
     """
-    side = cell_side(distance)
-    depth_cell = lambda level: [
-        F.floor(F.col(axis) / F.lit(side / 2**level)).cast("bigint").alias(name)
-        for axis, name in (("x", "ci"), ("y", "cj"))
-    ]
-    at_level = lambda level: points.select(*depth_cell(level), "x", "y", "w")
-    cells_at = lambda level: at_level(level).groupBy("ci", "cj").agg(
-        F.count("*").alias("n"), F.sum("w").alias("w")
-    )
-    own = lambda cells: cells.select(
-        F.col("ci").alias("i"), F.col("cj").alias("j"), F.col("n").alias("own_n")
-    )
-    parent = lambda name: F.shiftright(F.col(name), 1)
-
     parts = []
-    cells = cells_at(0)
+    level = 0
+    located = _located(points, distance, level)
+    cells = stage(_contents(located))
     open_pairs = stage(
-        pairs.select("i", "j", "ci", "cj").join(own(cells), ["i", "j"]).join(cells, ["ci", "cj"])
+        pairs.select("i", "j", "ci", "cj").join(_as_own(cells), ["i", "j"]).join(cells, ["ci", "cj"])
     )
-    level = 0
     while True:
         full = F.col("own_n") * F.col("n") > budget
-        last = level == MAX_DEPTH or open_pairs.where(full).isEmpty()
-        ready = open_pairs if last else open_pairs.where(~full)
-        parts.append(_compare_points(at_level(level), ready, distance))
-        if last:
+        n_full = open_pairs.where(full).count() if level < MAX_DEPTH else 0
+        if n_full == 0:
+            parts.append(_compare_points(located, open_pairs, distance))
             return parts
+        few = drop_hot(located, cells, ["ci", "cj"], "n", total, max(floor, budget))
+        parts.append(_compare_points(few, open_pairs.where(~full), distance))
 
-        level += 1
-        cells = stage(cells_at(level))
-        quarters_own = own(cells).withColumns({"pi": parent("i"), "pj": parent("j")})
-        quarters = cells.withColumns({"pci": parent("ci"), "pcj": parent("cj")})
-        split = (
-            open_pairs.where(full)
-            .select(
-                F.col("i").alias("pi"),
-                F.col("j").alias("pj"),
-                F.col("ci").alias("pci"),
-                F.col("cj").alias("pcj"),
-            )
-            .join(quarters_own, ["pi", "pj"])
-            .join(quarters, ["pci", "pcj"])
-            .drop("pi", "pj", "pci", "pcj")
+        crowded = open_pairs.where(full)
+        active = (
+            crowded.select("ci", "cj", "n")
+            .union(crowded.select("i", "j", "own_n"))
+            .distinct()
         )
-        di, dj = F.abs(F.col("ci") - F.col("i")), F.abs(F.col("cj") - F.col("j"))
-        gap_i, gap_j = F.greatest(di - 1, F.lit(0)), F.greatest(dj - 1, F.lit(0))
-        reach = F.lit(8 * 4**level).cast("bigint")  # D^2 in units of this level's side
-        inside = (di + 1) * (di + 1) + (dj + 1) * (dj + 1) < reach
-        beyond = gap_i * gap_i + gap_j * gap_j > reach
-        open_pairs = stage(split.where(~beyond).withColumn("inside", inside))
+        points = in_keys(located, active, ["ci", "cj"], "n", 2 * n_full, cells, total, floor)
+        points = stage(points.select("x", "y", "w"))
+        level += 1
+        located = _located(points, distance, level)
+        cells = stage(_contents(located))
+        met = stage(_split(crowded, cells, level))
         covered = (
-            open_pairs.where("inside")
+            met.where("inside")
             .groupBy("i", "j")
             .agg(F.sum("w").alias("part"), F.max("own_n").alias("own_n"))
         )
-        placed = at_level(level).withColumnsRenamed({"ci": "i", "cj": "j"})
+        own_points = located.withColumnsRenamed({"ci": "i", "cj": "j"})
         parts.append(
-            join_sized(placed, covered, ["i", "j"], "own_n", total, floor).select("x", "y", "part")
+            join_sized(own_points, covered, ["i", "j"], "own_n", total, floor).select(
+                "x", "y", "part"
+            )
         )
-        open_pairs = open_pairs.where(~F.col("inside"))
+        open_pairs = met.where(~F.col("inside"))
 
 
 def _in_cells(

@@ -43,6 +43,22 @@ def join_sized(
     return rows.join(hot, on).unionByName(rest.join(cold, on))
 
 
+def drop_hot(
+    rows: DataFrame,
+    all_keys: DataFrame,
+    on: Sequence[str],
+    size: str,
+    total_rows: int,
+    floor: int = HOT_FLOOR,
+) -> DataFrame:
+    """Rows without those of hot keys, for joins that are known to want none of these."""
+    limit = hot_limit(total_rows, floor)
+    if total_rows <= limit:
+        return rows
+    hot = F.broadcast(all_keys.where(F.col(size) > limit).select(*on))
+    return rows.join(hot, list(on), "left_anti")
+
+
 def in_keys(
     rows: DataFrame,
     keys: DataFrame,
@@ -67,6 +83,5 @@ def in_keys(
     if total_rows <= limit:
         return rows.join(wanted, on, "left_semi")
     hot = F.broadcast(keys.where(F.col(size) > limit).select(*on))
-    any_hot = F.broadcast(all_keys.where(F.col(size) > limit).select(*on))
-    rest = rows.join(any_hot, on, "left_anti").join(wanted, on, "left_semi")
+    rest = drop_hot(rows, all_keys, on, size, total_rows, floor).join(wanted, on, "left_semi")
     return rows.join(hot, on, "left_semi").unionByName(rest)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import cell_index, cell_side, check_at_least, check_positive
 
 # Cells are matched inside square tiles of 2^TILE_BITS cells a side.
-TILE_BITS = 3
+TILE_BITS = 2
 REACH = 3
 
 
@@ -33,9 +33,10 @@ def adjacent(cells: DataFrame, others: DataFrame) -> DataFrame:
     """Each of ``cells`` beside each of ``others`` at most three rows and columns away.
 
     ``others`` ``(ci, cj, ...)`` are sent to every tile they reach, so that both
-    sides meet in an equi-join on the tile. A tile meets at most 14x14 of
+    sides meet in an equi-join on the tile. A tile meets at most 10x10 of
     ``others`` whatever the points are. The join keys ``_ti, _tj`` are kept: an
-    aggregation on them and the cell needs no further shuffle.
+    aggregation on them and the cell needs no further shuffle. A merge join
+    reads both sides tile by tile; broadcasting the copies is slower even when small.
     """
     tile = lambda c: F.shiftright(c, TILE_BITS)
     reached = lambda c: F.sequence(tile(c - REACH), tile(c + REACH))
@@ -44,7 +45,7 @@ def adjacent(cells: DataFrame, others: DataFrame) -> DataFrame:
         "_tj", F.explode(reached(F.col("cj")))
     )
     near = (F.abs(F.col("ci") - F.col("i")) <= REACH) & (F.abs(F.col("cj") - F.col("j")) <= REACH)
-    return own.join(halo, ["_ti", "_tj"]).where(near)
+    return own.join(halo.hint("merge"), ["_ti", "_tj"]).where(near)
 
 
 def neighbourhood(cells: DataFrame) -> DataFrame:

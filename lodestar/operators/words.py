@@ -27,14 +27,19 @@ def word_count_salted(lines: DataFrame, salts: int = 8, seed: int = 42, salt: st
 
     ``salt="map"`` draws the salt with each word, ``salt="group"`` draws it in
     the grouping key. The result is that of :func:`word_count`; the first round
-    spreads each word over ``salts`` tasks.
+    spreads each word over ``salts`` tasks. The draw is a hash of seed, line and
+    word: a task that runs again after a failure draws the same.
     """
     check_at_least(1, salts=salts)
-    draw = F.floor(F.rand(seed) * salts).cast("int").alias("salt")
+    drawn = F.pmod(F.xxhash64("line_hash", "word"), F.lit(salts)).alias("salt")
+    each = lines.select(
+        F.xxhash64(F.lit(seed), "line").alias("line_hash"),
+        F.explode(tokens(F.col("line"))).alias("word"),
+    )
     if salt == "map":
-        first = words(lines).select("word", draw).groupBy("salt", "word")
+        first = each.select("word", drawn).groupBy("salt", "word")
     elif salt == "group":
-        first = words(lines).groupBy(draw, "word")
+        first = each.groupBy(drawn, "word")
     else:
         raise ValueError(f"salt must be 'map' or 'group', got {salt!r}")
     return (

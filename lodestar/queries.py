@@ -89,7 +89,7 @@ def _stream_distinct(spark: SparkSession, sf: str) -> DataFrame:
 
 def _sized(spark: SparkSession, sf: str) -> str:
     path = fresh_dir(spark, "sizes")
-    sizes.run_sizes(_item_stream(spark, sf), path).awaitTermination()
+    sizes.SizedStream(path).start(_item_stream(spark, sf)).awaitTermination()
     return path
 
 

@@ -1,4 +1,10 @@
-from .distinct import batch_sizes, distinct_report, run_distinct, run_sizes
+from .distinct import (
+    SizedStream,
+    batch_sizes,
+    distinct_report,
+    distinct_rows,
+    run_distinct,
+)
 from .frequent import (
     FrequentStream,
     item_freq_rows,
@@ -9,13 +15,14 @@ from .runner import replay, start
 
 __all__ = [
     "FrequentStream",
+    "SizedStream",
     "batch_sizes",
     "distinct_report",
+    "distinct_rows",
     "item_freq_rows",
     "replay",
     "run_distinct",
     "run_item_freq",
-    "run_sizes",
     "start",
     "stream_item_freq",
 ]

@@ -42,6 +42,11 @@ class SizedStream:
         self.sizes = BatchTable(f"{path}/sizes", "n bigint, at timestamp")
         self.items = BatchTable(f"{path}/items", "item bigint")
         self.progress = Progress(f"{path}/progress", {"total": 0})
+        self.total: int | None = None
+
+    def start(self, stream: DataFrame, every: str | None = None) -> StreamingQuery:
+        self.total = None
+        return start(stream, self.on_batch, f"{self.path}/checkpoint-sizes", every=every)
 
     def on_batch(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
@@ -60,18 +65,13 @@ class SizedStream:
                 batch.unpersist()
             total += n
         self.progress.save(spark, batch_id, total=total)
+        self.total = total
 
     def done(self, spark: SparkSession) -> bool:
         """Whether the threshold is reached, for a caller that stops a live query."""
-        total = self.progress.latest(spark)["total"]
-        return self.threshold is not None and total >= self.threshold
-
-
-def run_sizes(
-    stream: DataFrame, path: str, threshold: int | None = None, every: str | None = None
-) -> StreamingQuery:
-    sized = SizedStream(path, threshold)
-    return start(stream, sized.on_batch, f"{path}/checkpoint-sizes", every=every)
+        if self.total is None:
+            self.total = self.progress.latest(spark)["total"]
+        return self.threshold is not None and self.total >= self.threshold
 
 
 def batch_sizes(spark: SparkSession, path: str) -> DataFrame:

@@ -86,8 +86,10 @@ class FrequentStream:
         self.sample = SlotTable(f"{path}/reservoir", "key bigint, t bigint, item bigint")
         self.table = SlotTable(f"{path}/sticky", EMPTY_STATE)
         self.progress = Progress(f"{path}/progress", {"total": 0, "last_bin": 0})
+        self.total: int | None = None
 
     def start(self, stream: DataFrame, every: str | None = None) -> StreamingQuery:
+        self.total = None
         return start(stream, self.on_batch, f"{self.path}/checkpoint", every=every)
 
     def _positioned(self, batch: DataFrame, total: int) -> DataFrame:
@@ -129,9 +131,13 @@ class FrequentStream:
         finally:
             items.unpersist()
         self.progress.save(spark, batch_id, total=total + n_items, last_bin=last_bin)
+        self.total = total + n_items
 
     def n_processed(self, spark: SparkSession) -> int:
-        return self.progress.latest(spark)["total"]
+        """Items of the finished batches; may be asked while the query runs in this process."""
+        if self.total is None:
+            self.total = self.progress.latest(spark)["total"]
+        return self.total
 
     def done(self, spark: SparkSession) -> bool:
         """Whether ``n`` items are processed, for a caller that stops a live query."""

@@ -7,16 +7,16 @@ from lodestar.operators import frequent
 from lodestar.sources import items_from, items_from_lines, read_item_stream
 from lodestar.streaming import (
     FrequentStream,
+    SizedStream,
     batch_sizes,
     distinct_report,
+    distinct_rows,
     item_freq_rows,
     replay,
     run_distinct,
     run_item_freq,
-    run_sizes,
     stream_item_freq,
 )
-from lodestar.streaming.distinct import SizedStream, distinct_rows
 
 SPLIT = [1500, 1, 2200, 299, 2000]
 
@@ -182,7 +182,8 @@ def test_distinct_items(spark, files, stream, tmp_path):
 )
 def test_stop_after_threshold(spark, files, stream, tmp_path, threshold, batches):
     """The batch that crosses the threshold counts as a whole, later ones not at all."""
-    run(run_sizes(open_stream(spark, files), str(tmp_path), threshold))
+    sized = SizedStream(str(tmp_path), threshold)
+    run(sized.start(open_stream(spark, files)))
     sizes = rows(batch_sizes(spark, str(tmp_path)).select("batch_id", "n"))
     assert sizes == list(enumerate(SPLIT[:batches]))
     used = stream[: sum(SPLIT[:batches])]
@@ -191,8 +192,8 @@ def test_stop_after_threshold(spark, files, stream, tmp_path, threshold, batches
         "n_distinct": len(set(used)),
         "largest": max(used),
     }
-    sized = SizedStream(str(tmp_path), threshold)
-    assert sized.done(spark) == (threshold is not None and len(used) >= threshold)
+    done = threshold is not None and len(used) >= threshold
+    assert sized.done(spark) == SizedStream(str(tmp_path), threshold).done(spark) == done
 
 
 def test_live_query_is_stopped(spark, files, stream, tmp_path):

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -43,18 +43,23 @@ def _farthest_first(k: int):
     return traverse
 
 
-def _farthest_by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _farthest_by_part():
     """The farthest point of each part within a task, ties by lowest id."""
-    best = None
-    for batch in batches:
-        table = pa.Table.from_batches([batch] if best is None else [batch, best])
-        order = np.lexsort((table["id"], -table["d2"].to_numpy(), table["part"]))
-        part = table["part"].to_numpy()[order]
-        first = np.append(True, part[1:] != part[:-1])[: len(part)]
-        best = table.take(order[first]).combine_chunks().to_batches()
-        best = best[0] if best else None
-    if best is not None:
-        yield best
+
+    def reduce_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch] if best is None else [batch, best])
+            if table.num_rows == 0:
+                continue
+            order = np.lexsort((table["id"], -table["d2"].to_numpy(), table["part"]))
+            part = table["part"].to_numpy()[order]
+            first = np.append(True, part[1:] != part[:-1])
+            best = table.take(order[first]).combine_chunks().to_batches()[0]
+        if best is not None:
+            yield best
+
+    return reduce_task
 
 
 def _traverse_in_rounds(parted: DataFrame, k: int, n_parts: int) -> DataFrame:
@@ -81,7 +86,7 @@ def _traverse_in_rounds(parted: DataFrame, k: int, n_parts: int) -> DataFrame:
         best = F.max(F.struct("d2", (-F.col("id")).alias("neg"), "x", "y")).alias("best")
         found = (
             measured.where(F.col("d2") > 0)
-            .mapInArrow(_farthest_by_part, measured.schema)
+            .mapInArrow(_farthest_by_part(), measured.schema)
             .groupBy("part")
             .agg(best)
             .select(
@@ -124,38 +129,43 @@ def kcenter_centers(points: DataFrame, k: int, parts: int, part_rows: int = PART
     return _traverse(one_part, k, k * parts, 1, part_rows).drop("part")
 
 
-def _measure(cx: Column, cy: Column, ord_: Column) -> Column:
-    d2 = squared_distance(F.col("x"), F.col("y"), cx, cy)
-    return F.struct(d2.alias("d2"), ord_.alias("ord"))
+def _distance_to(x: Column, y: Column, ord_: Column) -> Column:
+    return squared_distance(F.col("x"), F.col("y"), x, y)
+
+
+def _distance_and_order(x: Column, y: Column, ord_: Column) -> Column:
+    return F.struct(_distance_to(x, y, ord_).alias("d2"), ord_.alias("ord"))
 
 
-def _to_centers(points: DataFrame, centers: DataFrame, k: int) -> DataFrame:
-    """``points`` with ``near``, the struct ``(d2, ord)`` of the nearest center, ties by order.
+def _with_least(
+    points: DataFrame, centers: DataFrame, k: int, measure: Callable[..., Column]
+) -> DataFrame:
+    """``points`` with ``near``, the least ``measure`` over the centers.
 
     The centers reach the tasks as constants, so no point moves: written into
     the expression while they are few, else as the array of a scalar subquery.
     """
+    check_at_least(1, k=k)
     if k <= INLINE_CENTERS:
         chosen = centers.orderBy("ord").collect()
-        each = F.array(*[_measure(F.lit(c["x"]), F.lit(c["y"]), F.lit(c["ord"])) for c in chosen])
+        each = F.array(*[measure(F.lit(c["x"]), F.lit(c["y"]), F.lit(c["ord"])) for c in chosen])
         return points.withColumn("near", F.array_min(each))
     every = stage(centers).agg(F.collect_list(F.struct("x", "y", "ord"))).scalar()
-    each = F.transform("centers", lambda c: _measure(c["x"], c["y"], c["ord"]))
+    each = F.transform("centers", lambda c: measure(c["x"], c["y"], c["ord"]))
     return points.withColumn("centers", every).withColumn("near", F.array_min(each)).drop("centers")
 
 
 def kcenter_assignment(points: DataFrame, centers: DataFrame, k: int) -> DataFrame:
-    """``(id, center, d2)``: the nearest of the ``k`` centers and its squared distance."""
-    check_at_least(1, k=k)
-    return _to_centers(points, centers, k).select(
+    """``(id, center, d2)``: the nearest of the ``k`` centers, ties by order, and its squared distance."""
+    return _with_least(points, centers, k, _distance_and_order).select(
         "id", F.col("near.ord").alias("center"), F.col("near.d2").alias("d2")
     )
 
 
 def cluster_radius(points: DataFrame, centers: DataFrame, k: int) -> DataFrame:
     """``(radius)``: the largest distance of a point to its nearest center."""
-    check_at_least(1, k=k)
-    return _to_centers(points, centers, k).agg(F.sqrt(F.max("near.d2")).alias("radius"))
+    nearest = _with_least(points, centers, k, _distance_to)
+    return nearest.agg(F.sqrt(F.max("near")).alias("radius"))
 
 
 def kcenter_radius(points: DataFrame, k: int, parts: int, part_rows: int = PART_ROWS) -> DataFrame:

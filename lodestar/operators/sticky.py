@@ -97,6 +97,15 @@ def advance(
     return folded.where(F.col("est") > 0), new_bin
 
 
+def bin_sizes(
+    items: DataFrame, phi: float, epsilon: float, delta: float, n: int | None = None
+) -> DataFrame:
+    """``(bin, n)``: stream positions in each bin."""
+    check_frequent_params(phi, epsilon, delta)
+    bins = stream_bin(F.col("t"), sticky_rate(phi, epsilon, delta)).alias("bin")
+    return first_n(items, n).groupBy(bins).agg(F.count("*").alias("n"))
+
+
 def sticky_table(
     items: DataFrame,
     phi: float,

@@ -47,15 +47,19 @@ def _cells(side: str = _double(cell_side(q.DISTANCE)), points: str = POINTS) ->
 SUMMARY = """CAST(coalesce(sum(size) FILTER (class = 'sure'), 0) AS BIGINT) AS sure_outliers,
   CAST(coalesce(sum(size) FILTER (class = 'uncertain'), 0) AS BIGINT) AS uncertain_points"""
 
-BALLS = f"""{POINTS}, balls AS (
+
+def _balls(distance: float) -> str:
+    return f"""{POINTS}, balls AS (
   SELECT a.id, a.x, a.y, count(*) AS ball
   FROM points a JOIN points b
-    ON b.x BETWEEN a.x - {q.DISTANCE + 1} AND a.x + {q.DISTANCE + 1}
-   AND (b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y)
-       <= {_double(q.DISTANCE * q.DISTANCE)}
+    ON b.x BETWEEN a.x - {distance + 1} AND a.x + {distance + 1}
+   AND (b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y) <= {_double(distance * distance)}
   GROUP BY a.id, a.x, a.y), outliers AS (SELECT * FROM balls WHERE ball <= {q.M})"""
 
 
+BALLS = _balls(q.DISTANCE)
+
+
 def _traversal(source: str, name: str, k: int) -> str:
     """Farthest-first traversal of each part of ``source``, one step for each center."""
     steps = [f"{name}1 AS (SELECT part, 0 AS ord, id, x, y FROM {source} "
@@ -102,13 +106,17 @@ def _marked(estimates: str, columns: str) -> str:
   ELSE '-' END AS mark FROM {estimates}"""
 
 
-def _sticky(phi: float, epsilon: float) -> str:
-    """The sticky table by one step for each bin."""
+def _binned(phi: float, epsilon: float) -> str:
     rate = sticky_rate(phi, epsilon, q.DELTA)
     bounds = " + ".join(
         f"CAST(t >= {_double(2 * rate * 2.0**k)} AS INT)" for k in range(SQL_BINS)
     )
-    steps = [f"""binned AS (SELECT t, item, {bounds} AS bin FROM items),
+    return f"binned AS (SELECT t, item, {bounds} AS bin FROM items)"
+
+
+def _sticky(phi: float, epsilon: float) -> str:
+    """The sticky table by one step for each bin."""
+    steps = [f"""{_binned(phi, epsilon)},
 coins AS (
   SELECT *, {_word32(f"'{q.SEED}:coin:' || item || ':' || t")} / CAST(4294967296 AS DOUBLE)
             <= pow(CAST(0.5 AS DOUBLE), bin) AS win
@@ -181,11 +189,14 @@ ORACLE_SQL: dict[str, str] = {
     "cell_neighbourhood": f"WITH {_cells()} SELECT i, j, size, n3, n7 FROM hood",
     "cell_classes": f"WITH {_cells()} SELECT i, j, size, n3, n7, class FROM classes",
     "outlier_summary": f"WITH {_cells()} SELECT {SUMMARY} FROM classes",
+    "outlier_summary_wide": f"WITH {_cells(_double(cell_side(q.WIDE)))} SELECT {SUMMARY} FROM classes",
     "smallest_cells": f"WITH {_cells()} SELECT i, j, size FROM cells "
     f"ORDER BY size, i, j LIMIT {q.TOP}",
     "ball_counts": f"WITH {BALLS} SELECT id, ball FROM balls",
     "exact_outliers": f"WITH {BALLS} SELECT id, x, y, ball FROM outliers",
     "exact_outlier_count": f"WITH {BALLS} SELECT count(*) AS n_outliers FROM outliers",
+    "exact_outlier_count_wide": f"WITH {_balls(q.WIDE)} "
+    "SELECT count(*) AS n_outliers FROM outliers",
     "top_outliers": f"WITH {BALLS} SELECT DISTINCT x, y, ball FROM outliers "
     f"ORDER BY ball, x, y LIMIT {q.TOP}",
     "kcenter_coreset": f"WITH {CORESET} SELECT part, ord, id, x, y FROM s{q.CENTERS}",
@@ -196,6 +207,8 @@ ORACLE_SQL: dict[str, str] = {
     f"SELECT (SELECT radius FROM radius) AS radius, {SUMMARY} FROM classes",
     "item_positions": "SELECT event_id, row_number() OVER (ORDER BY ts, event_id) - 1 AS t "
     "FROM events",
+    "stream_bins": f"WITH {ITEMS}, {_binned(q.PHI, q.EPSILON)} "
+    "SELECT bin, count(*) AS n FROM binned GROUP BY bin",
     "item_freq": ITEM_FREQ,
     "distinct_items": DISTINCT,
     "distinct_item_count": f"WITH {ITEMS} SELECT count(DISTINCT item) AS n_distinct FROM items",

@@ -17,6 +17,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 # Parameters of the registered queries; the oracle SQL uses the same.
 DISTANCE = 4.0
+WIDE = 8.0
 M = 3
 TOP = 20
 CENTERS = 4
@@ -114,10 +115,12 @@ QUERIES: dict[str, Query] = {
     "cell_neighbourhood": lambda s, d: grid.cell_neighbourhood(_points(s, d), DISTANCE),
     "cell_classes": lambda s, d: grid.cell_classes(_points(s, d), DISTANCE, M),
     "outlier_summary": lambda s, d: grid.outlier_summary(_points(s, d), DISTANCE, M),
+    "outlier_summary_wide": lambda s, d: grid.outlier_summary(_points(s, d), WIDE, M),
     "smallest_cells": lambda s, d: grid.smallest_cells(_points(s, d), DISTANCE, TOP),
     "ball_counts": lambda s, d: outliers.ball_counts(_points(s, d), DISTANCE),
     "exact_outliers": lambda s, d: outliers.exact_outliers(_points(s, d), DISTANCE, M),
     "exact_outlier_count": lambda s, d: outliers.exact_outlier_count(_points(s, d), DISTANCE, M),
+    "exact_outlier_count_wide": lambda s, d: outliers.exact_outlier_count(_points(s, d), WIDE, M),
     "top_outliers": lambda s, d: outliers.top_outliers(_points(s, d), DISTANCE, M, TOP),
     # k-center
     "kcenter_coreset": lambda s, d: kcenter.kcenter_coreset(_points(s, d), CENTERS, PARTS),
@@ -129,6 +132,7 @@ QUERIES: dict[str, Query] = {
     "kcenter_outliers": lambda s, d: kcenter.kcenter_outliers(_points(s, d), CENTERS, PARTS, M),
     # Items
     "item_positions": _item_positions,
+    "stream_bins": lambda s, d: sticky.bin_sizes(_items(s, d), PHI, EPSILON, DELTA),
     "item_freq": lambda s, d: frequent.item_freq(_items(s, d)),
     "distinct_items": lambda s, d: frequent.distinct_items(_items(s, d)),
     "distinct_item_count": lambda s, d: frequent.distinct_item_count(_items(s, d)),

@@ -190,7 +190,9 @@ def _balls(
             .union(wanted.select("i", "j", "size"))
             .distinct()
         )
-        n_involved = pairs.count() + n_wanted
+        n_involved = 49 * n_wanted
+        if n_involved > BROADCAST_ROWS:
+            n_involved = pairs.count() + n_wanted
         if n_involved > BROADCAST_ROWS:
             involved = stage(involved)
             n_involved = involved.count()

@@ -13,8 +13,43 @@ from ..functions import reservoir_key, sample_size
 from .frequent import first_n, mark, true_frequent
 
 
-def smallest_ranks(ranked: DataFrame, m: int) -> DataFrame:
-    return ranked.select("key", "t", "item").orderBy("key", "t").limit(m)
+# Up to this many rows are kept in every task and merged in one.
+TASK_ROWS = 100_000
+
+
+def _bucket_of_rank(buckets: DataFrame, m: int) -> tuple[int, int]:
+    """The bucket in which the running count reaches ``m``, and the count before it.
+
+    ``buckets`` has a ``bucket`` of 16 bits for each row; rows beyond the end count as reached.
+    """
+    before = 0
+    counts = sorted(buckets.groupBy("bucket").count().collect())
+    for bucket, count in counts:
+        if before + count >= m:
+            return bucket, before
+        before += count
+    return 1 << 16, before
+
+
+def smallest_ranks(ranked: DataFrame, m: int, task_rows: int = TASK_ROWS) -> DataFrame:
+    """The ``m`` rows with the smallest ``(key, t)``.
+
+    A larger sample is found without passing through one task: counts of the
+    high and then the low 16 bits of the keys give the last key of the sample,
+    and only the rows that share it are sorted.
+    """
+    ranked = ranked.select("key", "t", "item")
+    if m <= task_rows:
+        return ranked.orderBy("key", "t").limit(m)
+    high = F.shiftright("key", 16)
+    low = F.col("key").bitwiseAND(0xFFFF)
+    first, taken = _bucket_of_rank(ranked.select(high.alias("bucket")), m)
+    edge = ranked.where(high == first)
+    second, more = _bucket_of_rank(edge.select(low.alias("bucket")), m - taken)
+    last_key = (first << 16) + second
+    missing = m - taken - more
+    ties = ranked.where(F.col("key") == last_key).orderBy("t").limit(missing)
+    return ranked.where(F.col("key") < last_key).unionByName(ties)
 
 
 def reservoir_sample(items: DataFrame, phi: float, n: int | None = None, seed: int = 42) -> DataFrame:

@@ -57,9 +57,9 @@ class FrequentStream:
     """The three summaries of the first ``n`` items of a stream.
 
     ``path`` is a folder all executors share. The stream holds ``(t, item)``
-    with dense positions in arrival order or, with ``order_by``, the item and
-    unique columns that order the rows inside a batch; positions then go on
-    from batch to batch.
+    with dense positions (in arrival order, if sticky sampling is kept) or, with
+    ``order_by``, the item and unique columns that order the rows inside a
+    batch; positions then go on from batch to batch.
     """
 
     def __init__(
@@ -109,7 +109,8 @@ class FrequentStream:
         items = items.persist()
         try:
             n_items, first, last = items.agg(F.count("*"), F.min("t"), F.max("t")).first()
-            if n_items and (first != total or last != total + n_items - 1):
+            in_order = first == total and last == total + n_items - 1
+            if "sticky" in self.keep and n_items and not in_order:
                 raise ValueError(
                     f"batch {batch_id} holds {n_items} positions from {first} to {last}, "
                     f"expected {total} to {total + n_items - 1}"

@@ -37,6 +37,10 @@ def test_query_equals_sql(spark, duck, name):
     order = [[c[0] for c in result.description].index(name) for name in columns]
     expected = sorted(tuple(row[i] for i in order) for row in result.fetchall())
     assert sorted(tuple(row) for row in df.select(*columns).collect()) == expected
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan
+    assert "NestedLoopJoin" not in plan
+    assert "props" not in plan  # only the columns in use are read
 
 
 def test_entry(spark):

@@ -6,7 +6,7 @@ import sequential
 from conftest import rows
 from pyspark.sql import functions as F
 
-from lodestar.functions import bin_of, sample_size, sticky_rate, stream_bin
+from lodestar.functions import bin_of, reservoir_key, sample_size, sticky_rate, stream_bin
 from lodestar.operators import frequent, report, reservoir, sticky
 from lodestar.operators import sticky as sticky_module
 
@@ -94,6 +94,16 @@ def test_reservoir(df, stream, n):
     assert got == marked
 
 
+@pytest.mark.parametrize("m", [1, 50, 2500, 5999, 6000, 7000])
+def test_large_samples(spark, stream, df, m):
+    """The last key of the sample is found from counts of its bits; some keys are shared."""
+    for key in (reservoir_key(42, F.col("t")), F.pmod("t", F.lit(40)) * 70000):
+        ranked = df.withColumn("key", key.cast("bigint"))
+        expected = rows(reservoir.smallest_ranks(ranked, m))
+        assert rows(reservoir.smallest_ranks(ranked, m, task_rows=0)) == expected
+        assert len(expected) == min(m, len(stream))
+
+
 @pytest.mark.parametrize("n", [None, 4321, int(2 * RATE), int(2 * RATE) + 1, int(2 * RATE) + 2, 3])
 def test_sticky(df, stream, n):
     expected = sequential.sticky(stream[:n], *PARAMS)
@@ -172,3 +182,9 @@ def test_arguments(df):
     with pytest.raises(ValueError):
         frequent.true_frequent(df, 1.0)
     assert sticky_module.EMPTY_STATE == "item bigint, est bigint"
+
+
+def test_bin_sizes(df, stream):
+    bins = [bin_of(t, RATE) for t in range(4321)]
+    got = rows(sticky.bin_sizes(df, *PARAMS, n=4321))
+    assert got == sorted((b, bins.count(b)) for b in set(bins))

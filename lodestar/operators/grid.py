@@ -16,6 +16,8 @@ from ..functions import cell_index, cell_side, check_at_least, check_positive
 # Cells are matched inside square tiles of 2^TILE_BITS cells a side.
 TILE_BITS = 2
 REACH = 3
+# Tiles a cell can reach.
+COPIES = 9
 
 
 def with_cell(points: DataFrame, distance: float) -> DataFrame:
@@ -29,23 +31,29 @@ def cell_sizes(points: DataFrame, distance: float) -> DataFrame:
     return with_cell(points, distance).groupBy("i", "j").agg(F.count("*").alias("size"))
 
 
-def adjacent(cells: DataFrame, others: DataFrame) -> DataFrame:
+def adjacent(cells: DataFrame, others: DataFrame, few: bool = False) -> DataFrame:
     """Each of ``cells`` beside each of ``others`` at most three rows and columns away.
 
-    ``others`` ``(ci, cj, ...)`` are sent to every tile they reach, so that both
-    sides meet in an equi-join on the tile. A tile meets at most 10x10 of
-    ``others`` whatever the points are. The join keys ``_ti, _tj`` are kept: an
-    aggregation on them and the cell needs no further shuffle. A merge join
-    reads both sides tile by tile; broadcasting the copies is slower even when small.
+    One side is copied to every tile it reaches (``COPIES`` at most), so that
+    both meet in an equi-join on the tile, which holds at most 10x10 of the
+    copied cells whatever the points are. In general ``others`` ``(ci, cj, ...)``
+    are copied and a merge join reads both sides tile by tile; broadcasting so
+    many copies is slower even when they are small. With ``few`` cells, these are
+    copied and broadcast, and ``others`` stay where they are. The join keys
+    ``_ti, _tj`` are kept: an aggregation on them and the cell needs no further
+    shuffle.
     """
     tile = lambda c: F.shiftright(c, TILE_BITS)
-    reached = lambda c: F.sequence(tile(c - REACH), tile(c + REACH))
-    own = cells.withColumns({"_ti": tile(F.col("i")), "_tj": tile(F.col("j"))})
-    halo = others.withColumn("_ti", F.explode(reached(F.col("ci")))).withColumn(
-        "_tj", F.explode(reached(F.col("cj")))
-    )
-    near = (F.abs(F.col("ci") - F.col("i")) <= REACH) & (F.abs(F.col("cj") - F.col("j")) <= REACH)
-    return own.join(halo.hint("merge"), ["_ti", "_tj"]).where(near)
+    reached = lambda c: F.explode(F.sequence(tile(c - REACH), tile(c + REACH)))
+    i, j, ci, cj = F.col("i"), F.col("j"), F.col("ci"), F.col("cj")
+    if few:
+        own = F.broadcast(cells.withColumn("_ti", reached(i)).withColumn("_tj", reached(j)))
+        other = others.withColumns({"_ti": tile(ci), "_tj": tile(cj)})
+    else:
+        own = cells.withColumns({"_ti": tile(i), "_tj": tile(j)})
+        other = others.withColumn("_ti", reached(ci)).withColumn("_tj", reached(cj)).hint("merge")
+    near = (F.abs(ci - i) <= REACH) & (F.abs(cj - j) <= REACH)
+    return own.join(other, ["_ti", "_tj"]).where(near)
 
 
 def neighbourhood(cells: DataFrame) -> DataFrame:

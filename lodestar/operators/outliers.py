@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import cell_index, cell_side, check_at_least, check_positive, squared_distance
 from ..plans.skew import BROADCAST_ROWS, HOT_FLOOR, drop_hot, in_keys, join_sized
 from ..plans.stage import stage
-from .grid import adjacent, cell_sizes, neighbourhood, with_cell
+from .grid import COPIES, adjacent, cell_sizes, neighbourhood, with_cell
 
 # Two cells are compared point by point up to this many pairs, else both are split.
 PAIR_BUDGET = 4096
@@ -177,7 +177,7 @@ def _balls(
     )
     apart = (F.abs(F.col("ci") - F.col("i")) > 1) | (F.abs(F.col("cj") - F.col("j")) > 1)
     pairs = (
-        adjacent(wanted.select("i", "j"), others)
+        adjacent(wanted.select("i", "j"), others, few=n_wanted * COPIES <= BROADCAST_ROWS)
         .where(apart)
         .select("i", "j", "ci", "cj", "other_size")
     )

@@ -31,14 +31,14 @@ def fold(key: Column, folds: int) -> Column:
 
 def map_rows(
     df: DataFrame,
-    schema: str,
+    schema: str | StructType,
     start: Callable[[], Callable[[dict[str, list]], dict[str, list] | pa.RecordBatch]],
 ) -> DataFrame:
     """``mapInArrow`` over columns: ``start()`` runs once per task and gives the function for each batch.
 
     The function takes and returns a dict of column lists (or numpy arrays).
     """
-    out = StructType.fromDDL(schema)
+    out = StructType.fromDDL(schema) if isinstance(schema, str) else schema
     arrow = to_arrow_schema(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

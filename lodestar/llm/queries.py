@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from .language import op10_language
+from .packing import op6_packing
 from .quality import op1_quality
 
 QUERIES = {
     "op1_quality": op1_quality,
+    "op6_packing": op6_packing,
     "op10_language": op10_language,
 }
 

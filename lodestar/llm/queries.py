@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+from .html import op2_html
 from .language import op10_language
 from .packing import op6_packing
 from .quality import op1_quality
+from .warc import OP9_SQL, op9_warc
 
 QUERIES = {
     "op1_quality": op1_quality,
+    "op2_html": op2_html,
     "op6_packing": op6_packing,
+    "op9_warc": op9_warc,
     "op10_language": op10_language,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op9_warc": OP9_SQL,
+}

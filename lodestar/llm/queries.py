@@ -3,19 +3,24 @@
 from __future__ import annotations
 
 from .html import op2_html
+from .jaccard import op3_jaccard
 from .language import op10_language
 from .packing import op6_packing
 from .quality import op1_quality
+from .rules import op7_rules
 from .warc import OP9_SQL, op9_warc
 
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_html": op2_html,
+    "op3_jaccard": op3_jaccard,
     "op6_packing": op6_packing,
+    "op7_rules": op7_rules,
     "op9_warc": op9_warc,
     "op10_language": op10_language,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op7_rules": op7_rules,
     "op9_warc": OP9_SQL,
 }

@@ -160,11 +160,12 @@ def choose_cutoffs(
     """Cutoffs by stratum and rule from the statistics ``rows`` and ``labels`` (doc_id, quality) of the holdout."""
     known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     held = rows.join(known, "doc_id").where(~base_failed())
-    # For each rule, the first cutoff of the grid that rejects the text: counts of it hold all that is needed.
-    firsts = [
-        F.struct(F.lit(name).alias("rule"), F.size(F.filter(F.array(*[F.lit(c) for c in GRIDS[name]]), lambda c, v=value: v <= c)).alias("first"))
-        for name, value in _values().items()
-    ]
+    def first(name: str, value: Column) -> Column:
+        """The first cutoff of the grid that rejects the text; counts of it hold all that is needed."""
+        passed = F.filter(F.array(*[F.lit(c) for c in GRIDS[name]]), lambda cutoff: value <= cutoff)
+        return F.struct(F.lit(name).alias("rule"), F.size(passed).alias("first"))
+
+    firsts = [first(name, value) for name, value in _values().items()]
     counts = (
         held.select("stratum", (F.col("quality") == 1).alias("good"), F.explode(F.array(*firsts)).alias("_r"))
         .groupBy("stratum", "_r.rule", "_r.first")

@@ -8,6 +8,7 @@ from .language import op10_language
 from .packing import op6_packing
 from .quality import op1_quality
 from .rules import op7_rules
+from .urls import op8_urls
 from .warc import OP9_SQL, op9_warc
 
 QUERIES = {
@@ -16,11 +17,13 @@ QUERIES = {
     "op3_jaccard": op3_jaccard,
     "op6_packing": op6_packing,
     "op7_rules": op7_rules,
+    "op8_urls": op8_urls,
     "op9_warc": op9_warc,
     "op10_language": op10_language,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op7_rules": op7_rules,
+    "op8_urls": op8_urls,
     "op9_warc": OP9_SQL,
 }

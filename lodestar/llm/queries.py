@@ -8,6 +8,7 @@ from .language import op10_language
 from .packing import op6_packing
 from .quality import op1_quality
 from .rules import op7_rules
+from .spotsigs import op4_spotsigs
 from .urls import op8_urls
 from .warc import OP9_SQL, op9_warc
 
@@ -15,6 +16,7 @@ QUERIES = {
     "op1_quality": op1_quality,
     "op2_html": op2_html,
     "op3_jaccard": op3_jaccard,
+    "op4_spotsigs": op4_spotsigs,
     "op6_packing": op6_packing,
     "op7_rules": op7_rules,
     "op8_urls": op8_urls,

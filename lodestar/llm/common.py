@@ -53,6 +53,19 @@ def map_rows(
     return df.mapInArrow(run, out)
 
 
+def keep_rows(df: DataFrame, column: str, start: Callable[[], Callable[[list], list[bool]]]) -> DataFrame:
+    """The rows, with all their columns, for whose values of ``column`` the function of ``start()`` says so."""
+    at = df.columns.index(column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        function = start()
+        for batch in batches:
+            if batch.num_rows:
+                yield batch.filter(pa.array(function(batch.column(at).to_pylist()), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def ranked(df: DataFrame, key: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
     """Add ``name``: the 0-based rank of each row among those with its ``key``, by ``order``.
 

@@ -39,6 +39,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..plans import stage
 from ..plans.skew import BROADCAST_ROWS
@@ -529,5 +530,23 @@ def classes(docs: DataFrame) -> DataFrame:
     return described.join(by_set, "sid").select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
 
 
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The documents, with all columns, less those linked to one with a smaller id.
+
+    Of rows that share an id one stays, the first by text. Documents without an id stay.
+    """
+    found = stage(classes(docs).where("doc_id IS NOT NULL"))
+    gone = stage(found.where(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct())
+    again = stage(found.where(F.col("component_id") == F.col("doc_id")).groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1").select("doc_id"))
+    few = lambda ids: F.broadcast(ids) if ids.count() <= 5 * BROADCAST_ROWS else ids
+    stay = docs.join(few(gone), "doc_id", "left_anti")
+    if again.limit(1).count():
+        repeated = few(again)
+        first = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last())
+        single = stay.join(repeated, "doc_id", "left_semi").withColumn("_row", F.row_number().over(first)).where("_row = 1").drop("_row")
+        stay = stay.join(repeated, "doc_id", "left_anti").unionByName(single)
+    return stay.select(*docs.columns)
+
+
 def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes(table(spark, sf_dir, "documents"))

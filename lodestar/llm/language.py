@@ -22,12 +22,14 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold, map_rows, table
+from .common import fold, keep_rows, map_rows, table
 
 #: Documents the machines are fitted on at most, shared evenly by the languages.
 MAX_FIT_ROWS = 6_000
 DIMENSIONS = 2048
 UNKNOWN = "und"
+#: Documents below this score have no language that could be relied on.
+LEAST_SCORE = 0.2
 
 # Families of ISO 639-1 codes; a language that is not listed is a family of its own.
 FAMILIES = {
@@ -185,5 +187,16 @@ def identify(docs: DataFrame, max_rows: int = MAX_FIT_ROWS) -> DataFrame:
     return predict(docs, model).select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "lang_pred", "score")
 
 
+def identified(docs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
+    """The documents, with all columns, whose language is found with a score of ``least`` or more."""
+    model = learn(docs.where(fold(F.col("doc_id"), 5) != 0))
+
+    def sure(text):
+        lang, score = model.predict(text)
+        return lang != UNKNOWN and score >= least
+
+    return keep_rows(docs, "text", lambda: lambda texts: [sure(t) for t in texts])
+
+
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))

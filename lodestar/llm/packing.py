@@ -223,5 +223,16 @@ def pack(cut: DataFrame, size: int = SIZE, order: Sequence[str] = ("doc_id", "st
     return map_rows(numbered, schema, start)
 
 
+def in_file_order(docs: DataFrame) -> DataFrame:
+    """Documents read from files with the columns ``_file`` and ``_line`` that tell their order there."""
+    return docs.select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_line"))
+
+
+def pack_in_file_order(docs: DataFrame) -> DataFrame:
+    """Sequences of documents read from files: of the pieces of a length, those that come first there are packed first."""
+    cut = pieces(in_file_order(docs), keep=["_file", "_line"])
+    return pack(cut, order=["_file", "_line", "start"]).drop("_file", "_line")
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(pieces(table(spark, sf_dir, "documents")))

@@ -23,8 +23,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans import stage
-from .common import fold, map_rows, table
+from .common import fold, keep_rows, map_rows, table
 
 #: Labelled rows the model is fitted on at most; more are thinned by a hash of the id.
 MAX_FIT_ROWS = 20_000
@@ -223,45 +222,31 @@ def _quadrants(g: np.ndarray, h: np.ndarray, damp: float, least: float) -> np.nd
     return step
 
 
-def with_features(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(key, x)`` for each row, computed from whole texts where they lie."""
+def learn(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_FIT_ROWS, seed: int = 1) -> AdditiveModel:
+    """Fit on the documents ``(doc_id, text)`` that have a label in ``labels`` ``(doc_id, quality)``.
 
-    def start():
-        return lambda rows: {"key": rows["key"], "x": [features(t) for t in rows["text"]]}
-
-    kind = docs.schema[key].dataType.simpleString()
-    narrow = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    return map_rows(narrow, f"key {kind}, x array<double>", start)
-
-
-def learn(rows: DataFrame, labels: DataFrame, max_rows: int = MAX_FIT_ROWS, seed: int = 1) -> AdditiveModel:
-    """Fit on ``rows`` (key, x) that have a label in ``labels`` (key, y), ``max_rows`` of them at most.
-
-    A key with several labels takes the smaller one.
+    ``max_rows`` labels, about, are drawn by a hash of the id. An id with several labels takes the smaller one.
     """
-    known = labels.where("key IS NOT NULL AND y IN (0, 1)").groupBy("key").agg(F.min("y").alias("y"))
-    total = known.count()
-    part = min(1.0, max_rows / max(1, total))
-    draw = F.pmod(F.xxhash64(F.lit(seed), "key"), F.lit(1 << 40)) < int(part * (1 << 40))
+    known = labels.where("doc_id IS NOT NULL AND quality IN (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("y"))
+    part = min(1.0, max_rows / max(1, known.count()))
     if part < 1.0:
-        known = known.where(draw)
-    sample = rows.join(known, "key").select("key", "x", "y").toPandas()
-    sample = sample.sort_values("key", kind="stable").head(2 * max_rows)
-    x = np.array(sample["x"].tolist(), dtype=np.float64).reshape(len(sample), len(FEATURES))
-    return fit(x, sample["y"].to_numpy(dtype=np.float64))
-
-
-def scored(rows: DataFrame, model: AdditiveModel) -> DataFrame:
-    """``(key, score)``: the model's tables are looked up for whole batches at once."""
+        known = known.where(F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 40)) < int(part * (1 << 40)))
 
     def start():
-        def score(batch):
-            x = np.array(batch["x"], dtype=np.float64).reshape(len(batch["key"]), len(FEATURES))
-            return {"key": batch["key"], "score": model.score(x)}
+        return lambda rows: {"doc_id": rows["doc_id"], "y": rows["y"], "x": [features(t) for t in rows["text"]]}
 
-        return score
+    # Twice the number that is wanted is never reached by chance: the broadcast is bounded.
+    drawn = docs.select("doc_id", "text").join(F.broadcast(known.limit(2 * max_rows)), "doc_id")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    sample = map_rows(drawn, f"doc_id {kind}, y int, x array<double>", start).toPandas()
+    sample = sample.sort_values("doc_id", kind="stable")
+    x = np.array(sample["x"].tolist(), dtype=np.float64).reshape(len(sample), len(FEATURES))
+    return fit(x, sample["y"].to_numpy(dtype=np.float64))
 
-    return map_rows(rows, f"key {rows.schema['key'].dataType.simpleString()}, score double", start)
+
+def scores(model: AdditiveModel, texts: list[str | None]) -> np.ndarray:
+    """Scores of a batch of whole texts: the model's tables are looked up for all of them at once."""
+    return model.score(np.array([features(t) for t in texts], dtype=np.float64).reshape(len(texts), len(FEATURES)))
 
 
 def predicted(score: Column, threshold: float = THRESHOLD) -> Column:
@@ -273,17 +258,21 @@ def classify(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_FIT_ROWS) -
 
     ``labels`` is ``(doc_id, quality)``; rows whose fold is 2 of 4 are held out of learning.
     """
-    rows = stage(with_features(docs))
-    known = labels.where(fold(F.col("doc_id"), 4) != 2).select(
-        F.col("doc_id").alias("key"), F.col("quality").alias("y")
-    )
-    model = learn(rows, known, max_rows)
-    return scored(rows, model).select(
-        F.col("key").alias("doc_id"),
-        (fold(F.col("key"), 4) == 2).alias("held_out"),
-        "score",
-        predicted(F.col("score")).alias("predicted"),
-    )
+    model = learn(docs, labels.where(fold(F.col("doc_id"), 4) != 2), max_rows)
+
+    def start():
+        return lambda rows: {"doc_id": rows["doc_id"], "score": scores(model, rows["text"])}
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = map_rows(docs.select("doc_id", "text"), f"doc_id {kind}, score double", start)
+    held_out = fold(F.col("doc_id"), 4) == 2
+    return rows.select("doc_id", held_out.alias("held_out"), "score", predicted(F.col("score")).alias("predicted"))
+
+
+def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The documents, with all columns, that the classifier does not reject; it learns from the labels of all folds but the held out one."""
+    model = learn(docs, labels.where(fold(F.col("doc_id"), 4) != 2))
+    return keep_rows(docs, "text", lambda: lambda texts: scores(model, texts) >= threshold)
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

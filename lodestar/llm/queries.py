@@ -5,6 +5,7 @@ from __future__ import annotations
 from .html import op2_html
 from .jaccard import op3_jaccard
 from .language import op10_language
+from .mixing import op5_mixing
 from .packing import op6_packing
 from .quality import op1_quality
 from .rules import op7_rules
@@ -17,6 +18,7 @@ QUERIES = {
     "op2_html": op2_html,
     "op3_jaccard": op3_jaccard,
     "op4_spotsigs": op4_spotsigs,
+    "op5_mixing": op5_mixing,
     "op6_packing": op6_packing,
     "op7_rules": op7_rules,
     "op8_urls": op8_urls,

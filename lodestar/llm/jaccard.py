@@ -32,7 +32,7 @@ columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import chain, combinations
 
 import numpy as np
 import pyarrow as pa
@@ -51,7 +51,7 @@ PERCENT = 80
 #: Pairs of different components for whose sake a key is still used.
 KEY_PAIRS = 2_000
 #: Keys that one task of the exchange should get.
-TASK_KEYS = 1_500_000
+TASK_KEYS = 1_000_000
 #: A key that so many sets of one batch hold is spread over tasks.
 BATCH_HOT = 64
 SPREAD = 64
@@ -66,7 +66,7 @@ class WordHashes(dict):
     """64-bit hashes of words; remembers them."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 200_000:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
@@ -78,18 +78,29 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def shingles(text: str | None, memo: WordHashes, size: int = WORDS) -> np.ndarray:
-    """Sorted distinct hashes of the word n-grams of a whole text."""
-    words = (text or "").encode("utf-8", "replace").translate(_LOWER).split()
-    if not words:
-        return np.zeros(0, dtype=np.uint64)
-    hashes = np.fromiter(map(memo.__getitem__, words), dtype=np.uint64, count=len(words))
-    used = min(size, len(words))
-    count = len(words) - used + 1
-    total = np.full(count, used, dtype=np.uint64)
-    for k in range(used):
-        total = mix(total * _MULTIPLIERS[0] + hashes[k : k + count])
-    return np.unique(total)
+def shingle_sets(texts: list[str | None], memo: WordHashes, size: int = WORDS) -> list[np.ndarray]:
+    """Sorted distinct hashes of the word n-grams of each whole text; a text of fewer words is one n-gram."""
+    words = [(text or "").encode("utf-8", "replace").translate(_LOWER).split() for text in texts]
+    counts = np.array([len(w) for w in words])
+    hashes = np.fromiter(map(memo.__getitem__, chain.from_iterable(words)), dtype=np.uint64, count=int(counts.sum()))
+    words.clear()
+    ends = np.cumsum(counts)
+    total = mix(hashes + np.uint64(size))
+    for k in range(1, size):
+        total[: len(total) - k] = mix(total[: len(total) - k] * _MULTIPLIERS[0] + hashes[k:]) if len(total) > k else total[:0]
+    sets = []
+    for end, count in zip(ends.tolist(), counts.tolist()):
+        if count >= size:
+            found = np.sort(total[end - count : end - size + 1])
+            sets.append(found[np.append(True, found[1:] != found[:-1])])
+        elif count:
+            whole = mix(hashes[end - count : end - count + 1] + np.uint64(count))
+            for k in range(1, count):
+                whole = mix(whole * _MULTIPLIERS[0] + hashes[end - count + k : end - count + k + 1])
+            sets.append(whole)
+        else:
+            sets.append(hashes[:0])
+    return sets
 
 
 # Size bands
@@ -162,106 +173,110 @@ def _variants(tokens: np.ndarray, segment: int, band: int, deletions: int, other
 # Stages of the join
 
 
-def _sets(docs: DataFrame) -> DataFrame:
-    """``(doc_id, n, own, filled, below, sid)`` of each document's set.
-
-    ``own`` is its band; ``filled`` and ``below`` count its non-empty segments there and in the band below.
-    """
-
-    def start():
-        memo = WordHashes()
-
-        def filled(found, band):
-            return len(np.unique((found >> np.uint64(7)) % np.uint64(BANDS.parts[band]))) if band >= 0 else 0
-
-        def run(batch):
-            found = [shingles(text, memo) for text in batch["text"]]
-            own = [BANDS.of(len(f)) for f in found]
-            return {
-                "doc_id": batch["doc_id"],
-                "n": [len(f) for f in found],
-                "own": own,
-                "filled": [filled(f, k) for f, k in zip(found, own)],
-                "below": [filled(f, k - 1) for f, k in zip(found, own)],
-                "sid": [_digest(f) for f in found],
-            }
-
-        return run
+def _digest(found: np.ndarray) -> int:
+    return int(mix(np.array([found.sum(dtype=np.uint64)]))[0].view(np.int64))
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, n long, own int, filled long, below long, sid long"
-    return map_rows(docs.select("doc_id", "text"), schema, start)
 
+#: Kinds of rows of the exchange, in its column ``salt``: from 1 on, keys spread over tasks.
+_PLAIN, _MARK, _DOC, _UNNAMED, _FILLED = 0, -1, -2, -3, -4
 
-def _digest(found: np.ndarray) -> int:
-    return int(mix(np.array([found.sum(dtype=np.uint64)]))[0].view(np.int64))
 
+def _exchange(docs: DataFrame) -> DataFrame:
+    """One pass over the texts, one exchange: ``(key, sid, salt, more)``, staged.
 
-def _shared_keys(docs: DataFrame, total_keys: int) -> DataFrame:
-    """``(key, sid)``: the keys that several sets hold, with their holders."""
+    Shared keys with their holders and, in ``more``, the first holder; documents (``key`` is the id) with
+    their sizes; and for each set and band (``key``) the number of its non-empty segments.
+    """
     parts = np.array(BANDS.parts)
-    names = ["key", "sid", "salt"]
-
-    def emit(tokens, sids) -> pa.RecordBatch | None:
-        role_tokens, role_bands, role_sids = [], [], []
-        for found, sid in zip(tokens, sids):
-            for band in BANDS.roles(len(found)):
-                if parts[band] > 1:
-                    role_tokens.append(found)
-                    role_bands.append(band)
-                    role_sids.append(sid)
-        if not role_tokens:
-            return None
-        keys, owner, _ = _segments(role_tokens, role_bands, parts)
-        # Copies within the batch are dropped here.
-        pairs = np.unique(np.stack([keys, np.array(role_sids, dtype=np.int64)[owner]], axis=1), axis=0)
-        first = np.flatnonzero(np.append(True, pairs[1:, 0] != pairs[:-1, 0]))
-        sizes = np.diff(first, append=len(pairs))
-        hot = np.repeat(sizes > BATCH_HOT, sizes)
-        salt = np.where(hot, 1 + pairs[:, 1] % SPREAD, 0)
-        # A mark tells where all others of the key meet that it is shared.
-        marks = first[sizes > BATCH_HOT]
-        pairs = np.concatenate([pairs, pairs[marks]])
-        salt = np.concatenate([salt, np.full(len(marks), -1)])
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(salt, pa.int64())], names=names)
-
-    def keys_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = ["key", "sid", "salt", "more"]
+    schema = "key long, sid long, salt int, more long"
+
+    def batch_of(key, sid, salt, more) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(sid, pa.int64()), pa.array(salt, pa.int32()), pa.array(more, pa.int64())], names=names)
+
+    def emit(ids: list, tokens: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        sids = np.array([_digest(f) for f in tokens], dtype=np.int64)
+        sizes = np.array([len(f) for f in tokens])
+        unnamed = np.array([i is None for i in ids])
+        yield batch_of([i or 0 for i in ids], sids, np.where(unnamed, _UNNAMED, _DOC), sizes)
+        # Copies in the batch are dropped here.
+        _, once = np.unique(sids, return_index=True)
+        roles = [(int(k), band) for k in once for band in BANDS.roles(int(sizes[k]))]
+        whole = [(k, band) for k, band in roles if parts[band] == 1]
+        if whole:
+            yield batch_of([band for _, band in whole], sids[[k for k, _ in whole]], np.full(len(whole), _FILLED), [1] * len(whole))
+        roles = [(k, band) for k, band in roles if parts[band] > 1]
+        if not roles:
+            return
+        keys, owner, _ = _segments([tokens[k] for k, _ in roles], [band for _, band in roles], parts)
+        role_sids = sids[[k for k, _ in roles]]
+        yield batch_of([band for _, band in roles], role_sids, np.full(len(roles), _FILLED), np.bincount(owner, minlength=len(roles)))
+        holder = role_sids[owner]
+        order = np.argsort(keys, kind="stable")
+        keys, holder = keys[order], holder[order]
+        first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+        count = np.diff(first, append=len(keys))
+        hot = count > BATCH_HOT
+        salt = np.where(np.repeat(hot, count), 1 + holder % SPREAD, _PLAIN)
+        yield batch_of(keys, holder, salt, np.zeros(len(keys), dtype=np.int64))
+        if hot.any():
+            # A mark tells where all others of the key meet that it is shared.
+            marks = first[hot]
+            yield batch_of(keys[marks], holder[marks], np.full(len(marks), _MARK), np.zeros(len(marks), dtype=np.int64))
+
+    def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHashes()
-        tokens, sids, held = [], [], 0
+        ids, tokens, held = [], [], 0
         for batch in batches:
-            for text in batch.column(0):
-                found = shingles(text.as_py(), memo)
-                if len(found):
-                    tokens.append(found)
-                    sids.append(_digest(found))
-                    held += len(found)
-                if held > 600_000:
-                    if (ready := emit(tokens, sids)) is not None:
-                        yield ready
-                    tokens, sids, held = [], [], 0
-        if tokens and (ready := emit(tokens, sids)) is not None:
-            yield ready
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                found = shingle_sets(part.column(1).to_pylist(), memo)
+                ids += part.column(0).to_pylist()
+                tokens += found
+                held += sum(map(len, found))
+                if held > 400_000:
+                    yield from emit(ids, tokens)
+                    ids, tokens, held = [], [], 0
+        if ids:
+            yield from emit(ids, tokens)
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [(b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy()) for b in batches]
+        got = []
+        for batch in batches:
+            key, sid, salt, more = (c.to_numpy() for c in batch.columns)
+            other = salt < _MARK
+            if other.any():
+                yield batch_of(key[other], sid[other], salt[other], more[other])
+            got.append((key[~other], sid[~other], salt[~other]))
         if not got:
             return
         key, sid, salt = (np.concatenate(c) for c in zip(*got))
         got.clear()
-        order = np.lexsort((salt == -1, sid, key))
+        order = np.argsort(key, kind="stable")
+        same = key[order][1:] == key[order][:-1]
+        order = order[(np.append(same, False) | np.append(False, same)) | (salt[order] > 0)] if len(order) else order
+        key, sid, salt = key[order], sid[order], salt[order]
+        order = np.lexsort((salt == _MARK, sid, key))
         key, sid, salt = key[order], sid[order], salt[order]
-        same = np.append(False, (key[1:] == key[:-1]) & (sid[1:] == sid[:-1]))
-        key, sid, salt = key[~same], sid[~same], salt[~same]
+        again = np.append(False, (key[1:] == key[:-1]) & (sid[1:] == sid[:-1]))[: len(key)]
+        key, sid, salt = key[~again], sid[~again], salt[~again]
+        if not len(key):
+            return
         first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
         sizes = np.diff(first, append=len(key))
-        keep = (np.repeat(sizes > 1, sizes) & (salt >= 0)) | (salt > 0)
-        for at in range(0, max(1, keep.sum()), 500_000):
-            yield pa.RecordBatch.from_arrays([pa.array(key[keep][at : at + 500_000]), pa.array(sid[keep][at : at + 500_000])], names=["key", "sid"])
-
-    count = buckets(total_keys, TASK_KEYS, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    rows = docs.select("text").mapInArrow(keys_of, "key long, sid long, salt long")
+        keep = (np.repeat(sizes > 1, sizes) & (salt != _MARK)) | (salt > 0)
+        hub = np.repeat(sid[first], sizes)
+        key, sid, hub = key[keep], sid[keep], hub[keep]
+        for at in range(0, len(key), 250_000):
+            piece = slice(at, at + 250_000)
+            yield batch_of(key[piece], sid[piece], np.zeros(len(key[piece]), dtype=np.int32), hub[piece])
+
+    # About one word in six characters, and six keys for ten words.
+    chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+    count = buckets(int(chars) // 10, TASK_KEYS, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = docs.select("doc_id", "text").mapInArrow(rows_of, schema)
     dealt = rows.repartition(count, F.col("key"), F.greatest("salt", F.lit(0)))
-    return dealt.mapInArrow(shared, "key long, sid long")
+    return stage(dealt.mapInArrow(shared, schema))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -374,6 +389,12 @@ def _with_component(keys: DataFrame, found: DataFrame) -> DataFrame:
     return keys.join(known, "sid", "left").withColumn("component", F.coalesce("component", "sid"))
 
 
+def _band_of(n: Column) -> Column:
+    """Band of a size, looked up among the few edges."""
+    edges = F.array(*[F.lit(int(e)) for e in BANDS.edges])
+    return F.size(F.filter(edges, lambda e: e <= n)) - 1
+
+
 def _key_costs(keys: DataFrame) -> DataFrame:
     """Keys of several components: pairs of different components (``cross``) and the largest component."""
     parts = keys.groupBy("key", "component").agg(F.count("*").alias("_c"))
@@ -385,15 +406,13 @@ def _key_costs(keys: DataFrame) -> DataFrame:
     return costs.where("cross > 0")
 
 
-def _star_pairs(keys: DataFrame) -> DataFrame:
+def _star_pairs(keys: DataFrame, reps: DataFrame) -> DataFrame:
     """Each holder of a key with the first holder, where they share a good part of what linked sets must share."""
-    first = keys.groupBy("key").agg(F.min(F.struct("sid", "n", "component")).alias("_f"))
-    pairs = keys.join(first, "key").select(
-        F.col("_f.sid").alias("a"), F.col("_f.n").alias("n_a"), F.col("sid").alias("b"), F.col("n").alias("n_b"), "band",
-        (F.col("_f.component") == F.col("component")).alias("_same"),
-    ).where((F.col("a") != F.col("b")) & ~F.col("_same") & _may_link(F.col("n_a"), F.col("n_b")))
-    counted = pairs.groupBy("a", "b", "band", "n_a", "n_b").agg(F.count("*").alias("_k"))
-    return counted.where(F.col("_k") * 4 >= _agree(F.col("band"), F.col("n_a"), F.col("n_b")) - 4)
+    pairs = keys.where("hub <> sid").groupBy(F.col("hub").alias("a"), F.col("sid").alias("b"), "band", F.col("n").alias("n_b"))
+    counted = pairs.agg(F.count("*").alias("_k")).join(reps.select(F.col("sid").alias("a"), F.col("n").alias("n_a")), "a")
+    return counted.where(
+        _may_link(F.col("n_a"), F.col("n_b")) & (F.col("_k") * 4 >= _agree(F.col("band"), F.col("n_a"), F.col("n_b")) - 4)
+    )
 
 
 def _cross_pairs(keys: DataFrame, cheap: DataFrame, blank: DataFrame | None) -> DataFrame:
@@ -404,14 +423,14 @@ def _cross_pairs(keys: DataFrame, cheap: DataFrame, blank: DataFrame | None) ->
         rows = rows.withColumn("_blank", F.col("_empty") + F.coalesce("_dear", F.lit(0)))
     else:
         rows = rows.withColumn("_blank", F.lit(None).cast("long"))
-    side = lambda x: [F.col(c).alias(f"{c}_{x}") for c in ("sid", "n", "own", "component", "_blank")]
+    side = lambda x: [F.col(c).alias(f"{c}_{x}") for c in ("sid", "n", "component", "_blank")]
     few = rows.where("component <> largest").select("key", "band", *side("a"))
     every = rows.select("key", F.col("largest").alias("_l"), *side("b"))
     pairs = few.join(every, "key").where(
         (F.col("component_a") != F.col("component_b"))
         & ((F.col("component_b") == F.col("_l")) | (F.col("sid_a") < F.col("sid_b")))
         & _may_link(F.col("n_a"), F.col("n_b"))
-        & (F.least("own_a", "own_b") == F.col("band"))
+        & (_band_of(F.least("n_a", "n_b")) == F.col("band"))
     )
     a, b = F.least("sid_a", "sid_b").alias("a"), F.greatest("sid_a", "sid_b").alias("b")
     need = _agree(F.col("band"), F.col("n_a"), F.col("n_b")) - F.least("_blank_a", "_blank_b")
@@ -419,59 +438,54 @@ def _cross_pairs(keys: DataFrame, cheap: DataFrame, blank: DataFrame | None) ->
     return counted.where((F.col("_k") >= F.col("_need")) | F.col("_need").isNull()).select("a", "b")
 
 
-def links(docs: DataFrame, described: DataFrame) -> DataFrame:
+def links(docs: DataFrame, exchanged: DataFrame) -> DataFrame:
     """Pairs ``(a, b)`` of digests of linked sets, enough of them to connect whatever links connect."""
     n, band = F.col("n"), F.col("band")
-    reps = stage(
-        described.where("n > 0").groupBy("sid").agg(
-            F.min("n").alias("n"), F.min("own").alias("own"), F.min("filled").alias("filled"), F.min("below").alias("below"),
-            F.min("doc_id").alias("first"),
-        )
-    )
-    total = described.agg(F.sum("n")).first()[0] or 0
     parts, differ = BANDS.column(BANDS.parts, band), BANDS.column(BANDS.differ, band)
-    shared = _shared_keys(docs, int(total * 0.6))
-    held = shared.dropDuplicates(["key", "sid"]).join(reps, "sid")
-    held = held.withColumn("band", F.col("key").bitwiseAND(F.lit(255)).cast("int"))
-    held = held.withColumn("_empty", parts - F.when(band == F.col("own"), F.col("filled")).otherwise(F.col("below")))
-    held = stage(held.select("key", "band", "sid", "n", "own", "_empty"))
+    named = exchanged.where(F.col("salt").isin(_DOC, _UNNAMED) & (F.col("more") > 0))
+    reps = stage(named.groupBy("sid").agg(F.min("more").alias("n"), F.min(F.when(F.col("salt") == _DOC, F.col("key"))).alias("first")))
+    # Each set's bands with the number of its empty segments.
+    filled = exchanged.where(F.col("salt") == _FILLED).groupBy("sid", F.col("key").cast("int").alias("band")).agg(F.min("more").alias("filled"))
+    roles = stage(filled.join(reps, "sid").withColumn("_empty", parts - F.col("filled")))
+    held = exchanged.where(F.col("salt") == _PLAIN).select("key", F.col("key").bitwiseAND(F.lit(255)).cast("int").alias("band"), "sid", F.col("more").alias("hub"))
     # A linked set agrees with its partner on m - H segments; each is empty or its key is shared.
-    able = held.groupBy("sid", "band").agg(F.count("*").alias("_k"), F.first("_empty").alias("_empty"))
-    able = able.where(F.col("_k") + F.col("_empty") >= parts - differ).select("sid", "band")
-    keys = stage(held.join(able, ["sid", "band"]))
-
+    counts = held.groupBy("sid", "band").agg(F.count("*").alias("_k"))
+    able = counts.join(roles, ["sid", "band"]).where(F.col("_k") + F.col("_empty") >= parts - differ)
+    keys = stage(held.join(able.select("sid", "band", "n", "_empty"), ["sid", "band"]))
     # Sets that have too few non-empty segments from the start.
-    roles = reps.select("sid", "n", "first", F.explode(F.array(F.struct(F.col("own").alias("band"), "filled"), F.struct((F.col("own") - 1).alias("band"), F.col("below").alias("filled")))).alias("_r"))
-    roles = roles.select("sid", "n", "first", "_r.band", "_r.filled").where("band >= 0")
-    bare = roles.where((differ > 0) & (F.col("filled") <= differ))
+    bare = roles.where(F.col("filled") <= differ)
     chosen = keys.select("sid").unionByName(bare.select("sid")).distinct().join(reps.select("sid", "first"), "sid")
     sets = stage(_tokens(docs, stage(chosen)))
 
-    empty = sets.sparkSession.createDataFrame([], "node long, component long")
-    found = _verified(_star_pairs(_with_component(keys, empty)), sets)
-    dear = None
-    while True:
+    found = _verified(_star_pairs(keys, reps), sets)
+    # Only keys that several components hold matter from here on.
+    current = _with_component(keys.drop("hub"), components(found))
+    several = current.groupBy("key").agg(F.min("component").alias("_a"), F.max("component").alias("_b")).where("_a <> _b")
+    keys = stage(current.join(several.select("key"), "key", "left_semi").drop("component"))
+
+    def costs_now() -> tuple[DataFrame, DataFrame, DataFrame]:
         current = stage(_with_component(keys, components(found)))
         costs = stage(_key_costs(current))
-        cheap, still = costs.where(F.col("cross") <= KEY_PAIRS), stage(costs.where(F.col("cross") > KEY_PAIRS))
-        if dear is None:
-            if still.limit(1).count():
-                # Large groups that one round of stars has not tied together: once more, in another order.
-                again = _reordered_star(current.join(still.select("key"), "key"))
-                found = stage(found.unionByName(_verified(again, sets)))
-                current = stage(_with_component(keys, components(found)))
-                costs = stage(_key_costs(current))
-                cheap, still = costs.where(F.col("cross") <= KEY_PAIRS), stage(costs.where(F.col("cross") > KEY_PAIRS))
-            lost = current.join(still.select("key"), "key").groupBy("sid", "band").agg(F.count("*").alias("_dear"))
-            more = _verified(_cross_pairs(current, cheap, lost), sets)
-        else:
-            freed = dear.select("key").join(costs, "key").where(F.col("cross") <= KEY_PAIRS)
-            more = _verified(_cross_pairs(current, freed, None), sets)
-        changed = more.limit(1).count() > 0
-        found = stage(found.unionByName(more)) if changed else found
-        dear = still
-        if not changed or not still.limit(1).count():
+        return current, costs.where(F.col("cross") <= KEY_PAIRS), costs.where(F.col("cross") > KEY_PAIRS)
+
+    current, cheap, dear = costs_now()
+    if dear.limit(1).count():
+        # Large groups that one round of stars has not tied together: once more, in another order.
+        again = _reordered_star(current.join(dear.select("key"), "key", "left_semi"))
+        found = stage(found.unionByName(_verified(again, sets)))
+        current, cheap, dear = costs_now()
+    lost = current.join(dear.select("key"), "key", "left_semi").groupBy("sid", "band").agg(F.count("*").alias("_dear"))
+    more = _verified(_cross_pairs(current, cheap, lost), sets)
+    while more.limit(1).count() > 0:
+        found = stage(found.unionByName(more))
+        if not dear.limit(1).count():
+            break
+        before = dear
+        current, cheap, dear = costs_now()
+        freed = before.select("key").join(cheap, "key")
+        if not freed.limit(1).count():
             break
+        more = _verified(_cross_pairs(current, freed, None), sets)
 
     # What the cheap keys cannot guarantee.
     prices = current.join(dear.select("key", F.col("cross").cast("double").alias("price")), "key")
@@ -505,7 +519,7 @@ def _tokens(docs: DataFrame, chosen: DataFrame) -> DataFrame:
         memo = WordHashes()
 
         def run(batch):
-            found = [shingles(text, memo) for text in batch["text"]]
+            found = shingle_sets(batch["text"], memo)
             return {"sid": [_digest(f) for f in found], "n": [len(f) for f in found], "tokens": [f.tobytes() for f in found]}
 
         return run
@@ -519,15 +533,19 @@ def _tokens(docs: DataFrame, chosen: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """``(doc_id, n_shingles, component_id)`` for documents ``(doc_id, text)``."""
-    described = stage(_sets(docs))
-    found = components(links(docs, described)).withColumnRenamed("node", "sid")
-    named = described.groupBy("sid").agg(F.min("doc_id").alias("first")).join(found, "sid", "left")
-    named = named.withColumn("component", F.coalesce("component", "sid"))
-    names = named.groupBy("component").agg(F.min("first").alias("component_id"))
-    by_set = named.join(names, "component").select("sid", "component_id")
+    """``(doc_id, n_shingles, component_id)`` for documents ``(doc_id, text)`` with integer ids."""
+    exchanged = _exchange(docs)
+    found = components(links(docs, exchanged)).withColumnRenamed("node", "sid")
+    named = exchanged.where(F.col("salt").isin(_DOC, _UNNAMED)).select(
+        F.when(F.col("salt") == _DOC, F.col("key")).alias("doc_id"), "sid", F.col("more").alias("n")
+    )
+    sets = named.groupBy("sid").agg(F.min("doc_id").alias("first")).join(found, "sid", "left")
+    sets = sets.withColumn("component", F.coalesce("component", "sid"))
+    names = sets.groupBy("component").agg(F.min("first").alias("component_id"))
+    by_set = sets.join(names, "component").select("sid", "component_id")
     own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return described.join(by_set, "sid").select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
+    doc_id = F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id")
+    return named.join(by_set, "sid").select(doc_id, F.col("n").alias("n_shingles"), own.alias("component_id"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from .checks import (
     check_frequent_params,
     check_positive,
 )
-from .coins import leading_zero_bits, reservoir_key, sticky_coin, sticky_tau, word32
+from .coins import leading_zero_bits, reservoir_key, reservoir_tie, sticky_coin, sticky_tau, word60
 from .geometry import cell_index, cell_side, squared_distance
 from .sketch import bin_of, sample_size, sticky_rate, stream_bin
 from .text import tokens
@@ -19,6 +19,7 @@ __all__ = [
     "check_positive",
     "leading_zero_bits",
     "reservoir_key",
+    "reservoir_tie",
     "sample_size",
     "squared_distance",
     "sticky_coin",
@@ -26,5 +27,5 @@ __all__ = [
     "sticky_tau",
     "stream_bin",
     "tokens",
-    "word32",
+    "word60",
 ]

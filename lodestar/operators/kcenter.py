@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +19,8 @@ from .grid import outlier_summary
 CENTER_SCHEMA = "part bigint, ord int, id bigint, x double, y double"
 # Parts of at most this many points (some tens of bytes each) go to one task as a whole.
 PART_ROWS = 2_000_000
+# Rounds after which the distances of all points are written anew.
+STAGE_ROUNDS = 4
 # Up to this many centers are written into the query as constants.
 INLINE_CENTERS = 64
 
@@ -43,62 +46,34 @@ def _farthest_first(k: int):
     return traverse
 
 
-def _farthest_by_part():
-    """The farthest point of each part within a task, ties by lowest id."""
-
-    def reduce_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = None
-        for batch in batches:
-            table = pa.Table.from_batches([batch] if best is None else [batch, best])
-            if table.num_rows == 0:
-                continue
-            order = np.lexsort((table["id"], -table["d2"].to_numpy(), table["part"]))
-            part = table["part"].to_numpy()[order]
-            first = np.append(True, part[1:] != part[:-1])
-            best = table.take(order[first]).combine_chunks().to_batches()[0]
-        if best is not None:
-            yield best
-
-    return reduce_task
-
-
 def _traverse_in_rounds(parted: DataFrame, k: int, n_parts: int) -> DataFrame:
     """The same centers as the in-task traversal, for parts too large for a task.
 
-    Each round finds the farthest point of every part with one pass over the
-    points: each task keeps one candidate per part, and the candidates are few.
+    Each point keeps the least distance to the centers so far, so a new center is measured once
+    (and again in the few rounds before the distances are staged). A round finds the largest distance
+    of each part, then the lowest id among the points that have it.
     """
-    columns = ["part", "id", "x", "y"]
-    centers = None
+    state = stage(parted.select("part", "id", "x", "y", F.lit(math.inf).alias("d2")))
+    small = F.broadcast if n_parts <= BROADCAST_ROWS else (lambda df: df)
+    found, pending = [], []
     for ord_ in range(k):
-        if centers is None:
-            measured = parted.select(*columns, F.lit(math.inf).alias("d2"))
-        else:
-            known = centers.groupBy("part").agg(F.collect_list(F.struct("x", "y")).alias("known"))
-            if n_parts * k <= BROADCAST_ROWS:
-                known = F.broadcast(known)
-            nearest = F.array_min(
-                F.transform(
-                    "known", lambda c: squared_distance(F.col("x"), F.col("y"), c["x"], c["y"])
-                )
-            )
-            measured = parted.join(known, "part").select(*columns, nearest.alias("d2"))
-        best = F.max(F.struct("d2", (-F.col("id")).alias("neg"), "x", "y")).alias("best")
-        found = (
-            measured.where(F.col("d2") > 0)
-            .mapInArrow(_farthest_by_part(), measured.schema)
-            .groupBy("part")
-            .agg(best)
-            .select(
-                "part",
-                F.lit(ord_).cast("int").alias("ord"),
-                (-F.col("best.neg")).alias("id"),
-                "best.x",
-                "best.y",
+        measured = state
+        for new in pending:
+            at = new.select("part", F.col("x").alias("cx"), F.col("y").alias("cy"))
+            distance = squared_distance(F.col("x"), F.col("y"), F.col("cx"), F.col("cy"))
+            measured = measured.join(small(at), "part", "left").select(
+                "part", "id", "x", "y", F.least("d2", F.coalesce(distance, F.col("d2"))).alias("d2")
             )
-        )
-        centers = stage(found if centers is None else centers.unionByName(found))
-    return centers
+        if len(pending) == STAGE_ROUNDS:
+            state, pending = stage(measured), []
+            measured = state
+        left = measured.where(F.col("d2") > 0)
+        farthest = left.groupBy("part").agg(F.max("d2").alias("d2"))
+        first = left.join(small(farthest), ["part", "d2"]).groupBy("part").agg(F.min(F.struct("id", "x", "y")).alias("p"))
+        new = stage(first.select("part", F.lit(ord_).cast("int").alias("ord"), "p.id", "p.x", "p.y"))
+        found.append(new)
+        pending.append(new)
+    return stage(reduce(DataFrame.unionByName, found))
 
 
 def _traverse(parted: DataFrame, k: int, largest: int, n_parts: int, part_rows: int) -> DataFrame:

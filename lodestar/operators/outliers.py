@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -14,8 +15,9 @@ from .grid import COPIES, adjacent, cell_sizes, neighbourhood, with_cell
 
 # Two cells are compared point by point up to this many pairs, else both are split.
 PAIR_BUDGET = 4096
-# Splitting stops here (cells of side D/2^20); what is left is compared point by point.
-MAX_DEPTH = 18
+# Cell indices stay below 2^52, where doubles are whole numbers: splitting ends where a cell's side
+# is that much smaller than the largest coordinate, far below the distance of two float32 numbers there.
+INDEX_BITS = 52
 
 
 def point_count(points: DataFrame) -> DataFrame:
@@ -68,11 +70,11 @@ def _as_own(cells: DataFrame) -> DataFrame:
     )
 
 
-def _split(crowded: DataFrame, cells: DataFrame, level: int) -> DataFrame:
-    """The pairs of quarter cells (``cells``, of ``level``) of the ``crowded`` pairs, but for those
+def _split(crowded: DataFrame, cells: DataFrame, level: int, halvings: int) -> DataFrame:
+    """The pairs of smaller cells (``cells``, of ``level``) of the ``crowded`` pairs, but for those
     wholly beyond the distance; ``inside`` tells the pairs wholly within it.
     """
-    parent = lambda name: F.shiftright(F.col(name), 1)
+    parent = lambda name: F.shiftright(F.col(name), halvings)
     own = _as_own(cells).withColumns({"pi": parent("i"), "pj": parent("j")})
     other = cells.withColumns({"pci": parent("ci"), "pcj": parent("cj")})
     pairs = (
@@ -82,28 +84,44 @@ def _split(crowded: DataFrame, cells: DataFrame, level: int) -> DataFrame:
         .join(other, ["pci", "pcj"])
         .select("i", "j", "own_n", "ci", "cj", "n", "w")
     )
-    di, dj = F.abs(F.col("ci") - F.col("i")), F.abs(F.col("cj") - F.col("j"))
-    gap_i, gap_j = F.greatest(di - 1, F.lit(0)), F.greatest(dj - 1, F.lit(0))
-    reach = F.lit(8 * 4**level).cast("bigint")  # squared distance in units of the side
-    return pairs.where(gap_i * gap_i + gap_j * gap_j <= reach).withColumn(
-        "inside", (di + 1) * (di + 1) + (dj + 1) * (dj + 1) < reach
+    di, dj = (F.abs(F.col(c) - F.col(o)).cast("double") for c, o in (("ci", "i"), ("cj", "j")))
+    gap_i, gap_j = F.greatest(di - 1, F.lit(0.0)), F.greatest(dj - 1, F.lit(0.0))
+    # Squared distance in units of the side; pairs that rounding could put on either side are kept.
+    reach = 8.0 * 4.0**level
+    return pairs.where(gap_i * gap_i + gap_j * gap_j <= F.lit(reach * (1 + 1e-12))).withColumn(
+        "inside", (di + 1) * (di + 1) + (dj + 1) * (dj + 1) < F.lit(reach * (1 - 1e-12))
     )
 
 
+def _halvings(located: DataFrame, distance: float, level: int) -> int:
+    """How often to halve the side until the fullest spread of a cell is no longer within one cell.
+
+    Points that lie close together in their cell would stay together for many levels. 0: no further split.
+    """
+    spread = F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y"))
+    spreads = located.groupBy("ci", "cj").agg(spread.alias("s"), F.max(F.greatest(F.abs("x"), F.abs("y"))).alias("m"))
+    widest, largest = spreads.agg(F.max("s"), F.max("m")).first()
+    if not widest:
+        return 0
+    side = cell_side(distance) / 2**level
+    deepest = math.floor(INDEX_BITS + math.log2(side / largest))
+    return min(max(1, math.floor(math.log2(side / widest))), max(0, deepest))
+
+
 def _refined_parts(
     points: DataFrame, pairs: DataFrame, distance: float, budget: int, total: int, floor: int
 ) -> list[DataFrame]:
     """Neighbour weights when some cells are too full to compare point by point.
 
     Pairs of cells over the budget are replaced by the pairs of their quarter
-    cells. A pair of quarters wholly within the distance adds the other cell's
+    cells, or smaller ones where all points of the cells lie close together. A pair of quarters wholly within the distance adds the other cell's
     weight, a pair wholly beyond it is dropped, and the rest go to the next
     level with the points of their cells. A cell meets only the cells on the rim
     of its ball, and identical points never split, being one weighted point. No
     step lists the pairs of a full cell.
     """
     parts = []
-    level = 0
+    level, ended = 0, False
     located = _located(points, distance, level)
     cells = stage(_contents(located))
     open_pairs = stage(
@@ -111,7 +129,7 @@ def _refined_parts(
     )
     while True:
         full = F.col("own_n") * F.col("n") > budget
-        n_full = open_pairs.where(full).count() if level < MAX_DEPTH else 0
+        n_full = open_pairs.where(full).count() if not ended else 0
         if n_full == 0:
             parts.append(_compare_points(located, open_pairs, distance))
             return parts
@@ -125,11 +143,16 @@ def _refined_parts(
             .distinct()
         )
         points = in_keys(located, active, ["ci", "cj"], "n", 2 * n_full, cells, total, floor)
-        points = stage(points.select("x", "y", "w"))
-        level += 1
+        points = stage(points)
+        halvings = _halvings(points, distance, level)
+        if halvings == 0:
+            # Cannot be: distinct float32 points differ in cells that are large enough to be numbered.
+            open_pairs, located, ended = crowded, points, True
+            continue
+        level += halvings
         located = _located(points, distance, level)
         cells = stage(_contents(located))
-        met = stage(_split(crowded, cells, level))
+        met = stage(_split(crowded, cells, level, halvings))
         covered = (
             met.where("inside")
             .groupBy("i", "j")
@@ -193,20 +216,19 @@ def _balls(
         n_involved = 49 * n_wanted
         if n_involved > BROADCAST_ROWS:
             n_involved = pairs.count() + n_wanted
+        involved = stage(involved)
         if n_involved > BROADCAST_ROWS:
-            involved = stage(involved)
             n_involved = involved.count()
         celled = _in_cells(celled, involved, n_involved, cells, total, floor)
         candidates = _in_cells(celled, wanted, n_wanted, cells, total, floor)
     # Copies of a point become one weighted point; the partial aggregate merges them before the shuffle.
-    weighted = celled.groupBy("i", "j", "x", "y").agg(F.count("*").alias("w"))
+    weighted = stage(celled.groupBy("i", "j", "x", "y").agg(F.count("*").alias("w")))
 
     if fullest * fullest <= budget:
         compared = weighted.withColumnsRenamed({"i": "ci", "j": "cj"})
         parts = [_compare_points(compared, pairs, distance)]
     else:
-        staged = stage(weighted.drop("i", "j"))
-        parts = _refined_parts(staged, pairs, distance, budget, total, floor)
+        parts = _refined_parts(weighted.drop("i", "j"), pairs, distance, budget, total, floor)
     further = reduce(DataFrame.unionByName, parts)
     if len(parts) > 1:
         further = further.groupBy("x", "y").agg(F.sum("part").alias("part"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import sample_size
 from ..plans.stage import stage
-from .frequent import frequent, item_freq, mark, processed
+from .frequent import frequent, item_freq, mark
 from .reservoir import reservoir_sample
 from .sticky import sticky_frequent, sticky_table
 
@@ -59,13 +59,16 @@ def frequent_summary(
     n: int | None = None,
     seed: int = 42,
 ) -> DataFrame:
+    # Three kinds of scans: for the frequencies, the sample and the sticky table (two of these).
+    freqs = stage(item_freq(items, n))
+    n_processed = freqs.agg(F.coalesce(F.sum("freq"), F.lit(0))).first()[0]
     return frequent_report(
-        item_freq(items, n),
+        freqs,
         reservoir_sample(items, phi, n, seed),
-        sticky_table(items, phi, epsilon, delta, n, seed),
+        sticky_table(items, phi, epsilon, delta, n, seed, n_processed=n_processed),
         phi,
         epsilon,
-        processed(items, n),
+        n_processed,
     )
 
 

@@ -113,14 +113,17 @@ def sticky_table(
     delta: float,
     n: int | None = None,
     seed: int = 42,
+    n_processed: int | None = None,
     **limits: int,
 ) -> DataFrame:
-    """``(item, est)`` after the first ``n`` items."""
+    """``(item, est)`` after the first ``n`` items; ``n_processed`` is their number, where it is known."""
     check_frequent_params(phi, epsilon, delta)
     rate = sticky_rate(phi, epsilon, delta)
     start = empty(items.sparkSession, EMPTY_STATE)
     used = first_n(items, n)
-    return advance(used, start, 0, 0, processed(items, n), rate, seed, **limits)[0]
+    if n_processed is None:
+        n_processed = processed(items, n)
+    return advance(used, start, 0, 0, n_processed, rate, seed, **limits)[0]
 
 
 def sticky_frequent(table: DataFrame, phi: float, epsilon: float, n_processed: int) -> DataFrame:
@@ -138,6 +141,7 @@ def sticky_marked(
     **limits: int,
 ) -> DataFrame:
     """``(item, est, mark)``: the reported items against the true frequent items, ascending."""
-    table = sticky_table(items, phi, epsilon, delta, n, seed, **limits)
-    reported = sticky_frequent(table, phi, epsilon, processed(items, n))
+    n_processed = processed(items, n)
+    table = sticky_table(items, phi, epsilon, delta, n, seed, n_processed, **limits)
+    reported = sticky_frequent(table, phi, epsilon, n_processed)
     return mark(reported, true_frequent(items, phi, n), phi)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, GroupedData
 from pyspark.sql import functions as F
 
 from ..functions import check_at_least, tokens
@@ -27,21 +27,13 @@ def word_count_salted(lines: DataFrame, salts: int = 8, seed: int = 42, salt: st
 
     ``salt="map"`` draws the salt with each word, ``salt="group"`` draws it in
     the grouping key. The result is that of :func:`word_count`; the first round
-    spreads each word over ``salts`` tasks. The draw is a hash of seed, line and
-    word: a task that runs again after a failure draws the same.
+    spreads each word over ``salts`` tasks. The draw is a hash of seed, line,
+    place in the line and all other columns of ``lines``, which should tell equal
+    lines apart (``lines_from(..., keep=["doc_id"])``): a task that runs again
+    after a failure draws the same.
     """
     check_at_least(1, salts=salts)
-    drawn = F.pmod(F.xxhash64("line_hash", "word"), F.lit(salts)).alias("salt")
-    each = lines.select(
-        F.xxhash64(F.lit(seed), "line").alias("line_hash"),
-        F.explode(tokens(F.col("line"))).alias("word"),
-    )
-    if salt == "map":
-        first = each.select("word", drawn).groupBy("salt", "word")
-    elif salt == "group":
-        first = each.groupBy(drawn, "word")
-    else:
-        raise ValueError(f"salt must be 'map' or 'group', got {salt!r}")
+    first = salted_words(lines, salts, seed, salt)
     return (
         first.agg(F.count("*").alias("part"))
         .groupBy("word")
@@ -49,17 +41,38 @@ def word_count_salted(lines: DataFrame, salts: int = 8, seed: int = 42, salt: st
     )
 
 
+def salted_words(lines: DataFrame, salts: int, seed: int, salt: str) -> GroupedData:
+    """The words grouped by salt and word."""
+    drawn = F.pmod(F.xxhash64("row_hash", "place", "word"), F.lit(salts)).alias("salt")
+    each = lines.select(
+        F.xxhash64(F.lit(seed), *lines.columns).alias("row_hash"),
+        F.posexplode(tokens(F.col("line"))).alias("place", "word"),
+    )
+    if salt == "map":
+        return each.select("word", drawn).groupBy("salt", "word")
+    if salt == "group":
+        return each.groupBy(drawn, "word")
+    raise ValueError(f"salt must be 'map' or 'group', got {salt!r}")
+
+
 def word_count_by_partition(lines: DataFrame, partitions: int | None = None) -> DataFrame:
-    """Counts inside each partition, then by word.
+    """Two rounds: counts by (partition, word), then by word.
 
-    Spark's partial aggregation is the count inside the partition, so one
-    shuffle is enough. ``partitions`` first spreads the lines at random; without
-    it the partitions of the scan are used and no line is moved.
+    ``partitions`` first spreads the lines at random; without it the partitions of the scan are
+    used. A word is spread over as many groups as partitions hold it. The number of a partition is
+    only a salt: a scan that is split otherwise gives the same result.
     """
     if partitions is not None:
         check_at_least(1, partitions=partitions)
         lines = lines.repartition(partitions)
-    return word_count(lines)
+    return (
+        words(lines)
+        .withColumn("partition", F.spark_partition_id())
+        .groupBy("partition", "word")
+        .agg(F.count("*").alias("part"))
+        .groupBy("word")
+        .agg(F.sum("part").alias("n"))
+    )
 
 
 def distinct_words(counts: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from . import queries as q
 from .functions import cell_side, sample_size, sticky_rate
 
-# Bins unrolled for the sticky table: enough for streams of r * 2^15 items.
+# Bins unrolled for the sticky table: enough for streams of r * 2^16 items; longer ones are an error.
 SQL_BINS = 15
 
 LINES = r"""lines AS (
@@ -87,18 +87,18 @@ NEAREST = f"""{CHOSEN}, assigned AS (
   QUALIFY row_number() OVER (PARTITION BY p.id ORDER BY d2, c.ord) = 1),
 radius AS (SELECT sqrt(max(d2)) AS radius FROM assigned)"""
 
-FREQ = f"""{ITEMS}, freqs AS (SELECT item, count(*) AS freq FROM items GROUP BY item),
-true_items AS (SELECT item, freq FROM freqs
-  WHERE freq >= {_double(q.PHI)} * (SELECT count(*) FROM items))"""
-
+CAPPED = f"""{ITEMS.replace("items AS", "all_items AS", 1)}, items AS (SELECT t, item FROM all_items WHERE t < {q.CAP})"""
+BATCHES = f"""{ITEMS}, total AS (SELECT coalesce(max(t), 0) + 1 AS n FROM items),
+ends AS (SELECT unnest([{", ".join(f"n * {end} // 100" for end in q.BATCH_ENDS)}]) AS stop,
+                unnest(range({len(q.BATCH_ENDS)})) AS batch_id FROM total),
+batched AS (
+  SELECT t, item, (SELECT min(batch_id) FROM ends WHERE t < stop) AS batch_id FROM items),
+sizes AS (SELECT batch_id, count(*) AS n, min(t) AS first FROM batched GROUP BY batch_id)"""
 
-def _word32(text: str) -> str:
-    return f"CAST('0x' || substr(md5({text}), 1, 8) AS BIGINT)"
 
+def _word60(text: str) -> str:
+    return f"CAST('0x' || substr(md5({text}), 1, 15) AS BIGINT)"
 
-RESERVOIR = f"""sample AS (
-  SELECT {_word32(f"'{q.SEED}:res:' || t")} AS key, t, item FROM items
-  ORDER BY key, t LIMIT {sample_size(q.PHI)})"""
 
 
 def _marked(estimates: str, columns: str) -> str:
@@ -106,31 +106,32 @@ def _marked(estimates: str, columns: str) -> str:
   ELSE '-' END AS mark FROM {estimates}"""
 
 
-def _binned(phi: float, epsilon: float) -> str:
-    rate = sticky_rate(phi, epsilon, q.DELTA)
+def _binned(phi: float, epsilon: float, delta: float = q.DELTA) -> str:
+    rate = sticky_rate(phi, epsilon, delta)
     bounds = " + ".join(
-        f"CAST(t >= {_double(2 * rate * 2.0**k)} AS INT)" for k in range(SQL_BINS)
+        f"CAST(t >= {_double(2 * rate * 2.0**k)} AS INT)" for k in range(SQL_BINS + 1)
     )
     return f"binned AS (SELECT t, item, {bounds} AS bin FROM items)"
 
 
-def _sticky(phi: float, epsilon: float) -> str:
+def _sticky(phi: float, epsilon: float, delta: float = q.DELTA) -> str:
     """The sticky table by one step for each bin."""
-    steps = [f"""{_binned(phi, epsilon)},
+    steps = [f"""{_binned(phi, epsilon, delta)},
 coins AS (
-  SELECT *, {_word32(f"'{q.SEED}:coin:' || item || ':' || t")} / CAST(4294967296 AS DOUBLE)
-            <= pow(CAST(0.5 AS DOUBLE), bin) AS win
+  SELECT *, bin = 0 OR ({_word60(f"'{q.SEED}:coin:' || item || ':' || t")} >> (60 - bin)) = 0 AS win
   FROM binned),
 followed AS (
   SELECT *, bool_or(win) OVER (PARTITION BY item, bin ORDER BY t ROWS UNBOUNDED PRECEDING) AS won
   FROM coins),
 seen AS (
   SELECT item, bin, count(*) AS n, count(*) FILTER (won) AS a FROM followed GROUP BY item, bin),
-last_bin AS (SELECT max(bin) AS b FROM binned),
+last_bin AS (
+  SELECT CASE WHEN max(bin) > {SQL_BINS} THEN CAST(error('more bins than steps') AS INT) ELSE max(bin) END AS b
+  FROM binned),
 e0 AS (SELECT item, coalesce(max(a) FILTER (bin = 0), 0) AS e FROM seen GROUP BY item)"""]
     for k in range(1, SQL_BINS + 1):
-        word = _word32(f"'{q.SEED}:tau:' || item || ':{k}'")
-        lost = "CASE WHEN h = 0 THEN 32 ELSE 32 - length(bin(h)) END"
+        word = _word60(f"'{q.SEED}:tau:' || item || ':{k}'")
+        lost = "CASE WHEN h = 0 THEN 60 ELSE 60 - length(bin(h)) END"
         steps.append(f"""d{k} AS (
   SELECT item, CASE WHEN {k} > (SELECT b FROM last_bin) THEN e
                     ELSE greatest(0, e - {lost}) END AS e
@@ -144,16 +145,31 @@ e{k} AS (
     return ", ".join(steps)
 
 
-STICKY = _sticky(q.PHI, q.EPSILON)
-REPORTED = f"""reported AS (SELECT item, est FROM sticky
-  WHERE est >= {_double(q.PHI - q.EPSILON)} * (SELECT count(*) FROM items))"""
-REPORT = f"""WITH {FREQ}, {RESERVOIR}, {STICKY}, {REPORTED},
+def _freq(phi: float, items: str = ITEMS) -> str:
+    return f"""{items}, freqs AS (SELECT item, count(*) AS freq FROM items GROUP BY item),
+true_items AS (SELECT item, freq FROM freqs
+  WHERE freq >= {_double(phi)} * (SELECT count(*) FROM items))"""
+
+
+def _reservoir(phi: float) -> str:
+    return f"""sample AS (
+  SELECT {_word60(f"'{q.SEED}:res:' || t")} AS key, t, item FROM items
+  ORDER BY key, substr(md5('{q.SEED}:res:' || t), 16, 17), t LIMIT {sample_size(phi)})"""
+
+
+def _reported(phi: float, epsilon: float) -> str:
+    return f"""reported AS (SELECT item, est FROM sticky
+  WHERE est >= {_double(phi - epsilon)} * (SELECT count(*) FROM items))"""
+
+
+def _report(phi: float, epsilon: float, delta: float) -> str:
+    return f"""WITH {_freq(phi)}, {_reservoir(phi)}, {_sticky(phi, epsilon, delta)}, {_reported(phi, epsilon)},
 from_sample AS ({_marked("(SELECT DISTINCT item FROM sample)", "item")}),
 from_table AS ({_marked("reported", "item")})
 SELECT 'n_processed' AS metric, count(*) AS value FROM items
 UNION ALL SELECT 'table_size', count(*) FROM freqs
 UNION ALL SELECT 'n_true', count(*) FROM true_items
-UNION ALL SELECT 'reservoir_m', {sample_size(q.PHI)}
+UNION ALL SELECT 'reservoir_m', {sample_size(phi)}
 UNION ALL SELECT 'reservoir_reported', count(*) FROM from_sample
 UNION ALL SELECT 'reservoir_right', count(*) FILTER (mark = '+') FROM from_sample
 UNION ALL SELECT 'reservoir_wrong', count(*) FILTER (mark = '-') FROM from_sample
@@ -162,6 +178,13 @@ UNION ALL SELECT 'sticky_reported', count(*) FROM from_table
 UNION ALL SELECT 'sticky_right', count(*) FILTER (mark = '+') FROM from_table
 UNION ALL SELECT 'sticky_wrong', count(*) FILTER (mark = '-') FROM from_table"""
 
+
+FREQ = _freq(q.PHI)
+RESERVOIR = _reservoir(q.PHI)
+STICKY = _sticky(q.PHI, q.EPSILON)
+REPORTED = _reported(q.PHI, q.EPSILON)
+REPORT = _report(q.PHI, q.EPSILON, q.DELTA)
+
 LARGEST = "greatest(coalesce(max(item), 0), 0)"
 WORD_COUNT = f"WITH {WORDS} SELECT word, n FROM counts"
 ITEM_FREQ = f"WITH {FREQ} SELECT item, freq FROM freqs"
@@ -221,7 +244,20 @@ ORACLE_SQL: dict[str, str] = {
     "SELECT item, est FROM sticky",
     "sticky_marked": STICKY_MARKED,
     "frequent_summary": REPORT,
-    "batch_sizes": f"WITH {ITEMS} SELECT CAST(0 AS BIGINT) AS batch_id, count(*) AS n FROM items",
+    "frequent_summary_published": _report(*q.PUBLISHED),
+    "reservoir_sample_capped": f"WITH {CAPPED}, {RESERVOIR} SELECT key, t, item FROM sample",
+    "sticky_table_capped": f"WITH {CAPPED}, {STICKY} SELECT item, est FROM sticky",
+    "file_points": f"WITH {POINTS} SELECT id, x, y FROM points",
+    "file_items": f"WITH {ITEMS} SELECT t, item FROM items",
+    "file_word_count": "WITH words AS (SELECT unnest([event_type, 'of', event_type]) AS word FROM events) "
+    "SELECT word, count(*) AS n FROM words GROUP BY word",
+    "batch_sizes": f"WITH {BATCHES} SELECT batch_id, n FROM sizes",
+    "stream_summary_stopped": f"WITH {BATCHES}, taken AS (SELECT b.* FROM batched b JOIN sizes s USING (batch_id) "
+    f"WHERE s.first < {q.THRESHOLD}) SELECT 'n_processed' AS metric, count(*) AS value FROM taken "
+    "UNION ALL SELECT 'n_distinct', count(DISTINCT item) FROM taken "
+    f"UNION ALL SELECT 'largest', {LARGEST} FROM taken",
+    "stream_reservoir_capped": f"WITH {CAPPED}, {RESERVOIR} SELECT key, t, item FROM sample",
+    "stream_sticky_capped": f"WITH {CAPPED}, {STICKY} SELECT item, est FROM sticky",
     "stream_summary": f"WITH {ITEMS} SELECT 'n_processed' AS metric, count(*) AS value FROM items "
     "UNION ALL SELECT 'n_distinct', count(DISTINCT item) FROM items "
     f"UNION ALL SELECT 'largest', {LARGEST} FROM items",

@@ -5,6 +5,7 @@ They stay there, like checkpoints, until the folder of the application is droppe
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -21,7 +22,7 @@ def _checkpoint_dir(spark: SparkSession) -> str:
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
-        if named is None and not context.master.startswith("local"):
+        if named is None and not re.fullmatch(r"local(\[.*\])?", context.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="lodestar-"))
     return context.getCheckpointDir()
@@ -43,11 +44,18 @@ def fresh_dir(spark: SparkSession, label: str) -> str:
     return f"{_checkpoint_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+# Larger tables are never moved for the sake of even work: their files split well enough.
+SPREAD_BYTES = 1 << 28
+
+
 def spread(scan: DataFrame) -> DataFrame:
-    """Spread a table scan with fewer partitions than cores over all cores, before costly row work.
+    """Spread a small table that cannot be split further, such as one Parquet row group, over all cores.
 
-    A table with at least one partition for each core is read where it lies.
+    Spark already splits files by cores and ``spark.sql.files.maxPartitionBytes``.
     """
+    size = scan._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    if int(str(size)) > SPREAD_BYTES:
+        return scan
     cores = scan.sparkSession.sparkContext.defaultParallelism
     return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
 

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from .operators import frequent, grid, kcenter, outliers, report, reservoir, sticky, words
 from .plans import fresh_dir, spread, with_position
-from .sources import items_from, lines_from, points_from
+from .sources import items_from, lines_from, points_from, read_items, read_lines, read_points
 from .streaming import distinct as sizes
 from .streaming import frequent as streams
 
@@ -29,6 +30,12 @@ FINE_PHI = 0.01
 FINE_EPSILON = 0.005
 SEED = 42
 SALTS = 16
+# Replayed streams: the shares of the events after which a batch ends, in percent.
+BATCH_ENDS = (10, 45, 46, 70, 100)
+CAP = 9_000
+THRESHOLD = 4_000
+# The parameters of the published runs.
+PUBLISHED = (0.07, 0.03, 0.1)
 
 
 def _lines(spark: SparkSession, sf: str) -> DataFrame:
@@ -36,6 +43,35 @@ def _lines(spark: SparkSession, sf: str) -> DataFrame:
     return lines_from(spread(documents), "text")
 
 
+def _document_lines(spark: SparkSession, sf: str) -> DataFrame:
+    documents = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    return lines_from(spread(documents), "text", keep=["doc_id"])
+
+
+def _as_text(spark: SparkSession, df: DataFrame, order: str, *columns: Column) -> str:
+    """A folder of text files with a line for each row, in order."""
+    path = fresh_dir(spark, "lines")
+    line = F.concat_ws(",", *[c.cast("string") for c in columns]).alias("line")
+    ordered = df.repartitionByRange(order).sortWithinPartitions(order)
+    ordered.select(line).write.text(path)
+    return path
+
+
+def _point_file(spark: SparkSession, sf: str) -> str:
+    events = spark.read.parquet(f"{sf}/events.parquet").select("event_id", "value", "user_id")
+    return _as_text(spark, events, "event_id", F.col("value"), F.col("user_id"))
+
+
+def _item_file(spark: SparkSession, sf: str) -> str:
+    events = spark.read.parquet(f"{sf}/events.parquet").select("event_id", "value")
+    return _as_text(spark, events, "event_id", F.floor("value"))
+
+
+def _line_file(spark: SparkSession, sf: str) -> str:
+    events = spark.read.parquet(f"{sf}/events.parquet").select("event_id", "event_type")
+    return _as_text(spark, events, "event_id", F.concat_ws(" ", "event_type", F.lit("of"), "event_type"))
+
+
 def _points(spark: SparkSession, sf: str) -> DataFrame:
     events = spark.read.parquet(f"{sf}/events.parquet")
     return points_from(events, "value", "user_id", "event_id")
@@ -46,11 +82,19 @@ def _items(spark: SparkSession, sf: str) -> DataFrame:
     return items_from(events, F.floor("value"), t="event_id")
 
 
-def _item_stream(spark: SparkSession, sf: str) -> DataFrame:
-    schema = spark.read.parquet(f"{sf}/events.parquet").select("event_id", "value").schema
-    # A file stream takes folders and patterns, not the path of a single file.
-    events = spark.readStream.schema(schema).parquet(f"{sf}/event[s].parquet")
-    return items_from(events, F.floor("value"), t="event_id")
+def _replay(spark: SparkSession, sf: str, start: Callable[[DataFrame], StreamingQuery]) -> None:
+    """Feed all events to a stream in uneven batches: each run of the query takes what has been added since."""
+    path = fresh_dir(spark, "events")
+    events = spark.read.parquet(f"{sf}/events.parquet").select("event_id", "value")
+    n = (events.agg(F.max("event_id")).first()[0] or 0) + 1
+    low = 0
+    for end in BATCH_ENDS:
+        high = n * end // 100
+        part = events.where((F.col("event_id") >= low) & (F.col("event_id") < high))
+        part.write.mode("append").parquet(path)
+        stream = spark.readStream.schema(events.schema).parquet(path)
+        start(items_from(stream, F.floor("value"), t="event_id")).awaitTermination()
+        low = high
 
 
 def _counts(spark: SparkSession, sf: str) -> DataFrame:
@@ -67,30 +111,30 @@ def _item_positions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _frequent_stream(
-    spark: SparkSession, sf: str, *keep: str
+    spark: SparkSession, sf: str, *keep: str, n: int | None = None
 ) -> streams.FrequentStream:
     stream = streams.FrequentStream(
-        fresh_dir(spark, "stream"), PHI, EPSILON, DELTA, seed=SEED, keep=keep
+        fresh_dir(spark, "stream"), PHI, EPSILON, DELTA, n=n, seed=SEED, keep=keep
     )
-    stream.start(_item_stream(spark, sf)).awaitTermination()
+    _replay(spark, sf, stream.start)
     return stream
 
 
 def _stream_freq(spark: SparkSession, sf: str) -> DataFrame:
     path = fresh_dir(spark, "freq")
-    streams.run_item_freq(_item_stream(spark, sf), path).awaitTermination()
+    _replay(spark, sf, lambda items: streams.run_item_freq(items, path))
     return streams.stream_item_freq(spark, path)
 
 
 def _stream_distinct(spark: SparkSession, sf: str) -> DataFrame:
     path = fresh_dir(spark, "distinct")
-    sizes.run_distinct(_item_stream(spark, sf), path).awaitTermination()
+    _replay(spark, sf, lambda items: sizes.run_distinct(items, path))
     return sizes.distinct_rows(spark, path)
 
 
-def _sized(spark: SparkSession, sf: str) -> str:
+def _sized(spark: SparkSession, sf: str, threshold: int | None = None) -> str:
     path = fresh_dir(spark, "sizes")
-    sizes.SizedStream(path).start(_item_stream(spark, sf)).awaitTermination()
+    _replay(spark, sf, sizes.SizedStream(path, threshold).start)
     return path
 
 
@@ -102,9 +146,9 @@ QUERIES: dict[str, Query] = {
     # Documents
     "doc_count": lambda s, d: words.doc_count(_lines(s, d)),
     "word_count": lambda s, d: words.word_count(_lines(s, d)),
-    "word_count_salted": lambda s, d: words.word_count_salted(_lines(s, d), SALTS, SEED),
+    "word_count_salted": lambda s, d: words.word_count_salted(_document_lines(s, d), SALTS, SEED),
     "word_count_salted_inline": lambda s, d: words.word_count_salted(
-        _lines(s, d), SALTS, SEED, salt="group"
+        _document_lines(s, d), SALTS, SEED, salt="group"
     ),
     "word_count_by_partition": lambda s, d: words.word_count_by_partition(_lines(s, d)),
     "distinct_words": lambda s, d: words.distinct_words(_counts(s, d)),
@@ -150,14 +194,30 @@ QUERIES: dict[str, Query] = {
     "frequent_summary": lambda s, d: report.frequent_summary(
         _items(s, d), PHI, EPSILON, DELTA, seed=SEED
     ),
+    "frequent_summary_published": lambda s, d: report.frequent_summary(
+        _items(s, d), *PUBLISHED, seed=SEED
+    ),
+    "reservoir_sample_capped": lambda s, d: reservoir.reservoir_sample(
+        _items(s, d), PHI, CAP, seed=SEED
+    ),
+    "sticky_table_capped": lambda s, d: sticky.sticky_table(
+        _items(s, d), PHI, EPSILON, DELTA, CAP, seed=SEED
+    ),
+    # Files
+    "file_points": lambda s, d: read_points(s, _point_file(s, d)),
+    "file_items": lambda s, d: read_items(s, _item_file(s, d)),
+    "file_word_count": lambda s, d: words.word_count(read_lines(s, _line_file(s, d))),
     # Streams
     "batch_sizes": _batch_sizes,
     "stream_summary": lambda s, d: sizes.distinct_report(s, _sized(s, d)),
+    "stream_summary_stopped": lambda s, d: sizes.distinct_report(s, _sized(s, d, THRESHOLD)),
     "stream_item_freq": _stream_freq,
     "stream_distinct_items": _stream_distinct,
     "stream_true_frequent": lambda s, d: _frequent_stream(s, d, "exact").true_frequent(s),
     "stream_reservoir": lambda s, d: _frequent_stream(s, d, "reservoir").reservoir(s),
     "stream_sticky_table": lambda s, d: _frequent_stream(s, d, "sticky").sticky_table(s),
+    "stream_reservoir_capped": lambda s, d: _frequent_stream(s, d, "reservoir", n=CAP).reservoir(s),
+    "stream_sticky_capped": lambda s, d: _frequent_stream(s, d, "sticky", n=CAP).sticky_table(s),
     "stream_reservoir_marked": lambda s, d: _frequent_stream(
         s, d, "exact", "reservoir"
     ).reservoir_marked(s),

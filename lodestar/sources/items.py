@@ -10,6 +10,7 @@ from pyspark.sql.streaming import DataStreamReader
 
 from ..plans.position import with_position
 from .parse import strict
+from .text import numbered_lines
 
 
 def items_from(
@@ -38,11 +39,10 @@ def items_from_lines(lines: DataFrame, line: str = "value") -> DataFrame:
     return lines.select(strict(F.trim(F.col(line)), "bigint", "item").alias("item"))
 
 
-def read_items(spark: SparkSession, path: str) -> DataFrame:
-    """Items of a text file in file order."""
-    lines = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("row"))
-    items = lines.select("row", strict(F.trim("value"), "bigint", "item").alias("item"))
-    return with_position(items, ["row"], "t").select("t", "item")
+def read_items(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Items of text files: in the order of paths, and of the lines in a file."""
+    lines = numbered_lines(spark, path, "t")
+    return lines.select("t", strict(F.trim("value"), "bigint", "item").alias("item"))
 
 
 def read_item_stream(reader: DataStreamReader, path: str, schema: str = "value string") -> DataFrame:

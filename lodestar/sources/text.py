@@ -2,24 +2,39 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.position import with_position
+
+
+def numbered_lines(spark: SparkSession, path: str | list[str], name: str) -> DataFrame:
+    """``(value, name)``: lines with their numbers from 0, in the order of paths and of the lines in a file."""
+    # Inside a file block, which one task reads in order, row ids grow with the lines.
+    place = {"_path": F.col("_metadata.file_path"), "_block": F.col("_metadata.file_block_start"), "_row": F.monotonically_increasing_id()}
+    lines = spark.read.text(path).select("value", *[c.alias(n) for n, c in place.items()])
+    return with_position(lines, list(place), name).select("value", name)
+
+
 def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """``(line)`` for each line of the text files."""
     return spark.read.text(path).select(F.col("value").alias("line"))
 
 
-def lines_from(df: DataFrame, text: str) -> DataFrame:
-    """``(line)`` for each line of a text column.
+def lines_from(df: DataFrame, text: str, keep: Sequence[str] = ()) -> DataFrame:
+    """``(line)`` for each line of a text column; with ``keep`` also these columns and the number ``line_no`` of the line.
 
     Lines end with LF, CRLF or CR as in a text file; a final line break opens no
     further line. Regular expressions run only on texts with a CR.
     """
     body = F.col(text)
     body = F.when(F.contains(body, F.lit("\r")), F.regexp_replace(body, "\\r\\n?", "\n")).otherwise(body)
-    lines = df.where(F.col(text) != "").select(body.alias("body"))
+    lines = df.where(F.col(text) != "").select(body.alias("body"), *keep)
     whole = F.when(
         F.endswith("body", F.lit("\n")), F.substring("body", F.lit(1), F.length("body") - 1)
     ).otherwise(F.col("body"))
+    if keep:
+        return lines.select(*keep, F.posexplode(F.split(whole, "\n")).alias("line_no", "line"))
     return lines.select(F.explode(F.split(whole, "\n")).alias("line"))

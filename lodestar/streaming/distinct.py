@@ -12,7 +12,7 @@ from .store import BatchTable, Progress
 
 
 def _new_items(path: str) -> BatchTable:
-    return BatchTable(f"{path}/distinct", "item bigint")
+    return BatchTable(f"{path}/distinct", "item bigint", lambda rows: rows.select("item").distinct())
 
 
 def run_distinct(stream: DataFrame, path: str, every: str | None = None) -> StreamingQuery:
@@ -27,7 +27,7 @@ def run_distinct(stream: DataFrame, path: str, every: str | None = None) -> Stre
 
 
 def distinct_rows(spark: SparkSession, path: str) -> DataFrame:
-    return _new_items(path).load(spark).select("item")
+    return _new_items(path).load(spark).select("item").distinct()
 
 
 class SizedStream:
@@ -40,7 +40,7 @@ class SizedStream:
         self.path = path
         self.threshold = threshold
         self.sizes = BatchTable(f"{path}/sizes", "n bigint, at timestamp")
-        self.items = BatchTable(f"{path}/items", "item bigint")
+        self.items = BatchTable(f"{path}/items", "item bigint", lambda rows: rows.select("item").distinct())
         self.progress = Progress(f"{path}/progress", {"total": 0})
         self.total: int | None = None
 

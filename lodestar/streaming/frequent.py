@@ -28,7 +28,8 @@ SUMMARIES = ("exact", "reservoir", "sticky")
 
 
 def item_freq_rows(path: str) -> BatchTable:
-    return BatchTable(f"{path}/freq", "item bigint, freq bigint")
+    latest = lambda rows: rows.groupBy("item").agg(F.max("freq").alias("freq"))
+    return BatchTable(f"{path}/freq", "item bigint, freq bigint", latest)
 
 
 def run_item_freq(
@@ -82,7 +83,8 @@ class FrequentStream:
         self.path, self.phi, self.epsilon = path, phi, epsilon
         self.n, self.seed, self.order_by, self.keep = n, seed, order_by, tuple(keep)
         self.rate = sticky_rate(phi, epsilon, delta)
-        self.exact = BatchTable(f"{path}/exact", "item bigint, freq bigint")
+        summed = lambda rows: rows.groupBy("item").agg(F.sum("freq").alias("freq"))
+        self.exact = BatchTable(f"{path}/exact", "item bigint, freq bigint", summed)
         self.sample = SlotTable(f"{path}/reservoir", "key bigint, t bigint, item bigint")
         self.table = SlotTable(f"{path}/sticky", EMPTY_STATE)
         self.progress = Progress(f"{path}/progress", {"total": 0, "last_bin": 0})
@@ -122,7 +124,7 @@ class FrequentStream:
                 both = self.sample.after(spark, batch_id - 1).unionByName(
                     ranked.select("key", "t", "item")
                 )
-                self.sample.save(smallest_ranks(both, sample_size(self.phi)), batch_id)
+                self.sample.save(smallest_ranks(both, sample_size(self.phi), self.seed), batch_id)
             if "sticky" in self.keep:
                 state = self.table.after(spark, batch_id - 1)
                 table, last_bin = advance(

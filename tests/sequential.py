@@ -7,7 +7,7 @@ from lodestar.functions import bin_of, sample_size, sticky_rate
 
 
 def word(*parts):
-    return int(hashlib.md5(":".join(map(str, parts)).encode()).hexdigest()[:8], 16)
+    return int(hashlib.md5(":".join(map(str, parts)).encode()).hexdigest()[:15], 16)
 
 
 def sticky(items, phi, epsilon, delta, seed=42):
@@ -17,12 +17,12 @@ def sticky(items, phi, epsilon, delta, seed=42):
         while current < b:
             current += 1
             for key in list(table):
-                table[key] -= 32 - word(seed, "tau", key, current).bit_length()
+                table[key] -= 60 - word(seed, "tau", key, current).bit_length()
                 if table[key] <= 0:
                     del table[key]
         if item in table:
             table[item] += 1
-        elif b == 0 or word(seed, "coin", item, t) / 2**32 <= 0.5**b:
+        elif b == 0 or word(seed, "coin", item, t) >> (60 - b) == 0:
             table[item] = 1
     return sorted(table.items())
 

@@ -1,9 +1,13 @@
+import random
+import struct
+
 import numpy as np
 import pytest
 from conftest import rows
 from fixtures import LINE5, N15, SIMPLE9, brute_balls, points_frame, skewed_points
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from lodestar.operators import grid, outliers
 
@@ -146,3 +150,25 @@ def test_lattice_points(spark, points, d, m, budget):
     df = points_frame(spark, points)
     expected = [(i, b) for i, b in enumerate(brute_balls(points, d)) if b <= m]
     assert rows(outliers.exact_outliers(df, d, m, budget=budget).select("id", "ball")) == expected
+
+
+def test_tight_clusters_at_the_distance(spark, monkeypatch):
+    """Two clusters whose distance is within a cell of D: pairs are settled by small cells, not one by one."""
+    rng = random.Random(5)
+    points = [(rng.random() * 0.3, rng.random() * 0.3) for _ in range(300)]
+    points += [(10**4 + rng.random() * 0.3, rng.random() * 0.3) for _ in range(300)]
+    compared = []
+    compare = outliers._compare_points
+
+    def counting(cells, pairs, distance):
+        if "own_n" in pairs.columns:
+            compared.append(pairs.agg(F.coalesce(F.max(F.col("own_n") * F.col("n")), F.lit(0))).first()[0])
+        return compare(cells, pairs, distance)
+
+    monkeypatch.setattr(outliers, "_compare_points", counting)
+    df = points_frame(spark, points)
+    got = rows(outliers.ball_counts(df, 10**4 + 0.15, budget=256))
+    rounded = [(struct.unpack("f", struct.pack("f", x))[0], struct.unpack("f", struct.pack("f", y))[0]) for x, y in points]
+    assert got == list(enumerate(brute_balls(rounded, 10**4 + 0.15)))
+    assert compared and max(compared) <= 256
+    assert len(compared) <= 12

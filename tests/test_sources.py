@@ -2,6 +2,7 @@ import pytest
 from conftest import rows
 from pyspark.errors import PySparkException
 
+from lodestar.operators import kcenter
 from lodestar.plans import with_position
 from lodestar.sources import items_from, points_from, read_items, read_points
 
@@ -62,3 +63,37 @@ def test_items_from(spark):
     assert rows(items_from(df, "v", order_by=["k"])) == [(0, 7), (1, 8), (2, 9)]
     with pytest.raises(ValueError):
         items_from(df, "v")
+
+
+def test_files_are_read_in_the_order_of_their_paths(spark, tmp_path):
+    (tmp_path / "b.txt").write_text("\n".join(map(str, range(100, 3000))) + "\n")
+    (tmp_path / "a.txt").write_text("1\n2\n")
+    (tmp_path / "c.txt").write_text("7\n")
+    got = rows(read_items(spark, str(tmp_path)))
+    assert got == list(enumerate([1, 2, *range(100, 3000), 7]))
+
+
+@pytest.mark.parametrize("size", ["2k", "16k", "1m"])
+def test_point_ids_do_not_depend_on_splits(spark, tmp_path, size):
+    points = [((k * 7919) % 1000 / 3, (k * 104729) % 997 / 7) for k in range(4000)]
+    path = write(tmp_path, "".join(f"{x},{y}\n" for x, y in points))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for key in before:
+            spark.conf.set(key, size)
+        read = read_points(spark, path)
+        assert [r[0] for r in rows(read)] == list(range(4000))
+        (radius,) = kcenter.kcenter_radius(read, 4, 3).first()
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    assert radius == RADIUS.setdefault("radius", radius)
+
+
+RADIUS = {}
+
+
+@pytest.mark.parametrize("bad", ["NaN", "Infinity", "-Infinity"])
+def test_points_that_are_not_finite_fail(spark, tmp_path, bad):
+    with pytest.raises(PySparkException, match="y is not finite"):
+        read_points(spark, write(tmp_path, f"0.1,0.1\n0.2,{bad}\n")).collect()

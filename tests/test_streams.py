@@ -5,6 +5,7 @@ from test_frequent import PARAMS, make_items
 
 from lodestar.operators import frequent
 from lodestar.sources import items_from, items_from_lines, read_item_stream
+from lodestar.streaming.store import BatchTable
 from lodestar.streaming import (
     FrequentStream,
     SizedStream,
@@ -241,3 +242,28 @@ def test_arguments(tmp_path):
         FrequentStream(str(tmp_path), 0.1, 0.2, 0.1)
     with pytest.raises(ValueError):
         FrequentStream(str(tmp_path), *PARAMS, n=0)
+
+
+def test_stores_stay_bounded(spark, tmp_path):
+    """After 50 batches there are as many folders as after a few, and one row for each item."""
+    import os
+    from collections import Counter
+
+    from pyspark.sql import functions as F
+
+    table = BatchTable(str(tmp_path), "item bigint, freq bigint", lambda rows: rows.groupBy("item").agg(F.sum("freq").alias("freq")), every=4)
+    counts = Counter()
+    for batch_id in range(50):
+        batch = [(batch_id % 7, 1), (100 + batch_id % 3, 2)]
+        frame = spark.createDataFrame(batch, "item bigint, freq bigint").coalesce(1)
+        if batch_id % 9 == 3:  # a first run of the batch that was lost
+            table.save(frame.limit(1), batch_id)
+        table.save(frame, batch_id)
+        for item, n in batch:
+            counts[item] += n
+        if batch_id % 10 == 9:
+            loaded = table.load(spark)
+            assert rows(loaded.groupBy("item").agg(F.sum("freq"))) == sorted(counts.items())
+            assert loaded.count() <= 10 + 2 * 4
+    folders = [d for d, _, _ in os.walk(tmp_path)]
+    assert len(folders) <= 1 + 2 + 2 * 4 + 2

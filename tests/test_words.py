@@ -89,3 +89,17 @@ def test_spread(spark):
 def test_errors_are_pyspark(spark):
     with pytest.raises(PySparkException):
         read_lines(spark, "/nonexistent/path").count()
+
+
+@pytest.mark.parametrize("salt", ["map", "group"])
+def test_equal_lines_use_all_salts_evenly(spark, salt):
+    many = spark.range(1000).select(F.col("id").alias("doc_id"), F.lit("hot").alias("line"))
+    groups = words.salted_words(many, 8, 42, salt).agg(F.count("*").alias("n")).collect()
+    assert len(groups) == 8
+    assert all(1000 / 16 <= g["n"] <= 1000 / 4 for g in groups)
+
+
+def test_copies_of_a_line_in_a_document(spark):
+    text = spark.createDataFrame([(1, "hot hot\n" * 500)], "doc_id bigint, text string")
+    groups = words.salted_words(lines_from(text, "text", keep=["doc_id"]), 4, 42, "map").agg(F.count("*").alias("n"))
+    assert [200 <= r["n"] <= 300 for r in groups.collect()] == [True] * 4

@@ -94,5 +94,16 @@ def ranked(df: DataFrame, key: Sequence[str], order: Sequence[str], name: str) -
     return numbered.alias("n").join(offsets.alias("o"), condition).select(*kept, rank)
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as make it differ from the columns of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    found = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        found.append(name)
+    return found
+
+
 def buckets(total: int, each: int, at_least: int = 1) -> int:
     return max(at_least, math.ceil(total / max(1, each)))

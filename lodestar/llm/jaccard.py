@@ -31,7 +31,7 @@ columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain, combinations
 
 import numpy as np
@@ -43,7 +43,7 @@ from pyspark.sql.window import Window
 
 from ..plans import stage
 from ..plans.skew import BROADCAST_ROWS
-from .common import buckets, map_rows, table
+from .common import buckets, free_names, map_rows, table
 from .components import components
 
 WORDS = 5
@@ -103,6 +103,14 @@ def shingle_sets(texts: list[str | None], memo: WordHashes, size: int = WORDS) -
     return sets
 
 
+Maker = Callable[[], Callable[[list], list[np.ndarray]]]
+
+
+def shingle_maker() -> Callable[[list], list[np.ndarray]]:
+    memo = WordHashes()
+    return lambda texts: shingle_sets(texts, memo)
+
+
 # Size bands
 
 
@@ -181,7 +189,7 @@ def _digest(found: np.ndarray) -> int:
 _PLAIN, _MARK, _DOC, _UNNAMED, _FILLED = 0, -1, -2, -3, -4
 
 
-def _exchange(docs: DataFrame) -> DataFrame:
+def _exchange(docs: DataFrame, maker: Maker) -> DataFrame:
     """One pass over the texts, one exchange: ``(key, sid, salt, more)``, staged.
 
     Shared keys with their holders and, in ``more``, the first holder; documents (``key`` is the id) with
@@ -225,12 +233,12 @@ def _exchange(docs: DataFrame) -> DataFrame:
             yield batch_of(keys[marks], holder[marks], np.full(len(marks), _MARK), np.zeros(len(marks), dtype=np.int64))
 
     def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = WordHashes()
+        sets_of = maker()
         ids, tokens, held = [], [], 0
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                found = shingle_sets(part.column(1).to_pylist(), memo)
+                found = sets_of(part.column(1).to_pylist())
                 ids += part.column(0).to_pylist()
                 tokens += found
                 held += sum(map(len, found))
@@ -309,13 +317,24 @@ def _agree(band: Column, n_a: Column, n_b: Column) -> Column:
     return BANDS.column(BANDS.parts, band) - F.floor((n_a + n_b) * (100 - PERCENT) / (100 + PERCENT))
 
 
-def _fallback_pairs(weak: DataFrame, sets: DataFrame, dear: DataFrame) -> DataFrame:
+def _depths(weak: DataFrame, roles: DataFrame, lost: DataFrame) -> dict[int, int]:
+    """How many deletions the allocation of some set of a band may need, by band."""
+    band = F.col("band")
+    h = BANDS.column(BANDS.differ, band)
+    dear = F.coalesce("_dear", F.lit(0))
+    known = weak.join(roles.select("sid", "band", "filled"), ["sid", "band"]).join(lost.select("sid", "band", "_dear"), ["sid", "band"], "left")
+    deep = F.when(2 * (F.col("filled") - dear) + dear >= h + 1, F.lit(1)).otherwise(F.ceil((h + 1) / F.col("filled")))
+    found = known.groupBy("band").agg(F.max(deep).alias("deep")).collect()
+    return {r["band"]: max(2, int(r["deep"])) if r["deep"] > 1 else 1 for r in found}
+
+
+def _fallback_pairs(weak: DataFrame, sets: DataFrame, dear: DataFrame, depths: dict[int, int]) -> DataFrame:
     """Candidate pairs of the sets with too few cheap segments, ``weak`` (sid, band), by allocation of cost.
 
     ``dear`` are the skipped keys of these sets, ``(key, sid, band, n, price)``.
     """
     parts, differ = BANDS.parts, BANDS.differ
-    level = {k: differ[k] if parts[k] == 1 else 2 for k in range(len(parts))}
+    level = {k: differ[k] if parts[k] == 1 else depths.get(k, 1) for k in range(len(parts))}
 
     def start():
         def run(batch):
@@ -438,7 +457,7 @@ def _cross_pairs(keys: DataFrame, cheap: DataFrame, blank: DataFrame | None) ->
     return counted.where((F.col("_k") >= F.col("_need")) | F.col("_need").isNull()).select("a", "b")
 
 
-def links(docs: DataFrame, exchanged: DataFrame) -> DataFrame:
+def links(docs: DataFrame, exchanged: DataFrame, maker: Maker) -> DataFrame:
     """Pairs ``(a, b)`` of digests of linked sets, enough of them to connect whatever links connect."""
     n, band = F.col("n"), F.col("band")
     parts, differ = BANDS.column(BANDS.parts, band), BANDS.column(BANDS.differ, band)
@@ -455,7 +474,7 @@ def links(docs: DataFrame, exchanged: DataFrame) -> DataFrame:
     # Sets that have too few non-empty segments from the start.
     bare = roles.where(F.col("filled") <= differ)
     chosen = keys.select("sid").unionByName(bare.select("sid")).distinct().join(reps.select("sid", "first"), "sid")
-    sets = stage(_tokens(docs, stage(chosen)))
+    sets = stage(_tokens(docs, stage(chosen), maker))
 
     found = _verified(_star_pairs(keys, reps), sets)
     # Only keys that several components hold matter from here on.
@@ -494,7 +513,7 @@ def links(docs: DataFrame, exchanged: DataFrame) -> DataFrame:
     weak = stage(weak.unionByName(bare.select("sid", "band")).distinct())
     if weak.limit(1).count():
         held_dear = prices.join(weak, ["sid", "band"]).select("key", "sid", "band", "n", "price")
-        pairs = _fallback_pairs(weak, sets, held_dear)
+        pairs = _fallback_pairs(weak, sets, held_dear, _depths(weak, roles, lost))
         known = components(found)
         a = known.select(F.col("node").alias("a"), F.col("component").alias("_a"))
         b = known.select(F.col("node").alias("b"), F.col("component").alias("_b"))
@@ -512,14 +531,14 @@ def _reordered_star(keys: DataFrame) -> DataFrame:
     return counted.where(F.col("_k") * 4 >= _agree(F.col("band"), F.col("n_a"), F.col("n_b")) - 4)
 
 
-def _tokens(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+def _tokens(docs: DataFrame, chosen: DataFrame, maker: Maker) -> DataFrame:
     """``(sid, n, tokens)`` of the chosen sets, read again from the first document of each."""
 
     def start():
-        memo = WordHashes()
+        sets_of = maker()
 
         def run(batch):
-            found = shingle_sets(batch["text"], memo)
+            found = sets_of(batch["text"])
             return {"sid": [_digest(f) for f in found], "n": [len(f) for f in found], "tokens": [f.tobytes() for f in found]}
 
         return run
@@ -532,10 +551,13 @@ def _tokens(docs: DataFrame, chosen: DataFrame) -> DataFrame:
     return rows.join(chosen.select("sid"), "sid", "left_semi").dropDuplicates(["sid"])
 
 
-def classes(docs: DataFrame) -> DataFrame:
-    """``(doc_id, n_shingles, component_id)`` for documents ``(doc_id, text)`` with integer ids."""
-    exchanged = _exchange(docs)
-    found = components(links(docs, exchanged)).withColumnRenamed("node", "sid")
+def classes(docs: DataFrame, maker: Maker = shingle_maker) -> DataFrame:
+    """``(doc_id, n_shingles, component_id)`` for documents ``(doc_id, text)`` with integer ids.
+
+    ``maker()`` gives, once per task, the function from texts to their sets, sorted distinct 64-bit hashes.
+    """
+    exchanged = _exchange(docs, maker)
+    found = components(links(docs, exchanged, maker)).withColumnRenamed("node", "sid")
     named = exchanged.where(F.col("salt").isin(_DOC, _UNNAMED)).select(
         F.when(F.col("salt") == _DOC, F.col("key")).alias("doc_id"), "sid", F.col("more").alias("n")
     )
@@ -561,10 +583,32 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     if again.limit(1).count():
         repeated = few(again)
         first = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last())
-        single = stay.join(repeated, "doc_id", "left_semi").withColumn("_row", F.row_number().over(first)).where("_row = 1").drop("_row")
+        (row,) = free_names(docs, "_row")
+        single = stay.join(repeated, "doc_id", "left_semi").withColumn(row, F.row_number().over(first)).where(F.col(row) == 1).drop(row)
         stay = stay.join(repeated, "doc_id", "left_anti").unionByName(single)
     return stay.select(*docs.columns)
 
 
 def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes(table(spark, sf_dir, "documents"))
+
+
+OP3_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS words FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(words) = 0 THEN CAST([] AS VARCHAR[])
+                      WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+                      ELSE list_distinct(list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' ')))
+                 END AS grams FROM w),
+t AS (SELECT doc_id, unnest(grams) AS gram FROM s),
+shared AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM t a JOIN t b ON a.gram = b.gram AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+links AS (
+  SELECT shared.a, shared.b FROM shared JOIN s x ON x.doc_id = a JOIN s y ON y.doc_id = b
+  WHERE 100 * n >= 80 * (len(x.grams) + len(y.grams) - n)),
+reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM s UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a)
+SELECT s.doc_id, CAST(len(any_value(s.grams)) AS BIGINT) AS n_shingles, min(reach.b) AS component_id
+FROM s JOIN reach ON reach.a = s.doc_id GROUP BY s.doc_id"""

@@ -35,7 +35,7 @@ from pyspark.sql.window import Window
 
 from ..plans import stage
 from ..plans.skew import BROADCAST_ROWS
-from .common import map_rows, table
+from .common import free_names, map_rows, table
 
 TEMPERATURE = 0.7
 BLOCK_CHARS = 100_000
@@ -191,12 +191,15 @@ def mixed(docs: DataFrame, weights: Mapping | None = None, block_chars: int = BL
     """The documents, with all columns, in the order of the mix: by partitions and inside each of them."""
     places = stage(assign(docs, weights, block_chars))
     keyed = places.groupBy("doc_id", "text_hash").agg(F.min(F.struct("slot", "start")).alias("_place"))
-    keyed = keyed.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "_place.slot", "_place.start")
+    id_, hash_, slot, start = free_names(docs, "_id", "_hash", "_slot", "_start")
+    keyed = keyed.select(
+        F.col("doc_id").alias(id_), F.col("text_hash").alias(hash_), F.col("_place.slot").alias(slot), F.col("_place.start").alias(start)
+    )
     # Texts are moved once, to their place in the mix, while the places can be sent to all tasks.
     keyed = F.broadcast(keyed) if places.count() <= 5 * BROADCAST_ROWS else keyed
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_hash"))
-    placed = docs.join(keyed, same).withColumnsRenamed({"slot": "_slot", "start": "_start"})
-    ordered = placed.repartitionByRange("_slot", "_start", "doc_id").sortWithinPartitions("_slot", "_start", "doc_id")
+    same = F.col("doc_id").eqNullSafe(F.col(id_)) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col(hash_))
+    placed = docs.join(keyed, same)
+    ordered = placed.repartitionByRange(slot, start, "doc_id").sortWithinPartitions(slot, start, "doc_id")
     return ordered.select(*docs.columns)
 
 

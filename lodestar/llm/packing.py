@@ -160,10 +160,14 @@ def shortest_pack_first(histogram: dict[int, int], size: int) -> list[tuple[tupl
 
     for length in sorted(histogram, reverse=True):
         left = histogram[length]
-        placed = []
         while left:
             if not spaces or spaces[-1] < length:
-                placed.append(((length,), left, size - length))
+                # No open pack has room. A new one takes as many of this length as it can hold.
+                each = size // length
+                if left >= each:
+                    put((length,) * each, left // each, size - each * length)
+                if left % each:
+                    put((length,) * (left % each), 1, size - left % each * length)
                 break
             space = spaces[-1]
             pattern, count = room[space].pop()
@@ -175,9 +179,6 @@ def shortest_pack_first(histogram: dict[int, int], size: int) -> list[tuple[tupl
                 spaces.pop(bisect_left(spaces, space))
             put(pattern + (length,), used, space - length)
             left -= used
-        for p in placed:
-            # A new pack takes as many of this length as fit before others come.
-            put(*p)
     return done + [p for packs in room.values() for p in packs]
 
 
@@ -223,15 +224,11 @@ def pack(cut: DataFrame, size: int = SIZE, order: Sequence[str] = ("doc_id", "st
     return map_rows(numbered, schema, start)
 
 
-def in_file_order(docs: DataFrame) -> DataFrame:
-    """Documents read from files with the columns ``_file`` and ``_line`` that tell their order there."""
-    return docs.select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_line"))
-
-
 def pack_in_file_order(docs: DataFrame) -> DataFrame:
-    """Sequences of documents read from files: of the pieces of a length, those that come first there are packed first."""
-    cut = pieces(in_file_order(docs), keep=["_file", "_line"])
-    return pack(cut, order=["_file", "_line", "start"]).drop("_file", "_line")
+    """Sequences of documents read from Parquet files: of the pieces of a length, those that come first there are packed first."""
+    place = {"_file": F.col("_metadata.file_name"), "_line": F.col("_metadata.row_index")}
+    placed = docs.select("doc_id", "text", *[c.alias(name) for name, c in place.items()])
+    return pack(pieces(placed, keep=list(place)), order=[*place, "start"]).drop(*place)
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

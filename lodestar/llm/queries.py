@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from .html import op2_html
-from .jaccard import op3_jaccard
+from .jaccard import OP3_SQL, op3_jaccard
 from .language import op10_language
 from .mixing import op5_mixing
 from .packing import op6_packing
 from .quality import op1_quality
-from .rules import op7_rules
+from .rules import OP7_SQL, op7_rules
 from .spotsigs import op4_spotsigs
 from .urls import op8_urls
 from .warc import OP9_SQL, op9_warc
@@ -29,5 +29,7 @@ QUERIES = {
 ORACLE_SQL: dict[str, str] = {
     "op7_rules": op7_rules,
     "op8_urls": op8_urls,
+    "op3_jaccard": OP3_SQL,
+    "op7_rules": OP7_SQL,
     "op9_warc": OP9_SQL,
 }

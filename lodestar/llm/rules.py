@@ -220,3 +220,70 @@ def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float
 def op7_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def _sql() -> str:
+    values = {
+        "symbol_share": "n_symbols / greatest(word_chars, 1)",
+        "repeat_share": "n_repeat_words / greatest(n_words, 1)",
+        "dup_line_share": "n_dup_lines / greatest(n_lines, 1)",
+        "upper_share": "n_upper / greatest(word_chars, 1)",
+        "bang_share": "n_bang / greatest(word_chars, 1)",
+        "long_words": "word_chars / greatest(n_words, 1)",
+        "short_words": "-(word_chars / greatest(n_words, 1))",
+    }
+    grid = ", ".join(f"('{rule}', {k}, CAST({c!r} AS DOUBLE))" for rule, cutoffs in GRIDS.items() for k, c in enumerate(cutoffs))
+    each = " UNION ALL ".join(f"SELECT doc_id, stratum, base_failed, '{rule}' AS rule, CAST({v} AS DOUBLE) AS value FROM judged" for rule, v in values.items())
+    word, log = r"[^\x20\x09-\x0D]", "lgamma(total + 1) - lgamma(i + 1) - lgamma(total - i + 1)"
+    return rf"""
+WITH t AS (
+  SELECT doc_id, lang AS stratum, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{word}+') AS words FROM documents),
+windows AS (
+  SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, words[i], words[i + 1], words[i + 2]) AS n
+  FROM (SELECT doc_id, words, unnest(range(1, len(words) - 1)) AS i FROM t)),
+repeats AS (
+  SELECT doc_id, count(DISTINCT place) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS place FROM windows WHERE n > 1) GROUP BY doc_id),
+lines AS (
+  SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{word}')) AS lines FROM t),
+stats AS (
+  SELECT t.doc_id, stratum, CAST(len(words) AS BIGINT) AS n_words,
+         CAST(coalesce(list_sum(list_transform(words, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+         CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+         CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+         CAST(coalesce(repeats.n, 0) AS BIGINT) AS n_repeat_words, len(lines) AS n_lines,
+         length(text) - length(regexp_replace(text, '[A-Z]', '', 'g')) AS n_upper,
+         length(text) - length(replace(text, '!', '')) AS n_bang
+  FROM t JOIN lines USING (doc_id) LEFT JOIN repeats USING (doc_id)),
+judged AS (
+  SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed FROM stats),
+measured AS ({each}),
+grid AS (SELECT * FROM (VALUES {grid}) AS g(rule, k, cutoff)),
+known AS (SELECT doc_id, min(quality) AS quality FROM labels WHERE quality IS NOT NULL GROUP BY doc_id),
+held AS (SELECT m.* , quality FROM measured m JOIN known USING (doc_id) WHERE NOT base_failed),
+totals AS (
+  SELECT stratum, rule, count(*) FILTER (quality = 1) AS total,
+         {DELTA!r} / ((SELECT count(DISTINCT coalesce(stratum, chr(1))) FROM held) * {len(GRIDS)}) AS level
+  FROM held GROUP BY stratum, rule),
+tried AS (
+  SELECT h.stratum, h.rule, k, cutoff, count(*) FILTER (quality = 1 AND value > cutoff) AS good,
+         count(*) FILTER (quality <> 1 AND value > cutoff) AS bad
+  FROM held h JOIN grid USING (rule) GROUP BY h.stratum, h.rule, k, cutoff),
+tested AS (
+  SELECT tried.*, bad - {GOOD_WEIGHT} * good AS gain,
+         good < total AND list_sum(list_transform(range(0, good + 1), lambda i:
+           exp({log} + i * ln({RISK!r}) + (total - i) * ln(1 - {RISK!r})))) <= level AS valid
+  FROM tried JOIN totals ON totals.rule = tried.rule AND totals.stratum IS NOT DISTINCT FROM tried.stratum),
+passed AS (
+  SELECT *, bool_and(valid) OVER (PARTITION BY stratum, rule ORDER BY k) AS usable FROM tested),
+chosen AS (
+  SELECT stratum, rule, cutoff FROM passed WHERE usable AND gain > 0
+  QUALIFY row_number() OVER (PARTITION BY stratum, rule ORDER BY gain DESC, k) = 1),
+rejected AS (
+  SELECT DISTINCT doc_id FROM measured m JOIN chosen c ON c.rule = m.rule AND c.stratum IS NOT DISTINCT FROM m.stratum
+  WHERE value > cutoff)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM rejected) AS kept
+FROM judged"""
+
+
+OP7_SQL = _sql()

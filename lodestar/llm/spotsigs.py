@@ -8,9 +8,10 @@ matter, so a local edit only changes the signatures near it. The multiset of a
 text's signature hashes is its fingerprint, the Jaccard similarity of two of
 them their likeness.
 
-Near duplicates are searched between documents whose set sizes allow the
-similarity: documents are partitioned by set length into bands of the ratio
-that is asked for, each compared within its band and with the next one.
+Near duplicates (``near_classes``) are searched between documents whose set
+lengths allow the similarity: sets are partitioned by length into bands of the
+ratio that is asked for, a set only meets those of its band and the next one
+that share a part with it, and pairs are compared exactly.
 
 Defined cases: a null text counts as empty; a text without words has the empty
 fingerprint, and two empty fingerprints are alike by 1, an empty and another
@@ -34,7 +35,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from .common import TASK_CHARS, buckets, table
-from .jaccard import WordHashes, mix
+from .jaccard import WordHashes, classes, mix
 
 #: Content words chained to an anchor.
 CHAIN = 2
@@ -104,12 +105,14 @@ def fingerprint(found: np.ndarray) -> str:
     return found.astype(">u4").tobytes().hex()
 
 
-def likeness(a: np.ndarray, b: np.ndarray) -> float:
-    """Jaccard similarity of two sorted sets."""
+def likeness(a: np.ndarray, b: np.ndarray, least: float = 0.0) -> float:
+    """Jaccard similarity of two sorted sets; 0 without a look at them where their lengths keep it below ``least``."""
     if not len(a) or not len(b):
         return float(len(a) == len(b))
     if len(a) > len(b):
         a, b = b, a
+    if len(a) < least * len(b):
+        return 0.0
     common = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
     return common / (len(a) + len(b) - common)
 
@@ -194,5 +197,15 @@ def compare_with_following(docs: DataFrame) -> DataFrame:
     return in_order(docs).mapInArrow(run, schema)
 
 
+def _signature_maker():
+    memo = _Words()
+    return lambda texts: [np.sort(mix(spots(t or "", memo).astype(np.uint64))) for t in texts]
+
+
+def near_classes(docs: DataFrame) -> DataFrame:
+    """``(doc_id, n_signatures, component_id)``: documents joined where their signatures agree to 80 percent or more."""
+    return classes(docs, _signature_maker).withColumnRenamed("n_shingles", "n_signatures")
+
+
 def op4_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare_with_following(table(spark, sf_dir, "documents"))

@@ -1,0 +1,185 @@
+import os
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from texts import documents, edges, frame
+
+from lodestar.llm import mixing, packing
+
+SOURCES = ["big", "big", "big", "mid", "small", None]
+
+
+def sourced(n=300):
+    rng = random.Random(2)
+    return [(d, t, lang, rng.choice(SOURCES)) for d, t, lang, _ in documents(n=n)] + [(d, t, None, "odd") for d, t in edges()]
+
+
+@pytest.mark.parametrize("counts", [[1], [3, 2], [500, 300, 199, 1], [7, 5, 5, 3, 2, 2, 1], [1] * 40])
+def test_less_than_one_block_off(counts):
+    slots = mixing.one_period(counts)
+    period = sum(counts)
+    assert sorted(np.concatenate(slots).tolist()) == list(range(period))
+    for count, own in zip(counts, slots):
+        done = np.searchsorted(own, np.arange(period + 1))
+        assert np.abs(done - np.arange(period + 1) * count / period).max() < 1
+
+
+def test_shares():
+    for weights, period in (([1.0, 2.0, 3.0], 1000), ([1e-9, 1.0], 1000), ([1.0] * 7, 28), ([5.0], 10)):
+        found = mixing.shares(weights, period)
+        assert sum(found) == period and min(found) >= 1
+
+
+@pytest.mark.parametrize("weights", [{"a": 3, "b": 1, "c": 1}, {"a": 1, "b": 0}, {"b": 1}])
+def test_every_block_has_its_slot(weights):
+    blocks = {"a": 1234, "b": 777, "c": 1}
+    found = mixing.schedule(blocks, weights)
+    slots = {}
+    for source, n in blocks.items():
+        own = []
+        for k in range(n):
+            first, now, period, length = [s for s in found[source] if s[0] <= k][-1]
+            turns, rest = divmod(k - first, len(period))
+            own.append(now + turns * length + int(period[rest]))
+        assert own == sorted(own)
+        slots[source] = own
+    every = sorted(s for own in slots.values() for s in own)
+    assert every == list(range(sum(blocks.values())))
+    active = [s for s in blocks if weights.get(s, 0) > 0]
+    total = sum(weights[s] for s in active)
+    until = min(slots[s][-1] for s in active)
+    for s in active:
+        done = np.searchsorted(slots[s], np.arange(until))
+        assert np.abs(done - np.arange(until) * weights[s] / total).max() < 1.5  # one block, and rounded weights
+
+
+def test_assignment(spark):
+    docs = sourced()
+    got = mixing.assign(frame(spark, docs), block_chars=500).collect()
+    assert sorted(r["doc_id"] or -1 for r in got) == sorted(d[0] or -1 for d in docs)
+    by = defaultdict(list)
+    for r in got:
+        by[r["source"]].append((r["start"], r["chars"], r["block"], r["slot"]))
+    assert set(by) == {"big", "mid", "small", None, "odd"}
+    slots = {}
+    for source, found in by.items():
+        total = sum(c for _, c, _, _ in found)
+        running = 0
+        for start, chars, block, slot in sorted(found):
+            assert start == running
+            assert block == min(start // 500, max(1, -(-total // 500)) - 1)
+            running += chars
+            assert slots.setdefault(slot, (source, block)) == (source, block)
+    assert mixing.assign(frame(spark, docs).where("false")).count() == 0
+
+
+def test_hot_source_in_many_partitions(spark):
+    docs = [(k, "x" * (k % 17), "en", "hot" if k % 3 else "cold") for k in range(2000)]
+    found = mixing.assign(frame(spark, docs, 7).repartition(7), block_chars=50)
+    hot = sorted((r["start"], r["chars"]) for r in found.where("source = 'hot'").collect())
+    running = 0
+    for start, chars in hot:
+        assert start == running
+        running += chars
+
+
+def test_mixed_keeps_rows_and_order(spark, tmp_path):
+    docs = frame(spark, sourced())
+    mixed = mixing.mixed(docs, block_chars=500)
+    assert mixed.schema == docs.schema
+    key = lambda df: sorted(map(str, df.collect()))
+    assert key(mixed) == key(docs)
+    mixed.write.parquet(str(tmp_path / "mix"))
+    read = spark.read.parquet(str(tmp_path / "mix")).selectExpr("doc_id", "text", "_metadata.file_name as f", "_metadata.row_index as k")
+    order = [(r["doc_id"], r["text"]) for r in sorted(read.collect(), key=lambda r: (r["f"], r["k"]))]
+    place = {(r["doc_id"], r["text_hash"]): (r["slot"], r["start"]) for r in mixing.assign(docs, block_chars=500).collect()}
+    hashes = {(r[0], r[1]): r[2] for r in docs.selectExpr("doc_id", "text", "xxhash64(coalesce(text, ''))").collect()}
+    places = [place[d, hashes[d, t]] for d, t in order]
+    assert places == sorted(places)
+
+
+@pytest.fixture(scope="module")
+def tokenizer():
+    tokenizers = pytest.importorskip("tokenizers")
+    found = tokenizers.Tokenizer.from_file(packing.default_tokenizer())
+    found.encode_special_tokens = True
+    return found
+
+
+TRICKY = [
+    "", " ", "  ", "\n", " \n ", "a  b", "a   b\n\nc\t d ", "it's we'll 'sound' x's", "é\u00a0b \u2003c\u3000 d", "a\x1cb \x1d c \x85 d\u2028e",
+    "<|endoftext|> and <|endoftext|>", "123 456,789!!! ???\r\n\r\nnext", "日本語 テスト", "\U0001f600\U0001f601 x", "\x00\x01 a", "tab\tend \t x", "a \nb \n c",
+]
+
+
+def test_encoder_equals_the_library(tokenizer):
+    encoder = packing.Encoder(open(packing.default_tokenizer(), encoding="utf-8").read())
+    rng = random.Random(1)
+    odd = ["".join(rng.choice(" \n\tab'1é.,\u00a0\x1f<|>") for _ in range(rng.randint(1, 30))) for _ in range(500)]
+    for text in TRICKY + odd + [t or "" for _, t in edges()]:
+        expected = np.array(tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        assert encoder.encode(text) == expected, repr(text)
+
+
+def test_packing(spark, tokenizer):
+    docs = [d[:2] for d in documents(n=200)] + edges() + [(2000 + k, t) for k, t in enumerate(TRICKY)]
+    cut = packing.pieces(frame(spark, docs), ids=True)
+    got = packing.pack(cut).collect()
+    expected = Counter()
+    for doc_id, text in docs:
+        ids = (*tokenizer.encode(text or "", add_special_tokens=False).ids, 1)
+        expected[doc_id, ids] += 1
+    by_doc = defaultdict(list)
+    for r in got:
+        assert r["length"] == len(r["ids"]) <= 2048
+        assert r["ids_crc32"] == zlib.crc32(np.array(r["ids"], dtype="<u4").tobytes())
+        by_doc[r["doc_id"], r["doc_tokens"], r["start"]].append(tuple(r["ids"]))
+    found = Counter()
+    for doc_id, total in {k[:2] for k in by_doc}:
+        starts = sorted(k[2] for k in by_doc if k[:2] == (doc_id, total))
+        assert starts == list(range(0, total, 2048))
+        # Pieces of repeated rows are equal, or the documents are shorter than one piece.
+        for k in range(len(by_doc[doc_id, total, 0])):
+            found[doc_id, tuple(i for s in starts for i in by_doc[doc_id, total, s][k])] += 1
+    assert found == expected
+    sequences = defaultdict(list)
+    for r in got:
+        sequences[r["sequence_id"]].append((r["offset"], r["length"]))
+    padding = 0
+    for places in sequences.values():
+        at = 0
+        for offset, length in sorted(places):
+            assert offset == at
+            at += length
+        assert at <= 2048
+        padding += 0 if at & (at - 1) == 0 else 2048 - at
+    assert sorted(sequences) == list(range(len(sequences)))
+    assert padding <= 2 * 2048
+    assert packing.pack(packing.pieces(frame(spark, docs).where("false"))).count() == 0
+
+
+def test_histogram_packing():
+    rng = random.Random(0)
+    for size in (8, 64, 2048):
+        histogram = Counter(rng.randint(1, size) for _ in range(5000))
+        patterns = packing.shortest_pack_first(dict(histogram), size)
+        back = Counter()
+        for pattern, count in patterns:
+            assert sum(pattern) <= size and count > 0
+            for length in pattern:
+                back[length] += count
+        assert back == histogram
+        total = sum(k * v for k, v in histogram.items())
+        assert sum(c for _, c in patterns) <= 1.02 * total / size + 1
+    assert packing.shortest_pack_first({}, 8) == []
+
+
+def test_file_order_ranks_pieces(spark, tmp_path):
+    frame(spark, [(k, "a b c") for k in range(50)], 1).orderBy("doc_id").coalesce(1).write.parquet(str(tmp_path / "docs"))
+    got = packing.pack_in_file_order(spark.read.parquet(str(tmp_path / "docs"))).collect()
+    places = [r["doc_id"] for r in sorted(got, key=lambda r: (r["offset"], r["sequence_id"]))]
+    assert places == sorted(places) and len(places) == 50

@@ -1,0 +1,91 @@
+import hashlib
+
+import numpy as np
+from texts import documents, edges, frame
+
+from lodestar.llm import spotsigs
+
+
+def in_order(docs):
+    return sorted(docs, key=lambda d: (d[0] is not None, d[0] or 0, d[1] or ""))
+
+
+def check(spark, docs):
+    got = spotsigs.compare_with_following(frame(spark, docs)).collect()
+    ordered = in_order([d[:2] for d in docs])
+    expected = []
+    for k, (doc_id, text) in enumerate(ordered):
+        text, following = text or "", ordered[(k + 1) % len(ordered)][1] or ""
+        cut = len(text) // 4
+        new = text[: len(text) - cut] + following[:cut]
+        expected.append((doc_id, len(text), hashlib.sha256(new.encode("utf-8")).hexdigest()))
+    assert sorted((tuple(r)[:3] for r in got), key=str) == sorted(expected, key=str)
+    return got
+
+
+def test_following_documents(spark):
+    got = check(spark, documents(n=150) + edges())
+    for r in got:
+        assert 0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1
+        assert len(r["fingerprint"]) % 8 == 0
+
+
+def test_one_and_two_documents(spark):
+    (alone,) = check(spark, [(5, "just one document of the kind")])
+    assert alone["near_next"] == 1.0
+    check(spark, [(5, "a text"), (9, None)])
+    check(spark, [(None, "a text of no id")])
+    assert spotsigs.compare_with_following(frame(spark, edges()).where("false")).count() == 0
+
+
+def test_many_ranges(spark, monkeypatch):
+    monkeypatch.setattr(spotsigs, "TASK_CHARS", 400)
+    check(spark, documents(n=200) + edges())
+
+
+def test_likeness_tells_edited_texts_from_others(spark):
+    got = check(spark, [d for d in documents(n=200) if d[3]])
+    edited, following = np.array([(r["near_edited"], r["near_next"]) for r in got]).T
+    assert np.quantile(edited, 0.02) > np.quantile(following, 0.98)
+
+
+def test_fingerprints():
+    memo = spotsigs._Words()
+    a = "The house of the river is between gardens and the old stone bridge " * 3
+    assert spotsigs.fingerprint(spotsigs.spots(a, memo)) == spotsigs.fingerprint(spotsigs.spots(a, spotsigs._Words()))
+    assert len(spotsigs.spots("", memo)) == 0 and len(spotsigs.spots("word", memo)) >= 1
+    none, one = spotsigs.spots("", memo), spotsigs.spots("word", memo)
+    assert spotsigs.likeness(none, none) == 1.0 and spotsigs.likeness(none, one) == 0.0
+    assert spotsigs.likeness(one, one) == 1.0
+    # A local edit changes signatures near it only.
+    words = a.split()
+    words[10] = "different"
+    assert spotsigs.likeness(spotsigs.spots(a, memo), spotsigs.spots(" ".join(words), memo)) > 0.6
+    # Without any common word there are signatures too, and repeats count.
+    bare = " ".join(f"token{k}" for k in range(40))
+    assert len(spotsigs.spots(bare, memo)) > 20
+    assert len(spotsigs.spots("same " * 50, memo)) > 30
+
+
+def test_near_classes_by_brute_force(spark):
+    docs = documents(n=60) + edges()
+    near = [(3000 + k, f"{t} and {k} more words") for k, (d, t, *_) in enumerate(docs[:40])]
+    docs = [d[:2] for d in docs if d[0] is not None] + near
+    memo = spotsigs._Words()
+    sets = [spotsigs.spots(t or "", memo) for _, t in docs]
+    parent = list(range(len(docs)))
+
+    def find(a):
+        while parent[a] != a:
+            a = parent[a]
+        return a
+
+    for a in range(len(docs)):
+        for b in range(a):
+            if len(sets[a]) and len(sets[b]) and spotsigs.likeness(sets[a], sets[b], 0.8) >= 0.8 - 1e-12:
+                parent[find(a)] = find(b)
+    least = {}
+    for k, (d, _) in enumerate(docs):
+        least[find(k)] = min(d, least.get(find(k), d))
+    expected = sorted((d, len(s), least[find(k)] if len(s) else d) for k, ((d, _), s) in enumerate(zip(docs, sets)))
+    assert sorted(map(tuple, spotsigs.near_classes(frame(spark, docs)).collect())) == expected

@@ -11,10 +11,9 @@ from ..plans import stage
 def components(edges: DataFrame) -> DataFrame:
     """``(node, component)`` for the nodes of edges ``(a, b)``; the component is its smallest node.
 
-    Large-star and small-star rounds: every node passes its neighbours on to the
-    smallest of them until all are stars. A round is a few aggregates and joins
-    with one row per node on one side, staged; no neighbourhood is ever collected.
-    Null ends and loops are ignored, repeated edges count once.
+    In each round every node ties all its neighbours, and itself, to the smallest of them, until all
+    are stars. A round is one aggregate, a join with one row per node on one side and one distinct,
+    staged; no neighbourhood is ever collected. Null ends and loops are ignored, repeated edges count once.
     """
     current = stage(
         edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
@@ -24,20 +23,14 @@ def components(edges: DataFrame) -> DataFrame:
     seen = None
     while True:
         mark = current.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if mark == seen:
+        if mark == seen or mark[0] == 0:
             return current.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
                 current.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
             )
         seen = mark
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = stage(large)
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        passed = large.join(least, "u").select("u", "v", "m")
+        tied = both.join(least, "u").select("v", "m").unionByName(least.select(F.col("u").alias("v"), "m"))
         current = stage(
-            passed.select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .where("u <> v")
-            .unionByName(least.select("u", F.col("m").alias("v")))
-            .distinct()
+            tied.where("v <> m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).distinct()
         )

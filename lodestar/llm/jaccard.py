@@ -32,6 +32,7 @@ columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 from itertools import chain, combinations
 
 import numpy as np
@@ -425,23 +426,22 @@ def _key_costs(keys: DataFrame) -> DataFrame:
     return costs.where("cross > 0")
 
 
-def _star_pairs(keys: DataFrame, reps: DataFrame) -> DataFrame:
+def _star_pairs(keys: DataFrame) -> DataFrame:
     """Each holder of a key with the first holder, where they share a good part of what linked sets must share."""
-    pairs = keys.where("hub <> sid").groupBy(F.col("hub").alias("a"), F.col("sid").alias("b"), "band", F.col("n").alias("n_b"))
-    counted = pairs.agg(F.count("*").alias("_k")).join(reps.select(F.col("sid").alias("a"), F.col("n").alias("n_a")), "a")
-    return counted.where(
-        _may_link(F.col("n_a"), F.col("n_b")) & (F.col("_k") * 4 >= _agree(F.col("band"), F.col("n_a"), F.col("n_b")) - 4)
-    )
+    pairs = keys.where("hub <> sid").groupBy(F.col("hub").alias("a"), F.col("sid").alias("b"), "band", "n")
+    return pairs.agg(F.count("*").alias("_k")).where(F.col("_k") * 4 >= _agree(F.col("band"), F.col("n"), F.col("n")) - 4)
+
 
+def _cross_pairs(keys: DataFrame, cheap: DataFrame, enough: bool, dear: DataFrame | None) -> DataFrame:
+    """Pairs of different components that share a cheap key: with ``enough`` only those that share as many as linked sets must.
 
-def _cross_pairs(keys: DataFrame, cheap: DataFrame, blank: DataFrame | None) -> DataFrame:
-    """Pairs of different components that share a cheap key; ``blank`` are segments (sid, band) that cannot count."""
+    ``dear`` counts the skipped keys of each set, ``(sid, band, _dear)``, which cannot be shared here.
+    """
     rows = keys.join(cheap.select("key", "largest"), "key")
-    if blank is not None:
-        rows = rows.join(blank, ["sid", "band"], "left")
-        rows = rows.withColumn("_blank", F.col("_empty") + F.coalesce("_dear", F.lit(0)))
-    else:
-        rows = rows.withColumn("_blank", F.lit(None).cast("long"))
+    if dear is not None:
+        rows = rows.join(dear, ["sid", "band"], "left")
+    skipped = F.coalesce("_dear", F.lit(0)) if dear is not None else F.lit(0)
+    rows = rows.withColumn("_blank", F.col("_empty") + skipped if enough else F.lit(None).cast("long"))
     side = lambda x: [F.col(c).alias(f"{c}_{x}") for c in ("sid", "n", "component", "_blank")]
     few = rows.where("component <> largest").select("key", "band", *side("a"))
     every = rows.select("key", F.col("largest").alias("_l"), *side("b"))
@@ -457,68 +457,105 @@ def _cross_pairs(keys: DataFrame, cheap: DataFrame, blank: DataFrame | None) ->
     return counted.where((F.col("_k") >= F.col("_need")) | F.col("_need").isNull()).select("a", "b")
 
 
-def links(docs: DataFrame, exchanged: DataFrame, maker: Maker) -> DataFrame:
-    """Pairs ``(a, b)`` of digests of linked sets, enough of them to connect whatever links connect."""
-    n, band = F.col("n"), F.col("band")
+def _sets_and_bands(exchanged: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(sid, n, first)`` of each set and ``(sid, n, first, band, filled, _empty)`` of its bands."""
+    salt, more = F.col("salt"), F.col("more")
+    document, filled = salt.isin(_DOC, _UNNAMED) & (more > 0), salt == _FILLED
+    band = F.when(filled, F.col("key"))
+    reps = stage(
+        exchanged.where(document | filled)
+        .groupBy("sid")
+        .agg(
+            F.min(F.when(document, more)).alias("n"),
+            F.min(F.when(salt == _DOC, F.col("key"))).alias("first"),
+            F.max(band).alias("own"),
+            F.min(band).alias("below"),
+            F.max(F.when(filled, F.struct("key", "more"))).alias("_o"),
+            F.min(F.when(filled, F.struct("key", "more"))).alias("_b"),
+        )
+        .select("sid", "n", "first", "own", "below", F.col("_o.more").alias("_own"), F.col("_b.more").alias("_below"))
+    )
+    both = F.array(
+        F.struct(F.col("own").cast("int").alias("band"), F.col("_own").alias("filled")),
+        F.when(F.col("below") < F.col("own"), F.struct(F.col("below").cast("int").alias("band"), F.col("_below").alias("filled"))),
+    )
+    roles = reps.where("own IS NOT NULL").select("sid", "n", "first", F.explode(F.array_compact(both)).alias("_r"))
+    roles = roles.select("sid", "n", "first", "_r.band", "_r.filled")
+    return reps.select("sid", "n", "first"), roles.withColumn("_empty", BANDS.column(BANDS.parts, F.col("band")) - F.col("filled"))
+
+
+def links(docs: DataFrame, exchanged: DataFrame, reps: DataFrame, roles: DataFrame, maker: Maker) -> DataFrame:
+    """``(node, component)`` of digests of the sets that links connect, staged."""
+    band = F.col("band")
     parts, differ = BANDS.column(BANDS.parts, band), BANDS.column(BANDS.differ, band)
-    named = exchanged.where(F.col("salt").isin(_DOC, _UNNAMED) & (F.col("more") > 0))
-    reps = stage(named.groupBy("sid").agg(F.min("more").alias("n"), F.min(F.when(F.col("salt") == _DOC, F.col("key"))).alias("first")))
-    # Each set's bands with the number of its empty segments.
-    filled = exchanged.where(F.col("salt") == _FILLED).groupBy("sid", F.col("key").cast("int").alias("band")).agg(F.min("more").alias("filled"))
-    roles = stage(filled.join(reps, "sid").withColumn("_empty", parts - F.col("filled")))
-    held = exchanged.where(F.col("salt") == _PLAIN).select("key", F.col("key").bitwiseAND(F.lit(255)).cast("int").alias("band"), "sid", F.col("more").alias("hub"))
+    held = exchanged.where(F.col("salt") == _PLAIN).select(
+        "key", F.col("key").bitwiseAND(F.lit(255)).cast("int").alias("band"), "sid", F.col("more").alias("hub")
+    )
     # A linked set agrees with its partner on m - H segments; each is empty or its key is shared.
-    counts = held.groupBy("sid", "band").agg(F.count("*").alias("_k"))
-    able = counts.join(roles, ["sid", "band"]).where(F.col("_k") + F.col("_empty") >= parts - differ)
-    keys = stage(held.join(able.select("sid", "band", "n", "_empty"), ["sid", "band"]))
+    # A set has no more keys than a fraction of its n-grams, so its rows may meet in one group.
+    held = held.repartition(F.col("sid")).withColumn("_k", F.count("*").over(Window.partitionBy("sid", "band")))
+    able = held.join(roles, ["sid", "band"]).where(F.col("_k") + F.col("_empty") >= parts - differ)
+    keys = stage(able.select("key", "band", "sid", "hub", "n", "_empty", "first"))
     # Sets that have too few non-empty segments from the start.
     bare = roles.where(F.col("filled") <= differ)
-    chosen = keys.select("sid").unionByName(bare.select("sid")).distinct().join(reps.select("sid", "first"), "sid")
-    sets = stage(_tokens(docs, stage(chosen), maker))
+    chosen = stage(keys.select("sid", "first").unionByName(bare.select("sid", "first")).distinct())
+    sets = stage(_tokens(docs, chosen, maker))
+
+    def joined(known: DataFrame | None, more: DataFrame) -> DataFrame:
+        """Components after further links."""
+        old = [] if known is None else [known.select(F.col("node").alias("a"), F.col("component").alias("b"))]
+        return stage(components(reduce(DataFrame.unionByName, [more, *old])))
 
-    found = _verified(_star_pairs(keys, reps), sets)
+    found = joined(None, _verified(_star_pairs(keys), sets))
     # Only keys that several components hold matter from here on.
-    current = _with_component(keys.drop("hub"), components(found))
+    current = _with_component(keys.drop("hub", "first"), found)
     several = current.groupBy("key").agg(F.min("component").alias("_a"), F.max("component").alias("_b")).where("_a <> _b")
-    keys = stage(current.join(several.select("key"), "key", "left_semi").drop("component"))
+    keys = stage(current.join(several.select("key"), "key", "left_semi"))
 
-    def costs_now() -> tuple[DataFrame, DataFrame, DataFrame]:
-        current = stage(_with_component(keys, components(found)))
+    def costs_now(current: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, int]:
         costs = stage(_key_costs(current))
-        return current, costs.where(F.col("cross") <= KEY_PAIRS), costs.where(F.col("cross") > KEY_PAIRS)
+        dear = costs.where(F.col("cross") > KEY_PAIRS)
+        return current, costs.where(F.col("cross") <= KEY_PAIRS), dear, dear.count()
 
-    current, cheap, dear = costs_now()
-    if dear.limit(1).count():
+    current, cheap, dear, n_dear = costs_now(keys)
+    keys = keys.drop("component")
+    if n_dear:
         # Large groups that one round of stars has not tied together: once more, in another order.
-        again = _reordered_star(current.join(dear.select("key"), "key", "left_semi"))
-        found = stage(found.unionByName(_verified(again, sets)))
-        current, cheap, dear = costs_now()
-    lost = current.join(dear.select("key"), "key", "left_semi").groupBy("sid", "band").agg(F.count("*").alias("_dear"))
-    more = _verified(_cross_pairs(current, cheap, lost), sets)
-    while more.limit(1).count() > 0:
-        found = stage(found.unionByName(more))
-        if not dear.limit(1).count():
+        again = _verified(_reordered_star(current.join(dear.select("key"), "key", "left_semi")), sets)
+        if again.limit(1).count():
+            found = joined(found, again)
+            current, cheap, dear, n_dear = costs_now(stage(_with_component(keys, found)))
+    lost = None
+    if n_dear:
+        lost = current.join(dear.select("key"), "key", "left_semi").groupBy("sid", "band").agg(F.count("*").alias("_dear"))
+    more = _verified(_cross_pairs(current, cheap, True, lost), sets)
+    while more.limit(1).count():
+        found = joined(found, more)
+        if not n_dear:
             break
         before = dear
-        current, cheap, dear = costs_now()
+        current, cheap, dear, n_dear = costs_now(stage(_with_component(keys, found)))
         freed = before.select("key").join(cheap, "key")
         if not freed.limit(1).count():
             break
-        more = _verified(_cross_pairs(current, freed, None), sets)
+        more = _verified(_cross_pairs(current, freed, False, None), sets)
 
     # What the cheap keys cannot guarantee.
-    prices = current.join(dear.select("key", F.col("cross").cast("double").alias("price")), "key")
+    prices = current.join(dear.select("key", F.col("cross").cast("double").alias("price")), "key") if n_dear else current.limit(0).withColumn("price", F.lit(0.0))
     lost = prices.groupBy("sid", "band").agg(F.count("*").alias("_dear"), F.first("_empty").alias("_empty"))
-    weak = lost.where(F.col("_dear") + F.col("_empty") >= parts - differ).select("sid", "band")
-    weak = stage(weak.unionByName(bare.select("sid", "band")).distinct())
+    weak = bare.select("sid", "band")
+    if n_dear:
+        weak = weak.unionByName(lost.where(F.col("_dear") + F.col("_empty") >= parts - differ).select("sid", "band")).distinct()
+    weak = stage(weak)
     if weak.limit(1).count():
         held_dear = prices.join(weak, ["sid", "band"]).select("key", "sid", "band", "n", "price")
         pairs = _fallback_pairs(weak, sets, held_dear, _depths(weak, roles, lost))
-        known = components(found)
-        a = known.select(F.col("node").alias("a"), F.col("component").alias("_a"))
-        b = known.select(F.col("node").alias("b"), F.col("component").alias("_b"))
+        a = found.select(F.col("node").alias("a"), F.col("component").alias("_a"))
+        b = found.select(F.col("node").alias("b"), F.col("component").alias("_b"))
         pairs = pairs.distinct().join(a, "a", "left").join(b, "b", "left").where("_a IS NULL OR _b IS NULL OR _a <> _b")
-        found = found.unionByName(_verified(pairs, sets))
+        more = _verified(pairs, sets)
+        if more.limit(1).count():
+            found = joined(found, more)
     return found
 
 
@@ -547,6 +584,7 @@ def _tokens(docs: DataFrame, chosen: DataFrame, maker: Maker) -> DataFrame:
     ids = chosen.select(F.col("first").alias("_first")).distinct()
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS * 5 else ids
     texts = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("_first")), "left_semi").select("text")
+    # A document that is the first of a chosen set may share its id with others.
     rows = map_rows(texts, "sid long, n long, tokens binary", start)
     return rows.join(chosen.select("sid"), "sid", "left_semi").dropDuplicates(["sid"])
 
@@ -557,17 +595,21 @@ def classes(docs: DataFrame, maker: Maker = shingle_maker) -> DataFrame:
     ``maker()`` gives, once per task, the function from texts to their sets, sorted distinct 64-bit hashes.
     """
     exchanged = _exchange(docs, maker)
-    found = components(links(docs, exchanged, maker)).withColumnRenamed("node", "sid")
+    reps, roles = _sets_and_bands(exchanged)
+    found = links(docs, exchanged, reps, roles, maker).withColumnRenamed("node", "sid")
+    # Sets outside all links are named by their own documents.
+    tied = found.join(reps.select("sid", "first"), "sid")
+    names = tied.groupBy("component").agg(F.min("first").alias("name"))
+    by_set = tied.join(names, "component").select("sid", "name", F.lit(True).alias("_tied"))
+    by_set = reps.select("sid", "first").join(by_set, "sid", "left")
+    by_set = by_set.select("sid", F.when(F.col("_tied"), F.col("name")).otherwise(F.col("first")).alias("component_id"))
     named = exchanged.where(F.col("salt").isin(_DOC, _UNNAMED)).select(
         F.when(F.col("salt") == _DOC, F.col("key")).alias("doc_id"), "sid", F.col("more").alias("n")
     )
-    sets = named.groupBy("sid").agg(F.min("doc_id").alias("first")).join(found, "sid", "left")
-    sets = sets.withColumn("component", F.coalesce("component", "sid"))
-    names = sets.groupBy("component").agg(F.min("first").alias("component_id"))
-    by_set = sets.join(names, "component").select("sid", "component_id")
-    own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
+    empty = named.where("n = 0").withColumn("component_id", F.col("doc_id"))
+    rest = named.where("n > 0").join(by_set, "sid").select("doc_id", "sid", "n", "component_id")
     doc_id = F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id")
-    return named.join(by_set, "sid").select(doc_id, F.col("n").alias("n_shingles"), own.alias("component_id"))
+    return rest.unionByName(empty).select(doc_id, F.col("n").alias("n_shingles"), "component_id")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:

@@ -84,7 +84,7 @@ def test_components_by_brute_force(spark, seed):
 def test_allocation_finds_what_dear_keys_hide(spark, monkeypatch):
     """With a budget of no pairs, keys that are not settled by stars serve for nothing: the fallback finds the rest."""
     monkeypatch.setattr(jaccard, "KEY_PAIRS", 0)
-    monkeypatch.setattr(jaccard, "_star_pairs", lambda keys, reps: keys.limit(0).selectExpr("sid as a", "sid as b"))
+    monkeypatch.setattr(jaccard, "_star_pairs", lambda keys: keys.limit(0).selectExpr("sid as a", "sid as b"))
     monkeypatch.setattr(jaccard, "_reordered_star", lambda keys: keys.limit(0).selectExpr("sid as a", "sid as b"))
     docs = collection(3)[:200]
     assert result(jaccard.classes(frame(spark, docs))) == brute(docs)

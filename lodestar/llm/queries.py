@@ -10,7 +10,7 @@ from .packing import op6_packing
 from .quality import op1_quality
 from .rules import OP7_SQL, op7_rules
 from .spotsigs import op4_spotsigs
-from .urls import op8_urls
+from .urls import OP8_SQL, op8_urls
 from .warc import OP9_SQL, op9_warc
 
 QUERIES = {
@@ -31,5 +31,6 @@ ORACLE_SQL: dict[str, str] = {
     "op8_urls": op8_urls,
     "op3_jaccard": OP3_SQL,
     "op7_rules": OP7_SQL,
+    "op8_urls": OP8_SQL,
     "op9_warc": OP9_SQL,
 }

@@ -151,4 +151,74 @@ def page_labels(pages: DataFrame, labels: DataFrame) -> DataFrame:
 
 def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    return judge(pages, page_labels(pages, table(spark, sf_dir, "labels")))
+    judged = judge(pages, page_labels(pages, table(spark, sf_dir, "labels")))
+    return judged.select("page_id", "host", "path", "rule", "verdict", "template")
+
+
+# Levels of the tree that the SQL twin unrolls; deeper paths are an error there.
+SQL_LEVELS = 4
+
+
+def _sql() -> str:
+    rule, verdict = "NULL", "NULL"
+    for host, path, decision in sorted(RULES, key=lambda r: (len(r[0] + r[1]), r)):
+        fits = f"(host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '{path}')"
+        rule = f"CASE WHEN {fits} THEN '{host}{path}' ELSE {rule} END"
+        verdict = f"CASE WHEN {fits} THEN '{decision}' ELSE {verdict} END"
+    levels = "".join(
+        f"""
+c{k} AS (SELECT host, template, parts[{k + 1}] AS child, sum(n) AS n FROM t{k} WHERE len(parts) > {k} GROUP BY ALL),
+n{k} AS (SELECT host, template FROM c{k} GROUP BY ALL
+         HAVING count(*) > {MAX_BRANCHES} OR (sum(n) >= {RARE_FROM} AND 2 * count(*) > sum(n))),
+t{k + 1} AS (
+  SELECT t.host, parts, n, good, bad,
+         list_concat(t.template, CASE WHEN len(parts) <= {k} THEN CAST([] AS VARCHAR[]) WHEN w.host IS NOT NULL THEN ['{{*}}']
+                                      ELSE [parts[{k + 1}]] END) AS template
+  FROM t{k} t LEFT JOIN n{k} w ON w.host = t.host AND w.template = t.template),"""
+        for k in range(SQL_LEVELS)
+    )
+    return rf"""
+WITH p AS (
+  SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (
+  SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), '{_UPPER}', '{_LOWER}') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM p),
+parsed AS (
+  SELECT page_id, host, path, {rule} AS rule, {verdict} AS ruled,
+         list_transform(list_filter(string_split(path, '/'), lambda s: s <> ''), lambda s:
+           CASE WHEN regexp_matches(s, '^[0-9A-Fa-f-]{{8,}}(\.\w+)?$') AND regexp_matches(s, '[0-9]')
+                     AND NOT regexp_matches(s, '^[0-9]+(\.\w+)?$') THEN regexp_replace(s, '^[0-9A-Fa-f-]{{8,}}', '{{hex}}')
+                ELSE regexp_replace(s, '[0-9]+', '{{n}}', 'g') END) AS parts FROM h),
+checked AS (
+  SELECT *, CASE WHEN len(parts) > {SQL_LEVELS} THEN error('a path is too deep for this query') ELSE 0 END AS ok FROM parsed),
+known AS (
+  SELECT page_id, bool_and(quality = 1 AND coalesce(toxic, 0) = 0) AS good
+  FROM h JOIN labels ON labels.doc_id = CAST(regexp_extract_all(path, '([0-9]{{1,18}})', 1)[-1] AS BIGINT)
+  WHERE quality IS NOT NULL GROUP BY page_id),
+t0 AS (
+  SELECT host, parts, count(*) + max(ok) AS n, count(*) FILTER (good) AS good, count(*) FILTER (NOT good) AS bad,
+         CAST([] AS VARCHAR[]) AS template
+  FROM checked LEFT JOIN known USING (page_id) GROUP BY host, parts),{levels}
+f AS (SELECT host, template, template[:-2] AS parent, sum(good) AS good, sum(bad) AS bad FROM t{SQL_LEVELS} GROUP BY ALL),
+siblings AS (SELECT host, parent, sum(good) AS g, sum(bad) AS b FROM f GROUP BY ALL),
+hosts AS (SELECT host, sum(good) AS hg, sum(bad) AS hb FROM f GROUP BY host),
+every AS (SELECT (sum(good) + 1.0) / (sum(good) + sum(bad) + 1.0) AS overall FROM f),
+z AS (
+  SELECT f.*, hg, hb,
+         (bad / (good + bad) - (b - bad) / (g + b - good - bad))
+           / nullif(sqrt((b / (g + b)) * (1 - b / (g + b)) * (1.0 / (good + bad) + 1.0 / (g + b - good - bad))), 0) AS z
+  FROM f JOIN siblings USING (host, parent) JOIN hosts USING (host)),
+m AS (SELECT *, NOT coalesce(isfinite(z) AND abs(z) >= {SIGNIFICANT}, false) AS merged FROM z),
+pooled AS (SELECT host, parent, sum(good) AS pg, sum(bad) AS pb FROM m WHERE merged GROUP BY ALL),
+judged AS (
+  SELECT m.host, m.template,
+         ((CASE WHEN merged THEN pg ELSE good END) + {SMOOTHING} * (hg + {SMOOTHING} * overall) / (hg + hb + {SMOOTHING}))
+           / ((CASE WHEN merged THEN pg + pb ELSE good + bad END) + {SMOOTHING}) AS purity
+  FROM m LEFT JOIN pooled USING (host, parent), every)
+SELECT page_id, c.host, path, rule, coalesce(ruled, CASE WHEN purity < {LEAST_PURITY} THEN 'block' ELSE 'allow' END) AS verdict,
+       '/' || array_to_string(t.template, '/') AS template
+FROM checked c JOIN t{SQL_LEVELS} t ON t.host = c.host AND t.parts = c.parts
+JOIN judged j ON j.host = t.host AND j.template = t.template"""
+
+
+OP8_SQL = _sql()

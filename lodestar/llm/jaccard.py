@@ -329,79 +329,118 @@ def _depths(weak: DataFrame, roles: DataFrame, lost: DataFrame) -> dict[int, int
     return {r["band"]: max(2, int(r["deep"])) if r["deep"] > 1 else 1 for r in found}
 
 
-def _fallback_pairs(weak: DataFrame, sets: DataFrame, dear: DataFrame, depths: dict[int, int]) -> DataFrame:
-    """Candidate pairs of the sets with too few cheap segments, ``weak`` (sid, band), by allocation of cost.
+#: Kinds of rows of the fallback.
+_INDEX, _RAISE, _USE, _FIXED = 0, 1, 2, 3
 
-    ``dear`` are the skipped keys of these sets, ``(key, sid, band, n, price)``.
+
+def _fallback_rows(weak: DataFrame, sets: DataFrame, dear: DataFrame, depths: dict[int, int]) -> DataFrame:
+    """What sets with too few cheap segments, ``weak`` (sid, band), can be found by, staged.
+
+    ``dear`` are the skipped keys of these sets, ``(key, sid, band, n, price)``. Rows of ``_INDEX`` are neighbourhoods
+    of all segments; those of ``_RAISE`` what a cheap segment probes with one deletion, and of ``_USE`` a skipped key,
+    of which each set needs ``left``; those of ``_FIXED`` are needed in any case.
     """
     parts, differ = BANDS.parts, BANDS.differ
     level = {k: differ[k] if parts[k] == 1 else depths.get(k, 1) for k in range(len(parts))}
+    names = ["key", "sid", "band", "segment", "n", "kind", "left", "price"]
 
     def start():
         def run(batch):
-            out = {"key": [], "sid": [], "n": [], "probe": [], "dear": []}
+            out = {name: [] for name in names}
 
-            def put(keys, sid, n, probe, is_dear=False):
+            def put(keys, *values):
                 for key in keys:
-                    out["key"].append(key)
-                    out["sid"].append(sid)
-                    out["n"].append(n)
-                    out["probe"].append(probe)
-                    out["dear"].append(is_dear)
+                    for name, value in zip(names, (key, *values)):
+                        out[name].append(value)
 
             for sid, band, data, prices in zip(batch["sid"], batch["band"], batch["tokens"], batch["prices"]):
                 tokens = np.frombuffer(data, dtype=np.uint64)
                 n, m, h = len(tokens), parts[band], differ[band]
-                prices = dict((p["key"], p["price"]) for p in prices or [])
+                prices = {p["key"]: p["price"] for p in prices or []}
                 where = ((tokens >> np.uint64(7)) % np.uint64(m)).astype(np.int64)
                 inside = {int(s): tokens[where == s] for s in np.unique(where)}
                 keys, _, segment = _segments([tokens], [band], np.array(parts))
                 key_of = dict(zip(segment.tolist(), keys.tolist()))
+                skipped = [s for s in inside if key_of[s] in prices]
                 cheap = [s for s in inside if key_of[s] not in prices]
-                # What the cheap keys cover has been searched already, except for single segments.
-                depth = {s: (0 if m > 1 else -1) for s in cheap} | {s: -1 for s in inside if s not in cheap}
-                left = h + 1 - sum(d + 1 for d in depth.values())
-                # Single n-grams leave nothing when deleted, which many sets share: they come last.
-                steps = [(s, 1) for s in sorted(cheap, key=lambda s: (len(inside[s]) < 2, len(inside[s])))]
-                steps += [(s, 0) for s in sorted((s for s in inside if s not in cheap), key=lambda s: prices[key_of[s]])]
-                if m == 1:
-                    steps = [(s, h) for s in inside]
-                for s, to in steps:
-                    if left > 0:
-                        left -= to - depth[s]
-                        depth[s] = to
-                while left > 0:
-                    for s in sorted(inside, key=lambda s: depth[s]):
-                        if left > 0:
-                            depth[s] += 1
-                            left -= 1
-                for s, own in inside.items():
-                    if depth[s] == 0 and key_of[s] in prices:
-                        put([key_of[s]], sid, n, True, True)
-                    for gone in range(0, min(depth[s], len(own)) + 1) if depth[s] > 0 else ():
-                        for other in range(0, depth[s] - gone + 1):
-                            put(_variants(own, s, band, gone, other), sid, n, True)
-                # The index: any partner may delete as much as its allocation says.
+                # Cheap keys have been searched; each raise of one and each use of a skipped one adds one more.
+                left = h + 1 - len(cheap)
+                if m > 1 and left <= len(inside):
+                    for s in cheap:
+                        for gone in range(0, min(1, len(inside[s])) + 1):
+                            for other in range(0, 2 - gone):
+                                put(_variants(inside[s], s, band, gone, other), sid, band, s, n, _RAISE, left, 0.0)
+                    for s in skipped:
+                        put([key_of[s]], sid, band, s, n, _USE, left, prices[key_of[s]])
+                else:
+                    # Too few segments for that: all go as deep as it takes; short sets have one only.
+                    deep = h if m == 1 else max(1, -(-(h + 1) // len(inside)) - 1)
+                    for s, own in inside.items():
+                        for gone in range(0, min(deep, len(own)) + 1):
+                            for other in range(0, deep - gone + 1):
+                                put(_variants(own, s, band, gone, other), sid, band, s, n, _FIXED, 0, 0.0)
+                # Any partner may delete as much as its allocation says.
                 for s in range(m):
                     own = inside.get(s, tokens[:0])
                     for gone in range(0, min(level[band], len(own)) + 1):
-                        put(_variants(own, s, band, gone, gone), sid, n, False)
+                        put(_variants(own, s, band, gone, gone), sid, band, s, n, _INDEX, 0, 0.0)
             return out
 
         return run
 
     priced = dear.groupBy("sid", "band").agg(F.collect_list(F.struct("key", "price")).alias("prices"))
     rows = weak.join(sets, "sid").join(priced, ["sid", "band"], "left").select("sid", "band", "tokens", "prices")
-    schema = "key long, sid long, n long, probe boolean, dear boolean"
-    found = stage(map_rows(rows, schema, start))
-    probes = found.where("probe AND NOT dear").select("key", F.col("sid").alias("a"), F.col("n").alias("n_a"))
-    index = found.where("NOT probe").select("key", F.col("sid").alias("b"), F.col("n").alias("n_b"))
-    probed_dear = found.where("dear").select("key", F.col("sid").alias("a"), F.col("n").alias("n_a"))
-    held_dear = dear.select("key", F.col("sid").alias("b"), F.col("n").alias("n_b"))
-    pairs = probes.join(index, "key").unionByName(probed_dear.join(held_dear, "key"))
-    return pairs.where((F.col("a") != F.col("b")) & _may_link(F.col("n_a"), F.col("n_b"))).select(
-        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
-    )
+    # A set of the weak ones has some hundred rows here at most times: they are made by all cores.
+    rows = rows.repartition(F.col("sid"))
+    return stage(map_rows(rows, "key long, sid long, band int, segment int, n long, kind int, left int, price double", start))
+
+
+def _fallback(rows: DataFrame, dear: DataFrame, sets: DataFrame, found: DataFrame, joined: Callable) -> DataFrame:
+    """Components ``found`` with what the rows of the fallback add."""
+    kind = F.col("kind")
+    index = rows.where(kind == _INDEX).select("key", "sid", "n")
+    # The allocation: of each set's raises and skipped keys, those that meet the fewest rows.
+    each = ["sid", "band", "segment"]
+    met = index.groupBy("key").agg(F.count("*").alias("_c"))
+    raises = rows.where(kind == _RAISE)
+    prices = raises.join(met, "key", "left").groupBy(*each, "left").agg(F.sum(F.coalesce("_c", F.lit(0))).cast("double").alias("price"))
+    prices = prices.unionByName(rows.where(kind == _USE).select(*each, "left", "price"))
+    cheapest = F.row_number().over(Window.partitionBy("sid", "band").orderBy("price", "segment"))
+    chosen = stage(prices.withColumn("_rank", cheapest).where(F.col("_rank") <= F.col("left")).select(*each))
+    probes = raises.join(chosen, each, "left_semi").unionByName(rows.where(kind == _FIXED)).select("key", "sid", "n")
+    probes = stage(probes.join(met.select("key"), "key", "left_semi"))
+    used = rows.where(kind == _USE).join(chosen, each, "left_semi").select("key", "sid", "n")
+
+    # First each probe with one holder of its key: that ties together what is alike.
+    hub = index.groupBy("key").agg(F.min(F.struct("sid", "n")).alias("_h"))
+    star = probes.join(hub, "key").where((F.col("sid") != F.col("_h.sid")) & _may_link(F.col("n"), F.col("_h.n")))
+    star = star.select(F.least("sid", "_h.sid").alias("a"), F.greatest("sid", "_h.sid").alias("b")).distinct()
+    more = _verified(_apart(star, found), sets)
+    if more.limit(1).count():
+        found = joined(found, more)
+    # Then, for keys that still meet several components, every pair of different ones.
+    probes, index = _with_component(probes, found), _with_component(index.join(probes.select("key"), "key", "left_semi"), found)
+    members = probes.unionByName(index).groupBy("key", "component").agg(F.count("*").alias("_c"))
+    several = members.groupBy("key").agg(F.max_by("component", F.struct("_c", "component")).alias("_l"), F.count("*").alias("_d"))
+    several = stage(several.where("_d > 1").select("key", "_l"))
+    mine = probes.join(several, "key").select("key", "_l", *[F.col(c).alias(f"{c}_a") for c in ("sid", "n", "component")])
+    theirs = index.join(several, "key").select("key", *[F.col(c).alias(f"{c}_b") for c in ("sid", "n", "component")], (F.col("component") == F.col("_l")).alias("_m"))
+    mine, theirs = stage(mine), stage(theirs)
+    few = mine.where("component_a <> _l").join(theirs, "key")
+    many = mine.where("component_a = _l").join(theirs.where("NOT _m"), "key")
+    dear_mine = _with_component(used, found).select("key", *[F.col(c).alias(f"{c}_a") for c in ("sid", "n", "component")])
+    dear_theirs = _with_component(dear.select("key", "sid", "n"), found).select("key", *[F.col(c).alias(f"{c}_b") for c in ("sid", "n", "component")])
+    pairs = few.unionByName(many).drop("_l", "_m").unionByName(dear_mine.join(dear_theirs, "key"))
+    pairs = pairs.where((F.col("component_a") != F.col("component_b")) & _may_link(F.col("n_a"), F.col("n_b")))
+    more = _verified(pairs.select(F.least("sid_a", "sid_b").alias("a"), F.greatest("sid_a", "sid_b").alias("b")), sets)
+    return joined(found, more) if more.limit(1).count() else found
+
+
+def _apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """The pairs ``(a, b)`` of different components."""
+    a = found.select(F.col("node").alias("a"), F.col("component").alias("_a"))
+    b = found.select(F.col("node").alias("b"), F.col("component").alias("_b"))
+    return pairs.join(a, "a", "left").join(b, "b", "left").where("_a IS NULL OR _b IS NULL OR _a <> _b").select("a", "b")
 
 
 def _with_component(keys: DataFrame, found: DataFrame) -> DataFrame:
@@ -549,13 +588,8 @@ def links(docs: DataFrame, exchanged: DataFrame, reps: DataFrame, roles: DataFra
     weak = stage(weak)
     if weak.limit(1).count():
         held_dear = prices.join(weak, ["sid", "band"]).select("key", "sid", "band", "n", "price")
-        pairs = _fallback_pairs(weak, sets, held_dear, _depths(weak, roles, lost))
-        a = found.select(F.col("node").alias("a"), F.col("component").alias("_a"))
-        b = found.select(F.col("node").alias("b"), F.col("component").alias("_b"))
-        pairs = pairs.distinct().join(a, "a", "left").join(b, "b", "left").where("_a IS NULL OR _b IS NULL OR _a <> _b")
-        more = _verified(pairs, sets)
-        if more.limit(1).count():
-            found = joined(found, more)
+        rows = _fallback_rows(weak, sets, held_dear, _depths(weak, roles, lost))
+        found = _fallback(rows, held_dear, sets, found, joined)
     return found
 
 

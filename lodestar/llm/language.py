@@ -3,14 +3,18 @@
 A document's hashed character n-grams first decide the language family (linear
 support vector machines, one family against the rest); inside the family, every
 two languages have a machine of their own and the language that wins most of
-its duels is predicted.
+its duels is predicted. Machines only tell the learned languages apart, so the
+score also falls where the n-grams of a text are unusual for all learned ones:
+letter soup, encoded data and texts in other languages score near 0.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0, as
 is every text where nothing could be learned (empty table, no language given);
 with one learned language all others texts get it. Null and empty languages are
 not learned from, nor are documents without an id. Votes that tie go to the
 larger sum of margins, then to the first language in alphabetical order.
-Repeated rows are predicted each; other columns are neither read nor returned.
+Texts of few distinct n-grams (some words, however often repeated) say little
+about what is usual and are given more room. Repeated rows are predicted each;
+other columns are neither read nor returned.
 """
 
 from __future__ import annotations
@@ -30,6 +34,8 @@ DIMENSIONS = 2048
 UNKNOWN = "und"
 #: Documents below this score have no language that could be relied on.
 LEAST_SCORE = 0.2
+#: A text is unusual from so many robust deviations of the texts learned from.
+USUAL = 4.0
 
 # Families of ISO 639-1 codes; a language that is not listed is a family of its own.
 FAMILIES = {
@@ -93,12 +99,45 @@ def svm(x: np.ndarray, y: np.ndarray, cost: float = 10.0, epochs: int = 12, seed
     return w
 
 
+def likelihoods(shares: np.ndarray, n: int) -> np.ndarray:
+    """Log-likelihoods of n-grams from their summed shares in ``n`` documents, of which one at least is even."""
+    extra = max(1.0, 0.01 * n)
+    return np.log((shares + extra / len(shares)) / (n + extra))
+
+
+@dataclass
+class Usual:
+    """How likely the n-grams of a language's documents are, over these documents."""
+
+    middle: float
+    by_gram: float
+    spread: float
+
+    def deviations(self, v: np.ndarray, logs: np.ndarray) -> float:
+        """By how many deviations the n-grams of a text are less likely than those of the documents."""
+        # Squares of a vector are the shares of its n-grams; repeating a text changes nothing.
+        distinct = max(1, np.count_nonzero(v))
+        return float((self.middle - (v**2) @ logs) / max(np.sqrt(self.by_gram / distinct + self.spread**2), 1e-9))
+
+
+def usual(x: np.ndarray, others: np.ndarray) -> Usual:
+    """Learn from the vectors of one language and the ``others``' log-likelihoods; a document is measured without itself."""
+    shares = x.astype(np.float64) ** 2
+    total = shares.sum(0)
+    found = np.array([own @ np.maximum(likelihoods(total - own, len(x) - 1), others) for own in shares])
+    middle = float(np.median(found))
+    p, logs = total / total.sum(), np.maximum(likelihoods(total, len(x)), others)
+    return Usual(middle, float(p @ logs**2 - (p @ logs) ** 2), 1.4826 * float(np.median(np.abs(found - middle))))
+
+
 @dataclass
 class LanguageModel:
     families: list[str] = field(default_factory=list)
     family_weights: np.ndarray | None = None
     languages: dict[str, list[str]] = field(default_factory=dict)
     duels: dict[tuple[str, str], np.ndarray] = field(default_factory=dict)
+    usual: dict[str, Usual] = field(default_factory=dict)
+    likeliest: np.ndarray | None = None
 
     def predict(self, text: str | None) -> tuple[str, float]:
         if not self.families or not has_letter(text):
@@ -119,7 +158,8 @@ class LanguageModel:
                 votes[lang][1] += own
                 votes[lang][2] = min(votes[lang][2], _sigmoid(4 * own))
         lang = min(inside, key=lambda k: (-votes[k][0], -votes[k][1], k))
-        return lang, sure * votes[lang][2]
+        beyond = max(0.0, self.usual[lang].deviations(v, self.likeliest) / USUAL - 1)
+        return lang, sure * votes[lang][2] * float(np.exp(-8 * beyond))
 
 
 def _sigmoid(x: float) -> float:
@@ -138,6 +178,11 @@ def fit(x: np.ndarray, langs: list[str]) -> LanguageModel:
         for a, b in combinations(inside, 2):
             rows = (of == a) | (of == b)
             model.duels[a, b] = svm(x[rows], np.where(of[rows] == a, 1.0, -1.0))
+    logs = {k: likelihoods((x[of == k].astype(np.float64) ** 2).sum(0), int((of == k).sum())) for k in known}
+    none = np.full(x.shape[1], -np.inf)
+    model.usual = {k: usual(x[of == k], np.max([none, *(logs[o] for o in known if o != k)], axis=0)) for k in known}
+    # A passage in another learned language is nothing unusual.
+    model.likeliest = np.max([none, *logs.values()], axis=0)
     return model
 
 

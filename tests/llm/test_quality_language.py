@@ -1,3 +1,5 @@
+import base64
+import random
 import zlib
 
 import numpy as np
@@ -113,3 +115,29 @@ def test_identified_keeps_columns(spark, known):
     ids = {r["doc_id"] for r in kept.collect()}
     assert {d for d, _, _, q in known if q} <= ids
     assert not ids & {900, 901, 902, 904, 909}
+
+
+def strange():
+    """Texts with letters in none of the languages that are learned."""
+    rng = random.Random(4)
+    soup = lambda n: " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 10))) for _ in range(n))
+    return [
+        soup(40), soup(2000), base64.b64encode(rng.randbytes(3000)).decode(), " ".join(f"{rng.getrandbits(32):08x}" for _ in range(200)),
+        "Это обычный русский текст о доме и реке, который никто не учил раньше.",
+        "Tämä on tavallinen suomenkielinen teksti, jota kukaan ei ole opettanut tälle mallille aikaisemmin.",
+    ]
+
+
+def test_identified_rejects_letters_of_no_language(spark, known):
+    docs = frame(spark, known + [(2000 + k, t, None) for k, t in enumerate(strange())])
+    ids = {r["doc_id"] for r in language.identified(docs).collect()}
+    assert {d for d, _, _, q in known if q} <= ids
+    assert not {d for d in ids if d >= 2000}
+
+
+def test_junk_that_is_learned_from_is_still_rejected(known):
+    """A few junk texts with a language among those learned from do not make junk usual."""
+    rows = [(t, lang) for _, t, lang, q in known if q] + [(t, "en") for t in strange()[:3]]
+    model = language.fit(np.stack([language.vector(t) for t, _ in rows]), [lang for _, lang in rows])
+    assert all(model.predict(t)[1] < language.LEAST_SCORE for t in strange())
+    assert all(model.predict(t)[1] >= language.LEAST_SCORE for t, _ in rows[:-3])

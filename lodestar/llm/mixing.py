@@ -8,9 +8,10 @@ meets its deadline, and at any time each source has had its share to within
 less than one block. When a source has no blocks left the others go on by their
 weights among each other, so every document is placed exactly once.
 
-Weights are shares of a period, rounded to whole blocks; the schedule of one
-period is worked out on the driver and repeated, so that the slot of a block is
-a matter of arithmetic in the tasks.
+Releases and deadlines are those of the exact weights, in whole numbers, so the
+bound holds however many slots there are. The driver works the schedule out once
+(a few microseconds and 8 bytes for each block) and sends the slots of the blocks
+to the tasks.
 
 Defined cases: without weights, a source's is its size to the power
 ``TEMPERATURE``; null is a source like others; a source without a weight, or
@@ -23,7 +24,10 @@ table gives no rows; other columns stay.
 from __future__ import annotations
 
 import heapq
+import math
+from array import array
 from collections.abc import Iterator, Mapping
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +43,6 @@ from .common import free_names, map_rows, table
 
 TEMPERATURE = 0.7
 BLOCK_CHARS = 100_000
-PERIOD = 1_000
 #: The driver works out a schedule for each set of sources that still have blocks.
 MAX_SOURCES = 2_000
 SEED = 1
@@ -60,28 +63,43 @@ def shares(weights: list[float], period: int) -> list[int]:
     return found
 
 
-def one_period(counts: list[int]) -> list[np.ndarray]:
-    """Slots of each source's blocks in a period of ``sum(counts)`` slots: earliest deadline first among the released."""
-    period = sum(counts)
-    slots: list[list[int]] = [[] for _ in counts]
-    waiting = [(0, s, 1) for s, c in enumerate(counts) if c]  # release, source, block
-    heapq.heapify(waiting)
-    ready: list[tuple[int, int, int]] = []  # deadline, source, block
-    for slot in range(period):
+def earliest_first(blocks: list[int], weights: list[int]) -> list[np.ndarray]:
+    """Slots of each source's blocks, earliest deadline first among the released, until a source has no blocks left."""
+    total = sum(weights)
+    slots = [array("q") for _ in blocks]
+    waiting = [(0, s) for s in range(len(blocks))]  # release, source
+    ready: list[tuple[int, int]] = []  # deadline, source
+    slot = 0
+    while True:
         while waiting and waiting[0][0] <= slot:
-            _, s, k = heapq.heappop(waiting)
-            heapq.heappush(ready, (-(-k * period // counts[s]), s, k))
-        _, s, k = heapq.heappop(ready)
+            _, s = heapq.heappop(waiting)
+            heapq.heappush(ready, (-(-(len(slots[s]) + 1) * total // weights[s]), s))
+        _, s = heapq.heappop(ready)
         slots[s].append(slot)
-        if k < counts[s]:
-            heapq.heappush(waiting, (k * period // counts[s], s, k + 1))
-    return [np.array(x, dtype=np.int64) for x in slots]
+        slot += 1
+        done = len(slots[s])
+        if done == blocks[s]:
+            return [np.array(x, dtype=np.int64) for x in slots]
+        heapq.heappush(waiting, (done * total // weights[s], s))
+
+
+def one_period(counts: list[int]) -> list[np.ndarray]:
+    """Slots of each source's blocks in a period of ``sum(counts)`` slots."""
+    slots = earliest_first([c + 1 for c in counts], counts)
+    return [own[own < sum(counts)] for own in slots]
+
 
+def whole(weights: list[float]) -> list[int]:
+    """Whole numbers in exactly the proportions of the weights."""
+    exact = [Fraction(w) for w in weights]
+    common = math.lcm(*[x.denominator for x in exact])
+    return [int(x * common) for x in exact]
 
-def schedule(blocks: Mapping, weights: Mapping, period: int = PERIOD) -> dict:
-    """For each source, stretches ``(first block, first slot, slots in a period, period)``, by first block.
 
-    ``blocks`` has the number of blocks of each source.
+def schedule(blocks: Mapping, weights: Mapping) -> dict:
+    """For each source, stretches ``(first block, first slot, slots from there, slots of the stretch)``, by first block.
+
+    ``blocks`` has the number of blocks of each source. A stretch ends when a source has no blocks left.
     """
     if len(blocks) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources: choose coarser ones")
@@ -92,23 +110,17 @@ def schedule(blocks: Mapping, weights: Mapping, period: int = PERIOD) -> dict:
     while left:
         weighted = [s for s in left if weights.get(s, 0) > 0]
         active = sorted(weighted or left, key=lambda s: (s is not None, s))
-        length = max(period, 4 * len(active))
-        counts = shares([weights[s] if weighted else float(left[s]) for s in active], length)
-        slots = dict(zip(active, one_period(counts)))
-        ends = {}
-        for s in active:
-            turns, rest = divmod(left[s] - 1, len(slots[s]))
-            ends[s] = turns * length + int(slots[s][rest]) + 1
-        end = min(ends.values())
+        shares = whole([weights[s] if weighted else left[s] for s in active])
+        slots = dict(zip(active, earliest_first([left[s] for s in active], shares)))
+        length = sum(map(len, slots.values()))
         for s in active:
-            found[s].append((done[s], now, slots[s], length))
-            turns, rest = divmod(end, length)
-            passed = min(left[s], turns * len(slots[s]) + int(np.searchsorted(slots[s], rest)))
-            done[s] += passed
-            left[s] -= passed
+            if len(slots[s]):
+                found[s].append((done[s], now, slots[s], length))
+            done[s] += len(slots[s])
+            left[s] -= len(slots[s])
             if not left[s]:
                 del left[s]
-        now += end
+        now += length
     return found
 
 
@@ -175,9 +187,8 @@ def assign(
                 block[at] = own
                 which = np.searchsorted([s[0] for s in stretches], own, side="right") - 1
                 for k in np.unique(which):
-                    first, now, slots, length = stretches[k]
-                    j = own[which == k] - first
-                    slot[at[which == k]] = now + j // len(slots) * length + slots[j % len(slots)]
+                    first, now, slots, _ = stretches[k]
+                    slot[at[which == k]] = now + slots[own[which == k] - first]
             return batch | {"block": block, "slot": slot}
 
         return run

@@ -57,6 +57,23 @@ def test_every_block_has_its_slot(weights):
         assert np.abs(done - np.arange(until) * weights[s] / total).max() < 1.5  # one block, and rounded weights
 
 
+def test_less_than_one_block_off_the_exact_weights():
+    """Over many slots, also for a source of a share far below one in a thousand."""
+    sizes = [900 * 1.37**k for k in range(19)]
+    weights = {k: n**0.7 for k, n in enumerate(sizes)}
+    weights[19] = 1e-4 * sum(weights.values())
+    total = sum(weights.values())
+    count = 200_000
+    found = mixing.schedule({k: int(w / total * count) + 2 for k, w in weights.items()}, weights)
+    for k, w in weights.items():
+        first, now, slots, length = found[k][0]
+        assert first == now == 0
+        turns = -(-count // length)
+        own = np.concatenate([slots + t * length for t in range(turns)])
+        done = np.searchsorted(own, np.arange(min(count, length * turns)))
+        assert np.abs(done - np.arange(len(done)) * w / total).max() < 1 + 1e-6
+
+
 def test_assignment(spark):
     docs = sourced()
     got = mixing.assign(frame(spark, docs), block_chars=500).collect()

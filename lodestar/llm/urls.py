@@ -1,8 +1,9 @@
 """URL filters: host rules, and a tree of path templates judged by labelled purity.
 
 For each host, path segments are generalised: digits and long hexadecimal words
-become wildcards by their form, and below a node of the tree all children become
-one wildcard where they are too many or too rare to be fixed parts of a path.
+become wildcards by their form, and below a node of the tree with too many
+children, or mostly rare ones, the rare children become one wildcard; children
+with ``RARE_FROM`` urls or more stay apart however many siblings they have.
 Sibling templates whose share of bad labels does not differ significantly from
 that of their siblings together are merged and share their labels. A template is
 rejected when the smoothed share of good labels is below ``LEAST_PURITY``: the
@@ -27,9 +28,9 @@ from ..plans import join_sized, stage
 from .common import table
 
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
-#: Children of a node of the template tree that may stay apart.
+#: Children of a node of the template tree that may stay apart though they are rare.
 MAX_BRANCHES = 32
-#: With so many urls below a node, most children must come more than once.
+#: With so many urls below a node, most children must come more than once; a child with so many is not rare.
 RARE_FROM = 20
 MAX_DEPTH = 12
 #: Two-sided 5 % point of the normal distribution.
@@ -83,9 +84,13 @@ def templates(leaves: DataFrame) -> DataFrame:
         children = below.groupBy("host", "template", child.alias("child")).agg(F.sum("n").alias("n"))
         nodes = children.groupBy("host", "template").agg(F.count("*").alias("_d"), F.sum("n").alias("_n"))
         wide = nodes.where((F.col("_d") > MAX_BRANCHES) | ((F.col("_n") >= RARE_FROM) & (2 * F.col("_d") > F.col("_n"))))
-        marked = tree.join(wide.select("host", "template", F.lit(True).alias("_wide")), ["host", "template"], "left")
-        step = F.when(child.isNull(), F.array().cast("array<string>")).otherwise(F.array(F.when(F.col("_wide"), F.lit("{*}")).otherwise(child)))
-        tree = stage(marked.withColumn("template", F.concat("template", step)).drop("_wide"))
+        wide = stage(wide.select("host", "template", F.lit(True).alias("_wide")))
+        fixed = children.where(F.col("n") >= RARE_FROM).join(wide.drop("_wide"), ["host", "template"], "left_semi")
+        fixed = fixed.select("host", "template", F.col("child").alias("_child"), F.lit(True).alias("_fixed"))
+        marked = tree.withColumn("_child", child).join(wide, ["host", "template"], "left").join(fixed, ["host", "template", "_child"], "left")
+        joined = F.col("_wide") & F.col("_fixed").isNull()
+        step = F.when(child.isNull(), F.array().cast("array<string>")).otherwise(F.array(F.when(joined, F.lit("{*}")).otherwise(child)))
+        tree = stage(marked.withColumn("template", F.concat("template", step)).select(*leaves.columns, "template"))
     return tree
 
 

@@ -77,6 +77,20 @@ def test_deep_and_wide_paths(spark):
     assert got[300].endswith("/{rest}")
 
 
+@pytest.mark.parametrize("one_off", [0, 60])
+def test_frequent_sections_stay_apart_however_many_siblings(spark, one_off):
+    """40 sections, a third of the rows in a bad one; paths that come once do not change the others' verdicts."""
+    found = [(k, f"http://s/spam/{k}") for k in range(600)]
+    found += [(600 + k, f"http://s/sec{'y' * (k % 39)}/{k}") for k in range(1200)]
+    found += [(5000 + k, f"http://s/{chr(97 + k // 8)}{chr(97 + k % 8)}only/page") for k in range(one_off)]
+    known = spark.createDataFrame([(k, k >= 600) for k in range(1800)], "page_id bigint, good boolean")
+    got = {r["page_id"]: r for r in urls.judge(pages_frame(spark, found), known).collect()}
+    assert {(got[k]["template"], got[k]["verdict"]) for k in range(600)} == {("/spam/{n}", "block")}
+    assert {got[k]["verdict"] for k in range(600, 1800)} == {"allow"}
+    assert len({got[k]["template"] for k in range(600, 1800)}) >= 39
+    assert {got[5000 + k]["template"] for k in range(one_off)} <= {"/{*}/page"}
+
+
 HTMLS = [(1, "<p>" + "a" * 2000), (2, "short"), (3, "short"), (4, "<p>" + "a" * 2000), (5, None), (6, ""), (7, "é" * 600), (8, "é" * 600), (9, "x" * 1000), (9, "x" * 1000), (10, "x" * 999), (11, "x" * 999), (12, "line\n\nWARC/1.1\r\n\r\nhttp://x 0 0 0 5\nnext")]
 
 

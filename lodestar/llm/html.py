@@ -2,8 +2,10 @@
 
 Paragraphs pass points for length and commas to their parent and, halved and
 less, to higher ancestors; a container's points are discounted by the share of
-its text that lies in links. The best container is kept with those siblings
-that score well beside it, and read block by block in page order.
+its text that lies in links. The best container is kept whole. All text around
+it, up to the root of the page, is kept too, less what is marked as no running
+text or as beside the article and less blocks and lines that are mostly links;
+no text goes for being short. All is read block by block in page order.
 
 Defined cases: null or empty html, and pages without text, give an empty text;
 markup that is never closed, closed twice or badly nested is read as far as it
@@ -52,6 +54,8 @@ _BESIDE = re.compile(
 )
 _ARTICLE = re.compile(r"(?:^|[\s_-])(?:article|body|content|entry|main|post|story|text|hentry)(?:$|[\s_-])", re.I)
 _TAG_POINTS = {"article": 25, "main": 15, "section": 5, "div": 5, "pre": 3, "td": 3, "blockquote": 3, "ul": -3, "ol": -3, "dl": -3, "li": -3, "header": -10, "th": -5}
+#: Text around the best container with this share in links goes.
+MOSTLY = 0.5
 _PARAGRAPHS = {"p", "pre", "td", "blockquote", "dd", "li", "div", "section", "article", "main", "body", "html", "center"}
 
 
@@ -175,8 +179,48 @@ def _density(node: Node) -> float:
     return node.linked / node.length if node.length else 0.0
 
 
-def _blocks(keep: list[Node]) -> str:
-    """Text of the nodes, a line for each block."""
+def _around(root: Node, best: Node) -> list[Node | str | None]:
+    """What is kept of the page, in page order: the best container and what is not mostly links around it; None ends a line."""
+    path = set()
+    node = best.parent
+    while node is not None:
+        path.add(id(node))
+        node = node.parent
+    keep: list[Node | str | None] = []
+    run: list[Node | str] = []
+
+    def flush() -> None:
+        sizes = [len(" ".join(p.split())) if type(p) is str else p.length for p in run]
+        links = sum(0 if type(p) is str else p.length if p.tag == "a" else p.linked for p in run)
+        if links < MOSTLY * sum(sizes):
+            keep.extend(run)
+        keep.append(None)
+        run.clear()
+
+    stack: list[Node | str | None] = [root]
+    while stack:
+        part = stack.pop()
+        if part is None or part == "\n":
+            flush()
+        elif type(part) is str:
+            run.append(part)
+        elif part.skipped:
+            continue
+        elif id(part) not in path and part is not best and part.tag not in BLOCKS and part.own == part.length:
+            run.append(part)
+        else:
+            flush()
+            if id(part) in path or (part is not best and part.tag not in ("a", "h1") and _density(part) >= MOSTLY):
+                stack.append(None)
+                stack.extend(reversed(part.parts))
+            elif part is best or part.tag != "a":
+                keep.append(part)
+    flush()
+    return keep
+
+
+def _blocks(keep: list[Node | str | None]) -> str:
+    """Text of the parts, a line for each block."""
     lines: list[str] = []
     run: list[str] = []
 
@@ -237,18 +281,7 @@ def extract(html: str | None) -> str:
     best = max(scored.values(), key=lambda n: (final[id(n)], -order[id(n)]))
     if best.parent is None:
         return _blocks([best])
-    limit = max(10.0, 0.2 * final[id(best)])
-    keep = []
-    for part in best.parent.parts:
-        if type(part) is not Node or part.skipped:
-            continue
-        if part is best or final.get(id(part), 0.0) >= limit:
-            keep.append(part)
-        elif part.tag == "p" and part.length > 80 and _density(part) < 0.25:
-            keep.append(part)
-        elif part.tag in ("h1", "h2") and part.length and _density(part) < 0.25:
-            keep.append(part)
-    return _blocks(keep)
+    return _blocks(_around(tree.root, best))
 
 
 def main_text(pages: DataFrame) -> DataFrame:

@@ -54,6 +54,33 @@ def test_link_lists_lose_against_text():
     assert "link" not in extract(f"<div>{links}</div><div>{text}</div>")
 
 
+LONG = "<p>Many words, in a line, that goes on, for long enough to win.</p>" * 10
+
+
+@pytest.mark.parametrize(
+    ("before", "after", "kept"),
+    [
+        ("<h1>Head</h1><p>Short lead.</p>", "<div><p>Short closing paragraph.</p></div>", ["Head", "Short lead.", "Short closing paragraph."]),
+        ("", "<ul><li>Item</ul><pre>code</pre><blockquote>Quote</blockquote><h3>Part</h3>bare <b>text</b>", ["Item", "code", "Quote", "Part", "bare text"]),
+        ("<div><div>Deep lead</div></div>", "<table><tr><td>1<td>2</table>", ["Deep lead", "1", "2"]),
+        ("<h1><a href=x>Linked head</a></h1>", "<p>See <a href=y>this</a>, or something else.</p>", ["Linked head", "See this, or something else."]),
+        ("<a href=a>Home</a> | <a href=b>News</a><hr>", "<div><ul><li><a href=c>More news, of the day</a></ul><p>By me</p></div>", ["By me"]),
+        ("<div class=sidebar>beside</div>", "<a href=x><div>A card that is a link</div></a><nav>n</nav>", []),
+    ],
+)
+def test_blocks_around_the_best_container(before, after, kept):
+    inner = f"<div class='entry-content'>{LONG}</div>"
+    for page in (f"<article>{before}{inner}{after}</article>", f"{before}<span>{inner}</span>{after}"):
+        lines = extract(page).split("\n")
+        assert [x for x in lines if not x.startswith("Many")] == kept and len(lines) == 10 + len(kept)
+
+
+def test_unclassed_wrappers_of_one_paragraph():
+    short = [f"Paragraph {k}." for k in range(5)]
+    page = "".join(f"<div><p>{t}</p></div>" for t in short)
+    assert extract(f"<main>{page}<div>{LONG}</div></main>").split("\n")[:5] == short
+
+
 def test_table(spark):
     pages = [(1, "u", PAGE), (2, None, None), (2, "v", ""), (None, "w", "<p>x"), (3, "u", PAGE)]
     df = spark.createDataFrame([(*p, "clash", 1) for p in pages], "page_id bigint, url string, html string, text string, n_chars int")

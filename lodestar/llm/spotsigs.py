@@ -15,7 +15,8 @@ that share a part with it, and pairs are compared exactly.
 
 Defined cases: a null text counts as empty; a text without words has the empty
 fingerprint, and two empty fingerprints are alike by 1, an empty and another
-one by 0; short texts have their words as signatures besides; ties of the order of
+one by 0; short texts have their words as signatures besides, as do longer ones in
+which no chain is found (only common words); ties of the order of
 documents (equal ids) go by text; documents without an id come first; a single
 document follows itself; repeated rows are fingerprinted each; an empty table
 gives no rows; other columns are ignored.
@@ -91,7 +92,7 @@ def spots(text: str, memo: WordHashes) -> np.ndarray:
     signature = mix(hashes[anchors])
     for k in range(CHAIN):
         signature = mix(signature + hashes[content[first + k]])
-    if count < SHORT:
+    if count < SHORT or not len(signature):
         signature = np.concatenate([signature, mix(hashes ^ np.uint64(CHAIN))])
     # A signature that repeats counts as often: its occurrences are numbered.
     signature = np.sort(signature)

@@ -89,3 +89,13 @@ def test_near_classes_by_brute_force(spark):
         least[find(k)] = min(d, least.get(find(k), d))
     expected = sorted((d, len(s), least[find(k)] if len(s) else d) for k, ((d, _), s) in enumerate(zip(docs, sets)))
     assert sorted(map(tuple, spotsigs.near_classes(frame(spark, docs)).collect())) == expected
+
+
+def test_long_texts_of_common_words_have_signatures():
+    memo = spotsigs._Words()
+    one, other = "the and of " * 20, "to in is " * 20
+    for text in (one, other, one + "house"):
+        assert len(spotsigs.spots(text, memo)) > 0
+    same, different = spotsigs.spots(one, memo), spotsigs.spots(other, memo)
+    assert spotsigs.likeness(same, spotsigs.spots(one, memo)) == 1.0
+    assert spotsigs.likeness(same, different) == 0.0

@@ -8,10 +8,9 @@ matter, so a local edit only changes the signatures near it. The multiset of a
 text's signature hashes is its fingerprint, the Jaccard similarity of two of
 them their likeness.
 
-Near duplicates (``near_classes``) are searched between documents whose set
-lengths allow the similarity: sets are partitioned by length into bands of the
-ratio that is asked for, a set only meets those of its band and the next one
-that share a part with it, and pairs are compared exactly.
+Near duplicates (``near_classes``, which no query uses) are found by the exact
+join of ``jaccard`` over the signature sets, not by SpotSigs' partitions of set
+lengths; ``likeness`` can prune by length, and its callers here do not ask it to.
 
 Defined cases: a null text counts as empty; a text without words has the empty
 fingerprint, and two empty fingerprints are alike by 1, an empty and another

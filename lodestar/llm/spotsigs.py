@@ -29,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -68,8 +69,8 @@ class _Words(WordHashes):
         core = word.strip(_EDGES)
         if len(self) > 300_000:
             self.clear()
-        plain = WordHashes.__missing__(self, core or word)
-        value = self[word] = (plain & ~1) | (core in COMMON)
+        # Hashed apart from the memo: what is stored must not depend on the words read before.
+        value = self[word] = (xxhash.xxh3_64_intdigest(core or word) & ~1) | (core in COMMON)
         return value
 
 

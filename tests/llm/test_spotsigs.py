@@ -99,3 +99,31 @@ def test_long_texts_of_common_words_have_signatures():
     same, different = spotsigs.spots(one, memo), spotsigs.spots(other, memo)
     assert spotsigs.likeness(same, spotsigs.spots(one, memo)) == 1.0
     assert spotsigs.likeness(same, different) == 0.0
+
+
+def test_what_was_read_before_changes_nothing():
+    """The memo of a task may have seen any words, bare or with marks around them."""
+    texts = [t or "" for _, t, *_ in documents(n=40)] + ["the house, the river; (stone) and a bridge: house river stone bridge"]
+    fresh = [spotsigs.fingerprint(spotsigs.spots(t, spotsigs._Words())) for t in texts]
+    for order in (texts, texts[::-1]):
+        memo = spotsigs._Words()
+        for _ in range(2):
+            got = {t: spotsigs.fingerprint(spotsigs.spots(t, memo)) for t in order}
+            assert [got[t] for t in texts] == fresh
+
+
+def test_each_text_has_one_fingerprint(spark):
+    """Also where copies lie in different tasks and after other texts; both likenesses by the sets themselves."""
+    docs = [(k, t) for k, (_, t, *_) in enumerate(documents(n=80) * 3 + edges())]
+    for parts in (1, 7):
+        got = spotsigs.compare_with_following(frame(spark, docs, parts)).collect()
+        by_text = {}
+        for r in got:
+            by_text.setdefault(docs[r["doc_id"]][1] or "", set()).add(r["fingerprint"])
+        assert all(len(found) == 1 for found in by_text.values())
+        for r in got:
+            text, following = docs[r["doc_id"]][1] or "", docs[(r["doc_id"] + 1) % len(docs)][1] or ""
+            new = spotsigs.edited(text, following)
+            own, changed, after = (set(map(int, spotsigs.spots(t, spotsigs._Words()))) for t in (text, new, following))
+            ratio = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+            assert (r["near_edited"], r["near_next"]) == (ratio(own, changed), ratio(own, after))

@@ -40,6 +40,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.window import Window
 
 from ..plans import stage
@@ -87,8 +88,8 @@ def shingle_sets(texts: list[str | None], memo: WordHashes, size: int = WORDS) -
     words.clear()
     ends = np.cumsum(counts)
     total = mix(hashes + np.uint64(size))
-    for k in range(1, size):
-        total[: len(total) - k] = mix(total[: len(total) - k] * _MULTIPLIERS[0] + hashes[k:]) if len(total) > k else total[:0]
+    for k in range(1, min(size, len(total))):
+        total[: len(total) - k] = mix(total[: len(total) - k] * _MULTIPLIERS[0] + hashes[k:])
     sets = []
     for end, count in zip(ends.tolist(), counts.tolist()):
         if count >= size:
@@ -623,46 +624,67 @@ def _tokens(docs: DataFrame, chosen: DataFrame, maker: Maker) -> DataFrame:
     return rows.join(chosen.select("sid"), "sid", "left_semi").dropDuplicates(["sid"])
 
 
-def classes(docs: DataFrame, maker: Maker = shingle_maker) -> DataFrame:
-    """``(doc_id, n_shingles, component_id)`` for documents ``(doc_id, text)`` with integer ids.
-
-    ``maker()`` gives, once per task, the function from texts to their sets, sorted distinct 64-bit hashes.
-    """
+def _classes(docs: DataFrame, maker: Maker) -> DataFrame:
+    """``(doc_id, sid, n, root, component_id)`` of all documents; ``root`` tells components apart, null without n-grams."""
     exchanged = _exchange(docs, maker)
     reps, roles = _sets_and_bands(exchanged)
     found = links(docs, exchanged, reps, roles, maker).withColumnRenamed("node", "sid")
     # Sets outside all links are named by their own documents.
     tied = found.join(reps.select("sid", "first"), "sid")
     names = tied.groupBy("component").agg(F.min("first").alias("name"))
-    by_set = tied.join(names, "component").select("sid", "name", F.lit(True).alias("_tied"))
+    by_set = tied.join(names, "component").select("sid", F.col("component").alias("_root"), "name", F.lit(True).alias("_tied"))
     by_set = reps.select("sid", "first").join(by_set, "sid", "left")
-    by_set = by_set.select("sid", F.when(F.col("_tied"), F.col("name")).otherwise(F.col("first")).alias("component_id"))
+    by_set = by_set.select(
+        "sid",
+        F.coalesce("_root", "sid").alias("root"),
+        F.when(F.col("_tied"), F.col("name")).otherwise(F.col("first")).alias("component_id"),
+    )
     named = exchanged.where(F.col("salt").isin(_DOC, _UNNAMED)).select(
         F.when(F.col("salt") == _DOC, F.col("key")).alias("doc_id"), "sid", F.col("more").alias("n")
     )
-    empty = named.where("n = 0").withColumn("component_id", F.col("doc_id"))
-    rest = named.where("n > 0").join(by_set, "sid").select("doc_id", "sid", "n", "component_id")
-    doc_id = F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id")
-    return rest.unionByName(empty).select(doc_id, F.col("n").alias("n_shingles"), "component_id")
+    empty = named.where("n = 0").withColumn("root", F.lit(None).cast("long")).withColumn("component_id", F.col("doc_id"))
+    rest = named.where("n > 0").join(by_set, "sid").select("doc_id", "sid", "n", "root", "component_id")
+    return rest.unionByName(empty).withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))
+
+
+def classes(docs: DataFrame, maker: Maker = shingle_maker) -> DataFrame:
+    """``(doc_id, n_shingles, component_id)`` for documents ``(doc_id, text)`` with integer ids.
+
+    ``maker()`` gives, once per task, the function from texts to their sets, sorted distinct 64-bit hashes.
+    """
+    return _classes(docs, maker).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents, with all columns, less those linked to one with a smaller id.
+    """The documents, with all columns, less those linked to another one that comes before them.
 
-    Of rows that share an id one stays, the first by text. Documents without an id stay.
+    Of the linked documents of a component one stays, that of the smallest id; of several with this id, the
+    first by text. Documents without an id stay, and so does whatever links with nothing, also where it
+    shares its id with others.
     """
-    found = stage(classes(docs).where("doc_id IS NOT NULL"))
-    gone = stage(found.where(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct())
-    again = stage(found.where(F.col("component_id") == F.col("doc_id")).groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1").select("doc_id"))
+    found = stage(_classes(docs, shingle_maker).where("doc_id IS NOT NULL"))
+    repeated = stage(found.groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1").select("doc_id"))
+    gone = stage(found.where("component_id <> doc_id").select("doc_id").distinct())
     few = lambda ids: F.broadcast(ids) if ids.count() <= 5 * BROADCAST_ROWS else ids
-    stay = docs.join(few(gone), "doc_id", "left_anti")
-    if again.limit(1).count():
-        repeated = few(again)
-        first = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last())
-        (row,) = free_names(docs, "_row")
-        single = stay.join(repeated, "doc_id", "left_semi").withColumn(row, F.row_number().over(first)).where(F.col(row) == 1).drop(row)
-        stay = stay.join(repeated, "doc_id", "left_anti").unionByName(single)
-    return stay.select(*docs.columns)
+    if not repeated.limit(1).count():
+        return docs.join(few(gone), "doc_id", "left_anti").select(*docs.columns)
+    shared = few(repeated)
+    stay = docs.join(few(gone), "doc_id", "left_anti").join(shared, "doc_id", "left_anti")
+    # An id does not tell its rows apart: their sets do, made again.
+    sid, root, row = free_names(docs, "_sid", "_root", "_row")
+
+    def start():
+        sets_of = shingle_maker()
+        return lambda batch: batch | {sid: [_digest(f) for f in sets_of(batch["text"])]}
+
+    rows = map_rows(docs.join(shared, "doc_id", "left_semi"), StructType([*docs.schema.fields, StructField(sid, LongType())]), start)
+    known = found.join(shared, "doc_id", "left_semi").select("doc_id", F.col("sid").alias(sid), F.col("root").alias(root), "component_id").distinct()
+    known = known.withColumnRenamed("component_id", row)
+    rows = rows.join(known, ["doc_id", sid])
+    first = F.row_number().over(Window.partitionBy("doc_id", root).orderBy("text"))
+    linked = rows.where(F.col(root).isNotNull() & (F.col(row) == F.col("doc_id"))).withColumn(row, first).where(F.col(row) == 1)
+    parts = [stay, rows.where(F.col(root).isNull()), linked]
+    return reduce(DataFrame.unionByName, [p.select(*docs.columns) for p in parts])
 
 
 def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,8 +27,6 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
-    "op7_rules": op7_rules,
-    "op8_urls": op8_urls,
     "op3_jaccard": OP3_SQL,
     "op7_rules": OP7_SQL,
     "op8_urls": OP8_SQL,

@@ -122,15 +122,53 @@ def test_empty_table(spark):
     assert result(jaccard.classes(frame(spark, docs))) == [(1, 0, 1), (2, 0, 2), (3, 0, 3)]
 
 
+def kept_rows(docs):
+    """(doc_id, text) that one_of_each keeps, by all pairs of rows: of each component the first by id and text."""
+    sets = [shingle_set(t) for _, t in docs]
+    parent = list(range(len(docs)))
+
+    def find(a):
+        while parent[a] != a:
+            a = parent[a]
+        return a
+
+    for a in range(len(docs)):
+        for b in range(a):
+            common = len(sets[a] & sets[b])
+            if common and 100 * common >= 80 * (len(sets[a]) + len(sets[b]) - common):
+                parent[find(a)] = find(b)
+    groups = {}
+    for k, (d, t) in enumerate(docs):
+        groups.setdefault(find(k), []).append((d, t))
+    kept = []
+    for group in groups.values():
+        named = sorted((d, t) for d, t in group if d is not None) if len(group) > 1 else []
+        kept += named[:1] + [r for r in group if r[0] is None or len(group) == 1]
+    return sorted(kept, key=str)
+
+
 def test_one_of_each(spark):
-    docs = collection(5)
-    df = frame(spark, docs)
+    docs = [d[:2] for d in collection(5)]
+    shared = [(1, "an own text that links with nothing else"), (1, "one more text of the same id, also alone"), (901, ""), (901, ""), (901, None)]
+    near = " ".join(f"w{k}" for k in range(200))
+    shared += [(7000, near), (7000, near + " end"), (7001, near), (7001, "different words that nobody else has"), (6999, "some others again, of a smaller id")]
+    df = frame(spark, docs + shared)
     kept = jaccard.one_of_each(df)
     assert kept.schema == df.schema
-    expected = {d for d, _, c in brute(docs) if d is not None and c == d}
-    ids = [r["doc_id"] for r in kept.collect()]
-    assert sorted(i for i in ids if i is not None) == sorted(expected)
-    assert ids.count(None) == 2
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == kept_rows(docs + shared)
+
+
+def test_small_batches():
+    """Whatever few words the texts of a slice have in all."""
+    memo = jaccard.WordHashes()
+    for size in range(1, 6):
+        for total in range(9):
+            words = "a b c d e f g h".split()[:total]
+            texts = [" ".join(words[k * total // size : (k + 1) * total // size]) for k in range(size)]
+            found = jaccard.shingle_sets(texts, memo)
+            assert [len(f) for f in found] == [len(shingle_set(t)) for t in texts]
+            again = [jaccard.shingle_sets([t, "x y z and many other words"], memo)[0] for t in texts]
+            assert all((a == b).all() for a, b in zip(found, again))
 
 
 def test_components_of_edges(spark):

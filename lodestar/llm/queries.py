@@ -10,6 +10,7 @@ from .packing import op6_packing
 from .quality import op1_quality
 from .rules import OP7_SQL, op7_rules
 from .spotsigs import op4_spotsigs
+from .topk import OP11_SQL, op11_topk
 from .urls import OP8_SQL, op8_urls
 from .warc import OP9_SQL, op9_warc
 
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_urls": op8_urls,
     "op9_warc": op9_warc,
     "op10_language": op10_language,
+    "op11_topk": op11_topk,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -31,4 +33,5 @@ ORACLE_SQL: dict[str, str] = {
     "op7_rules": OP7_SQL,
     "op8_urls": OP8_SQL,
     "op9_warc": OP9_SQL,
+    "op11_topk": OP11_SQL,
 }

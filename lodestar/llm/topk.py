@@ -43,10 +43,10 @@ QUERY_EVERY = 100
 SHARD_ROWS = 200_000
 LEAST_ROWS = 8_192
 #: Rows and queries whose bounds are held at once.
-BLOCK_ROWS = 8_192
-BATCH_QUERIES = 128
+BLOCK_ROWS = 512
+BATCH_QUERIES = 256
 #: Shares of the lists that are read before the rows that are left are resolved.
-DEPTHS = (0.25, 0.5, 0.75)
+DEPTHS = (0.5, 0.75, 0.9)
 #: Scores resolved at once.
 PAIRS = 50_000
 _LONG = (-(1 << 63), (1 << 63) - 1)

@@ -9,6 +9,7 @@ from .mixing import op5_mixing
 from .packing import op6_packing
 from .quality import op1_quality
 from .rules import OP7_SQL, op7_rules
+from .runs import op13_runs
 from .spotsigs import op4_spotsigs
 from .topk import OP11_SQL, op11_topk
 from .urls import OP8_SQL, op8_urls
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_warc": op9_warc,
     "op10_language": op10_language,
     "op11_topk": op11_topk,
+    "op13_runs": op13_runs,
 }
 
 ORACLE_SQL: dict[str, str] = {

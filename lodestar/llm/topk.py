@@ -199,8 +199,8 @@ def op11_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP11_SQL = """
 WITH v AS (
-  SELECT vec_id, row_number() OVER () AS uid, list_transform(embedding, x -> floor(1024 * CAST(x AS DOUBLE))) AS q FROM embeddings
-  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+  SELECT vec_id, row_number() OVER () AS uid, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS q FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (
   SELECT a.uid, a.vec_id AS query_id, b.vec_id, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score
   FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.uid <> b.uid AND len(a.q) = len(b.q)),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .alignment import op12_alignment
 from .html import op2_html
 from .jaccard import OP3_SQL, op3_jaccard
 from .language import op10_language
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_warc": op9_warc,
     "op10_language": op10_language,
     "op11_topk": op11_topk,
+    "op12_alignment": op12_alignment,
     "op13_runs": op13_runs,
 }
 

@@ -11,12 +11,15 @@ a suffix and the next prefix make one group.
 
 Texts longer than ``CHUNK`` bytes are dealt over tasks as byte ranges, and their
 fragments are composed in a tree, ``FAN`` neighbours at a time; no task gets more
-of a text than one composition needs. Inside a range, and in shorter texts,
-stretches from one white space to the next (``_UNITS``) are tokenised and aligned
-once a task and composed by reference. Neither tokenizer has a token across
-their borders: A's pattern splits there, and B's vocabulary is checked for it.
-
-How many documents hold a pair of ids linked is counted in tasks, then summed.
+of a text than one composition needs. A range is tokenised with the stretches at
+its ends (from one white space to the next, ``_UNITS``). Neither tokenizer has a
+token across the borders of stretches: A's pattern splits there, and B's
+vocabulary is checked for it. Shorter texts are tokenised whole; the fragment of
+many of them, one after the other, is taken at once, since both tokenizers end a
+token where a text ends.
+
+Texts are tokenised once and their ids staged. How many documents hold a pair of
+ids linked is counted in tasks, then summed; a second pass over the ids sums up.
 The table of counts is sent to all tasks while it has at most ``SENT_PAIRS`` rows
 (counted first); a larger one is joined with the documents' pairs.
 
@@ -30,6 +33,8 @@ rows; other columns are ignored. Token ids are below 2^31.
 from __future__ import annotations
 
 import hashlib
+import json
+import os
 import re
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -41,17 +46,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from ..plans import stage
+from ..plans import fresh_dir, stage
 from ..plans.skew import join_sized
 from .common import buckets, table
-from .packing import Encoder
 
 #: Bytes of a range of a long text.
 CHUNK = 1 << 16
 #: Fragments composed at once.
 FAN = 8
-#: Stretches of text that a task remembers.
-MEMO = 100_000
+#: Bytes of shorter texts that are aligned at once.
+SLICE = 1 << 20
 #: Rows of the table of counts, 17 bytes each, that is sent to all tasks.
 SENT_PAIRS = 2_000_000
 #: Pairs that a task holds before it adds them up.
@@ -88,10 +92,15 @@ _ARRAYS = Fragment._fields[2:]
 
 def fragment(a: np.ndarray, a_ends: np.ndarray, b: np.ndarray, b_ends: np.ndarray, sound: bool = True) -> Fragment:
     """The fragment of tokens with ascending ends, of a whole number of bytes each."""
-    common = np.intersect1d(a_ends, b_ends, assume_unique=True)
-    if not len(common):
+    # Both ends ascend: a table of the bytes from the first to the last end tells which are common.
+    base = min(a_ends[0], b_ends[0]) if len(a) and len(b) else 0
+    marks = np.zeros(max(a_ends[-1], b_ends[-1]) - base + 1 if len(a) and len(b) else 0, dtype=np.int8)
+    if len(marks):
+        marks[a_ends - base] += 1
+        marks[b_ends - base] += 1
+    cuts_a, cuts_b = ((np.flatnonzero(marks[e - base] == 2) + 1 if len(marks) else _NONE) for e in (a_ends, b_ends))
+    if not len(cuts_a):
         return NEUTRAL._replace(sound=sound, prefix_a=a, prefix_b=b)
-    cuts_a, cuts_b = np.searchsorted(a_ends, common) + 1, np.searchsorted(b_ends, common) + 1
     return Fragment(
         sound, True, a[: cuts_a[0]], b[: cuts_b[0]], a[cuts_a[0] : cuts_a[-1]], b[cuts_b[0] : cuts_b[-1]],
         np.diff(cuts_a).astype(np.int32), np.diff(cuts_b).astype(np.int32), a[cuts_a[-1] :], b[cuts_b[-1] :],
@@ -146,57 +155,86 @@ def groups_of(whole: Fragment) -> Groups | None:
     )
 
 
-def written(groups: Groups) -> bytes:
-    """``a1,a2|b1;a3|b2,b3``."""
-    a, b = list(map(str, groups.a.tolist())), list(map(str, groups.b.tolist()))
-    out, i, j = [], 0, 0
-    for x, y in zip(groups.n_a.tolist(), groups.n_b.tolist()):
-        out.append(f"{','.join(a[i : i + x])}|{','.join(b[j : j + y])}")
-        i, j = i + x, j + y
-    return ";".join(out).encode()
-
-
-def linked(groups: Groups) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct linked pairs, A's id in the upper half of a key, and how often each occurs in the text."""
-    small = groups.n_a.astype(np.int64) * groups.n_b <= 4_096
+def written(groups: Groups, owner: np.ndarray, count: int) -> list[bytes]:
+    """``a1,a2|b1;a3|b2,b3`` of each of ``count`` texts; ``owner`` tells the text of each group."""
+    n = np.stack([groups.n_a, groups.n_b], axis=1).astype(np.int64)
+    # Where the ids of each side go in the row of all: A's of a group, then B's.
+    begin = np.cumsum(n.ravel()) - n.ravel()
+    total = int(n.sum())
+    ids, marks = np.empty(total, dtype=object), np.zeros(total, dtype=np.int8)
+    for side, found in enumerate((groups.a, groups.b)):
+        size = n[:, side]
+        at = np.repeat(begin[side::2] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        ids[at] = found
+        marks[begin[side::2] + size - 1] = 1 + side
+    ends = np.searchsorted(owner, np.arange(count), side="right")
+    last = np.append(0, np.cumsum(n.sum(axis=1)))[ends]
+    signs = [",", "|", ";"]
+    words = [f"{i}{signs[m]}" for i, m in zip(ids.tolist(), marks.tolist())]
+    return ["".join(words[x:y])[:-1].encode() for x, y in zip([0, *last[:-1].tolist()], last.tolist())]
+
+
+def linked(groups: Groups, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct linked pairs of each text, A's id in the upper half of a key, the text and how often there; by key."""
+    size = groups.n_a.astype(np.int64) * groups.n_b
+    small = size <= 4_096
     start_a, start_b = (np.cumsum(n) - n for n in (groups.n_a.astype(np.int64), groups.n_b.astype(np.int64)))
     # All pairs of small groups at once: row k of a group pairs a's number k // n_b with b's number k % n_b.
     n_b = groups.n_b[small].astype(np.int64)
-    size = groups.n_a[small] * n_b
-    of = np.repeat(np.arange(len(size)), size)
-    k = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+    of = np.repeat(np.arange(len(n_b)), size[small])
+    k = np.arange(len(of)) - np.repeat(np.cumsum(size[small]) - size[small], size[small])
     x = groups.a[start_a[small][of] + k // n_b[of]].astype(np.int64)
     y = groups.b[start_b[small][of] + k % n_b[of]].astype(np.int64)
-    keys, times = np.unique((x << 32) | y, return_counts=True)
-    parts = [(keys, times)]
+    bits_b, bits_owner = int(groups.b.max(initial=0)).bit_length(), int(owner.max(initial=0)).bit_length()
+    packed = (x << (bits_b + bits_owner)) | (y << bits_owner) | owner[small][of]
+    packed, times = np.unique(packed, return_counts=True)
+    large = []
     for g in np.flatnonzero(~small):
         # Of a large group only the distinct ids are paired.
         a, times_a = np.unique(groups.a[start_a[g] : start_a[g] + groups.n_a[g]], return_counts=True)
         b, times_b = np.unique(groups.b[start_b[g] : start_b[g] + groups.n_b[g]], return_counts=True)
-        parts.append((((a.astype(np.int64) << 32)[:, None] | b).ravel(), (times_a[:, None] * times_b).ravel()))
-    if len(parts) == 1:
-        return keys, times.astype(np.int64)
-    keys, place = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-    times = np.zeros(len(keys), dtype=np.int64)
-    np.add.at(times, place, np.concatenate([p[1] for p in parts]))
-    return keys, times
+        both = (a.astype(np.int64) << (bits_b + bits_owner))[:, None] | (b.astype(np.int64) << bits_owner) | owner[g]
+        large.append((both.ravel(), (times_a[:, None] * times_b).ravel()))
+    if large:
+        packed, place = np.unique(np.concatenate([packed, *[p for p, _ in large]]), return_inverse=True)
+        each, times = np.concatenate([times, *[t for _, t in large]]), np.zeros(len(packed), dtype=np.int64)
+        np.add.at(times, place, each)
+    keys = (packed >> (bits_b + bits_owner) << 32) | ((packed >> bits_owner) & ((1 << bits_b) - 1))
+    return keys, packed & ((1 << bits_owner) - 1), times.astype(np.int64)
 
 
 # Tokens of texts
 
 
-class Aligner(dict):
-    """Numbers of stretches of text; what they are made of is kept in lists by number."""
+class Aligner:
+    """Both tokenizers, with the bytes that their ids stand for."""
 
     def __init__(self, a_json: str, b_model: bytes):
+        import public_tokenizers
         import sentencepiece
-
-        self.encoder = Encoder(a_json)
-        written_as = {c: b for b, c in self.encoder.parts.written.items()}
-        vocabulary = self.encoder.tokenizer.get_vocab()
-        self.a_bytes = [b""] * (max(vocabulary.values()) + 1)
-        for entry, i in vocabulary.items():
-            self.a_bytes[i] = bytes(written_as[c] for c in entry) if all(c in written_as for c in entry) else entry.encode()
+        import tiktoken
+        from tokenizers import Tokenizer
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        self.library = Tokenizer.from_str(a_json)
+        # The string of a special token in a text is ordinary text.
+        self.library.encode_special_tokens = True
+        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        others = [b for b in range(256) if b not in printable]
+        byte_of = {chr(b): b for b in printable} | {chr(256 + k): b for k, b in enumerate(others)}
+        parsed = json.loads(a_json)
+        plain = {bytes(map(byte_of.__getitem__, entry)): i for entry, i in parsed["model"]["vocab"].items() if all(c in byte_of for c in entry)}
+        special = {t["id"]: t["content"].encode() for t in parsed.get("added_tokens", [])}
+        self.a_bytes = [b""] * (max([*plain.values(), *special]) + 1)
+        for entry, i in [*plain.items(), *zip(special.values(), special)]:
+            self.a_bytes[i] = entry
+        # Where merges come in the order of their ids, as in files of the usual kind, a faster library gives the same ids.
+        merges = [m.split(" ") if isinstance(m, str) else m for m in parsed["model"]["merges"]]
+        order = [parsed["model"]["vocab"].get("".join(m), -1) for m in merges]
+        ranks = {entry: i for entry, i in plain.items() if i not in special}
+        self.fast = None
+        if order == sorted(order) and all(r >= 0 for r in order) and len(ranks) == 256 + len(merges):
+            self.fast = tiktoken.Encoding("a", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.model = sentencepiece.SentencePieceProcessor(model_proto=b_model)
         ids = range(self.model.vocab_size())
         pieces = [self.model.id_to_piece(i) for i in ids]
@@ -205,48 +243,39 @@ class Aligner(dict):
         # No piece goes on behind a space that follows something else, or holds a line feed.
         self.lead = self.model.encode("\n")
         self.separable = not any("▁" in p.lstrip("▁") or "\n" in p for p in pieces) and len(self.lead) == 2
-        self.times_forgotten = 0
-        self.forget()
-
-    def forget(self) -> None:
-        self.times_forgotten += 1
-        self.clear()
-        self.encoder.clear()
-        self.encoder.parts.clear()
-        self.parts: list[Fragment] = []
-        self.texts: list[bytes] = []
-        self.pairs: list[tuple[np.ndarray, np.ndarray]] = []
-        self.sizes = np.zeros((1024, 4), dtype=np.int64)
-
-    def split(self, text: str) -> list[str]:
-        """The stretches of a space and the text."""
-        return _UNITS.findall(f" {text}") if self.separable else [f" {text}"]
-
-    def tokens(self, unit: str) -> tuple[np.ndarray, np.ndarray, bool]:
-        """Ids in A and B, and whether both stand for the very bytes."""
-        a = np.frombuffer(self.encoder.encode(unit), dtype="<u4").astype(np.int32)
-        b = self.model.encode(f"\n{unit}")[len(self.lead) :] if self.separable else self.model.encode(unit[1:])
-        raw = unit.encode("utf-8", "replace")
-        sound = b"".join(map(self.a_bytes.__getitem__, a.tolist())) == raw and b"".join(map(self.b_bytes.__getitem__, b)) == raw
-        return a, np.array(b, dtype=np.int32), sound
-
-    def __missing__(self, unit: str) -> int:
-        a, b, sound = self.tokens(unit)
-        part = fragment(a, np.cumsum(self.a_sizes[a]), b, np.cumsum(self.b_sizes[b]), sound)
-        groups = groups_of(part)
-        number = self[unit] = len(self.parts)
-        self.parts.append(part)
-        if number >= len(self.sizes):
-            self.sizes = np.concatenate([self.sizes, np.zeros_like(self.sizes)])
-        self.sizes[number] = (len(a), len(b), len(groups.n_a), (groups.n_a.astype(np.int64) * groups.n_b).sum()) if groups else (-1, 0, 0, 0)
-        self.texts.append(written(groups) if groups else b"")
-        self.pairs.append(linked(groups) if groups else (np.zeros(0, dtype=np.int64),) * 2)
-        return number
-
-    def numbers(self, text: str) -> list[int]:
-        if len(self.parts) > MEMO:
-            self.forget()
-        return list(map(self.__getitem__, self.split(text)))
+
+    def _in_a(self, text: str) -> list[int]:
+        # Patterns with a look ahead end early on very long white space in the faster library.
+        if self.fast is None or len(text) > 4 * CHUNK:
+            return self.library.encode(text, add_special_tokens=False).ids
+        return self.fast.encode_ordinary(text)
+
+    def _checked(self, raw: bytes, a: list[int], b: list[int]) -> tuple[np.ndarray, np.ndarray, bool]:
+        sound = b"".join(map(self.a_bytes.__getitem__, a)) == raw and b"".join(map(self.b_bytes.__getitem__, b)) == raw
+        return np.array(a, dtype=np.int32), np.array(b, dtype=np.int32), sound
+
+    def texts(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray, bool]]:
+        """Ids of whole texts in A and B, and whether both stand for the very bytes of a space and the text."""
+        whole = [f" {t}" for t in texts]
+        return [self._checked(w.encode("utf-8", "replace"), self._in_a(w), b) for w, b in zip(whole, self.model.encode(texts, num_threads=1))]
+
+    def span(self, span: str) -> tuple[np.ndarray, np.ndarray, bool]:
+        """The same for a part of a text (with its space) from border to border."""
+        if self.separable:
+            b = self.model.encode(f"\n{span}")[len(self.lead) :]
+        else:
+            b = self.model.encode(span[1:])
+        return self._checked(span.encode(), self._in_a(span), b)
+
+    def groups(self, a: list[np.ndarray], b: list[np.ndarray]) -> tuple[Groups, np.ndarray]:
+        """The groups of sound texts, given by their ids, one after the other, and the text of each group."""
+        flat_a, flat_b = np.concatenate([_NONE, *a]), np.concatenate([_NONE, *b])
+        ends = np.cumsum(self.a_sizes[flat_a])
+        found = groups_of(fragment(flat_a, ends, flat_b, np.cumsum(self.b_sizes[flat_b])))
+        if found is None:
+            return Groups(_NONE, _NONE, _NONE, _NONE), np.zeros(0, dtype=np.int64)
+        last = np.cumsum([len(x) for x in a])
+        return found, np.searchsorted(last, np.cumsum(found.n_a), side="left")
 
 
 def _cut_after(raw: bytes, at: int) -> int:
@@ -347,12 +376,10 @@ def long_fragments(docs: DataFrame, both: Models, chunk: int = CHUNK, fan: int =
         aligner = both.aligner()
         for batch in batches:
             for uid, doc_id, part, low, high, begin, span in zip(*[c.to_pylist() for c in batch.columns]):
-                text = span.decode("utf-8")
-                found = [aligner.tokens(unit) for unit in (_UNITS.findall(text) if aligner.separable else [text])]
-                a, b = (np.concatenate([_NONE, *x]) for x in list(zip(*found))[:2])
+                a, b, sound = aligner.span(span.decode("utf-8"))
                 a_ends, b_ends = begin + np.cumsum(aligner.a_sizes[a]), begin + np.cumsum(aligner.b_sizes[b])
                 own_a, own_b = (a_ends > low) & (a_ends <= high), (b_ends > low) & (b_ends <= high)
-                made = fragment(a[own_a], a_ends[own_a], b[own_b], b_ends[own_b], all(f[2] for f in found))
+                made = fragment(a[own_a], a_ends[own_a], b[own_b], b_ends[own_b], sound)
                 yield _batch([(uid, doc_id, part, *_row(made))], out)
 
     def compose(rows: pa.Table) -> pa.Table:
@@ -373,154 +400,165 @@ def long_fragments(docs: DataFrame, both: Models, chunk: int = CHUNK, fan: int =
     return stage(found.drop("part"))
 
 
-def _texts(docs: DataFrame, chunk: int) -> DataFrame:
-    """The texts that are short enough for one task, null ones included."""
-    return docs.where(F.coalesce(F.octet_length("text"), F.lit(0)) <= chunk).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+def _slices(texts: list[str | None]) -> Iterator[slice]:
+    begin, size = 0, 0
+    for k, text in enumerate(texts):
+        size += len(text or "")
+        if size > SLICE:
+            yield slice(begin, k + 1)
+            begin, size = k + 1, 0
+    if begin < len(texts):
+        yield slice(begin, len(texts))
 
 
-def _unit_sums(aligner: Aligner, numbers: list[int]) -> np.ndarray | None:
-    """``(n_a, n_b, n_groups, n_links)`` of a text, None where a stretch is unsound."""
-    each = aligner.sizes[numbers]
-    return None if not numbers or (each[:, 0] < 0).any() else each.sum(axis=0)
+def _ids(docs: DataFrame, both: Models, chunk: int) -> DataFrame:
+    """``(doc_id, a, b)`` of the texts of at most ``chunk`` bytes, staged: ids, of four bytes or two, or null.
 
+    Rows with ``n`` besides count, for a number of documents, those that hold the pair ``key`` linked.
+    """
+    schema = "doc_id long, a binary, b binary, key long, n long"
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+    short = docs.where(F.coalesce(F.octet_length("text"), F.lit(0)) <= chunk)
 
-def _pairs_of(aligner: Aligner, numbers: list[int]) -> np.ndarray:
-    """The distinct pairs linked in a text."""
-    return np.unique(np.concatenate([aligner.pairs[n][0] for n in set(numbers)]))
-
-
-def pair_counts(docs: DataFrame, long: DataFrame, both: Models, chunk: int = CHUNK) -> DataFrame:
-    """``(key, n, best)``: how many documents hold a pair linked, and whether no pair of its A id is in more; staged."""
-
-    def count(batches: Iterator[pa.RecordBatch], pairs_of_batch) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        aligner = both.aligner()
+        kind = _id_kind(aligner)
         held, size = [], 0
-
-        def added() -> pa.RecordBatch:
-            keys, n = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(n, pa.int64())], names=["key", "n"])
-
         for batch in batches:
-            for keys in pairs_of_batch(batch):
-                held.append(keys)
-                size += len(keys)
+            every, all_texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for piece in _slices(all_texts):
+                ids, texts = every[piece], all_texts[piece]
+                filled = [k for k, t in enumerate(texts) if t]
+                a, b = [None] * len(ids), [None] * len(ids)
+                found = aligner.texts([texts[k] for k in filled])
+                sound = [(x, y) for x, y, fine in found if fine]
+                for k, (x, y, fine) in zip(filled, found):
+                    if fine:
+                        a[k], b[k] = x.astype(kind).tobytes(), y.astype(kind).tobytes()
+                none = [None] * len(ids)
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip((ids, a, b, none, none), arrow)], schema=arrow)
+                keys = linked(*aligner.groups([x for x, _ in sound], [y for _, y in sound]))[0]
+                held.append(np.unique(keys, return_counts=True))
+                size += len(held[-1][0])
                 if size > HELD_PAIRS:
-                    yield added()
+                    yield _counted(held, arrow)
                     held, size = [], 0
         if held:
-            yield added()
+            yield _counted(held, arrow)
 
-    def of_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner = both.aligner()
+    path = fresh_dir(docs.sparkSession, "ids")
+    short.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema).write.option("compression", "zstd").parquet(path)
+    return docs.sparkSession.read.schema(schema).parquet(path)
+
+
+def _id_kind(aligner: Aligner) -> str:
+    return "<u2" if max(len(aligner.a_bytes), len(aligner.b_bytes)) <= 1 << 16 else "<i4"
 
-        def pairs(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-            for text in batch.column(1):
-                if text := text.as_py():
-                    numbers = aligner.numbers(text)
-                    if _unit_sums(aligner, numbers) is not None:
-                        yield _pairs_of(aligner, numbers)
 
-        return count(batches, pairs)
+def _counted(held: list[tuple[np.ndarray, np.ndarray]], schema: pa.Schema) -> pa.RecordBatch:
+    """Rows of counts: the sum of counts by key."""
+    keys, n = (np.concatenate(c) for c in zip(*held))
+    order = np.argsort(keys, kind="stable")
+    keys, n = keys[order], n[order]
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
+    columns = {"key": keys[first], "n": np.add.reduceat(n, first) if len(first) else n}
+    return pa.RecordBatch.from_arrays([pa.array(columns.get(f.name, [None] * len(first)), type=f.type) for f in schema], schema=schema)
+
+
+def pair_counts(ids: DataFrame, long: DataFrame) -> DataFrame:
+    """``(key, n, best)``: how many documents hold a pair linked, and whether no pair of its A id is in more; staged."""
+    schema = "key long, n long"
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
 
     def of_fragments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def pairs(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        for batch in batches:
             for row in zip(*batch.columns):
                 if groups := groups_of(_from_row([x.as_py() for x in row])):
-                    yield linked(groups)[0]
-
-        return count(batches, pairs)
+                    keys = linked(groups, np.zeros(len(groups.n_a), dtype=np.int64))[0]
+                    yield _counted([(keys, np.ones(len(keys), dtype=np.int64))], arrow)
 
-    short = _texts(docs, chunk).mapInArrow(of_texts, "key long, n long")
-    whole = long.select(*Fragment._fields).mapInArrow(of_fragments, "key long, n long")
-    counts = stage(short.unionByName(whole).groupBy("key").agg(F.sum("n").alias("n")))
+    whole = long.select(*Fragment._fields).mapInArrow(of_fragments, schema)
+    counts = stage(ids.where("n IS NOT NULL").select("key", "n").unionByName(whole).groupBy("key").agg(F.sum("n").alias("n")))
     # A's ids are few; a hot one has its highest count found before the exchange.
     highest = counts.groupBy(F.shiftright("key", 32).alias("a")).agg(F.max("n").alias("most"))
     marked = counts.withColumn("a", F.shiftright("key", 32)).join(highest, "a")
     return stage(marked.select("key", "n", (F.col("n") == F.col("most")).alias("best")))
 
 
-_NUMBERS = "n_a long, n_b long, n_groups long, n_links long, "
+_NUMBERS = "n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, "
 
 
-def _described(docs: DataFrame, long: DataFrame, both: Models, chunk: int, tail: str, describe) -> DataFrame:
+def _described(ids: DataFrame, long: DataFrame, both: Models, tail: str, describe) -> DataFrame:
     """A row for each document: the numbers of its alignment, its digest and what ``describe()`` adds (``tail``).
 
-    ``describe()`` runs once a task and gives two functions, for the stretches of a text and for groups.
+    ``describe()`` runs once a task; its function takes groups, the text of each and their number, and gives a
+    list for each column. No groups at all are those of the texts without tokens.
     """
-    schema = f"doc_id long, {_NUMBERS}groups_sha256 string, {tail}"
-
+    schema = f"doc_id long, {_NUMBERS}{tail}"
     kinds = to_arrow_schema(StructType.fromDDL(schema))
 
-    def of_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner = both.aligner()
-        of_units, of_groups = describe()
-        nothing = (0, 0, 0, 0, "", *of_groups(None))
-
-        def row(text: str | None) -> tuple:
-            numbers = aligner.numbers(text) if text else []
-            sums = _unit_sums(aligner, numbers)
-            if sums is None:
-                return nothing
-            digest = hashlib.sha256(b";".join(map(aligner.texts.__getitem__, numbers))).hexdigest()
-            return (*sums.tolist(), digest, *of_units(aligner, numbers))
-
+    def rows(doc_ids: list, groups: Groups, owner: np.ndarray, more) -> pa.RecordBatch:
+        count = len(doc_ids)
+        n_a, n_b = groups.n_a.astype(np.int64), groups.n_b.astype(np.int64)
+        sums = [np.zeros(count, dtype=np.int64) for _ in range(4)]
+        for total, each in zip(sums, (n_a, n_b, np.ones(len(n_a), dtype=np.int64), n_a * n_b)):
+            np.add.at(total, owner, each)
+        digests = [hashlib.sha256(text).hexdigest() if text else "" for text in written(groups, owner, count)]
+        columns = [doc_ids, *sums, digests, *more(groups, owner, count)]
+        return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, kinds)], schema=kinds)
+
+    def of_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        aligner, more = both.aligner(), describe()
+        kind = _id_kind(aligner)
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for at in range(0, len(ids), 1024):
-                piece = slice(at, at + 1024)
-                yield _batch([(i, *row(t)) for i, t in zip(ids[piece], texts[piece])], kinds)
+            every, a, b = (c.to_pylist() for c in batch.columns)
+            for piece in _slices(a):
+                # Texts without tokens own no groups.
+                sides = [[np.frombuffer(x or b"", dtype=kind).astype(np.int32) for x in side[piece]] for side in (a, b)]
+                yield rows(every[piece], *aligner.groups(*sides), more)
 
     def of_fragments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, of_groups = describe()
+        more = describe()
         for batch in batches:
             for doc_id, *values in zip(*batch.columns):
-                groups = groups_of(_from_row([x.as_py() for x in values]))
-                numbers = (0, 0, 0, 0, "")
-                if groups:
-                    n_links = int((groups.n_a.astype(np.int64) * groups.n_b).sum())
-                    numbers = (len(groups.a), len(groups.b), len(groups.n_a), n_links, hashlib.sha256(written(groups)).hexdigest())
-                yield _batch([(doc_id.as_py(), *numbers, *of_groups(groups))], kinds)
+                groups = groups_of(_from_row([x.as_py() for x in values])) or Groups(_NONE, _NONE, _NONE, _NONE)
+                yield rows([doc_id.as_py()], groups, np.zeros(len(groups.n_a), dtype=np.int64), more)
 
     whole = long.select("doc_id", *Fragment._fields).mapInArrow(of_fragments, schema)
-    return _texts(docs, chunk).mapInArrow(of_texts, schema).unionByName(whole)
+    return ids.where("n IS NULL").select("doc_id", "a", "b").mapInArrow(of_ids, schema).unionByName(whole)
 
 
-def _with_sent_counts(docs: DataFrame, long: DataFrame, both: Models, chunk: int, counts: DataFrame) -> DataFrame:
+def _with_sent_counts(ids: DataFrame, long: DataFrame, both: Models, counts: DataFrame) -> DataFrame:
     found = counts.orderBy("key").toArrow()
-    sent = docs.sparkSession.sparkContext.broadcast([found.column(c).combine_chunks().to_numpy(zero_copy_only=False) for c in ("key", "n", "best")])
+    sent = ids.sparkSession.sparkContext.broadcast([found.column(c).to_numpy(zero_copy_only=False) for c in ("key", "n", "best")])
 
     def describe():
-        keys, n, best = sent.value
-        known: list[tuple[int, int]] = []
-        state = [0]
-
-        def sums(pairs) -> tuple[int, int]:
-            at = np.searchsorted(keys, pairs[0])
-            return int((pairs[1] * best[at]).sum()), int((pairs[1] * n[at]).sum())
+        known, n, best = sent.value
 
-        def of_units(aligner: Aligner, numbers: list[int]) -> tuple[int, int]:
-            if state[0] != aligner.times_forgotten:
-                # Its numbers have begun again.
-                known.clear()
-                state[0] = aligner.times_forgotten
-            known.extend(sums(p) for p in aligner.pairs[len(known) :])
-            return tuple(map(sum, zip(*map(known.__getitem__, numbers))))
+        def sums(groups: Groups, owner: np.ndarray, count: int) -> list:
+            keys, owner, times = linked(groups, owner)
+            at = np.searchsorted(known, keys)
+            totals = [np.zeros(count, dtype=np.int64) for _ in range(2)]
+            for total, each in zip(totals, (times * best[at], times * n[at])):
+                np.add.at(total, owner, each)
+            return totals
 
-        return of_units, lambda groups: sums(linked(groups)) if groups else (0, 0)
+        return sums
 
-    return _described(docs, long, both, chunk, "n_best long, count_sum long", describe)
+    return _described(ids, long, both, "n_best long, count_sum long", describe)
 
 
-def _with_joined_counts(docs: DataFrame, long: DataFrame, both: Models, chunk: int, counts: DataFrame) -> DataFrame:
+def _with_joined_counts(ids: DataFrame, long: DataFrame, both: Models, counts: DataFrame) -> DataFrame:
     def describe():
-        def of_units(aligner: Aligner, numbers: list[int]) -> tuple:
-            keys, place = np.unique(np.concatenate([aligner.pairs[n][0] for n in numbers]), return_inverse=True)
-            times = np.zeros(len(keys), dtype=np.int64)
-            np.add.at(times, place, np.concatenate([aligner.pairs[n][1] for n in numbers]))
-            return keys, times
+        def pairs(groups: Groups, owner: np.ndarray, count: int) -> list:
+            keys, owner, times = linked(groups, owner)
+            order = np.argsort(owner, kind="stable")
+            borders = np.searchsorted(owner[order], np.arange(1, count))
+            return [np.split(keys[order], borders), np.split(times[order], borders)]
 
-        return of_units, lambda groups: linked(groups) if groups else ([], [])
+        return pairs
 
-    found = _described(docs, long, both, chunk, "keys array<bigint>, times array<bigint>", describe)
+    found = _described(ids, long, both, "keys array<bigint>, times array<bigint>", describe)
     found = stage(found.withColumn("uid", F.monotonically_increasing_id()))
     each = found.select("uid", F.explode(F.arrays_zip("keys", "times")).alias("_p")).select("uid", F.col("_p.keys").alias("key"), "_p.times")
     # A pair comes once for each document that holds it, so its count tells how hot it is.
@@ -543,10 +581,10 @@ def aligned(
     up the documents of the links' pairs.
     """
     both = models(docs.sparkSession, a_file, b_file)
-    long = long_fragments(docs, both, chunk, fan)
-    counts = pair_counts(docs, long, both, chunk)
+    long, ids = long_fragments(docs, both, chunk, fan), _ids(docs, both, chunk)
+    counts = pair_counts(ids, long)
     way = _with_sent_counts if counts.count() <= sent_pairs else _with_joined_counts
-    return way(docs, long, both, chunk, counts)
+    return way(ids, long, both, counts)
 
 
 def groups(docs: DataFrame, a_file: str | None = None, b_file: str | None = None, chunk: int = CHUNK, fan: int = FAN) -> DataFrame:
@@ -554,14 +592,15 @@ def groups(docs: DataFrame, a_file: str | None = None, b_file: str | None = None
     both = models(docs.sparkSession, a_file, b_file)
 
     def describe():
-        def of_units(aligner: Aligner, numbers: list[int]) -> tuple:
-            each = [groups_of(aligner.parts[n]) for n in numbers]
-            return tuple(np.concatenate(x) for x in zip(*each))
+        def columns(found: Groups, owner: np.ndarray, count: int) -> list:
+            borders = np.searchsorted(owner, np.arange(1, count))
+            each = [np.append(0, np.cumsum(n))[borders] for n in (found.n_a, found.n_b)]
+            return [np.split(c, at) for c, at in zip(found, (*each, borders, borders))]
 
-        return of_units, lambda found: tuple(found) if found else ([], [], [], [])
+        return columns
 
     tail = "a array<int>, b array<int>, n_a_each array<int>, n_b_each array<int>"
-    return _described(docs, long_fragments(docs, both, chunk, fan), both, chunk, tail, describe)
+    return _described(_ids(docs, both, chunk), long_fragments(docs, both, chunk, fan), both, tail, describe)
 
 
 def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -74,14 +74,21 @@ def odd_texts(seed=3, n=120):
 
 
 def test_texts_by_the_libraries(libraries, aligner):
-    """Stretches by themselves give the tokens and groups of whole texts."""
-    for text in [*odd_texts(), *[t for _, t, *_ in documents(n=30)]]:
-        numbers = aligner.numbers(text)
-        assert "".join(aligner.split(text)) == f" {text}"
-        groups = whole_groups(libraries, text)
-        assert (alignment._unit_sums(aligner, numbers) is None) == (groups is None)
-        if groups is not None:
-            assert b";".join(aligner.texts[n] for n in numbers) == ";".join(f"{','.join(map(str, a))}|{','.join(map(str, b))}" for a, b in groups).encode()
+    """Whole texts, and texts put together from stretches, by the libraries' own ids."""
+    texts = [*odd_texts(), *[t for _, t, *_ in documents(n=30)]]
+    found = aligner.texts(texts)
+    wanted = [whole_groups(libraries, t) for t in texts]
+    assert [fine for *_, fine in found] == [w is not None for w in wanted]
+    sound = [(a, b) for a, b, fine in found if fine]
+    groups, owner = aligner.groups([a for a, _ in sound], [b for _, b in sound])
+    lines = [";".join(f"{','.join(map(str, a))}|{','.join(map(str, b))}" for a, b in w).encode() for w in wanted if w]
+    assert alignment.written(groups, owner, len(sound)) == lines
+    for text, (a, b, fine) in zip(texts, found):
+        units = alignment._UNITS.findall(f" {text}")
+        assert "".join(units) == f" {text}"
+        spans = [aligner.span(u) for u in units]
+        assert all(s[2] for s in spans) == fine
+        assert np.concatenate([s[0] for s in spans]).tolist() == a.tolist() and np.concatenate([s[1] for s in spans]).tolist() == b.tolist()
 
 
 def test_fragments_compose_associatively():
@@ -105,16 +112,17 @@ def test_fragments_compose_associatively():
             assert np.array_equal(got, want)
 
 
-def test_links_of_large_groups(monkeypatch):
+def test_links_of_large_groups():
     rng = np.random.default_rng(1)
     n_a, n_b = rng.integers(1, 100, 20).astype(np.int32), rng.integers(1, 100, 20).astype(np.int32)
     groups = alignment.Groups(rng.integers(0, 9, n_a.sum()).astype(np.int32), rng.integers(0, 9, n_b.sum()).astype(np.int32), n_a, n_b)
+    owner = np.sort(rng.integers(0, 6, 20))
     want, i, j = Counter(), 0, 0
-    for x, y in zip(n_a, n_b):
-        want.update((int(a) << 32) | int(b) for a in groups.a[i : i + x] for b in groups.b[j : j + y])
+    for x, y, o in zip(n_a, n_b, owner):
+        want.update(((int(a) << 32) | int(b), int(o)) for a in groups.a[i : i + x] for b in groups.b[j : j + y])
         i, j = i + x, j + y
-    keys, times = alignment.linked(groups)
-    assert dict(zip(keys.tolist(), times.tolist())) == want
+    keys, of, times = alignment.linked(groups, owner)
+    assert dict(zip(zip(keys.tolist(), of.tolist()), times.tolist())) == want and sorted(keys) == keys.tolist()
 
 
 def test_ranges_of_a_text():
@@ -137,8 +145,8 @@ def test_documents_by_brute_force(spark, libraries, monkeypatch, chunk, fan, sen
     docs = [d[:2] for d in documents(n=60)] + [(d, t) for d, t in edges() if not t or len(t) < 10_000]
     docs += [(2000 + k, t) for k, t in enumerate(odd_texts())] + [(3000 + k, "one hot text of copies") for k in range(40)]
     if fan == 2:
-        # Forgets after every text; tasks run in this process's children, which get the module by value.
-        monkeypatch.setattr(alignment, "MEMO", 1)
+        monkeypatch.setattr(alignment, "SLICE", 50)
+        monkeypatch.setattr(alignment, "HELD_PAIRS", 20)
     docs += [(4000, "no-white-space-" * 60), (4001, "日本語" * 100)]
     got = alignment.aligned(frame(spark, docs), chunk=chunk, fan=fan, sent_pairs=sent)
     names = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]

@@ -37,6 +37,7 @@ import json
 import os
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -155,13 +156,18 @@ def groups_of(whole: Fragment) -> Groups | None:
     )
 
 
+@lru_cache(maxsize=2)
+def _numbers(size: int) -> list[str]:
+    return [f"{i}{sign}" for sign in ",|;" for i in range(size)]
+
+
 def written(groups: Groups, owner: np.ndarray, count: int) -> list[bytes]:
     """``a1,a2|b1;a3|b2,b3`` of each of ``count`` texts; ``owner`` tells the text of each group."""
     n = np.stack([groups.n_a, groups.n_b], axis=1).astype(np.int64)
     # Where the ids of each side go in the row of all: A's of a group, then B's.
     begin = np.cumsum(n.ravel()) - n.ravel()
     total = int(n.sum())
-    ids, marks = np.empty(total, dtype=object), np.zeros(total, dtype=np.int8)
+    ids, marks = np.zeros(total, dtype=np.int64), np.zeros(total, dtype=np.int64)
     for side, found in enumerate((groups.a, groups.b)):
         size = n[:, side]
         at = np.repeat(begin[side::2] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
@@ -169,8 +175,11 @@ def written(groups: Groups, owner: np.ndarray, count: int) -> list[bytes]:
         marks[begin[side::2] + size - 1] = 1 + side
     ends = np.searchsorted(owner, np.arange(count), side="right")
     last = np.append(0, np.cumsum(n.sum(axis=1)))[ends]
-    signs = [",", "|", ";"]
-    words = [f"{i}{signs[m]}" for i, m in zip(ids.tolist(), marks.tolist())]
+    size = 1 << int(ids.max(initial=0)).bit_length()
+    if size <= 1 << 20:
+        words = list(map(_numbers(size).__getitem__, (marks * size + ids).tolist()))
+    else:
+        words = [f"{i}{',|;'[m]}" for i, m in zip(ids.tolist(), marks.tolist())]
     return ["".join(words[x:y])[:-1].encode() for x, y in zip([0, *last[:-1].tolist()], last.tolist())]
 
 

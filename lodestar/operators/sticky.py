@@ -14,6 +14,8 @@ the occurrences of these few items.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,11 +50,12 @@ def advance(
     seed: int,
     broadcast_rows: int = BROADCAST_ROWS,
     floor: int = HOT_FLOOR,
+    stage: Callable[[DataFrame], DataFrame] = stage,
 ) -> tuple[DataFrame, int]:
     """Table ``(item, est)`` after ``n_items`` further items at positions ``n_before`` and up.
 
-    ``state`` is the table before them and ``last_bin`` the bin it stands at.
-    Returns the new table and its bin.
+    ``state`` is the table before them and ``last_bin`` the bin it stands at;
+    ``stage`` tells where the items to follow are kept. Returns the new table and its bin.
     """
     if n_items == 0:
         return state, last_bin

@@ -252,6 +252,13 @@ ORACLE_SQL: dict[str, str] = {
     "file_word_count": "WITH words AS (SELECT unnest([event_type, 'of', event_type]) AS word FROM events) "
     "SELECT word, count(*) AS n FROM words GROUP BY word",
     "batch_sizes": f"WITH {BATCHES} SELECT batch_id, n FROM sizes",
+    "batch_times": f"WITH {BATCHES} SELECT batch_id, n, TRUE AS later FROM sizes",
+    "stream_distinct_summary": f"WITH {ITEMS} SELECT 'n_distinct' AS metric, count(DISTINCT item) AS value FROM items "
+    f"UNION ALL SELECT 'largest', {LARGEST} FROM items",
+    "stream_state_counts": ITEM_FREQ,
+    "stream_state_counts_capped": f"WITH {CAPPED} SELECT item, count(*) AS freq FROM items GROUP BY item",
+    "stream_live_item_freq": f"WITH {CAPPED} SELECT item, count(*) AS freq FROM items GROUP BY item",
+    "stream_live_reservoir": f"WITH {CAPPED}, {RESERVOIR} SELECT key, t, item FROM sample",
     "stream_summary_stopped": f"WITH {BATCHES}, taken AS (SELECT b.* FROM batched b JOIN sizes s USING (batch_id) "
     f"WHERE s.first < {q.THRESHOLD}) SELECT 'n_processed' AS metric, count(*) AS value FROM taken "
     "UNION ALL SELECT 'n_distinct', count(DISTINCT item) FROM taken "

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,12 +11,19 @@ from pyspark.sql.window import Window
 from .stage import stage
 
 
-def with_position(df: DataFrame, order_by: Sequence[str], name: str, start: int = 0) -> DataFrame:
+def with_position(
+    df: DataFrame,
+    order_by: Sequence[str],
+    name: str,
+    start: int = 0,
+    stage: Callable[[DataFrame], DataFrame] = stage,
+) -> DataFrame:
     """Add column ``name``: ``start`` plus the rank of the row under the unique ``order_by`` columns.
 
     Rows are range partitioned and numbered inside each partition; the sizes of
     the partitions, one row each, give the offsets. The numbered rows are staged
-    because the range bounds are sampled and must be the same for both uses.
+    because the range bounds are sampled and must be the same for both uses;
+    ``stage`` tells where.
     """
     local = F.monotonically_increasing_id()
     numbered = stage(

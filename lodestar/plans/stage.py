@@ -1,6 +1,7 @@
 """Intermediate tables in the shared folder of the cluster.
 
-They stay there, like checkpoints, until the folder of the application is dropped.
+They stay there, like checkpoints, until the folder of the application is dropped;
+those of a stream's batches are written over (``BatchStage``).
 """
 
 from __future__ import annotations
@@ -39,6 +40,24 @@ def stage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class BatchStage:
+    """``stage`` for one micro-batch: its tables take the place of those of the batch before the last.
+
+    Whatever a batch keeps is written elsewhere before the next one begins, so two sets of folders, used in turn,
+    do for a stream of any length. A batch that runs again writes over its own tables.
+    """
+
+    def __init__(self, path: str, batch_id: int):
+        self.folder = f"{path}/{batch_id % 2}"
+        self.used = 0
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        path = f"{self.folder}/{self.used}"
+        self.used += 1
+        df.write.mode("overwrite").parquet(path)
+        return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def fresh_dir(spark: SparkSession, label: str) -> str:
     """A new folder beside the checkpoints."""
     return f"{_checkpoint_dir(spark)}/{label}-{uuid.uuid4().hex}"

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.window import Window
 
 from .operators import frequent, grid, kcenter, outliers, report, reservoir, sticky, words
 from .plans import fresh_dir, spread, with_position
@@ -142,6 +143,46 @@ def _batch_sizes(spark: SparkSession, sf: str) -> DataFrame:
     return sizes.batch_sizes(spark, _sized(spark, sf)).select("batch_id", "n")
 
 
+def _batch_times(spark: SparkSession, sf: str) -> DataFrame:
+    """Batch sizes, and whether the batch began after the one before."""
+    found = sizes.batch_sizes(spark, _sized(spark, sf))
+    before = F.lag("at").over(Window.orderBy("batch_id"))
+    return found.select("batch_id", "n", F.coalesce(F.col("at") > before, F.col("at").isNotNull()).alias("later"))
+
+
+def _distinct_summary(spark: SparkSession, sf: str) -> DataFrame:
+    path = fresh_dir(spark, "summary")
+    _replay(spark, sf, lambda items: sizes.run_distinct_summary(items, path))
+    return sizes.distinct_summary(spark, path)
+
+
+def _state_counts(spark: SparkSession, sf: str, n: int | None = None) -> DataFrame:
+    path = fresh_dir(spark, "counts")
+
+    def start(items: DataFrame) -> StreamingQuery:
+        with streams.rocksdb_state(spark):
+            return streams.run_item_counts(items, path, n)
+
+    _replay(spark, sf, start)
+    return streams.item_counts(spark, path)
+
+
+def _live_stream(spark: SparkSession, sf: str, *keep: str) -> streams.FrequentStream:
+    """A live query over all events, a file in each batch; it ends by itself inside the batch that holds the last one wanted."""
+    path = fresh_dir(spark, "live")
+    events = spark.read.parquet(f"{sf}/events.parquet").select("event_id", "value")
+    events.repartitionByRange(len(BATCH_ENDS), "event_id").write.parquet(path)
+    source = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    # A live query for more than there will ever be would wait for ever.
+    n = min(CAP, events.count())
+    stream = streams.FrequentStream(
+        fresh_dir(spark, "stream"), PHI, EPSILON, DELTA, n=n or None, seed=SEED, keep=keep
+    )
+    if n:
+        stream.run(items_from(source, F.floor("value"), t="event_id"), every="50 milliseconds")
+    return stream
+
+
 QUERIES: dict[str, Query] = {
     # Documents
     "doc_count": lambda s, d: words.doc_count(_lines(s, d)),
@@ -209,6 +250,12 @@ QUERIES: dict[str, Query] = {
     "file_word_count": lambda s, d: words.word_count(read_lines(s, _line_file(s, d))),
     # Streams
     "batch_sizes": _batch_sizes,
+    "batch_times": _batch_times,
+    "stream_distinct_summary": _distinct_summary,
+    "stream_state_counts": _state_counts,
+    "stream_state_counts_capped": lambda s, d: _state_counts(s, d, CAP),
+    "stream_live_item_freq": lambda s, d: _live_stream(s, d, "exact").item_freq(s),
+    "stream_live_reservoir": lambda s, d: _live_stream(s, d, "reservoir").reservoir(s),
     "stream_summary": lambda s, d: sizes.distinct_report(s, _sized(s, d)),
     "stream_summary_stopped": lambda s, d: sizes.distinct_report(s, _sized(s, d, THRESHOLD)),
     "stream_item_freq": _stream_freq,

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,8 +21,8 @@ from ..operators.report import frequent_report
 from ..operators.reservoir import smallest_ranks
 from ..operators.sticky import EMPTY_STATE, advance, sticky_frequent
 from ..plans.position import with_position
-from ..plans.stage import empty
-from .runner import start
+from ..plans.stage import BatchStage, empty
+from .runner import run_until, start
 from .store import BatchTable, Progress, SlotTable
 
 SUMMARIES = ("exact", "reservoir", "sticky")
@@ -54,6 +55,49 @@ def stream_item_freq(spark: SparkSession, path: str) -> DataFrame:
     return item_freq_rows(path).load(spark).groupBy("item").agg(F.max("freq").alias("freq"))
 
 
+@contextmanager
+def rocksdb_state(spark: SparkSession) -> Iterator[None]:
+    """Streaming queries started inside keep their state in RocksDB and write its changes only, batch by batch.
+
+    Spark's default store holds all keys in the executors' memory; this one holds them on their disks.
+    """
+    prefix = "spark.sql.streaming.stateStore."
+    wanted = {
+        f"{prefix}providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+        f"{prefix}rocksdb.changelogCheckpointing.enabled": "true",
+    }
+    before = {key: spark.conf.get(key, None) for key in wanted}
+    for key, value in wanted.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
+
+
+def run_item_counts(stream: DataFrame, path: str, n: int | None = None, every: str | None = None) -> StreamingQuery:
+    """Exact counts that live in Spark's state store only: a batch writes nothing else.
+
+    ``stream`` is as for ``run_item_freq``; ``item_counts`` reads the store. For many items start it inside
+    ``rocksdb_state``.
+    """
+    trigger = {"processingTime": every} if every else {"availableNow": True}
+    counts = item_freq(stream, n).writeStream.outputMode("update").format("noop")
+    return counts.option("checkpointLocation", f"{path}/checkpoint-counts").trigger(**trigger).start()
+
+
+def item_counts(spark: SparkSession, path: str, batch_id: int | None = None) -> DataFrame:
+    """``(item, freq)`` in the state store of ``run_item_counts`` after the last finished batch, or after ``batch_id``."""
+    reader = spark.read.format("statestore")
+    if batch_id is not None:
+        reader = reader.option("batchId", batch_id)
+    return reader.load(f"{path}/checkpoint-counts").select("key.item", F.col("value.count").alias("freq"))
+
+
 class FrequentStream:
     """The three summaries of the first ``n`` items of a stream.
 
@@ -94,20 +138,27 @@ class FrequentStream:
         self.total = None
         return start(stream, self.on_batch, f"{self.path}/checkpoint", every=every)
 
-    def _positioned(self, batch: DataFrame, total: int) -> DataFrame:
+    def run(self, stream: DataFrame, every: str) -> None:
+        """Run a live query until ``n`` items are processed, also where they end inside a batch."""
+        if self.n is None:
+            raise ValueError("a live query without n has no end: start it and stop it")
+        run_until(self.start(stream, every), lambda: self.total is not None and self.total >= self.n)
+
+    def _positioned(self, batch: DataFrame, total: int, stage: BatchStage) -> DataFrame:
         if self.order_by is None:
             return batch.select("t", "item")
-        return with_position(batch, self.order_by, "t", start=total).select("t", "item")
+        return with_position(batch, self.order_by, "t", start=total, stage=stage).select("t", "item")
 
     def on_batch(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         before = self.progress.after(spark, batch_id - 1)
         total, last_bin = before["total"], before["last_bin"]
         ended = self.n is not None and total >= self.n
+        stage = BatchStage(f"{self.path}/stage", batch_id)
         if ended:
             items = empty(spark, "t bigint, item bigint")
         else:
-            items = first_n(self._positioned(batch, total), self.n)
+            items = first_n(self._positioned(batch, total, stage), self.n)
         items = items.persist()
         try:
             n_items, first, last = items.agg(F.count("*"), F.min("t"), F.max("t")).first()
@@ -128,7 +179,7 @@ class FrequentStream:
             if "sticky" in self.keep:
                 state = self.table.after(spark, batch_id - 1)
                 table, last_bin = advance(
-                    items, state, last_bin, total, n_items, self.rate, self.seed
+                    items, state, last_bin, total, n_items, self.rate, self.seed, stage=stage
                 )
                 self.table.save(table, batch_id)
         finally:

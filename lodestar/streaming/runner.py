@@ -39,3 +39,17 @@ def replay(
         query.awaitTermination()
     finally:
         query.stop()
+
+
+def run_until(query: StreamingQuery, done: Callable[[], bool], poll: float = 0.05) -> None:
+    """Wait for a live query until ``done()`` and stop it; it may also end by itself, and its errors are raised.
+
+    ``done`` is asked between batches and inside them, so it should tell what is finished. The batch at work when
+    the query is stopped is given up; it would run again if the query were started again.
+    """
+    try:
+        while not query.awaitTermination(poll):
+            if done():
+                break
+    finally:
+        query.stop()

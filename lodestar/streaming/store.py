@@ -102,6 +102,12 @@ class SlotTable:
         return spark.read.schema(self.schema).parquet(self._folder(batch_id))
 
 
+    def latest(self, spark: SparkSession, order: str) -> DataFrame:
+        """Of the rows of both folders, the one that is greatest by ``order``."""
+        rows = _read(spark, f"{self.path}/slot*", self.schema)
+        return rows.orderBy(F.desc(order)).limit(1)
+
+
 class Progress:
     """One row for each batch: its id and the counters ``fields``.
 
@@ -130,5 +136,4 @@ class Progress:
 
     def latest(self, spark: SparkSession) -> Row:
         """The row of the last finished batch."""
-        rows = _read(spark, f"{self.table.path}/slot*", self.table.schema)
-        return rows.orderBy(F.desc("batch_id")).first() or self.after(spark, -1)
+        return self.table.latest(spark, "batch_id").first() or self.after(spark, -1)

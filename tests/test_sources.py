@@ -97,3 +97,73 @@ RADIUS = {}
 def test_points_that_are_not_finite_fail(spark, tmp_path, bad):
     with pytest.raises(PySparkException, match="y is not finite"):
         read_points(spark, write(tmp_path, f"0.1,0.1\n0.2,{bad}\n")).collect()
+
+
+def executed(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("size", ["1k", "5k", "1m"])
+def test_lines_are_numbered_where_they_lie(spark, tmp_path, size):
+    """Split files, several in one split, gzip, empty files and bare line ends; no line is moved."""
+    import gzip
+
+    lines = [str(k * 7919) for k in range(6000)]
+    for k in range(4):
+        (tmp_path / f"a{k}.txt").write_text("\n".join(lines[k * 1000 : (k + 1) * 1000]) + "\n" * (k % 2))
+    (tmp_path / "b.txt.gz").write_bytes(gzip.compress(("\n".join(lines[4000:5000]) + "\n").encode()))
+    (tmp_path / "c.txt").write_text("")
+    (tmp_path / "d.txt").write_text("\r\n".join(lines[5000:]))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for key in before:
+            spark.conf.set(key, size)
+        read = read_items(spark, str(tmp_path))
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    # The splits stay those of the time of reading.
+    got = rows(read)
+    assert got == [(k, int(line)) for k, line in enumerate(lines)]
+    # Only the table of the blocks, a row for each, is moved.
+    moved = [line for line in executed(read).splitlines() if "Exchange" in line]
+    assert moved and all("SinglePartition" in line or "BroadcastExchange" in line for line in moved)
+    assert rows(read) == got and read.sparkSession is spark
+
+
+def test_number_of_splits_is_fixed(spark, tmp_path):
+    from lodestar.plans import fixed_splits
+
+    path = write(tmp_path, "".join(f"{k}\n" for k in range(50_000)))
+    before = {k: spark.conf.get(k, None) for k in ("spark.sql.files.openCostInBytes", "spark.sql.files.minPartitionNum")}
+    try:
+        spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+        spark.conf.set("spark.sql.files.minPartitionNum", "5")
+        fixed = fixed_splits(spark, lambda own: own.read.text(path))
+        spark.conf.set("spark.sql.files.minPartitionNum", "2")
+        assert fixed.rdd.getNumPartitions() in (5, 6) and spark.read.text(path).rdd.getNumPartitions() in (2, 3)
+    finally:
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
+    assert not spark.catalog.listTables("global_temp")
+
+
+def test_a_file_that_changed_fails(spark, tmp_path):
+    path = write(tmp_path, "1\n2\n3\n")
+    read = read_items(spark, path)
+    write(tmp_path, "1\n2\n3\n4\n5\n6\n")
+    with pytest.raises(PySparkException):
+        assert rows(read) == [(0, 1), (1, 2), (2, 3)]
+        raise PySparkException("the lines counted are the lines read")
+
+
+def test_many_blocks_are_joined_by_shuffle(spark, tmp_path, monkeypatch):
+    from lodestar.sources import text
+
+    monkeypatch.setattr(text, "BROADCAST_ROWS", 0)
+    (tmp_path / "a.txt").write_text("1\n2\n")
+    (tmp_path / "b.txt").write_text("3\n")
+    assert rows(read_items(spark, str(tmp_path))) == [(0, 1), (1, 2), (2, 3)]

@@ -12,10 +12,16 @@ from lodestar.streaming import (
     batch_sizes,
     distinct_report,
     distinct_rows,
+    distinct_summary,
+    item_counts,
     item_freq_rows,
     replay,
+    rocksdb_state,
     run_distinct,
+    run_distinct_summary,
+    run_item_counts,
     run_item_freq,
+    run_until,
     stream_item_freq,
 )
 
@@ -106,7 +112,7 @@ def test_failure_inside_a_batch(spark, files, stream, tmp_path):
     class Failing(FrequentStream):
         broken = False
 
-        def _positioned(self, batch, total):
+        def _positioned(self, batch, total, stage):
             if total == SPLIT[0] + SPLIT[1] and not self.broken:
                 self.broken = True
                 save = self.table.save
@@ -116,7 +122,7 @@ def test_failure_inside_a_batch(spark, files, stream, tmp_path):
                     raise RuntimeError("lost inside")
 
                 self.table.save = fail
-            return super()._positioned(batch, total)
+            return super()._positioned(batch, total, stage)
 
     summary = Failing(str(tmp_path), *PARAMS)
     with pytest.raises(Exception, match="lost inside"):
@@ -267,3 +273,132 @@ def test_stores_stay_bounded(spark, tmp_path):
             assert loaded.count() <= 10 + 2 * 4
     folders = [d for d, _, _ in os.walk(tmp_path)]
     assert len(folders) <= 1 + 2 + 2 * 4 + 2
+
+
+def folders_below(path):
+    import os
+
+    return sum(len(dirs) for _, dirs, _ in os.walk(path))
+
+
+def test_staged_tables_stay_bounded(spark, tmp_path):
+    """50 batches leave as many folders as 10, beside the checkpoints and below the state; some batches run twice."""
+    import os
+
+    class Twice(FrequentStream):
+        def on_batch(self, batch, batch_id):
+            if batch_id % 7 == 3:
+                super().on_batch(batch, batch_id)
+            super().on_batch(batch, batch_id)
+
+    (tmp_path / "in").mkdir()
+    seen, counts = [], []
+    summary = Twice(str(tmp_path / "out"), *PARAMS, order_by=["arrived"], keep=["sticky"])
+    shared = spark.sparkContext.getCheckpointDir() or str(tmp_path)
+    before = folders_below(shared)
+    for end in (10, 50):
+        for k in range(len(seen) // 3, end):
+            part = [(3 * k + j, (3 * k + j) % 5) for j in range(3)]
+            seen += [item for _, item in part]
+            target = tmp_path / "in" / f"{k:03}.parquet"
+            spark.createDataFrame(part, "t bigint, item bigint").toPandas().to_parquet(target)
+            os.utime(target, (1_700_000_000 + k, 1_700_000_000 + k))
+        source = open_stream(spark, str(tmp_path / "in"))
+        run(summary.start(source.withColumnRenamed("t", "arrived")))
+        counts.append(folders_below(tmp_path / "out" / "stage"))
+        assert rows(summary.sticky_table(spark)) == sequential.sticky(seen, *PARAMS)
+    assert counts[0] == counts[1] <= 2 + 2 * 2
+    assert folders_below(shared) == before
+
+
+@pytest.mark.parametrize("n", [None, 2600])
+def test_counts_in_the_state_store_alone(spark, files, stream, tmp_path, n):
+    """In RocksDB, with a restart between the batches; the counts after an earlier batch can be read too."""
+    import os
+
+    some = tmp_path / "some"
+    some.mkdir()
+    for k in range(2):
+        os.link(f"{files}/part{k}.parquet", some / f"part{k}.parquet")
+    before = {key: spark.conf.get(key, None) for key in ("spark.sql.streaming.stateStore.providerClass",)}
+    expected = lambda used: sorted((i, used.count(i)) for i in set(used))
+    for ends in (2, 4):
+        for k in range(2, ends):
+            os.link(f"{files}/part{k}.parquet", some / f"part{k}.parquet")
+        with rocksdb_state(spark):
+            query = run_item_counts(open_stream(spark, str(some)), str(tmp_path), n)
+        run(query)
+        assert rows(item_counts(spark, str(tmp_path))) == expected(stream[: sum(SPLIT[:ends])][:n])
+    assert rows(item_counts(spark, str(tmp_path), batch_id=0)) == expected(stream[: SPLIT[0]][:n])
+    assert before == {key: spark.conf.get(key, None) for key in before}
+    written = {d for d in os.listdir(tmp_path) if d != "some"}
+    assert written == {"checkpoint-counts"}
+    found = [name for _, _, names in os.walk(tmp_path / "checkpoint-counts" / "state") for name in names]
+    assert any(name.endswith(".changelog") for name in found)
+
+
+def test_distinct_summary_in_the_state_store(spark, files, stream, tmp_path):
+    import os
+
+    some = tmp_path / "some"
+    some.mkdir()
+    assert dict(rows(distinct_summary(spark, str(tmp_path)))) == {"n_distinct": 0, "largest": 0}
+    for k, end in enumerate([SPLIT[0], SPLIT[0] + SPLIT[1], sum(SPLIT[:3]), sum(SPLIT)]):
+        os.link(f"{files}/part{k}.parquet", some / f"part{k}.parquet")
+        run(run_distinct_summary(open_stream(spark, str(some)), str(tmp_path)))
+        used = stream[:end]
+        assert dict(rows(distinct_summary(spark, str(tmp_path)))) == {"n_distinct": len(set(used)), "largest": max(0, *used)}
+    assert len(os.listdir(tmp_path / "summary")) == 2
+
+
+def test_live_query_ends_by_itself(spark, files, stream, tmp_path):
+    """At n, inside a batch; what comes after is not read, and the summaries are those of the first n."""
+    summary = FrequentStream(str(tmp_path), *PARAMS, n=1700)
+    summary.run(open_stream(spark, files), every="10 milliseconds")
+    assert not spark.streams.active and summary.n_processed(spark) == 1700
+    used = stream[:1700]
+    assert rows(summary.sticky_table(spark)) == sequential.sticky(used, *PARAMS)
+    assert rows(summary.reservoir(spark)) == sequential.reservoir(used, PARAMS[0])
+    with pytest.raises(ValueError, match="no end"):
+        FrequentStream(str(tmp_path), *PARAMS).run(open_stream(spark, files), every="10 milliseconds")
+
+
+def test_live_batch_sizes_end_at_the_threshold(spark, files, stream, tmp_path):
+    sized = SizedStream(str(tmp_path), 1501)
+    sized.run(open_stream(spark, files), every="10 milliseconds")
+    assert not spark.streams.active
+    assert rows(batch_sizes(spark, str(tmp_path)).select("batch_id", "n")) == [(0, 1500), (1, 1)]
+    with pytest.raises(ValueError, match="no end"):
+        SizedStream(str(tmp_path)).run(open_stream(spark, files), every="10 milliseconds")
+
+
+def test_errors_of_a_live_query_are_raised(spark, files, tmp_path):
+    class Failing(SizedStream):
+        def on_batch(self, batch, batch_id):
+            raise RuntimeError("lost")
+
+    with pytest.raises(Exception, match="lost"):
+        Failing(str(tmp_path), 10**9).run(open_stream(spark, files), every="10 milliseconds")
+    assert not spark.streams.active
+    query = SizedStream(str(tmp_path / "b")).start(open_stream(spark, files))
+    run_until(query, lambda: False)
+    assert batch_sizes(spark, str(tmp_path / "b")).count() == 4
+
+
+def test_a_batch_that_runs_again_has_the_same_time(spark, files, tmp_path):
+    class Failing(SizedStream):
+        times = []
+
+        def on_batch(self, batch, batch_id):
+            super().on_batch(batch, batch_id)
+            self.times.append([tuple(r) for r in batch_sizes(spark, self.path).where(f"batch_id = {batch_id}").collect()])
+            if len(self.times) == 2:
+                raise RuntimeError("lost after the write")
+
+    sized = Failing(str(tmp_path))
+    with pytest.raises(Exception, match="lost after the write"):
+        run(sized.start(open_stream(spark, files)))
+    run(sized.start(open_stream(spark, files)))
+    assert sized.times[1] == sized.times[2]
+    at = [r["at"] for r in batch_sizes(spark, str(tmp_path)).orderBy("batch_id").collect()]
+    assert len(at) == 4 and at == sorted(at)

@@ -215,7 +215,25 @@ def linked(groups: Groups, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
 # Tokens of texts
 
 
-class Aligner:
+class Sizes:
+    """Bytes that the ids of both tokenizers stand for, by id: enough to align ids."""
+
+    def __init__(self, a_sizes: np.ndarray, b_sizes: np.ndarray):
+        self.a_sizes, self.b_sizes = a_sizes, b_sizes
+        self.kind = "<u2" if max(len(a_sizes), len(b_sizes)) <= 1 << 16 else "<i4"
+
+    def groups(self, a: list[np.ndarray], b: list[np.ndarray]) -> tuple[Groups, np.ndarray]:
+        """The groups of sound texts, given by their ids, one after the other, and the text of each group."""
+        flat_a, flat_b = np.concatenate([_NONE, *a]), np.concatenate([_NONE, *b])
+        ends = np.cumsum(self.a_sizes[flat_a])
+        found = groups_of(fragment(flat_a, ends, flat_b, np.cumsum(self.b_sizes[flat_b])))
+        if found is None:
+            return Groups(_NONE, _NONE, _NONE, _NONE), np.zeros(0, dtype=np.int64)
+        last = np.cumsum([len(x) for x in a])
+        return found, np.searchsorted(last, np.cumsum(found.n_a), side="left")
+
+
+class Aligner(Sizes):
     """Both tokenizers, with the bytes that their ids stand for."""
 
     def __init__(self, a_json: str, b_model: bytes):
@@ -248,7 +266,7 @@ class Aligner:
         ids = range(self.model.vocab_size())
         pieces = [self.model.id_to_piece(i) for i in ids]
         self.b_bytes = [bytes([int(p[3:-1], 16)]) if self.model.is_byte(i) else p.replace("▁", " ").encode() for i, p in zip(ids, pieces)]
-        self.a_sizes, self.b_sizes = (np.array([len(t) for t in x], dtype=np.int64) for x in (self.a_bytes, self.b_bytes))
+        super().__init__(*(np.array([len(t) for t in x], dtype=np.int64) for x in (self.a_bytes, self.b_bytes)))
         # No piece goes on behind a space that follows something else, or holds a line feed.
         self.lead = self.model.encode("\n")
         self.separable = not any("▁" in p.lstrip("▁") or "\n" in p for p in pieces) and len(self.lead) == 2
@@ -276,16 +294,6 @@ class Aligner:
             b = self.model.encode(span[1:])
         return self._checked(span.encode(), self._in_a(span), b)
 
-    def groups(self, a: list[np.ndarray], b: list[np.ndarray]) -> tuple[Groups, np.ndarray]:
-        """The groups of sound texts, given by their ids, one after the other, and the text of each group."""
-        flat_a, flat_b = np.concatenate([_NONE, *a]), np.concatenate([_NONE, *b])
-        ends = np.cumsum(self.a_sizes[flat_a])
-        found = groups_of(fragment(flat_a, ends, flat_b, np.cumsum(self.b_sizes[flat_b])))
-        if found is None:
-            return Groups(_NONE, _NONE, _NONE, _NONE), np.zeros(0, dtype=np.int64)
-        last = np.cumsum([len(x) for x in a])
-        return found, np.searchsorted(last, np.cumsum(found.n_a), side="left")
-
 
 def _cut_after(raw: bytes, at: int) -> int:
     """The first border of stretches at or after ``at``."""
@@ -341,10 +349,12 @@ def _from_row(values) -> Fragment:
 
 
 class Models(NamedTuple):
-    """Both models, as read by the driver from the given files and sent to the tasks."""
+    """Both models, as read by the driver from the given files and sent to the tasks, and what it knows of them."""
 
     a: object
     b: object
+    sizes: object
+    separable: bool
 
     def aligner(self) -> Aligner:
         return Aligner(self.a.value, self.b.value)
@@ -356,8 +366,13 @@ def models(spark: SparkSession, a_file: str | None = None, b_file: str | None =
 
         a_file = a_file or public_tokenizers.path("byte_bpe_50k.json")
         b_file = b_file or public_tokenizers.path("piece_bpe_32k.model")
-    with open(a_file, encoding="utf-8") as a, open(b_file, "rb") as b:
-        return Models(spark.sparkContext.broadcast(a.read()), spark.sparkContext.broadcast(b.read()))
+    with open(a_file, encoding="utf-8") as file:
+        a = file.read()
+    with open(b_file, "rb") as file:
+        b = file.read()
+    known = Aligner(a, b)
+    send = spark.sparkContext.broadcast
+    return Models(send(a), send(b), send(Sizes(known.a_sizes, known.b_sizes)), known.separable)
 
 
 def _batch(rows: list, schema: pa.Schema) -> pa.RecordBatch:
@@ -370,11 +385,10 @@ def long_fragments(docs: DataFrame, both: Models, chunk: int = CHUNK, fan: int =
     spans = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("part", pa.int64()), ("low", pa.int64()), ("high", pa.int64()), ("begin", pa.int64()), ("span", pa.binary())])
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        separable = both.aligner().separable
         for batch in batches:
             for uid, doc_id, text in zip(*batch.columns):
                 raw = b" " + text.as_py().encode("utf-8", "replace")
-                cuts = ranges(raw, chunk) if separable else [(0, len(raw), 0, len(raw))]
+                cuts = ranges(raw, chunk) if both.separable else [(0, len(raw), 0, len(raw))]
                 for part, (low, high, begin, end) in enumerate(cuts):
                     yield _batch([(uid.as_py(), doc_id.as_py(), part, low, high, begin, raw[begin:end])], spans)
 
@@ -398,7 +412,7 @@ def long_fragments(docs: DataFrame, both: Models, chunk: int = CHUNK, fan: int =
         return pa.Table.from_batches([_batch([(*first, *_row(join(parts)))], out)])
 
     totals = texts.agg(F.count("*"), F.max(F.octet_length("text")), F.sum(F.octet_length("text"))).first()
-    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), buckets(totals[2] or 0, 64 * chunk))
+    tasks = buckets(totals[2] or 0, 64 * chunk)
     dealt = texts.mapInArrow(deal, kinds + "low long, high long, begin long, span binary").repartition(tasks, "uid", "part")
     found = dealt.mapInArrow(align, kinds + _FRAGMENT)
     # The greatest number of ranges, each of ``chunk`` bytes at least but the last, gives the height of the tree.
@@ -431,7 +445,6 @@ def _ids(docs: DataFrame, both: Models, chunk: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = both.aligner()
-        kind = _id_kind(aligner)
         held, size = [], 0
         for batch in batches:
             every, all_texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
@@ -443,7 +456,7 @@ def _ids(docs: DataFrame, both: Models, chunk: int) -> DataFrame:
                 sound = [(x, y) for x, y, fine in found if fine]
                 for k, (x, y, fine) in zip(filled, found):
                     if fine:
-                        a[k], b[k] = x.astype(kind).tobytes(), y.astype(kind).tobytes()
+                        a[k], b[k] = x.astype(aligner.kind).tobytes(), y.astype(aligner.kind).tobytes()
                 none = [None] * len(ids)
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip((ids, a, b, none, none), arrow)], schema=arrow)
                 keys = linked(*aligner.groups([x for x, _ in sound], [y for _, y in sound]))[0]
@@ -460,10 +473,6 @@ def _ids(docs: DataFrame, both: Models, chunk: int) -> DataFrame:
     return docs.sparkSession.read.schema(schema).parquet(path)
 
 
-def _id_kind(aligner: Aligner) -> str:
-    return "<u2" if max(len(aligner.a_bytes), len(aligner.b_bytes)) <= 1 << 16 else "<i4"
-
-
 def _counted(held: list[tuple[np.ndarray, np.ndarray]], schema: pa.Schema) -> pa.RecordBatch:
     """Rows of counts: the sum of counts by key."""
     keys, n = (np.concatenate(c) for c in zip(*held))
@@ -517,14 +526,13 @@ def _described(ids: DataFrame, long: DataFrame, both: Models, tail: str, describ
         return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, kinds)], schema=kinds)
 
     def of_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner, more = both.aligner(), describe()
-        kind = _id_kind(aligner)
+        sizes, more = both.sizes.value, describe()
         for batch in batches:
             every, a, b = (c.to_pylist() for c in batch.columns)
             for piece in _slices(a):
                 # Texts without tokens own no groups.
-                sides = [[np.frombuffer(x or b"", dtype=kind).astype(np.int32) for x in side[piece]] for side in (a, b)]
-                yield rows(every[piece], *aligner.groups(*sides), more)
+                sides = [[np.frombuffer(x or b"", dtype=sizes.kind).astype(np.int32) for x in side[piece]] for side in (a, b)]
+                yield rows(every[piece], *sizes.groups(*sides), more)
 
     def of_fragments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         more = describe()

@@ -160,8 +160,8 @@ def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict", "template")
 
 
-# Levels of the tree that the SQL twin unrolls; deeper paths are an error there.
-SQL_LEVELS = 4
+# Levels of the tree that the SQL twin unrolls: all, with the wildcard of deeper ones.
+SQL_LEVELS = MAX_DEPTH + 1
 
 
 def _sql() -> str:
@@ -172,14 +172,16 @@ def _sql() -> str:
         verdict = f"CASE WHEN {fits} THEN '{decision}' ELSE {verdict} END"
     levels = "".join(
         f"""
-c{k} AS (SELECT host, template, parts[{k + 1}] AS child, sum(n) AS n FROM t{k} WHERE len(parts) > {k} GROUP BY ALL),
-n{k} AS (SELECT host, template FROM c{k} GROUP BY ALL
+c{k} AS MATERIALIZED (SELECT host, template, parts[{k + 1}] AS child, sum(n) AS n FROM t{k} WHERE len(parts) > {k} GROUP BY ALL),
+n{k} AS MATERIALIZED (SELECT host, template FROM c{k} GROUP BY ALL
          HAVING count(*) > {MAX_BRANCHES} OR (sum(n) >= {RARE_FROM} AND 2 * count(*) > sum(n))),
-t{k + 1} AS (
-  SELECT t.host, parts, n, good, bad,
-         list_concat(t.template, CASE WHEN len(parts) <= {k} THEN CAST([] AS VARCHAR[]) WHEN w.host IS NOT NULL THEN ['{{*}}']
-                                      ELSE [parts[{k + 1}]] END) AS template
-  FROM t{k} t LEFT JOIN n{k} w ON w.host = t.host AND w.template = t.template),"""
+x{k} AS MATERIALIZED (SELECT c.* FROM c{k} c JOIN n{k} w ON w.host = c.host AND w.template = c.template WHERE c.n >= {RARE_FROM}),
+t{k + 1} AS MATERIALIZED (
+  SELECT t.host, parts, t.n, good, bad,
+         list_concat(t.template, CASE WHEN len(parts) <= {k} THEN CAST([] AS VARCHAR[])
+                                      WHEN w.host IS NOT NULL AND x.host IS NULL THEN ['{{*}}'] ELSE [parts[{k + 1}]] END) AS template
+  FROM t{k} t LEFT JOIN n{k} w ON w.host = t.host AND w.template = t.template
+  LEFT JOIN x{k} x ON x.host = t.host AND x.template = t.template AND x.child = parts[{k + 1}]),"""
         for k in range(SQL_LEVELS)
     )
     return rf"""
@@ -188,22 +190,23 @@ WITH p AS (
 h AS (
   SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), '{_UPPER}', '{_LOWER}') AS host,
          regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM p),
-parsed AS (
+shaped AS (
   SELECT page_id, host, path, {rule} AS rule, {verdict} AS ruled,
          list_transform(list_filter(string_split(path, '/'), lambda s: s <> ''), lambda s:
            CASE WHEN regexp_matches(s, '^[0-9A-Fa-f-]{{8,}}(\.\w+)?$') AND regexp_matches(s, '[0-9]')
                      AND NOT regexp_matches(s, '^[0-9]+(\.\w+)?$') THEN regexp_replace(s, '^[0-9A-Fa-f-]{{8,}}', '{{hex}}')
                 ELSE regexp_replace(s, '[0-9]+', '{{n}}', 'g') END) AS parts FROM h),
-checked AS (
-  SELECT *, CASE WHEN len(parts) > {SQL_LEVELS} THEN error('a path is too deep for this query') ELSE 0 END AS ok FROM parsed),
+parsed AS (
+  SELECT page_id, host, path, rule, ruled,
+         CASE WHEN len(parts) > {MAX_DEPTH} THEN list_append(parts[:{MAX_DEPTH}], '{{rest}}') ELSE parts END AS parts FROM shaped),
 known AS (
   SELECT page_id, bool_and(quality = 1 AND coalesce(toxic, 0) = 0) AS good
   FROM h JOIN labels ON labels.doc_id = CAST(regexp_extract_all(path, '([0-9]{{1,18}})', 1)[-1] AS BIGINT)
   WHERE quality IS NOT NULL GROUP BY page_id),
-t0 AS (
-  SELECT host, parts, count(*) + max(ok) AS n, count(*) FILTER (good) AS good, count(*) FILTER (NOT good) AS bad,
+t0 AS MATERIALIZED (
+  SELECT host, parts, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (NOT good) AS bad,
          CAST([] AS VARCHAR[]) AS template
-  FROM checked LEFT JOIN known USING (page_id) GROUP BY host, parts),{levels}
+  FROM parsed LEFT JOIN known USING (page_id) GROUP BY host, parts),{levels}
 f AS (SELECT host, template, template[:-2] AS parent, sum(good) AS good, sum(bad) AS bad FROM t{SQL_LEVELS} GROUP BY ALL),
 siblings AS (SELECT host, parent, sum(good) AS g, sum(bad) AS b FROM f GROUP BY ALL),
 hosts AS (SELECT host, sum(good) AS hg, sum(bad) AS hb FROM f GROUP BY host),
@@ -222,7 +225,7 @@ judged AS (
   FROM m LEFT JOIN pooled USING (host, parent), every)
 SELECT page_id, c.host, path, rule, coalesce(ruled, CASE WHEN purity < {LEAST_PURITY} THEN 'block' ELSE 'allow' END) AS verdict,
        '/' || array_to_string(t.template, '/') AS template
-FROM checked c JOIN t{SQL_LEVELS} t ON t.host = c.host AND t.parts = c.parts
+FROM parsed c JOIN t{SQL_LEVELS} t ON t.host = c.host AND t.parts = c.parts
 JOIN judged j ON j.host = t.host AND j.template = t.template"""
 
 

@@ -4,6 +4,7 @@ import io
 import random
 from collections import defaultdict
 
+import duckdb
 import pytest
 
 from lodestar.llm import urls, warc
@@ -144,3 +145,26 @@ def test_both_versions_of_arc(spark, tmp_path):
 @pytest.mark.parametrize(("date", "iso"), [(None, "1970-01-01T00:00:00Z"), ("x", "1970-01-01T00:00:00Z"), ("20261301", "1970-01-01T00:00:00Z"), ("200012", "2000-12-01T00:00:00Z"), ("20001231235959", "2000-12-31T23:59:59Z")])
 def test_times(date, iso):
     assert warc.iso_time(date) == iso
+
+
+def test_sql_of_wide_and_deep_trees(spark, tmp_path):
+    """The twin has the same templates and verdicts with many children, frequent ones among them, and deep paths."""
+    rng = random.Random(1)
+    names = [a + b for a in "abcdefg" for b in "hijklmn"]
+    found, labels = [], []
+    for k in range(1_500):
+        section = "spam" if k % 3 == 0 else rng.choice(names[:39]) if k % 3 == 1 else "".join(rng.choices("abcdefgh", k=6))
+        found.append((k, f"http://h.example/{section}/{k}", "x"))
+        labels.append((k, int(section != "spam"), 0))
+    found += [(2_000 + k, "http://d.example/" + "/".join(rng.choice("ab") * (j % 3 + 1) for j in range(rng.randint(0, 20))), "x") for k in range(200)]
+    found += [(3_000, None, "x"), (3_001, "no scheme", "x")]
+    spark.createDataFrame(found, "page_id bigint, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    connection = duckdb.connect()
+    for name in ("pages", "labels"):
+        connection.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    columns = ["page_id", "host", "path", "rule", "verdict", "template"]
+    want = connection.execute(f"SELECT {', '.join(columns)} FROM ({urls.OP8_SQL})").fetchall()
+    got = [tuple(r) for r in urls.op8_urls(spark, str(tmp_path)).select(*columns).collect()]
+    assert sorted(got, key=str) == sorted(map(tuple, want), key=str)
+    assert {r[4] for r in got if "/spam/" in r[2]} == {"block"} and sum(r[4] == "block" for r in got) == 500

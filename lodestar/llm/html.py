@@ -111,14 +111,19 @@ class _Tree(HTMLParser):
                 self.at.parts.append("\n" if tag == "hr" else " ")
             return
         named = " ".join(v for k, v in attrs if k in ("class", "id", "role") and v)
-        beside = bool(named) and tag not in ("article", "main") and _BESIDE.search(named) and not _ARTICLE.search(named)
+        # What stands beside the article is told by each name alone: "comment-body" is a comment, and
+        # "main-content with-sidebar" is an article by its first name.
+        names = named.split()
+        others = [name for name in names if not _BESIDE.search(name)]
+        article = any(map(_ARTICLE.search, others))
+        beside = len(others) < len(names) and tag not in ("article", "main") and not article
         hidden = any(
             k == "hidden" or (k == "aria-hidden" and v == "true") or (k == "style" and v and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", v))
             for k, v in attrs
         )
         header = tag == "header" and not self.depth.get("article") and not self.depth.get("main")
         node = Node(tag, self.at, self.at.skipped or tag in SKIPPED or bool(beside) or hidden or header)
-        if named and not node.skipped and _ARTICLE.search(named):
+        if article and not node.skipped:
             node.points += 25
         node.points += _TAG_POINTS.get(tag, 0)
         self.at.parts.append(node)

@@ -75,6 +75,15 @@ def test_blocks_around_the_best_container(before, after, kept):
         assert [x for x in lines if not x.startswith("Many")] == kept and len(lines) == 10 + len(kept)
 
 
+@pytest.mark.parametrize("name", ["comment-body", "footer-text", "ad-content", "sidebar-main", "nav-text other"])
+def test_boilerplate_wins_within_a_name(name):
+    assert extract(f"<div class='post-content'>{LONG}</div><div class='{name}'><p>Not a part, of the article.</p></div>").split("\n") == extract(LONG).split("\n")
+
+
+def test_a_name_of_the_layout_does_not_hide_the_article():
+    assert extract(f"<div class='main-content with-sidebar'>{LONG}</div>").split("\n") == extract(LONG).split("\n")
+
+
 def test_unclassed_wrappers_of_one_paragraph():
     short = [f"Paragraph {k}." for k in range(5)]
     page = "".join(f"<div><p>{t}</p></div>" for t in short)

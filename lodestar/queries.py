@@ -156,30 +156,34 @@ def _distinct_summary(spark: SparkSession, sf: str) -> DataFrame:
     return sizes.distinct_summary(spark, path)
 
 
-def _state_counts(spark: SparkSession, sf: str, n: int | None = None) -> DataFrame:
-    path = fresh_dir(spark, "counts")
+def _event_files(spark: SparkSession, sf: str) -> tuple[DataFrame, int]:
+    """A stream of all events, in order, that takes up a file in each batch, and their number."""
+    path = fresh_dir(spark, "events")
+    events = spark.read.parquet(f"{sf}/events.parquet").select("event_id", "value")
+    events.repartitionByRange(len(BATCH_ENDS), "event_id").write.parquet(path)
+    source = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    return items_from(source, F.floor("value"), t="event_id"), events.count()
 
-    def start(items: DataFrame) -> StreamingQuery:
-        with streams.rocksdb_state(spark):
-            return streams.run_item_counts(items, path, n)
 
-    _replay(spark, sf, start)
+def _state_counts(spark: SparkSession, sf: str, n: int | None = None) -> DataFrame:
+    path = fresh_dir(spark, "counts")
+    items, _ = _event_files(spark, sf)
+    with streams.rocksdb_state(spark):
+        query = streams.run_item_counts(items, path, n)
+    query.awaitTermination()
     return streams.item_counts(spark, path)
 
 
 def _live_stream(spark: SparkSession, sf: str, *keep: str) -> streams.FrequentStream:
-    """A live query over all events, a file in each batch; it ends by itself inside the batch that holds the last one wanted."""
-    path = fresh_dir(spark, "live")
-    events = spark.read.parquet(f"{sf}/events.parquet").select("event_id", "value")
-    events.repartitionByRange(len(BATCH_ENDS), "event_id").write.parquet(path)
-    source = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    """A live query over all events; it ends by itself inside the batch that holds the last one wanted."""
+    items, total = _event_files(spark, sf)
     # A live query for more than there will ever be would wait for ever.
-    n = min(CAP, events.count())
+    n = min(CAP, total)
     stream = streams.FrequentStream(
         fresh_dir(spark, "stream"), PHI, EPSILON, DELTA, n=n or None, seed=SEED, keep=keep
     )
     if n:
-        stream.run(items_from(source, F.floor("value"), t="event_id"), every="50 milliseconds")
+        stream.run(items, every="50 milliseconds")
     return stream
 
 

@@ -80,6 +80,13 @@ def advance(
         F.count("*").alias("n"),
         F.count_if(F.col("t") >= F.col("first_wins")[F.col("bin")]).alias("a"),
     )
+    return _folded(tracked.select("item", "est"), counts, last_bin, new_bin, seed), new_bin
+
+
+def _folded(
+    entries: DataFrame, counts: DataFrame, last_bin: int, new_bin: int, seed: int
+) -> DataFrame:
+    """Table ``(item, est)`` at ``new_bin`` from ``entries`` at ``last_bin`` and ``counts`` (item, bin, n, a) since."""
     per_item = _by_bin(counts, F.struct("n", "a"), "counts")
 
     def step(est: Column, b: Column) -> Column:
@@ -92,12 +99,68 @@ def advance(
 
     start = F.coalesce("est", F.lit(0)).cast("bigint")
     bins = F.sequence(F.lit(last_bin), F.lit(new_bin))
-    folded = (
-        tracked.select("item", "est")
-        .join(per_item, "item", "left")
-        .select("item", F.aggregate(bins, start, step).alias("est"))
+    folded = entries.join(per_item, "item", "left").select(
+        "item", F.aggregate(bins, start, step).alias("est")
     )
-    return folded.where(F.col("est") > 0), new_bin
+    return folded.where(F.col("est") > 0)
+
+
+# What a part of a stream tells of the table, whatever came before it. For each item and bin: its occurrences
+# ``n`` in the part, and ``a`` from the first one on that wins its coin there (0 without one). Parts that follow
+# each other compose associatively: once an item has won, all later occurrences in the bin count.
+
+
+def sticky_part(
+    items: DataFrame,
+    rate: float,
+    seed: int,
+    n_items: int,
+    stage: Callable[[DataFrame], DataFrame] = stage,
+    broadcast_rows: int = BROADCAST_ROWS,
+    floor: int = HOT_FLOOR,
+) -> DataFrame:
+    """``(item, bin, n, a)`` of a part of a stream with ``n_items`` rows."""
+    binned = items.select("t", "item", stream_bin(F.col("t"), rate).alias("bin"))
+    wins = (
+        binned.where(sticky_coin(seed, F.col("item"), F.col("t"), F.col("bin")))
+        .groupBy("item", "bin")
+        .agg(F.min("t").alias("first_win"))
+    )
+    wins = stage(wins)
+    sizes = binned.groupBy("item", "bin").agg(F.count("*").alias("n"))
+    if n_items <= broadcast_rows or wins.count() <= broadcast_rows:
+        followed = binned.join(F.broadcast(wins), ["item", "bin"])
+    else:
+        followed = join_sized(
+            binned, wins.join(sizes, ["item", "bin"]), ["item", "bin"], "n", n_items, floor
+        )
+    won = followed.groupBy("item", "bin").agg(
+        F.count_if(F.col("t") >= F.col("first_win")).alias("a")
+    )
+    a = F.coalesce("a", F.lit(0)).cast("bigint").alias("a")
+    return sizes.join(won, ["item", "bin"], "left").select("item", "bin", "n", a)
+
+
+def followed_by(first: DataFrame, second: DataFrame) -> DataFrame:
+    """The part that ``first`` and ``second``, which comes next, make together."""
+    one = first.select("item", "bin", F.col("n").alias("n1"), F.col("a").alias("a1"))
+    two = second.select("item", "bin", F.col("n").alias("n2"), F.col("a").alias("a2"))
+    n1, a1, n2, a2 = (F.coalesce(c, F.lit(0).cast("bigint")) for c in ("n1", "a1", "n2", "a2"))
+    a = F.when(a1 > 0, a1 + n2).otherwise(a2)
+    return one.join(two, ["item", "bin"], "full_outer").select(
+        "item", "bin", (n1 + n2).alias("n"), a.alias("a")
+    )
+
+
+def part_table(part: DataFrame, n_items: int, rate: float, seed: int) -> DataFrame:
+    """Table ``(item, est)`` of a stream of ``n_items`` items from its ``part``, which begins at position 0."""
+    if not n_items:
+        return empty(part.sparkSession, EMPTY_STATE)
+    # Only items that have won somewhere can be in the table.
+    winners = part.where(F.col("a") > 0).select("item").distinct()
+    entries = winners.withColumn("est", F.lit(0).cast("bigint"))
+    counts = part.join(winners, "item", "left_semi")
+    return _folded(entries, counts, 0, bin_of(n_items - 1, rate), seed)
 
 
 def bin_sizes(

@@ -88,6 +88,8 @@ NEAREST = f"""{CHOSEN}, assigned AS (
 radius AS (SELECT sqrt(max(d2)) AS radius FROM assigned)"""
 
 CAPPED = f"""{ITEMS.replace("items AS", "all_items AS", 1)}, items AS (SELECT t, item FROM all_items WHERE t < {q.CAP})"""
+PREFIX = f"""{ITEMS.replace("items AS", "all_items AS", 1)}, items AS (
+  SELECT t, item FROM all_items WHERE t < (SELECT coalesce(max(t), 0) + 1 FROM all_items) * {q.BATCH_ENDS[q.PREFIX - 1]} // 100)"""
 BATCHES = f"""{ITEMS}, total AS (SELECT coalesce(max(t), 0) + 1 AS n FROM items),
 ends AS (SELECT unnest([{", ".join(f"n * {end} // 100" for end in q.BATCH_ENDS)}]) AS stop,
                 unnest(range({len(q.BATCH_ENDS)})) AS batch_id FROM total),
@@ -257,6 +259,7 @@ ORACLE_SQL: dict[str, str] = {
     f"UNION ALL SELECT 'largest', {LARGEST} FROM items",
     "stream_state_counts": ITEM_FREQ,
     "stream_state_counts_capped": f"WITH {CAPPED} SELECT item, count(*) AS freq FROM items GROUP BY item",
+    "stream_sticky_prefix": f"WITH {PREFIX}, {STICKY} SELECT item, est FROM sticky",
     "stream_live_item_freq": f"WITH {CAPPED} SELECT item, count(*) AS freq FROM items GROUP BY item",
     "stream_live_reservoir": f"WITH {CAPPED}, {RESERVOIR} SELECT key, t, item FROM sample",
     "stream_summary_stopped": f"WITH {BATCHES}, taken AS (SELECT b.* FROM batched b JOIN sizes s USING (batch_id) "

@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 from .operators import frequent, grid, kcenter, outliers, report, reservoir, sticky, words
 from .plans import fresh_dir, spread, with_position
 from .sources import items_from, lines_from, points_from, read_items, read_lines, read_points
+from .streaming import StickyAudit
 from .streaming import distinct as sizes
 from .streaming import frequent as streams
 
@@ -33,6 +34,8 @@ SEED = 42
 SALTS = 16
 # Replayed streams: the shares of the events after which a batch ends, in percent.
 BATCH_ENDS = (10, 45, 46, 70, 100)
+# Batches of which the sticky table is recomputed.
+PREFIX = 3
 CAP = 9_000
 THRESHOLD = 4_000
 # The parameters of the published runs.
@@ -174,6 +177,13 @@ def _state_counts(spark: SparkSession, sf: str, n: int | None = None) -> DataFra
     return streams.item_counts(spark, path)
 
 
+def _sticky_prefix(spark: SparkSession, sf: str) -> DataFrame:
+    """The sticky table after three of five batches, recomputed when the stream has ended."""
+    audit = StickyAudit(fresh_dir(spark, "audit"), PHI, EPSILON, DELTA, seed=SEED)
+    _replay(spark, sf, audit.start)
+    return audit.table(spark, PREFIX - 1)
+
+
 def _live_stream(spark: SparkSession, sf: str, *keep: str) -> streams.FrequentStream:
     """A live query over all events; it ends by itself inside the batch that holds the last one wanted."""
     items, total = _event_files(spark, sf)
@@ -258,6 +268,7 @@ QUERIES: dict[str, Query] = {
     "stream_distinct_summary": _distinct_summary,
     "stream_state_counts": _state_counts,
     "stream_state_counts_capped": lambda s, d: _state_counts(s, d, CAP),
+    "stream_sticky_prefix": _sticky_prefix,
     "stream_live_item_freq": lambda s, d: _live_stream(s, d, "exact").item_freq(s),
     "stream_live_reservoir": lambda s, d: _live_stream(s, d, "reservoir").reservoir(s),
     "stream_summary": lambda s, d: sizes.distinct_report(s, _sized(s, d)),

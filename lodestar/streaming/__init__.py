@@ -1,3 +1,4 @@
+from .audit import StickyAudit
 from .distinct import (
     SizedStream,
     batch_sizes,
@@ -21,6 +22,7 @@ from .runner import replay, run_until, start
 __all__ = [
     "FrequentStream",
     "SizedStream",
+    "StickyAudit",
     "batch_sizes",
     "distinct_report",
     "distinct_rows",

@@ -9,6 +9,7 @@ from lodestar.streaming.store import BatchTable
 from lodestar.streaming import (
     FrequentStream,
     SizedStream,
+    StickyAudit,
     batch_sizes,
     distinct_report,
     distinct_rows,
@@ -402,3 +403,45 @@ def test_a_batch_that_runs_again_has_the_same_time(spark, files, tmp_path):
     assert sized.times[1] == sized.times[2]
     at = [r["at"] for r in batch_sizes(spark, str(tmp_path)).orderBy("batch_id").collect()]
     assert len(at) == 4 and at == sorted(at)
+
+
+def test_sticky_tables_of_all_prefixes(spark, files, stream, tmp_path):
+    """From parts in a tree, at every batch end, with a batch that fails after it wrote its parts."""
+
+    class Failing(StickyAudit):
+        seen = []
+
+        def on_batch(self, batch, batch_id):
+            super().on_batch(batch, batch_id)
+            self.seen.append(batch_id)
+            if self.seen == [0, 1]:
+                raise RuntimeError("lost after the write")
+
+    audit = Failing(str(tmp_path), *PARAMS)
+    with pytest.raises(Exception, match="lost after the write"):
+        run(audit.start(open_stream(spark, files)))
+    run(audit.start(open_stream(spark, files)))
+    assert audit.seen == [0, 1, 1, 2, 3]
+    for batch_id in range(4):
+        used = stream[: sum(SPLIT[: batch_id + 1])]
+        assert rows(audit.table(spark, batch_id)) == sequential.sticky(used, *PARAMS)
+    assert rows(audit.table(spark)) == sequential.sticky(stream, *PARAMS)
+
+
+def test_sticky_parts_compose_associatively(spark, stream):
+    """However a stream is cut and whichever parts are joined first; also with many winners and hot items."""
+    from lodestar.functions import sticky_rate
+    from lodestar.operators.sticky import followed_by, part_table, sticky_part
+
+    rate = sticky_rate(*PARAMS)
+    used = stream[:3000]
+    everything = spark.createDataFrame(list(enumerate(used)), "t bigint, item bigint")
+
+    def part(low, high, **limits):
+        return sticky_part(everything.where(f"t >= {low} AND t < {high}"), rate, 42, high - low, **limits)
+
+    whole = rows(part(0, 3000))
+    a, b, c = part(0, 700), part(700, 701), part(701, 3000, broadcast_rows=0, floor=5)
+    assert rows(followed_by(followed_by(a, b), c)) == rows(followed_by(a, followed_by(b, c))) == whole
+    assert rows(part_table(part(0, 3000), 3000, rate, 42)) == sequential.sticky(used, *PARAMS)
+    assert part_table(part(0, 0), 0, rate, 42).count() == 0

@@ -16,7 +16,10 @@ and nothing else). So no cap loses a link; every candidate is verified exactly.
 Equal sets are joined first and stand for all their documents. Components come
 in rounds: sets that share a key are compared with the first holder of the key,
 which ties large groups of near copies together at a cost in proportion to
-their size; later rounds only look at pairs of different components.
+their size; later rounds only look at pairs of different components. Where many
+components share a key, its sets are dealt into blocks; a task compares two
+blocks, whatever number of keys they share, and returns as many links as tie
+their components together.
 
 Hashes of 64 bits stand for n-grams and for whole sets (two sets of 10^10 would be taken for equal about
 once or twice).
@@ -44,14 +47,21 @@ from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.window import Window
 
 from ..plans import stage
-from ..plans.skew import BROADCAST_ROWS
+from ..plans.skew import BROADCAST_ROWS, join_sized
 from .common import buckets, free_names, map_rows, table
 from .components import components
 
 WORDS = 5
 PERCENT = 80
-#: Pairs of different components for whose sake a key is still used.
-KEY_PAIRS = 2_000
+#: Pairs of different components up to which the pairs of a key are listed.
+KEY_PAIRS = 64
+#: And up to which its sets are compared in blocks; beyond, the key is too dear and neighbourhoods are used. The result is the same.
+BLOCK_PAIRS = 1_000_000_000
+#: Sets and n-grams of a block (a larger set is a block of its own size).
+BLOCK_SETS = 200
+BLOCK_GRAMS = 200_000
+#: Partners of a set that one task compares with it.
+STAR_SETS = 512
 #: Keys that one task of the exchange should get.
 TASK_KEYS = 1_000_000
 #: A key that so many sets of one batch hold is spread over tasks.
@@ -290,24 +300,116 @@ def _exchange(docs: DataFrame, maker: Maker) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The distinct pairs ``(a, b)`` whose sets link, staged."""
-    b = sets.select(F.col("sid").alias("b"), F.col("tokens").alias("tokens_b"))
-    a = sets.select(F.col("sid").alias("a"), F.col("tokens").alias("tokens_a"))
+    """The distinct pairs ``(a, b)`` whose sets link, staged.
+
+    A row carries the set of ``b``; that of ``a`` comes once for a group of partners, so a hub of many is spread over tasks.
+    """
+    pairs = stage(pairs.select("a", "b").distinct())
+    groups = pairs.groupBy("a").agg(F.count("*").alias("c"), F.ceil(F.count("*") / F.lit(STAR_SETS)).alias("_parts"))
+    dealt = join_sized(pairs, groups, ["a"], "c", pairs.count())
+    dealt = stage(dealt.select("a", F.pmod(F.xxhash64("b"), F.col("_parts")).cast("int").alias("part"), "b"))
+    theirs = dealt.join(sets.select(F.col("sid").alias("b"), "tokens"), "b").select("a", "part", "b", "tokens")
+    hubs = dealt.select("a", "part").distinct().join(sets.select(F.col("sid").alias("a"), "tokens"), "a")
+    hubs = hubs.select("a", "part", F.lit(None).cast("long").alias("b"), "tokens")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hub, own = None, None
         for batch in batches:
             linked = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = np.frombuffer(x.as_py(), dtype=np.uint64), np.frombuffer(y.as_py(), dtype=np.uint64)
+            for a, part, b, data in zip(*[c.to_pylist() for c in batch.columns]):
+                tokens = np.frombuffer(data, dtype=np.uint64)
+                if b is None:
+                    hub, own = (a, part), tokens
+                    linked.append(False)
+                    continue
+                # A hub without tokens of its own has no partners to link with.
+                x, y = (own, tokens) if hub == (a, part) else (tokens[:0], tokens)
                 if len(x) > len(y):
                     x, y = y, x
-                common = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+                common = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum()) if len(x) else 0
                 linked.append(100 * common >= PERCENT * (len(x) + len(y) - common))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(linked, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2)], names=["a", "b"]).filter(pa.array(linked, pa.bool_()))
+
+    rows = hubs.unionByName(theirs).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
+    return stage(rows.mapInArrow(run, "a long, b long"))
 
-    pairs = pairs.select("a", "b").distinct()
-    joined = pairs.join(b, "b").join(a, "a").select("a", "b", "tokens_a", "tokens_b")
-    return stage(joined.mapInArrow(run, "a long, b long"))
+
+def _spanning_links(part: pa.Table) -> pa.Table:
+    """Links between the sets of two blocks, or of one with itself, that tie their components together."""
+    tokens = [np.frombuffer(t, dtype=np.uint64) for t in part["tokens"].to_pylist()]
+    block, x, y = (part[c].to_numpy() for c in ("block", "x", "y"))
+    sids, roots = part["sid"].to_pylist(), part["component"].to_pylist()
+    sizes = np.array([len(t) for t in tokens])
+    left, right = np.flatnonzero(block == x), np.flatnonzero(block == y)
+    _, column, held = np.unique(np.concatenate(tokens), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(tokens)), sizes)
+    # Only n-grams of several sets count; they are taken some thousand at a time.
+    several = held[column] > 1
+    column, owner = (np.cumsum(held > 1) - 1)[column[several]], owner[several]
+    order = np.argsort(column, kind="stable")
+    column, owner = column[order], owner[order]
+    common = np.zeros((len(left), len(right)))
+    step = 4096
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, step):
+        inside = slice(*np.searchsorted(column, [at, at + step]))
+        grid = np.zeros((len(tokens), step), dtype=np.float32)
+        grid[owner[inside], column[inside] - at] = 1
+        common += grid[left] @ grid[right].T
+    linked = 100 * common >= PERCENT * (sizes[left][:, None] + sizes[right][None, :] - common)
+    parent = {r: r for r in roots}
+
+    def find(r: int) -> int:
+        while parent[r] != r:
+            parent[r] = r = parent[parent[r]]
+        return r
+
+    found = []
+    for i, j in zip(*np.nonzero(linked)):
+        i, j = left[i], right[j]
+        a, b = find(roots[i]), find(roots[j])
+        if a != b:
+            parent[a] = b
+            found.append((sids[i], sids[j]))
+    return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
+
+
+def _block_links(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links ``(a, b)`` that tie together the components of linked sets that share a key, staged.
+
+    ``rows`` are ``(key, sid, n, component)``. A set is at home at the most frequent key it is tied to within two
+    steps, so that sets that share many keys share their home; the sets of a home are dealt into blocks. Two blocks with
+    a common key meet in one task, once; a set is sent as often as there are blocks it must be compared with.
+    """
+    rows = stage(rows.select("key", "sid", "n", "component").distinct())
+    total = rows.count()
+    labels = rows.groupBy("key").agg(F.count("*").alias("c")).withColumn("home", F.struct("c", "key"))
+    for turn in range(2):
+        if turn:
+            labels = rows.join(homes.select("sid", "home"), "sid").groupBy("key").agg(F.count("*").alias("c"), F.max("home").alias("home"))
+        homes = join_sized(rows, labels, ["key"], "c", total).groupBy("sid")
+        homes = stage(homes.agg(F.max("home").alias("home"), F.first("n").alias("n"), F.first("component").alias("component")))
+    homes = homes.withColumn("home", F.col("home.key"))
+    # The largest component of a home has blocks of its own: these are not compared with each other.
+    largest = homes.groupBy("home", "component").agg(F.count("*").alias("c"))
+    largest = largest.groupBy("home").agg(F.sum("c").alias("c"), F.max_by("component", F.struct("c", "component")).alias("largest"))
+    homes = join_sized(homes, largest, ["home"], "c", total).withColumn("in_largest", F.col("component") == F.col("largest"))
+    homes = stage(homes.select("sid", "home", "in_largest", "n", "component"))
+    parts = homes.groupBy("home", "in_largest").agg(F.count("*").alias("c"), F.sum("n").alias("_n"))
+    parts = parts.withColumn("parts", F.ceil(F.greatest(F.col("c") / F.lit(BLOCK_SETS), F.col("_n") / F.lit(BLOCK_GRAMS))))
+    placed = join_sized(homes, parts.drop("_n"), ["home", "in_largest"], "c", total)
+    block = F.xxhash64("home", "in_largest", F.pmod(F.xxhash64("sid"), F.col("parts")))
+    placed = stage(placed.select("sid", block.alias("block"), "n", "component"))
+
+    met = rows.select("key", "sid").join(placed, "sid").groupBy("key", "block")
+    met = stage(met.agg(*[f(c).alias(f"{c}_{name}") for c in ("n", "component") for name, f in (("least", F.min), ("most", F.max))]))
+    x, y = met.alias("x"), met.alias("y")
+    one = (F.col("x.component_least") == F.col("y.component_most")) & (F.col("x.component_most") == F.col("y.component_least"))
+    sized = (F.col("x.n_most") * 100 >= F.col("y.n_least") * PERCENT) & (F.col("y.n_most") * 100 >= F.col("x.n_least") * PERCENT)
+    meets = x.join(y, F.col("x.key") == F.col("y.key")).where((F.col("x.block") <= F.col("y.block")) & ~one & sized)
+    meets = meets.select(F.col("x.block").alias("x"), F.col("y.block").alias("y")).distinct()
+    sent = stage(meets).withColumn("block", F.explode(F.array_distinct(F.array("x", "y")))).join(placed.drop("n"), "block")
+    sent = sent.join(sets.select("sid", "tokens"), "sid").select("x", "y", "block", "sid", "component", "tokens")
+    return stage(sent.groupBy("x", "y").applyInArrow(_spanning_links, "a long, b long"))
 
 
 def _may_link(small: Column, large: Column) -> Column:
@@ -419,21 +521,18 @@ def _fallback(rows: DataFrame, dear: DataFrame, sets: DataFrame, found: DataFram
     more = _verified(_apart(star, found), sets)
     if more.limit(1).count():
         found = joined(found, more)
-    # Then, for keys that still meet several components, every pair of different ones.
-    probes, index = _with_component(probes, found), _with_component(index.join(probes.select("key"), "key", "left_semi"), found)
-    members = probes.unionByName(index).groupBy("key", "component").agg(F.count("*").alias("_c"))
-    several = members.groupBy("key").agg(F.max_by("component", F.struct("_c", "component")).alias("_l"), F.count("*").alias("_d"))
-    several = stage(several.where("_d > 1").select("key", "_l"))
-    mine = probes.join(several, "key").select("key", "_l", *[F.col(c).alias(f"{c}_a") for c in ("sid", "n", "component")])
-    theirs = index.join(several, "key").select("key", *[F.col(c).alias(f"{c}_b") for c in ("sid", "n", "component")], (F.col("component") == F.col("_l")).alias("_m"))
-    mine, theirs = stage(mine), stage(theirs)
-    few = mine.where("component_a <> _l").join(theirs, "key")
-    many = mine.where("component_a = _l").join(theirs.where("NOT _m"), "key")
-    dear_mine = _with_component(used, found).select("key", *[F.col(c).alias(f"{c}_a") for c in ("sid", "n", "component")])
-    dear_theirs = _with_component(dear.select("key", "sid", "n"), found).select("key", *[F.col(c).alias(f"{c}_b") for c in ("sid", "n", "component")])
-    pairs = few.unionByName(many).drop("_l", "_m").unionByName(dear_mine.join(dear_theirs, "key"))
-    pairs = pairs.where((F.col("component_a") != F.col("component_b")) & _may_link(F.col("n_a"), F.col("n_b")))
-    more = _verified(pairs.select(F.least("sid_a", "sid_b").alias("a"), F.greatest("sid_a", "sid_b").alias("b")), sets)
+    # Then all sets of different components that still share a key.
+    index = index.join(probes.select("key"), "key", "left_semi")
+    again = dear.join(used.select("key"), "key", "left_semi").select("key", "sid", "n")
+    rows = stage(_with_component(probes.unionByName(index).unionByName(again).distinct(), found))
+    costs = stage(_key_costs(rows))
+    more = _block_links(rows.join(costs.where(F.col("cross") > KEY_PAIRS), "key", "left_semi"), sets)
+    found = joined(found, more) if more.limit(1).count() else found
+    rows = _with_component(rows.drop("component").join(costs.where(F.col("cross") <= KEY_PAIRS), "key", "left_semi"), found)
+    side = lambda x: [F.col(c).alias(f"{c}_{x}") for c in ("sid", "n", "component")]
+    pairs = rows.select("key", *side("a")).join(rows.select("key", *side("b")), "key")
+    pairs = pairs.where((F.col("sid_a") < F.col("sid_b")) & (F.col("component_a") != F.col("component_b")) & _may_link(F.col("n_a"), F.col("n_b")))
+    more = _verified(pairs.select(F.col("sid_a").alias("a"), F.col("sid_b").alias("b")), sets)
     return joined(found, more) if more.limit(1).count() else found
 
 
@@ -567,7 +666,15 @@ def links(docs: DataFrame, exchanged: DataFrame, reps: DataFrame, roles: DataFra
             current, cheap, dear, n_dear = costs_now(stage(_with_component(keys, found)))
     lost = None
     if n_dear:
-        lost = current.join(dear.select("key"), "key", "left_semi").groupBy("sid", "band").agg(F.count("*").alias("_dear"))
+        skipped = dear.select("key")
+        dense = stage(dear.where(F.col("cross") <= BLOCK_PAIRS).select("key"))
+        more = _block_links(current.join(dense, "key", "left_semi"), sets)
+        if more.limit(1).count():
+            found = joined(found, more)
+        # These keys are done; what is not settled by the others needs fewer of them.
+        lost = current.join(skipped, "key", "left_semi").groupBy("sid", "band").agg(F.count("*").alias("_dear"))
+        keys = keys.join(dense, "key", "left_anti")
+        current, cheap, dear, n_dear = costs_now(stage(_with_component(keys, found)))
     more = _verified(_cross_pairs(current, cheap, True, lost), sets)
     while more.limit(1).count():
         found = joined(found, more)

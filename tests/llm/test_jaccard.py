@@ -81,15 +81,54 @@ def test_components_by_brute_force(spark, seed):
     assert result(got) == brute(docs)
 
 
-def test_allocation_finds_what_dear_keys_hide(spark, monkeypatch):
-    """With a budget of no pairs, keys that are not settled by stars serve for nothing: the fallback finds the rest."""
+@pytest.mark.parametrize("block_pairs", [0, 10**9])
+def test_allocation_finds_what_dear_keys_hide(spark, monkeypatch, block_pairs):
+    """With a budget of no pairs, keys that are not settled by stars are compared in blocks, or serve for nothing: the fallback finds the rest."""
     monkeypatch.setattr(jaccard, "KEY_PAIRS", 0)
+    monkeypatch.setattr(jaccard, "BLOCK_PAIRS", block_pairs)
+    monkeypatch.setattr(jaccard, "BLOCK_SETS", 7)
     monkeypatch.setattr(jaccard, "_star_pairs", lambda keys: keys.limit(0).selectExpr("sid as a", "sid as b"))
     monkeypatch.setattr(jaccard, "_reordered_star", lambda keys: keys.limit(0).selectExpr("sid as a", "sid as b"))
     docs = collection(3)[:200]
     assert result(jaccard.classes(frame(spark, docs))) == brute(docs)
 
 
+def test_near_copies_around_the_threshold(spark, monkeypatch):
+    """A family of which most pairs do not link, so that many components share their keys; hubs and blocks are split."""
+    monkeypatch.setattr(jaccard, "STAR_SETS", 5)
+    monkeypatch.setattr(jaccard, "BLOCK_SETS", 20)
+    monkeypatch.setattr(jaccard, "BLOCK_GRAMS", 2_500)
+    rng = random.Random(6)
+    docs = family(rng, words(rng, 120), 160, 9, 100) + family(rng, words(rng, 40), 90, 3, 1000) + collection(6)[:60]
+    assert result(jaccard.classes(frame(spark, docs))) == brute(docs)
+
+
+def test_links_of_two_blocks():
+    """Links tie exactly the components that pairs of the two blocks, of one block with itself, would."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(1)
+    base = np.sort(rng.integers(0, 2**63, 9_000, dtype=np.uint64))
+    sets = [np.unique(np.where(rng.random(9_000) < 0.01 * k, rng.integers(0, 2**63, 9_000, dtype=np.uint64), base)) for k in range(12)]
+    for x, y, blocks in ((1, 2, [1] * 6 + [2] * 6), (3, 3, [3] * 12)):
+        roots = [100, 100, 101, 102, 103, 104, 100, 105, 106, 107, 108, 109]
+        part = pa.table({"x": [x] * 12, "y": [y] * 12, "block": blocks, "sid": list(range(12)), "component": roots, "tokens": [s.tobytes() for s in sets]})
+        want = {r: {r} for r in roots}
+        for i in range(12):
+            for j in range(12):
+                common = len(np.intersect1d(sets[i], sets[j]))
+                if blocks[i] == x and blocks[j] == y and 100 * common >= 80 * (len(sets[i]) + len(sets[j]) - common):
+                    both = want[roots[i]] | want[roots[j]]
+                    want.update({r: both for r in both})
+        links = [tuple(r.values()) for r in jaccard._spanning_links(part).to_pylist()]
+        got = {r: {r} for r in roots}
+        for i, j in links:
+            assert got[roots[i]] != got[roots[j]]
+            both = got[roots[i]] | got[roots[j]]
+            got.update({r: both for r in both})
+        assert got == want and links
+
+
 def test_hot_keys_are_spread(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "BATCH_HOT", 3)
     docs = collection(4)

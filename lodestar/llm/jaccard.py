@@ -305,9 +305,14 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     A row carries the set of ``b``; that of ``a`` comes once for a group of partners, so a hub of many is spread over tasks.
     """
     pairs = stage(pairs.select("a", "b").distinct())
+    total = pairs.count()
+    if not total:
+        return pairs
     groups = pairs.groupBy("a").agg(F.count("*").alias("c"), F.ceil(F.count("*") / F.lit(STAR_SETS)).alias("_parts"))
-    dealt = join_sized(pairs, groups, ["a"], "c", pairs.count())
-    dealt = stage(dealt.select("a", F.pmod(F.xxhash64("b"), F.col("_parts")).cast("int").alias("part"), "b"))
+    # Only a hub of more partners than that can have several groups.
+    dealt = join_sized(pairs, groups, ["a"], "c", total) if total > STAR_SETS else pairs.withColumn("_parts", F.lit(1))
+    dealt = dealt.select("a", F.pmod(F.xxhash64("b"), F.col("_parts")).cast("int").alias("part"), "b")
+    dealt = stage(dealt) if total > STAR_SETS else dealt
     theirs = dealt.join(sets.select(F.col("sid").alias("b"), "tokens"), "b").select("a", "part", "b", "tokens")
     hubs = dealt.select("a", "part").distinct().join(sets.select(F.col("sid").alias("a"), "tokens"), "a")
     hubs = hubs.select("a", "part", F.lit(None).cast("long").alias("b"), "tokens")
@@ -382,6 +387,8 @@ def _block_links(rows: DataFrame, sets: DataFrame) -> DataFrame:
     """
     rows = stage(rows.select("key", "sid", "n", "component").distinct())
     total = rows.count()
+    if not total:
+        return rows.select(F.col("sid").alias("a"), F.col("sid").alias("b"))
     labels = rows.groupBy("key").agg(F.count("*").alias("c")).withColumn("home", F.struct("c", "key"))
     for turn in range(2):
         if turn:

@@ -15,11 +15,13 @@ fixed order; an empty table gives no rows. Other columns are not returned.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
 from bisect import bisect_left, insort
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from functools import cached_property
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -31,66 +33,79 @@ from .common import map_rows, ranked, table
 
 SIZE = 2048
 END = 1
-#: Chunks whose tokens a task remembers.
-MEMO = 400_000
-
-# A byte-level BPE splits a text at white space before anything else: a chunk is a run of other
-# characters with the one space before it, or a run of white space without the space that goes
-# to the next chunk. No token crosses these borders.
-_CHUNKS = re.compile(r" ?\S+|\s+(?!\S)|\s+")
-# White space for Python only; a text with one of these is tokenised in one go.
-_ODD = re.compile("[\x1c-\x1f]")
-
-
-class Parts(dict):
-    """Token ids of what the pattern of the vocabulary cuts out of a chunk."""
-
-    def __init__(self, model):
-        self.model = model
-        # The vocabulary writes each byte as a printable character.
-        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        others = [b for b in range(256) if b not in printable]
-        self.written = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
-
-    def __missing__(self, part: str) -> bytes:
-        written = part.encode().decode("latin-1").translate(self.written)
-        ids = np.array([t.id for t in self.model.tokenize(written)], dtype="<u4").tobytes()
-        self[part] = ids
-        return ids
-
-
-class Encoder(dict):
-    """Token ids of texts as little-endian bytes, four for each id; remembers those of chunks.
-
-    For a byte-level BPE file of the usual kind: the pattern of ``public_tokenizers``
-    cuts the text, the model of the file merges what is cut out.
+#: Characters after which a longer text is cut at the next border.
+SPAN = 100_000
+#: Rows of a batch that a task holds as Python objects.
+ROWS = 256
+
+# A byte-level BPE splits a text at white space before anything else: no token goes from another
+# character to the white space after it. The control characters are white space for Python only.
+_BORDER = re.compile(r"(?<=[^\s\x1c-\x1f])(?=[ \n])")
+
+
+def spans(text: str) -> Iterator[str]:
+    """The text in parts of ``SPAN`` characters and what is left to the next border."""
+    at = 0
+    while len(text) - at > SPAN and (border := _BORDER.search(text, at + SPAN)):
+        yield text[at : border.start()]
+        at = border.start()
+    yield text[at:]
+
+
+def merge_ranks(tokenizer_json: str) -> dict[bytes, int] | None:
+    """Ids of the byte strings of a byte-level BPE file whose merges come in the order of their ids; else none."""
+    parsed = json.loads(tokenizer_json)
+    vocabulary, merges = parsed["model"]["vocab"], parsed["model"]["merges"]
+    # The vocabulary writes each byte as a printable character.
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in printable]
+    byte_of = {chr(b): b for b in printable} | {chr(256 + k): b for k, b in enumerate(others)}
+    special = {t["id"] for t in parsed.get("added_tokens", [])}
+    ranks = {
+        bytes(map(byte_of.__getitem__, entry)): i
+        for entry, i in vocabulary.items()
+        if i not in special and all(c in byte_of for c in entry)
+    }
+    order = [vocabulary.get("".join(m.split(" ") if isinstance(m, str) else m), -1) for m in merges]
+    usual = order == sorted(order) and all(i >= 0 for i in order) and len(ranks) == 256 + len(merges)
+    return ranks if usual else None
+
+
+class Encoder:
+    """Token ids of texts as little-endian bytes, four for each id; remembers no text.
+
+    Where ``merge_ranks`` finds the file to be of the usual kind, ``tiktoken`` gives the ids of
+    ``tokenizers`` in less time; that library is left with what holds no border for long.
     """
 
-    def __init__(self, tokenizer_json: str):
+    def __init__(self, tokenizer_json: str, ranks: dict[bytes, int] | None = None):
         import public_tokenizers
-        import regex
-        from tokenizers import Tokenizer
+        import tiktoken
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.tokenizer = Tokenizer.from_str(tokenizer_json)
+        self.tokenizer_json = tokenizer_json
+        ranks = ranks or merge_ranks(tokenizer_json)
+        self.fast = ranks and tiktoken.Encoding(
+            "packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}
+        )
+
+    @cached_property
+    def library(self):
+        from tokenizers import Tokenizer
+
+        found = Tokenizer.from_str(self.tokenizer_json)
         # The string of a special token in a text is ordinary text.
-        self.tokenizer.encode_special_tokens = True
-        self.cut = regex.compile(public_tokenizers.PATTERN).findall
-        self.parts = Parts(self.tokenizer.model)
+        found.encode_special_tokens = True
+        return found
 
-    def __missing__(self, chunk: str) -> bytes:
-        ids = b"".join(map(self.parts.__getitem__, self.cut(chunk)))
-        self[chunk] = ids
-        return ids
+    def _ids(self, span: str) -> bytes:
+        # Patterns with a look ahead end early on very long white space in the faster library.
+        if self.fast is None or len(span) > 4 * SPAN:
+            return np.array(self.library.encode(span, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return self.fast.encode_to_numpy(span, disallowed_special=()).astype("<u4", copy=False).tobytes()
 
     def encode(self, text: str) -> bytes:
-        if _ODD.search(text):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        if len(self) > MEMO:
-            self.clear()
-        if len(self.parts) > MEMO:
-            self.parts.clear()
-        return b"".join(map(self.__getitem__, _CHUNKS.findall(text)))
+        return b"".join(map(self._ids, spans(text)))
 
 
 def default_tokenizer() -> str:
@@ -112,12 +127,13 @@ def pieces(
     ``(doc_id, *keep, start, length, ids_crc32, doc_tokens)`` and, where asked for, ``ids``.
     """
     with open(tokenizer or default_tokenizer(), encoding="utf-8") as file:
-        model = docs.sparkSession.sparkContext.broadcast(file.read())
+        content = file.read()
+    model = docs.sparkSession.sparkContext.broadcast((content, merge_ranks(content)))
     last = np.array([end], dtype="<u4").tobytes()
     columns = ["doc_id", *keep]
 
     def start():
-        encoder = Encoder(model.value)
+        encoder = Encoder(*model.value)
 
         def run(batch):
             out = {name: [] for name in [*columns, "start", "length", "ids_crc32", "doc_tokens", "ids"]}
@@ -140,7 +156,7 @@ def pieces(
 
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns)
     schema = f"{kinds}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * ids
-    return map_rows(docs.select(*columns, "text"), schema, start)
+    return map_rows(docs.select(*columns, "text"), schema, start, rows=ROWS)
 
 
 def shortest_pack_first(histogram: dict[int, int], size: int) -> list[tuple[tuple[int, ...], int]]:

@@ -1,6 +1,8 @@
+import json
 import os
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -8,7 +10,7 @@ import numpy as np
 import pytest
 from texts import documents, edges, frame
 
-from lodestar.llm import mixing, packing
+from lodestar.llm import common, mixing, packing
 
 SOURCES = ["big", "big", "big", "mid", "small", None]
 
@@ -142,6 +144,53 @@ def test_encoder_equals_the_library(tokenizer):
         assert encoder.encode(text) == expected, repr(text)
 
 
+def test_encoder_cuts_long_texts_at_borders(tokenizer, monkeypatch):
+    encoder = packing.Encoder(open(packing.default_tokenizer(), encoding="utf-8").read())
+    assert encoder.fast is not None
+    monkeypatch.setattr(packing, "SPAN", 7)
+    rng = random.Random(3)
+    odd = ["".join(rng.choice(" \n\tab'1é.,\u00a0\x1f<|>") for _ in range(rng.randint(1, 90))) for _ in range(300)]
+    for text in TRICKY + odd + ["it's  \n we'll go " * 30, "a" * 100 + " b" * 50, " " * 100 + "\n" * 40 + "x", "日本語" * 30 + "\n\n  c"]:
+        assert "".join(packing.spans(text)) == text
+        expected = np.array(tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        assert encoder.encode(text) == expected, repr(text)
+    assert len(list(packing.spans("a word " * 30))) > 10
+
+
+def test_encoder_of_other_files():
+    """Merges that do not come in the order of their ids are left to the library."""
+    tokenizers = pytest.importorskip("tokenizers")
+    parsed = json.loads(open(packing.default_tokenizer(), encoding="utf-8").read())
+    parsed["model"]["merges"].reverse()
+    other = json.dumps(parsed)
+    encoder = packing.Encoder(other)
+    assert packing.merge_ranks(other) is None and encoder.fast is None
+    text = "other merges of the same words"
+    expected = tokenizers.Tokenizer.from_str(other).encode(text, add_special_tokens=False).ids
+    assert encoder.encode(text) == np.array(expected, dtype="<u4").tobytes()
+
+
+def test_encoder_remembers_no_text():
+    encoder = packing.Encoder(open(packing.default_tokenizer(), encoding="utf-8").read())
+    encoder.encode("first use")
+    tracemalloc.start()
+    for k in range(200):
+        encoder.encode(" ".join(f"w{k}x{n}" for n in range(200)))
+    kept = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert kept < 1_000_000
+
+
+def test_texts_become_objects_in_parts(spark):
+    """However many rows a batch holds, a task turns only some of them into Python objects at once."""
+
+    def start():
+        return lambda batch: {"n": [len(batch["id"])] * len(batch["id"])}
+
+    found = [r["n"] for r in common.map_rows(spark.range(0, 1000, 1, 1), "n long", start, rows=300).collect()]
+    assert found == [300] * 900 + [100] * 100
+
+
 def test_packing(spark, tokenizer):
     docs = [d[:2] for d in documents(n=200)] + edges() + [(2000 + k, t) for k, t in enumerate(TRICKY)]
     cut = packing.pieces(frame(spark, docs), ids=True)

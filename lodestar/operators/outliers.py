@@ -52,6 +52,32 @@ def _compare_points(points: DataFrame, pairs: DataFrame, distance: float) -> Dat
     )
 
 
+def _apart() -> Column:
+    """Of cells at most three rows and columns away: not in the 3x3 block."""
+    return (F.abs(F.col("ci") - F.col("i")) > 1) | (F.abs(F.col("cj") - F.col("j")) > 1)
+
+
+def _compare_near(own: DataFrame, others: DataFrame, distance: float, few: bool) -> DataFrame:
+    """``(x, y, part)`` of the points ``own``: weight of those of ``others`` that lie within the distance,
+    but not in the 3x3 block.
+
+    Both are ``(i, j, x, y, w)`` with distinct coordinates. Points meet in tiles of
+    cells, to which each of one side is copied once (``adjacent``): no row is
+    made for a pair of cells, and the weights are summed where the points meet.
+    """
+    mine = own.select("i", "j", "x", "y")
+    theirs = others.select(
+        F.col("i").alias("ci"), F.col("j").alias("cj"), F.col("x").alias("ox"), F.col("y").alias("oy"), "w"
+    )
+    return (
+        adjacent(mine, theirs, few)
+        .where(_apart() & _within(distance))
+        .groupBy(*([] if few else ["_ti", "_tj"]), "x", "y")
+        .agg(F.sum("w").alias("part"))
+        .select("x", "y", "part")
+    )
+
+
 def _located(points: DataFrame, distance: float, level: int) -> DataFrame:
     """``points`` with their cell ``(ci, cj)`` after ``level`` halvings of the side."""
     side = cell_side(distance) / 2**level
@@ -109,23 +135,41 @@ def _halvings(located: DataFrame, distance: float, level: int) -> int:
 
 
 def _refined_parts(
-    points: DataFrame, pairs: DataFrame, distance: float, budget: int, total: int, floor: int
+    points: DataFrame,
+    asked: DataFrame,
+    pairs: DataFrame,
+    distance: float,
+    budget: int,
+    total: int,
+    floor: int,
+    few_asked: bool,
 ) -> list[DataFrame]:
     """Neighbour weights when some cells are too full to compare point by point.
 
-    Pairs of cells over the budget are replaced by the pairs of their quarter
+    Cells of which any two may be compared point by point meet in tiles. Of the
+    others, pairs of cells over the budget are replaced by the pairs of their quarter
     cells, or smaller ones where all points of the cells lie close together. A pair of quarters wholly within the distance adds the other cell's
     weight, a pair wholly beyond it is dropped, and the rest go to the next
     level with the points of their cells. A cell meets only the cells on the rim
     of its ball, and identical points never split, being one weighted point. No
     step lists the pairs of a full cell.
     """
-    parts = []
     level, ended = 0, False
     located = _located(points, distance, level)
     cells = stage(_contents(located))
+    most = math.isqrt(budget)
+    n_thin, n_thick = cells.agg(F.count_if(F.col("n") <= most), F.count_if(F.col("n") > most)).first()
+    if n_thick == 0:
+        return [_compare_near(asked, points, distance, few_asked)]
+    sizes = cells.withColumnsRenamed({"ci": "i", "cj": "j"})
+    thin = sizes.where(F.col("n") <= most)
+    own, others = (in_keys(rows, thin, ["i", "j"], "n", n_thin, sizes, total, floor) for rows in (asked, points))
+    parts = [_compare_near(own, others, distance, few_asked)]
     open_pairs = stage(
-        pairs.select("i", "j", "ci", "cj").join(_as_own(cells), ["i", "j"]).join(cells, ["ci", "cj"])
+        pairs.select("i", "j", "ci", "cj")
+        .join(_as_own(cells), ["i", "j"])
+        .join(cells, ["ci", "cj"])
+        .where((F.col("own_n") > most) | (F.col("n") > most))
     )
     while True:
         full = F.col("own_n") * F.col("n") > budget
@@ -198,10 +242,9 @@ def _balls(
     others = cells.select(
         F.col("i").alias("ci"), F.col("j").alias("cj"), F.col("size").alias("other_size")
     )
-    apart = (F.abs(F.col("ci") - F.col("i")) > 1) | (F.abs(F.col("cj") - F.col("j")) > 1)
     pairs = (
         adjacent(wanted.select("i", "j"), others, few=n_wanted * COPIES <= BROADCAST_ROWS)
-        .where(apart)
+        .where(_apart())
         .select("i", "j", "ci", "cj", "other_size")
     )
     celled = with_cell(points, distance)
@@ -224,17 +267,18 @@ def _balls(
     # Copies of a point become one weighted point; the partial aggregate merges them before the shuffle.
     weighted = stage(celled.groupBy("i", "j", "x", "y").agg(F.count("*").alias("w")))
 
+    asked, few_asked = weighted, False
+    if m is not None:
+        asked = _in_cells(weighted, wanted, n_wanted, cells, total, floor)
+        # A wanted cell holds at most m points.
+        few_asked = m * n_wanted * COPIES <= BROADCAST_ROWS
     if fullest * fullest <= budget:
-        compared = weighted.withColumnsRenamed({"i": "ci", "j": "cj"})
-        parts = [_compare_points(compared, pairs, distance)]
+        parts = [_compare_near(asked, weighted, distance, few_asked)]
     else:
-        parts = _refined_parts(weighted.drop("i", "j"), pairs, distance, budget, total, floor)
+        parts = _refined_parts(weighted, asked, pairs, distance, budget, total, floor, few_asked)
     further = reduce(DataFrame.unionByName, parts)
     if len(parts) > 1:
         further = further.groupBy("x", "y").agg(F.sum("part").alias("part"))
-    asked = weighted
-    if m is not None:
-        asked = _in_cells(weighted, wanted, n_wanted, cells, total, floor)
     certain = wanted.select("i", "j", "n3", "size")
     balls = (
         join_sized(asked, certain, ["i", "j"], "size", total, floor)

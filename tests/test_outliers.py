@@ -70,6 +70,39 @@ def test_skewed_points(spark, budget, floor):
     assert len(found) > 50
 
 
+def test_points_meet_in_tiles(spark):
+    """No row is shuffled for a pair of cells; only the copies of points for their tiles are."""
+    limit = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(limit)
+    spark.conf.set(limit, "-1")
+    try:
+        rng = np.random.default_rng(9)
+        points = [tuple(p) for p in rng.uniform(0, 60, (800, 2)).astype(np.float32).tolist()]
+        found = outliers.ball_counts(points_frame(spark, points), 4.0)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(_ti" in plan and "hashpartitioning(ci" not in plan
+        assert rows(found) == list(enumerate(brute_balls(points, 4.0)))
+    finally:
+        spark.conf.set(limit, before)
+
+
+@pytest.mark.parametrize("few", [False, True])
+def test_near_points_by_brute_force(spark, few):
+    rng = np.random.default_rng(10)
+    points = [tuple(p) for p in rng.uniform(-9, 9, (300, 2)).astype(np.float32).tolist()]
+    weighted = grid.with_cell(points_frame(spark, points), 4.0).withColumn("w", F.col("id") + 1)
+    own = weighted.where("id % 3 = 0")
+    cells = {r["id"]: (r["i"], r["j"]) for r in weighted.collect()}
+    expected = {}
+    for a, (ax, ay) in enumerate(points):
+        for b, (bx, by) in enumerate(points):
+            apart = max(abs(cells[a][k] - cells[b][k]) for k in (0, 1)) > 1
+            if a % 3 == 0 and apart and (ax - bx) ** 2 + (ay - by) ** 2 <= 16:
+                expected[ax, ay] = expected.get((ax, ay), 0) + b + 1
+    got = rows(outliers._compare_near(own, weighted, 4.0, few))
+    assert got == sorted((x, y, part) for (x, y), part in expected.items())
+
+
 def test_inside_pairs_of_full_cells(spark):
     """Dense uniform points: whole quarter cells lie within the distance."""
     rng = np.random.default_rng(5)

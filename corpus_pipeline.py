@@ -2,7 +2,8 @@
 
 Quality classifier, language identification, near duplicates, mixing of the
 sources and packing. Every stage works on all documents the one before has kept,
-reread from Parquet. The stages before the last return the columns of documents;
+reread from Parquet. Where texts go to Python, the session's batches are bounded in bytes.
+The stages before the last return the columns of documents;
 mixing decides their order, which packing follows.
 
 Defined cases (see the operators for more): null and empty texts have features
@@ -19,6 +20,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestar.llm import jaccard, language, mixing, packing, quality
+from lodestar.llm.common import bound_batches
 from lodestar.plans import fresh_dir
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -26,16 +28,19 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go; it learns from the labels of those that are there."""
+    bound_batches(spark)
     return quality.accepted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language that is sure enough go."""
+    bound_batches(spark)
     return language.identified(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of linked ones stays, that of the smallest id."""
+    bound_batches(spark)
     return jaccard.one_of_each(docs)
 
 
@@ -46,6 +51,7 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents with their places in sequences."""
+    bound_batches(spark)
     return packing.pack_in_file_order(docs)
 
 

@@ -48,7 +48,7 @@ from pyspark.sql.window import Window
 
 from ..plans import stage
 from ..plans.skew import BROADCAST_ROWS, join_sized
-from .common import buckets, free_names, map_rows, table
+from .common import ROWS, buckets, free_names, map_rows, table, tidy
 from .components import components
 
 WORDS = 5
@@ -63,7 +63,9 @@ BLOCK_GRAMS = 200_000
 #: Partners of a set that one task compares with it.
 STAR_SETS = 512
 #: Keys that one task of the exchange should get.
-TASK_KEYS = 1_000_000
+TASK_KEYS = 500_000
+#: N-grams whose segments are worked out at once.
+SEGMENT_GRAMS = 50_000
 #: A key that so many sets of one batch hold is spread over tasks.
 BATCH_HOT = 64
 SPREAD = 64
@@ -163,6 +165,18 @@ BANDS = Bands(1 << 40)
 def _segments(tokens: list[np.ndarray], bands: list[int], parts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Keys of the non-empty segments of many sets: ``(key, set index, segment)``."""
     sizes = np.array([len(t) for t in tokens])
+    # Sets that begin in the same stretch of n-grams go together.
+    stretch = (np.cumsum(sizes) - sizes) // SEGMENT_GRAMS
+    first = np.flatnonzero(np.append(True, stretch[1:] != stretch[:-1]))
+    found = []
+    for a, b in zip(first.tolist(), [*first[1:].tolist(), len(tokens)]):
+        keys, owner, segment = _segments_at_once(tokens[a:b], sizes[a:b], bands[a:b], parts)
+        found.append((keys, owner + a, segment))
+    keys, owner, segment = (np.concatenate(c) for c in zip(*found))
+    return keys, owner, segment
+
+
+def _segments_at_once(tokens: list[np.ndarray], sizes: np.ndarray, bands: list[int], parts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     m = parts[bands].astype(np.int64)
     base = np.concatenate([[0], np.cumsum(m)])
     flat = np.concatenate(tokens)
@@ -248,8 +262,8 @@ def _exchange(docs: DataFrame, maker: Maker) -> DataFrame:
         sets_of = maker()
         ids, tokens, held = [], [], 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
                 found = sets_of(part.column(1).to_pylist())
                 ids += part.column(0).to_pylist()
                 tokens += found
@@ -261,19 +275,25 @@ def _exchange(docs: DataFrame, maker: Maker) -> DataFrame:
             yield from emit(ids, tokens)
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = []
+        keys, sids, salts = [], [], []
         for batch in batches:
             key, sid, salt, more = (c.to_numpy() for c in batch.columns)
             other = salt < _MARK
             if other.any():
                 yield batch_of(key[other], sid[other], salt[other], more[other])
-            got.append((key[~other], sid[~other], salt[~other]))
-        if not got:
+            for column, values in ((keys, key), (sids, sid), (salts, salt)):
+                column.append(values[~other])
+        if not keys:
             return
-        key, sid, salt = (np.concatenate(c) for c in zip(*got))
-        got.clear()
+        key = np.concatenate(keys)
+        keys.clear()
+        sid = np.concatenate(sids)
+        sids.clear()
+        salt = np.concatenate(salts)
+        salts.clear()
         order = np.argsort(key, kind="stable")
-        same = key[order][1:] == key[order][:-1]
+        same = key[order]
+        same = same[1:] == same[:-1]
         order = order[(np.append(same, False) | np.append(False, same)) | (salt[order] > 0)] if len(order) else order
         key, sid, salt = key[order], sid[order], salt[order]
         order = np.lexsort((salt == _MARK, sid, key))
@@ -294,9 +314,9 @@ def _exchange(docs: DataFrame, maker: Maker) -> DataFrame:
     # About one word in six characters, and six keys for ten words.
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     count = buckets(int(chars) // 10, TASK_KEYS, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    rows = docs.select("doc_id", "text").mapInArrow(rows_of, schema)
+    rows = docs.select("doc_id", "text").mapInArrow(tidy(rows_of), schema)
     dealt = rows.repartition(count, F.col("key"), F.greatest("salt", F.lit(0)))
-    return stage(dealt.mapInArrow(shared, schema))
+    return stage(dealt.mapInArrow(tidy(shared), schema))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -319,7 +339,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hub, own = None, None
-        for batch in batches:
+        for batch in (whole.slice(at, ROWS) for whole in batches for at in range(0, whole.num_rows, ROWS)):
             linked = []
             for a, part, b, data in zip(*[c.to_pylist() for c in batch.columns]):
                 tokens = np.frombuffer(data, dtype=np.uint64)
@@ -336,7 +356,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2)], names=["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
     rows = hubs.unionByName(theirs).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
-    return stage(rows.mapInArrow(run, "a long, b long"))
+    return stage(rows.mapInArrow(tidy(run), "a long, b long"))
 
 
 def _spanning_links(part: pa.Table) -> pa.Table:
@@ -734,7 +754,7 @@ def _tokens(docs: DataFrame, chosen: DataFrame, maker: Maker) -> DataFrame:
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS * 5 else ids
     texts = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("_first")), "left_semi").select("text")
     # A document that is the first of a chosen set may share its id with others.
-    rows = map_rows(texts, "sid long, n long, tokens binary", start)
+    rows = map_rows(texts, "sid long, n long, tokens binary", start, rows=ROWS)
     return rows.join(chosen.select("sid"), "sid", "left_semi").dropDuplicates(["sid"])
 
 
@@ -791,7 +811,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
         sets_of = shingle_maker()
         return lambda batch: batch | {sid: [_digest(f) for f in sets_of(batch["text"])]}
 
-    rows = map_rows(docs.join(shared, "doc_id", "left_semi"), StructType([*docs.schema.fields, StructField(sid, LongType())]), start)
+    rows = map_rows(docs.join(shared, "doc_id", "left_semi"), StructType([*docs.schema.fields, StructField(sid, LongType())]), start, rows=ROWS)
     known = found.join(shared, "doc_id", "left_semi").select("doc_id", F.col("sid").alias(sid), F.col("root").alias(root), "component_id").distinct()
     known = known.withColumnRenamed("component_id", row)
     rows = rows.join(known, ["doc_id", sid])

@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold, keep_rows, map_rows, table
+from .common import ROWS, fold, keep_rows, map_rows, table
 
 #: Documents the machines are fitted on at most, shared evenly by the languages.
 MAX_FIT_ROWS = 6_000
@@ -204,7 +204,7 @@ def learn(docs: DataFrame, max_rows: int = MAX_FIT_ROWS, seed: int = 1) -> Langu
         return vectors
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    sample = map_rows(known.where(draw < limit[F.col("lang")]), f"doc_id {kind}, lang string, x binary", start).toPandas()
+    sample = map_rows(known.where(draw < limit[F.col("lang")]), f"doc_id {kind}, lang string, x binary", start, rows=ROWS).toPandas()
     if sample.empty:
         return LanguageModel()
     sample = sample.sort_values(["lang", "doc_id"], kind="stable").groupby("lang").head(2 * share)

@@ -39,7 +39,7 @@ from pyspark.sql.window import Window
 
 from ..plans import stage
 from ..plans.skew import BROADCAST_ROWS
-from .common import free_names, map_rows, table
+from .common import free_names, map_rows, table, tidy
 
 TEMPERATURE = 0.7
 BLOCK_CHARS = 100_000
@@ -145,7 +145,7 @@ def _running(df: DataFrame, key: str, order: list[str], amount: str, name: str)
             columns = [*batch.columns, pa.array(before, pa.int64()), pa.array([part] * len(before), pa.int32())]
             yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, name, "_part"])
 
-    rows = stage(df.repartitionByRange(key, *order).sortWithinPartitions(key, *order).mapInArrow(run, schema))
+    rows = stage(df.repartitionByRange(key, *order).sortWithinPartitions(key, *order).mapInArrow(tidy(run), schema))
     sums = rows.groupBy(key, "_part").agg(F.sum(amount).alias("_sum"))
     before = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select(F.col(key).alias("_key"), F.col("_part").alias("_p"), F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))

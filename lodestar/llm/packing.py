@@ -29,14 +29,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..plans import stage
-from .common import map_rows, ranked, table
+from .common import ROWS, map_rows, ranked, table
 
 SIZE = 2048
 END = 1
 #: Characters after which a longer text is cut at the next border.
 SPAN = 100_000
-#: Rows of a batch that a task holds as Python objects.
-ROWS = 256
 
 # A byte-level BPE splits a text at white space before anything else: no token goes from another
 # character to the white space after it. The control characters are white space for Python only.

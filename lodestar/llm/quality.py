@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold, keep_rows, map_rows, table
+from .common import ROWS, fold, keep_rows, map_rows, table
 
 #: Labelled rows the model is fitted on at most; more are thinned by a hash of the id.
 MAX_FIT_ROWS = 20_000
@@ -238,7 +238,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_FIT_ROWS, seed
     # Twice the number that is wanted is never reached by chance: the broadcast is bounded.
     drawn = docs.select("doc_id", "text").join(F.broadcast(known.limit(2 * max_rows)), "doc_id")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    sample = map_rows(drawn, f"doc_id {kind}, y int, x array<double>", start).toPandas()
+    sample = map_rows(drawn, f"doc_id {kind}, y int, x array<double>", start, rows=ROWS).toPandas()
     sample = sample.sort_values("doc_id", kind="stable")
     x = np.array(sample["x"].tolist(), dtype=np.float64).reshape(len(sample), len(FEATURES))
     return fit(x, sample["y"].to_numpy(dtype=np.float64))

@@ -1,5 +1,6 @@
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -227,3 +228,19 @@ def test_components_of_edges(spark):
     nodes = {n for a, b in edges_ if a != b for n in (a, b)}
     assert rows(components(df)) == sorted((n, find(n)) for n in nodes)
     assert components(df.where("false")).count() == 0
+
+
+def test_segments_of_many_sets_in_little_memory(monkeypatch):
+    """The segments of a batch are worked out part by part: the same keys, without arrays over all its n-grams."""
+    rng = np.random.default_rng(2)
+    tokens = [np.unique(rng.integers(0, 2**63, n, dtype=np.uint64)) for n in rng.integers(20, 3_000, 400)]
+    bands, parts = [jaccard.BANDS.of(len(t)) for t in tokens], np.array(jaccard.BANDS.parts)
+    with monkeypatch.context() as patched:
+        patched.setattr(jaccard, "SEGMENT_GRAMS", 10**9, raising=False)
+        want = jaccard._segments(tokens, bands, parts)
+    tracemalloc.start()
+    got = jaccard._segments(tokens, bands, parts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert all((a == b).all() for a, b in zip(got, want))
+    assert peak < 3 * sum(t.nbytes for t in tokens)

@@ -1,7 +1,9 @@
 import os
+import weakref
 from collections import defaultdict
 
 import duckdb
+import numpy as np
 import pytest
 from conftest import rows
 from test_jaccard import kept_rows
@@ -9,7 +11,7 @@ from texts import documents, edges, frame
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from lodestar.llm import language, packing, quality, queries
+from lodestar.llm import common, language, packing, quality, queries
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -113,3 +115,40 @@ def test_queries_return_a_row_for_each(spark, name):
     ids = "page_id" if table == "pages" else "doc_id"
     expected = {r[0] for r in spark.read.parquet(f"{SF_DIR}/{table}.parquet").select(ids).collect()}
     assert {r[0] for r in queries.QUERIES[name](spark, SF_DIR).select(ids).collect()} == expected
+
+
+def test_texts_reach_python_a_few_at_a_time(spark):
+    """A filter gets no batch whole, and its worker gives back what it no longer holds."""
+    docs = frame(spark, [(d, f"text {d}", None, None) for d in range(1000)]).coalesce(1)
+    kept = common.keep_rows(docs, "text", lambda: lambda texts: [len(texts) <= common.ROWS] * len(texts))
+    assert texts_of(kept) == texts_of(docs)
+
+
+def test_worker_gives_back_after_its_task(monkeypatch):
+    held, seen = [], []
+
+    def run(batches):
+        big = np.zeros(10)
+        held.append(weakref.ref(big))
+        yield from batches
+
+    monkeypatch.setattr(common, "give_back", lambda: seen.append(held[0]()))
+    assert list(common.tidy(run)([1, 2])) == [1, 2]
+    assert seen == [None]
+    monkeypatch.undo()
+    common.give_back()
+
+
+def test_batches_for_python_are_bounded(spark, tables):
+    """Each stage that sends texts to Python bounds the bytes of a batch, which are 64 MB else; a session's own bound stays."""
+    name, docs = "spark.sql.execution.arrow.maxBytesPerBatch", spark.read.parquet(f"{tables}/documents.parquet")
+    for stage in (corpus_pipeline.quality_classifier, corpus_pipeline.language_id, corpus_pipeline.near_duplicates, corpus_pipeline.sequence_packing):
+        spark.conf.unset(name)
+        stage(spark, docs, tables)
+        assert spark.conf.get(name) == str(common.BATCH_BYTES)
+    spark.conf.set(name, "1000")
+    common.bound_batches(spark)
+    assert spark.conf.get(name) == "1000"
+    sizes = docs.mapInArrow(lambda batches: (b.select(["doc_id"]) for b in batches if b.num_rows > 1 and b.nbytes > 100_000), "doc_id long")
+    assert sizes.count() == 0
+    spark.conf.unset(name)

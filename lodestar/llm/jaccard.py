@@ -57,6 +57,8 @@ PERCENT = 80
 KEY_PAIRS = 64
 #: And up to which its sets are compared in blocks; beyond, the key is too dear and neighbourhoods are used. The result is the same.
 BLOCK_PAIRS = 1_000_000_000
+#: Pairs of a key up to which blocks are compared at once, without another round of stars before.
+STAR_PAIRS = 1_000_000
 #: Sets and n-grams of a block (a larger set is a block of its own size).
 BLOCK_SETS = 200
 BLOCK_GRAMS = 200_000
@@ -328,14 +330,21 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     total = pairs.count()
     if not total:
         return pairs
-    groups = pairs.groupBy("a").agg(F.count("*").alias("c"), F.ceil(F.count("*") / F.lit(STAR_SETS)).alias("_parts"))
-    # Only a hub of more partners than that can have several groups.
-    dealt = join_sized(pairs, groups, ["a"], "c", total) if total > STAR_SETS else pairs.withColumn("_parts", F.lit(1))
-    dealt = dealt.select("a", F.pmod(F.xxhash64("b"), F.col("_parts")).cast("int").alias("part"), "b")
-    dealt = stage(dealt) if total > STAR_SETS else dealt
-    theirs = dealt.join(sets.select(F.col("sid").alias("b"), "tokens"), "b").select("a", "part", "b", "tokens")
-    hubs = dealt.select("a", "part").distinct().join(sets.select(F.col("sid").alias("a"), "tokens"), "a")
-    hubs = hubs.select("a", "part", F.lit(None).cast("long").alias("b"), "tokens")
+    part = F.lit(0)
+    dealt = pairs
+    if total > STAR_SETS:
+        # Only a hub of more partners than that has several groups.
+        many = pairs.groupBy("a").agg(F.count("*").alias("c")).where(F.col("c") > STAR_SETS)
+        many = many.select("a", F.ceil(F.col("c") / F.lit(STAR_SETS)).alias("_parts"))
+        many = F.broadcast(many) if total <= STAR_SETS * BROADCAST_ROWS else many
+        dealt = pairs.join(many, "a", "left")
+        part = F.pmod(F.xxhash64("b"), F.coalesce("_parts", F.lit(1)))
+    dealt = dealt.select("a", part.cast("int").alias("part"), "b")
+    hubs = dealt.select("a", "part").distinct().select("a", "part", F.lit(None).cast("long").alias("b"), F.col("a").alias("sid"))
+    wanted = dealt.select("a", "part", "b", F.col("b").alias("sid")).unionByName(hubs)
+    # Each pair wants two sets at most.
+    wanted = F.broadcast(wanted) if 4 * total <= BROADCAST_ROWS else wanted
+    rows = sets.select("sid", "tokens").join(wanted, "sid").select("a", "part", "b", "tokens")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hub, own = None, None
@@ -355,7 +364,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 linked.append(100 * common >= PERCENT * (len(x) + len(y) - common))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2)], names=["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
-    rows = hubs.unionByName(theirs).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
+    rows = rows.repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
     return stage(rows.mapInArrow(tidy(run), "a long, b long"))
 
 
@@ -678,21 +687,22 @@ def links(docs: DataFrame, exchanged: DataFrame, reps: DataFrame, roles: DataFra
     several = current.groupBy("key").agg(F.min("component").alias("_a"), F.max("component").alias("_b")).where("_a <> _b")
     keys = stage(current.join(several.select("key"), "key", "left_semi"))
 
-    def costs_now(current: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+    def costs_now(current: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, float]:
+        """``current``, its cheap keys, its dear ones and the most pairs of one of these (0 without any)."""
         costs = stage(_key_costs(current))
         dear = costs.where(F.col("cross") > KEY_PAIRS)
-        return current, costs.where(F.col("cross") <= KEY_PAIRS), dear, dear.count()
+        return current, costs.where(F.col("cross") <= KEY_PAIRS), dear, dear.agg(F.max("cross")).first()[0] or 0
 
-    current, cheap, dear, n_dear = costs_now(keys)
+    current, cheap, dear, most = costs_now(keys)
     keys = keys.drop("component")
-    if n_dear:
+    if most > STAR_PAIRS:
         # Large groups that one round of stars has not tied together: once more, in another order.
         again = _verified(_reordered_star(current.join(dear.select("key"), "key", "left_semi")), sets)
         if again.limit(1).count():
             found = joined(found, again)
-            current, cheap, dear, n_dear = costs_now(stage(_with_component(keys, found)))
+            current, cheap, dear, most = costs_now(stage(_with_component(keys, found)))
     lost = None
-    if n_dear:
+    if most:
         skipped = dear.select("key")
         dense = stage(dear.where(F.col("cross") <= BLOCK_PAIRS).select("key"))
         more = _block_links(current.join(dense, "key", "left_semi"), sets)
@@ -701,24 +711,24 @@ def links(docs: DataFrame, exchanged: DataFrame, reps: DataFrame, roles: DataFra
         # These keys are done; what is not settled by the others needs fewer of them.
         lost = current.join(skipped, "key", "left_semi").groupBy("sid", "band").agg(F.count("*").alias("_dear"))
         keys = keys.join(dense, "key", "left_anti")
-        current, cheap, dear, n_dear = costs_now(stage(_with_component(keys, found)))
+        current, cheap, dear, most = costs_now(stage(_with_component(keys, found)))
     more = _verified(_cross_pairs(current, cheap, True, lost), sets)
     while more.limit(1).count():
         found = joined(found, more)
-        if not n_dear:
+        if not most:
             break
         before = dear
-        current, cheap, dear, n_dear = costs_now(stage(_with_component(keys, found)))
+        current, cheap, dear, most = costs_now(stage(_with_component(keys, found)))
         freed = before.select("key").join(cheap, "key")
         if not freed.limit(1).count():
             break
         more = _verified(_cross_pairs(current, freed, False, None), sets)
 
     # What the cheap keys cannot guarantee.
-    prices = current.join(dear.select("key", F.col("cross").cast("double").alias("price")), "key") if n_dear else current.limit(0).withColumn("price", F.lit(0.0))
+    prices = current.join(dear.select("key", F.col("cross").cast("double").alias("price")), "key") if most else current.limit(0).withColumn("price", F.lit(0.0))
     lost = prices.groupBy("sid", "band").agg(F.count("*").alias("_dear"), F.first("_empty").alias("_empty"))
     weak = bare.select("sid", "band")
-    if n_dear:
+    if most:
         weak = weak.unionByName(lost.where(F.col("_dear") + F.col("_empty") >= parts - differ).select("sid", "band")).distinct()
     weak = stage(weak)
     if weak.limit(1).count():

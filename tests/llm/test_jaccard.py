@@ -244,3 +244,64 @@ def test_segments_of_many_sets_in_little_memory(monkeypatch):
     tracemalloc.stop()
     assert all((a == b).all() for a, b in zip(got, want))
     assert peak < 3 * sum(t.nbytes for t in tokens)
+
+
+def jobs_of(spark, run):
+    """Stages that ran, and the result."""
+    from pyspark import InheritableThread
+
+    group, tracker, found = f"group-{random.random()}", spark.sparkContext.statusTracker(), []
+
+    def work():
+        spark.sparkContext.setJobGroup(group, group)
+        found.append(run())
+
+    thread = InheritableThread(target=work)
+    thread.start()
+    thread.join()
+    stages = [s for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds]
+    return len(stages), found[0]
+
+
+def test_few_edges_need_no_rounds(spark, monkeypatch):
+    """A chain takes rounds, of several stages each; few edges take two jobs, and both ways agree."""
+    path = spark.createDataFrame([(k, k + 1) for k in range(300)] + [(k, k) for k in range(5)] + [(900, 800), (800, 900)], "a bigint, b bigint")
+    few, got = jobs_of(spark, lambda: rows(components(path)))
+    assert got == [(k, 0) for k in range(301)] + [(800, 800), (900, 800)]
+    assert few <= 4
+    monkeypatch.setattr("lodestar.llm.components.FEW_EDGES", 10, raising=False)
+    many, again = jobs_of(spark, lambda: rows(components(path)))
+    assert again == got and many > few
+
+
+def test_another_round_of_stars_only_for_many_pairs(spark, monkeypatch):
+    """Keys whose pairs the blocks can compare go there at once; with more pairs the stars are reordered first. Links are the same."""
+    called, real = [], jaccard._reordered_star
+    monkeypatch.setattr(jaccard, "_reordered_star", lambda keys: called.append(1) or real(keys))
+    monkeypatch.setattr(jaccard, "KEY_PAIRS", 4)
+    rng = random.Random(8)
+    docs = family(rng, words(rng, 120), 60, 9, 100)
+    assert result(jaccard.classes(frame(spark, docs))) == brute(docs)
+    assert not called
+    monkeypatch.setattr(jaccard, "STAR_PAIRS", 5, raising=False)
+    assert result(jaccard.classes(frame(spark, docs))) == brute(docs)
+    assert called
+
+
+@pytest.mark.parametrize("broadcast_rows", [0, 10**6])
+def test_verified_pairs_by_either_join(spark, monkeypatch, broadcast_rows):
+    """Hubs below and above the size of a group of partners, with sets sent to all tasks or joined."""
+    monkeypatch.setattr(jaccard, "STAR_SETS", 4)
+    monkeypatch.setattr(jaccard, "BROADCAST_ROWS", broadcast_rows)
+    rng = np.random.default_rng(3)
+    base = np.unique(rng.integers(0, 2**63, 300, dtype=np.uint64))
+    tokens = [np.unique(np.where(rng.random(len(base)) < 0.01 * (k % 20), rng.integers(0, 2**63, len(base), dtype=np.uint64), base)) for k in range(25)]
+    sets = spark.createDataFrame([(k, len(t), t.tobytes()) for k, t in enumerate(tokens)], "sid bigint, n bigint, tokens binary")
+    pairs = [(a, b) for a in (0, 1, 7, 24) for b in range(25) if a != b and (a != 24 or b < 3)]
+
+    def linked(a, b):
+        common = len(np.intersect1d(tokens[a], tokens[b]))
+        return 100 * common >= 80 * (len(tokens[a]) + len(tokens[b]) - common)
+
+    got = rows(jaccard._verified(spark.createDataFrame(pairs + pairs[:9], "a bigint, b bigint"), sets))
+    assert got == sorted(p for p in pairs if linked(*p)) and 0 < len(got) < len(pairs)

@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ROWS, fold, keep_rows, map_rows, table
+from .common import ROWS, fold, give_back, keep_rows, map_rows, table
 
 #: Documents the machines are fitted on at most, shared evenly by the languages.
 MAX_FIT_ROWS = 6_000
@@ -85,7 +85,7 @@ def svm(x: np.ndarray, y: np.ndarray, cost: float = 10.0, epochs: int = 12, seed
     """Weights of a linear support vector machine (dual coordinate descent); y is -1 or 1, the last weight is the bias."""
     x = np.hstack([x, np.ones((len(x), 1), dtype=np.float32)])
     w, alpha = np.zeros(x.shape[1], dtype=np.float32), np.zeros(len(y))
-    norms = (x**2).sum(1)
+    norms = np.concatenate([(x[at : at + ROWS] ** 2).sum(1) for at in range(0, len(x), ROWS)])
     # Both classes carry the same weight.
     limit = np.where(y > 0, cost * len(y) / (2 * (y > 0).sum()), cost * len(y) / (2 * (y < 0).sum()))
     random = np.random.default_rng(seed)
@@ -204,12 +204,19 @@ def learn(docs: DataFrame, max_rows: int = MAX_FIT_ROWS, seed: int = 1) -> Langu
         return vectors
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    sample = map_rows(known.where(draw < limit[F.col("lang")]), f"doc_id {kind}, lang string, x binary", start, rows=ROWS).toPandas()
-    if sample.empty:
+    sample = map_rows(known.where(draw < limit[F.col("lang")]), f"doc_id {kind}, lang string, x binary", start, rows=ROWS).toArrow()
+    if not sample.num_rows:
         return LanguageModel()
-    sample = sample.sort_values(["lang", "doc_id"], kind="stable").groupby("lang").head(2 * share)
-    x = np.frombuffer(b"".join(map(bytes, sample["x"])), dtype=np.float32).reshape(len(sample), DIMENSIONS)
-    return fit(x, sample["lang"].tolist())
+    chosen = sample.select(["lang", "doc_id"]).to_pandas().sort_values(["lang", "doc_id"], kind="stable").groupby("lang").head(2 * share)
+    # The vectors are held once, not as objects beside the table they came in.
+    x = np.empty((len(chosen), DIMENSIONS), dtype=np.float32)
+    for row, at in zip(x, chosen.index):
+        row[:] = np.frombuffer(sample["x"][at].as_buffer(), dtype=np.float32)
+    del sample
+    model = fit(x, chosen["lang"].tolist())
+    del x
+    give_back()
+    return model
 
 
 def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:

@@ -141,3 +141,16 @@ def test_junk_that_is_learned_from_is_still_rejected(known):
     model = language.fit(np.stack([language.vector(t) for t, _ in rows]), [lang for _, lang in rows])
     assert all(model.predict(t)[1] < language.LEAST_SCORE for t in strange())
     assert all(model.predict(t)[1] >= language.LEAST_SCORE for t, _ in rows[:-3])
+
+
+def test_language_sample_is_held_once_and_given_back(spark, monkeypatch):
+    """What is fitted on are the vectors in the order of language and id; their memory goes back before the texts are predicted."""
+    fitted, given, real = [], [], language.fit
+    monkeypatch.setattr(language, "fit", lambda x, langs: fitted.append((x.copy(), langs)) or real(x, langs))
+    monkeypatch.setattr(language, "give_back", lambda: given.append(len(fitted)), raising=False)
+    docs = [(9, "der hund und die katze", "de"), (2, "the dog and the cat", "en"), (5, "the cat", "en"), (1, "ein haus", "de"), (3, "12", "en"), (None, "no id", "en")]
+    language.learn(spark.createDataFrame(docs, "doc_id bigint, text string, lang string"))
+    (x, langs), = fitted
+    assert langs == ["de", "de", "en", "en"]
+    assert (x == [language.vector(t) for t in ("ein haus", "der hund und die katze", "the dog and the cat", "the cat")]).all()
+    assert given == [1]
